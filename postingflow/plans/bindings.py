@@ -206,3 +206,59 @@ def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> raw search-feed records with the null patterns of a real
+    feed (missing refnr / hashId / title / employer / location)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    lang, did = F.col("lang"), F.col("doc_id").cast("string")
+    return d.select(
+        F.when(lang.isin("en", "fr"), F.concat(F.lit("R-"), did)).alias("refnr"),
+        F.when(lang.isin("en", "de"), F.concat(F.lit("H-"), did)).alias("hashId"),
+        F.when(lang != "es", F.col("source")).alias("titel"),
+        F.when(lang != "de", F.concat(F.lit("Employer "), F.col("source"))).alias("arbeitgeber"),
+        F.when(lang == "fr", F.lit(None)).when(lang == "es", F.lit("")).otherwise(F.upper(lang)).alias("ort"),
+        F.lit(1).cast("long").alias("page"),
+        F.col("doc_id").alias("pos"),
+    )
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents JOIN labels -> detail documents keyed by 'H-' || doc_id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    j = d.join(lab, "doc_id")
+    q, t, did = F.col("quality"), F.col("toxic"), F.col("doc_id").cast("string")
+    return j.select(
+        F.concat(F.lit("H-"), did).alias("detail_key"),
+        F.concat(F.lit("R-"), did).alias("refnr"),
+        F.when(q == 1, F.col("text")).when(t == 1, F.lit(" ")).otherwise(F.lit("")).alias("stellenbeschreibung"),
+        F.when(t == 1, F.lit(None)).otherwise(F.concat(F.lit("Develop "), F.col("source"))).alias("taetigkeit"),
+        F.when(q == 0, F.lit("  ")).otherwise(F.concat(F.lit("Experience with "), F.col("lang"))).alias("anforderungen"),
+        F.when(t == 1, F.concat(F.lit("https://jobs.example/"), did)).otherwise(F.lit(" ")).alias("externeUrl"),
+        F.struct(
+            F.when(q == 1, F.concat(F.lit("jobs"), did, F.lit("@x.example")))
+             .when(t == 1, F.lit(" ")).alias("email"),
+            F.struct(F.when(t == 0, F.concat(F.lit("hr"), did, F.lit("@y.example"))).otherwise(F.lit(""))
+                     .alias("email")).alias("angebotskontakt"),
+        ).alias("kontakt"),
+    )
+
+
+def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> posting candidates for the constraint check (whole texts
+    as titles, so long ones violate the length limit)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    lang = F.col("lang")
+    return d.select(
+        F.col("doc_id"),
+        F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("reference_id"),
+        F.col("text").alias("title"),
+        F.when(lang == "es", F.lit(None)).otherwise(F.col("source")).alias("company"),
+        F.col("text").alias("description"),
+        F.when(lang == "de", F.lit("ARCHIVED")).otherwise(F.lit("FETCHED")).alias("status"),
+        F.lit("IDLE").alias("processing_status"),
+        F.lit(None).cast("string").alias("employer_email"),
+        F.lit(None).cast("string").alias("portal_url"),
+    )

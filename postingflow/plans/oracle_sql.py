@@ -85,4 +85,29 @@ FROM documents""",
 SELECT vec_id AS mem_id, 'vec ' || CAST(vec_id AS VARCHAR) AS content,
        label, CAST(embedding AS DOUBLE[]) AS embedding
 FROM embeddings""",
+    "feed": """
+SELECT CASE WHEN lang IN ('en', 'fr') THEN 'R-' || CAST(doc_id AS VARCHAR) END AS refnr,
+       CASE WHEN lang IN ('en', 'de') THEN 'H-' || CAST(doc_id AS VARCHAR) END AS hashId,
+       CASE WHEN lang <> 'es' THEN source END AS titel,
+       CASE WHEN lang <> 'de' THEN 'Employer ' || source END AS arbeitgeber,
+       CASE WHEN lang = 'fr' THEN NULL WHEN lang = 'es' THEN '' ELSE upper(lang) END AS ort,
+       CAST(1 AS BIGINT) AS page, doc_id AS pos
+FROM documents""",
+    "detail": """
+SELECT 'H-' || CAST(d.doc_id AS VARCHAR) AS detail_key,
+       'R-' || CAST(d.doc_id AS VARCHAR) AS refnr,
+       CASE WHEN l.quality = 1 THEN d.text WHEN l.toxic = 1 THEN ' ' ELSE '' END AS stellenbeschreibung,
+       CASE WHEN l.toxic = 1 THEN NULL ELSE 'Develop ' || d.source END AS taetigkeit,
+       CASE WHEN l.quality = 0 THEN '  ' ELSE 'Experience with ' || d.lang END AS anforderungen,
+       CASE WHEN l.toxic = 1 THEN 'https://jobs.example/' || CAST(d.doc_id AS VARCHAR) ELSE ' ' END AS externeUrl,
+       CASE WHEN l.quality = 1 THEN 'jobs' || CAST(d.doc_id AS VARCHAR) || '@x.example'
+            WHEN l.toxic = 1 THEN ' ' END AS k_email,
+       CASE WHEN l.toxic = 0 THEN 'hr' || CAST(d.doc_id AS VARCHAR) || '@y.example' ELSE '' END AS a_email
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "doc_posting": """
+SELECT doc_id, 'DOC-' || CAST(doc_id AS VARCHAR) AS reference_id, text AS title,
+       CASE WHEN lang = 'es' THEN NULL ELSE source END AS company, text AS description,
+       CASE WHEN lang = 'de' THEN 'ARCHIVED' ELSE 'FETCHED' END AS status,
+       'IDLE' AS processing_status, CAST(NULL AS VARCHAR) AS employer_email, CAST(NULL AS VARCHAR) AS portal_url
+FROM documents""",
 }
