@@ -1 +1,139 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queue and action-log queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import actions as A
+from ..operators import queueing as Q
+from . import bindings as B
+from .catalog import register, with_ctes
+
+OUTCOME_SQL = """,
+apps AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem),
+a AS (SELECT act.*, p.id IS NOT NULL AS job_exists, ap.job_id IS NOT NULL AS has_app
+      FROM action act LEFT JOIN (SELECT id FROM posting) p ON p.id = act.job_id
+      LEFT JOIN apps ap ON ap.job_id = act.job_id),
+cuts AS (SELECT job_id, min(seq) AS cut_seq FROM a
+         WHERE action = 'reject' AND job_exists AND NOT has_app GROUP BY job_id),
+o AS (SELECT a.*, CASE WHEN NOT job_exists THEN 'not_found'
+                       WHEN c.cut_seq IS NOT NULL AND a.seq > c.cut_seq THEN 'not_found'
+                       WHEN a.action = 'reject' AND has_app THEN 'blocked'
+                       WHEN a.action = 'reject' THEN 'deleted'
+                       WHEN a.action = 'dispatched' AND NOT has_app THEN 'no_application'
+                       ELSE 'ok' END AS outcome
+      FROM a LEFT JOIN cuts c ON a.job_id = c.job_id)"""
+
+
+@register("action_outcomes", with_ctes("posting", "action") + OUTCOME_SQL + """
+SELECT seq, job_id, action, outcome FROM o""")
+def q_action_outcomes(spark, sf):
+    _, o = A.apply_actions(B.postings(spark, sf), B.applications(spark, sf), B.actions(spark, sf))
+    return o
+
+
+@register("operation_counts", with_ctes("posting", "action") + OUTCOME_SQL + """
+SELECT action, outcome, count(*) AS n FROM o GROUP BY 1, 2""")
+def q_operation_counts(spark, sf):
+    _, o = A.apply_actions(B.postings(spark, sf), B.applications(spark, sf), B.actions(spark, sf))
+    return A.operation_counts(o)
+
+
+@register("apply_actions", with_ctes("posting", "action") + OUTCOME_SQL + """,
+st AS (SELECT job_id,
+              arg_max(CASE action WHEN 'approve' THEN 'APPROVED' WHEN 'ignore' THEN 'REJECTED'
+                                  WHEN 'dispatched' THEN 'APPLIED' END, seq)
+                FILTER (WHERE action IN ('approve', 'ignore', 'dispatched')) AS new_status,
+              bool_or(action = 'analyze') AS queued,
+              arg_max(coalesce(arg, ''), seq) FILTER (WHERE action = 'notes') AS new_notes,
+              bool_or(action = 'dispatched') AS dispatched
+       FROM o WHERE outcome = 'ok' GROUP BY job_id)
+SELECT p.id, coalesce(st.new_status, p.status) AS status,
+       CASE WHEN st.queued THEN 'QUEUED' ELSE p.processing_status END AS processing_status,
+       coalesce(st.new_notes, p.notes) AS notes,
+       CASE WHEN st.dispatched THEN coalesce(nullif(p.employer_email, ''),
+              'hr@' || regexp_replace(lower(p.company), '[^a-z0-9]', '', 'g') || '.de')
+            ELSE p.employer_email END AS employer_email
+FROM posting p LEFT JOIN st ON st.job_id = p.id
+WHERE p.id NOT IN (SELECT job_id FROM cuts)""")
+def q_apply_actions(spark, sf):
+    p, _ = A.apply_actions(B.postings(spark, sf), B.applications(spark, sf), B.actions(spark, sf))
+    return p.select("id", "status", "processing_status", "notes", "employer_email")
+
+
+@register("score_all", with_ctes("posting") + """
+SELECT count(*) FILTER (WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'IDLE') AS queued
+FROM posting""")
+def q_score_all(spark, sf):
+    return A.score_all(B.postings(spark, sf))[1]
+
+
+@register("cancel_queue", with_ctes("posting") + """
+SELECT count(*) FILTER (WHERE processing_status IN ('QUEUED', 'PROCESSING')) AS cancelled FROM posting""")
+def q_cancel_queue(spark, sf):
+    return A.cancel_queue(B.postings(spark, sf))[1]
+
+
+@register("claim", with_ctes("posting") + """
+SELECT id, created_at, 'PROCESSING' AS processing_status FROM posting
+WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'QUEUED'
+ORDER BY created_at, id LIMIT 5""")
+def q_claim(spark, sf):
+    claimed, _ = Q.claim(B.postings(spark, sf), 5)
+    return claimed.select("id", "created_at", "processing_status")
+
+
+@register("claim_release_states", with_ctes("posting") + """,
+c AS (SELECT id FROM posting WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'QUEUED'
+      ORDER BY created_at, id LIMIT 5)
+SELECT CASE WHEN id IN (SELECT id FROM c) THEN 'IDLE' ELSE processing_status END AS processing_status,
+       count(*) AS n
+FROM posting GROUP BY 1""")
+def q_claim_release_states(spark, sf):
+    claimed, updated = Q.claim(B.postings(spark, sf), 5)
+    released = Q.release(updated, claimed.select("id"))
+    return released.groupBy("processing_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("assign", with_ctes("posting") + """
+SELECT id, created_at, claim_rank, CAST((claim_rank - 1) % 3 AS INTEGER) AS worker FROM (
+  SELECT id, created_at, row_number() OVER (ORDER BY created_at, id) AS claim_rank FROM (
+    SELECT id, created_at FROM posting
+    WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'QUEUED'
+    ORDER BY created_at, id LIMIT 20))""")
+def q_assign(spark, sf):
+    return Q.assign(B.postings(spark, sf), 20, 3).select("id", "created_at", "claim_rank", "worker")
+
+
+@register("page", with_ctes("posting") + """
+SELECT id, created_at FROM posting ORDER BY created_at, id LIMIT 25 OFFSET 50""")
+def q_page(spark, sf):
+    return Q.page(B.postings(spark, sf).select("id", "created_at"), 2, 25)
+
+
+BREAKER_SQL = with_ctes("call") + """,
+w AS (SELECT service, ts, call_id, failed, duration_s,
+             count(*) OVER win AS window_calls,
+             sum(CAST(failed AS BIGINT)) OVER win AS failures,
+             sum(CAST(duration_s > 180.0 AS BIGINT)) OVER win AS slow_calls
+      FROM call
+      WINDOW win AS (PARTITION BY service ORDER BY ts, call_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT *, CASE WHEN window_calls = 10 AND (failures * 100.0 >= 80.0 * window_calls
+                                         OR slow_calls * 100.0 >= 100.0 * window_calls)
+               THEN 'OPEN' ELSE 'CLOSED' END AS state
+FROM w"""
+
+
+@register("breaker_windows", BREAKER_SQL)
+def q_breaker_windows(spark, sf):
+    return Q.breaker_windows(B.calls(spark, sf))
+
+
+@register("delete_postings", with_ctes("posting") + """
+SELECT id, id IN (SELECT l_orderkey FROM lineitem) AS blocked FROM posting WHERE status = 'REJECTED'""")
+def q_delete_postings(spark, sf):
+    p = B.postings(spark, sf)
+    ids = p.filter(F.col("status") == "REJECTED").select("id")
+    _, blocked = A.delete_postings(p, B.applications(spark, sf), ids)
+    return ids.join(blocked.withColumn("blocked", F.lit(True)), "id", "left") \
+              .select("id", F.coalesce("blocked", F.lit(False)).alias("blocked"))
