@@ -68,6 +68,17 @@ FAIL_PATTERN_404 = "404"
 FAIL_PATTERN_MODEL_MISSING = "model 'llama3' not found"
 FAIL_PATTERN_NO_DELIMITERS = "No valid JSON object delimiters"
 FAIL_PATTERN_OPEN = "OPEN"
+# User-facing texts of the failure branch.
+FAIL_TEXT_DOWNLOADING = ("The AI model ('llama3') is currently downloading in the background or unavailable. "
+                         "First-time setup usually takes 5-10 minutes. Please wait and try again.")
+FAIL_TEXT_INCOMPLETE = ("The AI model returned an incomplete response (likely due to hallucination or exceeding "
+                        "context buffers). It has been gracefully deferred.")
+FAIL_TEXT_DEFERRED = ("AI Matchmaking is deferred due to ongoing connection recovery. The system is "
+                      "re-establishing model health (Circuit Breaker OPEN).")
+FAIL_NOTE_PREFIX = "[System] AI Matchmaking Deferred — "
+FAIL_ANALYSIS_PREFIX = "AI Matching deferred. Reason: "
+PROGRESS_OK_FORMAT = "✓ %s — %s%% match"
+PROGRESS_FAIL_FORMAT = "✗ %s — %s"
 
 # Markup tags kept by the sanitiser (case-insensitive), 28 names.
 ALLOWED_TAGS = [
