@@ -1 +1,86 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered mail queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mailbox as MB
+from . import bindings as B
+from .catalog import register, with_ctes
+
+MAIL_SQL = with_ctes("posting", "message") + """,
+heads AS (SELECT lower(company) AS company_l, arg_min(id, (created_at, id)) AS posting_id,
+                 min((created_at, id)) AS rnk
+          FROM posting
+          WHERE coalesce(status, 'FETCHED') NOT IN ('REJECTED', 'HIRED')
+            AND company IS NOT NULL AND lower(company) <> ''
+          GROUP BY 1),
+msg AS (SELECT message_id, lower(from_addr) AS from_l, lower(coalesce(subject, '')) AS subj_l,
+               subject, body, received_at FROM message),
+m AS (SELECT message_id, arg_min(posting_id, rnk) AS posting_id
+      FROM msg JOIN heads ON contains(from_l, company_l) OR contains(subj_l, company_l)
+      GROUP BY message_id),
+cls AS (SELECT msg.message_id, m.posting_id, msg.received_at,
+               CASE WHEN m.posting_id IS NULL THEN 'pending'
+                    WHEN (contains(subj_l, 'update') OR contains(subj_l, 'status') OR contains(subj_l, 'unfortunate')
+                          OR contains(subj_l, 'rejection'))
+                         AND (contains(lower(coalesce(body, '')), 'unfortunately') OR contains(subj_l, 'unfortunately')
+                              OR contains(lower(coalesce(body, '')), 'other candidates')) THEN 'rejected'
+                    WHEN (contains(subj_l, 'update') OR contains(subj_l, 'status') OR contains(subj_l, 'unfortunate')
+                          OR contains(subj_l, 'rejection'))
+                         AND (contains(lower(coalesce(body, '')), 'interview') OR contains(subj_l, 'interview')
+                              OR contains(lower(coalesce(body, '')), 'next steps')) THEN 'interviewing'
+                    ELSE 'unchanged' END AS outcome
+        FROM msg LEFT JOIN m ON m.message_id = msg.message_id)"""
+
+
+def _outcomes(spark, sf):
+    return MB.classify_messages(B.messages(spark, sf), B.postings(spark, sf))
+
+
+@register("match_messages", MAIL_SQL + "\nSELECT message_id, posting_id FROM m")
+def q_match_messages(spark, sf):
+    return MB.match_messages(B.messages(spark, sf), B.postings(spark, sf))
+
+
+@register("classify_messages", MAIL_SQL + "\nSELECT message_id, posting_id, outcome FROM cls")
+def q_classify_messages(spark, sf):
+    return _outcomes(spark, sf).select("message_id", "posting_id", "outcome")
+
+
+@register("mail_outcome_counts", MAIL_SQL + "\nSELECT outcome, count(*) AS n FROM cls GROUP BY outcome")
+def q_mail_outcome_counts(spark, sf):
+    return _outcomes(spark, sf).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("pending_mail", MAIL_SQL + "\nSELECT message_id FROM cls WHERE outcome = 'pending'")
+def q_pending_mail(spark, sf):
+    m = B.messages(spark, sf)
+    return MB.pending_mail(m, MB.classify_messages(m, B.postings(spark, sf))).select("message_id")
+
+
+@register("apply_mail_outcomes", MAIL_SQL + """,
+ch AS (SELECT posting_id, arg_max(outcome, (received_at, message_id)) AS o FROM cls
+       WHERE outcome IN ('rejected', 'interviewing') GROUP BY posting_id)
+SELECT p.id, CASE ch.o WHEN 'rejected' THEN 'REJECTED' WHEN 'interviewing' THEN 'INTERVIEWING' ELSE p.status END
+         AS status
+FROM posting p LEFT JOIN ch ON ch.posting_id = p.id""")
+def q_apply_mail_outcomes(spark, sf):
+    p = B.postings(spark, sf)
+    return MB.apply_mail_outcomes(p, MB.classify_messages(B.messages(spark, sf), p)).select("id", "status")
+
+
+@register("rejection_memory", MAIL_SQL + """
+SELECT c.message_id,
+       'Rejection for ' || p.title || ' at ' || p.company || ': ' || coalesce(msg.body, '') AS content,
+       'rejection_learning' AS meta_type, p.company AS meta_company, p.title AS meta_job_title
+FROM cls c JOIN posting p ON p.id = c.posting_id JOIN msg ON msg.message_id = c.message_id
+WHERE c.outcome = 'rejected'""")
+def q_rejection_memory(spark, sf):
+    m = B.messages(spark, sf)
+    p = B.postings(spark, sf)
+    reasons = m.select("message_id", F.col("body").alias("reason"))
+    r = MB.rejection_memory(MB.classify_messages(m, p), p, reasons)
+    return r.select("message_id", "content", F.col("metadata")["type"].alias("meta_type"),
+                    F.col("metadata")["company"].alias("meta_company"),
+                    F.col("metadata")["jobTitle"].alias("meta_job_title"))
