@@ -1 +1,61 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered vector-memory queries (V2, V3, V5, V6).
+
+Queries are the per-label centroids of the memory: a derived, bounded query
+set (one per label) whose work grows with the memory it is scored against.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import memory as M
+from . import bindings as B
+from .catalog import register, with_ctes
+
+TOPK_SQL = with_ctes("memory") + """,
+mem AS (SELECT mem_id, CAST(label AS VARCHAR) AS label, embedding AS e FROM memory),
+comp AS (SELECT label AS query_id, i, avg(e[i]) AS v
+         FROM mem, range(1, 1 + (SELECT max(len(e)) FROM mem)) t(i) GROUP BY 1, 2),
+cent AS (SELECT query_id, list(v ORDER BY i) AS c FROM comp GROUP BY 1),
+s AS (SELECT query_id, mem_id, list_cosine_similarity(c, e) AS sim FROM cent, {src}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, mem_id) AS rank FROM s)
+SELECT query_id, rank, mem_id, round(sim, 4) AS similarity FROM r WHERE rank <= {k}"""
+
+
+def _run(spark, sf, k, where=None):
+    mem = B.memory(spark, sf)
+    q = M.centroids(mem.withColumn("label", F.col("label").cast("string")))
+    if where:
+        mem = M.memory_where(mem, *where)
+    r = M.top_k(q, mem, k)
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "mem_id",
+                    F.round("similarity", 4).alias("similarity"))
+
+
+@register("top_k", TOPK_SQL.format(src="mem", k=5))
+def q_top_k(spark, sf):
+    return _run(spark, sf, 5)
+
+
+@register("similar_past", TOPK_SQL.format(src="mem", k=3))
+def q_similar_past(spark, sf):
+    return _run(spark, sf, 3)
+
+
+@register("memory_where", TOPK_SQL.format(src="(SELECT * FROM mem WHERE label = '3') m3", k=5))
+def q_memory_where(spark, sf):
+    return _run(spark, sf, 5, where=("label", "3"))
+
+
+@register("top_k_approx")
+def q_top_k_approx(spark, sf):
+    mem = B.memory(spark, sf)
+    q = M.centroids(mem.withColumn("label", F.col("label").cast("string")))
+    return M.top_k_approx(q, mem, 5, dim=64)
+
+
+@register("lsh_recall")
+def q_lsh_recall(spark, sf):
+    mem = B.memory(spark, sf)
+    q = M.centroids(mem.withColumn("label", F.col("label").cast("string")))
+    return M.recall_at_k(M.top_k_approx(q, mem, 5, dim=64), M.top_k(q, mem, 5))
