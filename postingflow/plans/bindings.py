@@ -262,3 +262,44 @@ def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("employer_email"),
         F.lit(None).cast("string").alias("portal_url"),
     )
+
+
+def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File inventory derived from the tables: a CV file per part (length
+    (p_size - 1) * 1000, so size-1 parts give empty files) and a letter
+    file per order that is not pending (length = floor(o_totalprice))."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    cv = p.select(F.concat(F.lit("cv_"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"),
+                  ((F.col("p_size") - 1) * 1000).cast("long").alias("length"))
+    cl = o.filter(F.col("o_orderstatus") != "P").select(
+        F.concat(F.lit("cl_"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("path"),
+        F.floor("o_totalprice").cast("long").alias("length"))
+    return cv.unionByName(cl)
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation -> user profiles (one per nation)."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("full_name"),
+                    F.when(F.col("n_regionkey") == 0, F.lit(None)).otherwise(F.lower("n_name")).alias("search_keyword"),
+                    F.lit(None).cast("string").alias("system_prompt"),
+                    F.lit(None).cast("string").alias("email_signature"),
+                    F.when(F.col("n_regionkey") == 1, F.lit(" ")).otherwise(F.lit("llama3")).alias("ai_model"),
+                    F.when(F.col("n_regionkey") == 2, F.lit(None)).otherwise(F.col("n_nationkey") + 50).cast("int")
+                     .alias("min_match_score"),
+                    F.lit(None).cast("int").alias("max_job_age_days"))
+
+
+def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> resume personas of the nation's profile."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    b = F.col("s_acctbal")
+    return s.select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("id"),
+                    F.col("s_nationkey").cast("string").alias("profile_id"),
+                    F.col("s_name").alias("persona_name"), F.lit("").alias("role"),
+                    F.when(b < 0, F.lit(" ")).when(b > 5000, F.concat(F.lit("Override "), F.col("s_name")))
+                     .alias("prompt_override"),
+                    F.when(b < 1000, F.lit(None)).otherwise(F.concat(F.lit("cv_s"), F.col("s_suppkey").cast("string"),
+                                                                    F.lit(".pdf"))).alias("cv_path"),
+                    (b > 8000).alias("is_default"))

@@ -1 +1,100 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered dispatch / settings queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..operators import dispatch as DP
+from . import bindings as B
+from .catalog import register, with_ctes
+
+
+def q_(s: str) -> str:
+    """SQL string literal (newlines as chr(10))."""
+    parts = s.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
+
+
+NB = "CASE WHEN {x} IS NOT NULL AND NOT regexp_matches({x}, '^\\s*$') THEN {x} END"
+
+ARTIFACT_SQL = """,
+files AS (SELECT 'cv_' || CAST(p_partkey AS VARCHAR) || '.pdf' AS path, CAST((p_size - 1) * 1000 AS BIGINT) AS length
+          FROM part
+          UNION ALL
+          SELECT 'cl_' || CAST(o_orderkey AS VARCHAR) || '.pdf', CAST(floor(o_totalprice) AS BIGINT)
+          FROM orders WHERE o_orderstatus <> 'P'),
+first AS (SELECT job_id, arg_min(cv_path, (created_at, id)) AS cv_path,
+                 arg_min(letter_path, (created_at, id)) AS letter_path
+          FROM application GROUP BY job_id)"""
+
+
+def _state_sql(path, length):
+    return (f"CASE WHEN f.job_id IS NULL THEN 'no_application' "
+            f"WHEN {NB.format(x=path)} IS NULL THEN 'blank_path' "
+            f"WHEN {length} IS NULL THEN 'missing' WHEN {length} = 0 THEN 'empty_file' ELSE 'ok' END")
+
+
+@register("audit_artifacts", with_ctes("posting", "application") + ARTIFACT_SQL + f"""
+SELECT p.id, {_state_sql('f.cv_path', 'cf.length')} AS cv_state,
+       {_state_sql('f.letter_path', 'lf.length')} AS letter_state
+FROM posting p LEFT JOIN first f ON f.job_id = p.id
+LEFT JOIN files cf ON cf.path = f.cv_path LEFT JOIN files lf ON lf.path = f.letter_path""")
+def q_audit_artifacts(spark, sf):
+    return DP.audit_artifacts(B.postings(spark, sf).select("id"), B.applications(spark, sf),
+                              B.artifact_files(spark, sf))
+
+
+@register("dispatch_manifest", with_ctes("posting", "application") + ARTIFACT_SQL + f"""
+SELECT p.id,
+       CASE WHEN f.job_id IS NULL THEN 'skipped_no_application' ELSE 'send' END AS action,
+       CASE WHEN f.job_id IS NOT NULL THEN coalesce(nullif(p.employer_email, ''),
+              'hr@' || regexp_replace(lower(p.company), '[^a-z0-9]', '', 'g') || '.de') END AS recipient,
+       CASE WHEN f.job_id IS NOT NULL THEN {q_(S.DISPATCH_SUBJECT)} END AS subject,
+       CASE WHEN f.job_id IS NOT NULL THEN {q_(S.DISPATCH_BODY_OPENING + S.FALLBACK_SIGNATURE)} END AS body,
+       CASE WHEN f.job_id IS NOT NULL THEN cf.path IS NOT NULL END AS attach_cv,
+       CASE WHEN f.job_id IS NOT NULL THEN lf.path IS NOT NULL END AS attach_letter
+FROM posting p LEFT JOIN first f ON f.job_id = p.id
+LEFT JOIN (SELECT DISTINCT path FROM files) cf ON cf.path = f.cv_path
+LEFT JOIN (SELECT DISTINCT path FROM files) lf ON lf.path = f.letter_path
+WHERE p.status = 'APPROVED'""")
+def q_dispatch_manifest(spark, sf):
+    p = B.postings(spark, sf).filter(F.col("status") == "APPROVED")
+    return DP.dispatch_manifest(p, B.applications(spark, sf), None, B.artifact_files(spark, sf), None)
+
+
+PROFILE_SQL = """prof AS (
+  SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS full_name,
+         CASE WHEN n_regionkey = 0 THEN NULL ELSE lower(n_name) END AS search_keyword,
+         CASE WHEN n_regionkey = 1 THEN ' ' ELSE 'llama3' END AS ai_model,
+         CASE WHEN n_regionkey = 2 THEN NULL ELSE CAST(n_nationkey + 50 AS INTEGER) END AS min_match_score,
+         CAST(NULL AS INTEGER) AS max_job_age_days
+  FROM nation),
+pers AS (
+  SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS id, CAST(s_nationkey AS VARCHAR) AS profile_id,
+         CASE WHEN s_acctbal < 0 THEN ' ' WHEN s_acctbal > 5000 THEN 'Override ' || s_name END AS prompt_override,
+         CASE WHEN s_acctbal < 1000 THEN NULL ELSE 'cv_s' || CAST(s_suppkey AS VARCHAR) || '.pdf' END AS cv_path,
+         s_acctbal > 8000 AS is_default
+  FROM supplier)"""
+
+
+@register("active_persona", "WITH " + PROFILE_SQL + f""",
+pick AS (SELECT profile_id, arg_min(id, (NOT coalesce(is_default, false), id)) AS persona_id FROM pers GROUP BY 1)
+SELECT prof.id AS profile_id, pick.persona_id,
+       coalesce({NB.format(x='pers.prompt_override')}, {q_(DP.DEFAULT_SYSTEM_PROMPT)}) AS system_prompt,
+       CASE WHEN {NB.format(x='pers.prompt_override')} IS NOT NULL THEN 'override' ELSE 'default' END AS prompt_source,
+       {NB.format(x='pers.cv_path')} AS cv_path,
+       CASE WHEN {NB.format(x='pers.cv_path')} IS NOT NULL THEN 'persona' ELSE 'fallback' END AS cv_source
+FROM prof LEFT JOIN pick ON pick.profile_id = prof.id LEFT JOIN pers ON pers.id = pick.persona_id""")
+def q_active_persona(spark, sf):
+    return DP.active_persona(B.profiles(spark, sf), B.personas(spark, sf))
+
+
+@register("effective_profile", "WITH " + PROFILE_SQL + f"""
+SELECT id, full_name, coalesce({NB.format(x='search_keyword')}, 'Java') AS search_keyword,
+       CAST(NULL AS VARCHAR) AS system_prompt, CAST(NULL AS VARCHAR) AS email_signature,
+       coalesce({NB.format(x='ai_model')}, 'llama3.1') AS ai_model,
+       coalesce(min_match_score, 75) AS min_match_score, coalesce(max_job_age_days, 30) AS max_job_age_days
+FROM prof WHERE id = (SELECT min(id) FROM prof)""")
+def q_effective_profile(spark, sf):
+    return DP.effective_profile(B.profiles(spark, sf))
