@@ -228,3 +228,18 @@ def delete_profiles(profiles: DataFrame, personas: DataFrame, ids: DataFrame) ->
     """Deleting a profile deletes its personas (cascade)."""
     return (profiles.join(ids, "id", "left_anti"),
             personas.join(ids.withColumnRenamed("id", "profile_id"), "profile_id", "left_anti"))
+
+
+def action_changes(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> DataFrame:
+    """Per touched posting, the net change of the per-posting actions:
+    (job_id, new_status, queued, new_notes, deleted, n_actions).  The batch
+    twin of the live state stream (R4)."""
+    o = action_outcomes(postings, apps, actions)
+    act = F.col("action")
+    ok = F.col("outcome") == "ok"
+    return o.groupBy("job_id").agg(
+        _last(_new_status(act), ok & act.isin("approve", "ignore", "dispatched")).alias("new_status"),
+        F.coalesce(F.max(F.when(ok & (act == "analyze"), F.lit(True))), F.lit(False)).alias("queued"),
+        _last(F.coalesce(F.col("arg"), F.lit("")), ok & (act == "notes")).alias("new_notes"),
+        F.coalesce(F.max(F.when(F.col("outcome") == "deleted", F.lit(True))), F.lit(False)).alias("deleted"),
+        F.count(F.lit(1)).alias("n_actions"))
