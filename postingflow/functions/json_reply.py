@@ -8,6 +8,8 @@ could not read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,48 +41,62 @@ def _from(s: Column, pos: Column) -> Column:
     return s.substr(pos, F.lit(1 << 30))
 
 
-def let(value: Column, fn) -> Column:
-    """Bind ``value`` once and use it many times inside ``fn``.
-
-    Implemented as a one-element ``transform``: the lambda variable is
-    evaluated once, so deep chains of string steps do not grow into
-    exponentially large expression trees when Catalyst inlines projections
-    or pushes a filter through them.
-    """
-    return F.element_at(F.transform(F.array(value), fn), 1)
+# Characters removed by Java String.trim() (U+0000 .. U+0020).
+_JAVA_TRIM_CHARS = "".join(chr(i) for i in range(33))
 
 
-def extract_json_col(raw: Column) -> Column:
-    """M1 as one expression: struct(json, error)."""
-    def after_fences(c0):
-        ij = F.instr(c0, "```json")
-        ib = F.instr(c0, "```")
-        c1 = F.when(ij > 0, _from(c0, ij + 7)).when(ib > 0, _from(c0, ib + 3)).otherwise(c0)
-        return let(F.struct(c1.alias("c1"), ((ij > 0) | (ib > 0)).alias("fenced")), cut_tail)
+def jtrim(c: Column) -> Column:
+    """Java trim as a codegen'd btrim (no regex)."""
+    return F.btrim(c, F.lit(_JAVA_TRIM_CHARS))
 
-    def cut_tail(st):
-        c1 = st["c1"]
-        lf = _last_index(c1, "```")
-        c2 = F.when(st["fenced"] & (lf > 0), c1.substr(F.lit(1), lf - 1)).otherwise(c1)
-        return let(c2, braces)
 
-    def braces(c2):
-        start = F.instr(c2, "{")
-        end = _last_index(c2, "}")
-        bad = (start == 0) | (end == 0) | (end <= start)
-        return F.struct(F.when(~bad, java_trim(c2.substr(start, end - start + 1))).alias("json"),
-                        F.when(bad, F.lit(S.NO_DELIMITER_ERROR)).alias("error"))
+def barrier(df: DataFrame, name: str) -> DataFrame:
+    """Row-count observation that also fences the optimizer.
 
-    empty = raw.isNull() | is_blank(raw)
-    return F.when(empty, F.struct(F.lit(None).cast("string").alias("json"),
-                                  F.lit(S.EMPTY_REPLY_ERROR).alias("error"))) \
-            .otherwise(let(java_trim(raw), after_fences))
+    Filters are not pushed through ``observe``; without it a filter on
+    ``error`` would be inlined through every position step below and grow
+    into an expression tree of millions of nodes.  The observed count is a
+    useful metric on its own (replies seen per run).
+    """
+    return df.observe(f"{name}_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 
 
 def extract_json(df: DataFrame, col: str = "raw") -> DataFrame:
-    """M1: adds (json, error) for a free-text model reply column."""
-    return (df.withColumn("_x", extract_json_col(F.col(col)))
-              .withColumn("json", F.col("_x.json")).withColumn("error", F.col("_x.error")).drop("_x"))
+    """M1: adds (json, error) for a free-text model reply column.
+
+    All steps are positions in the trimmed text (no intermediate strings),
+    so every expression refers to the text a bounded number of times and a
+    filter pushed through the projections stays small:
+
+    * ``off``: start after the first json-tagged fence, else after the
+      first bare fence, else 1;
+    * ``end``: just before the last fence when it lies at or after ``off``
+      (fenced replies only), else the end of the text;
+    * the object runs from the first ``{`` at or after ``off`` to the last
+      ``}`` at or before ``end``.
+    """
+    c = F.col
+    d = df.withColumn("_t", jtrim(c(col)))
+    d = (d.withColumn("_n", F.length("_t"))
+          .withColumn("_ij", F.instr(c("_t"), "```json"))
+          .withColumn("_ib", F.instr(c("_t"), "```"))
+          .withColumn("_rv", F.reverse("_t")))
+    last_fence = F.instr(c("_rv"), "```")
+    d = (d.withColumn("_off", F.when(c("_ij") > 0, c("_ij") + 7).when(c("_ib") > 0, c("_ib") + 3).otherwise(1))
+          .withColumn("_lf", F.when(last_fence > 0, c("_n") - last_fence - 1).otherwise(0)))
+    fenced = (c("_ij") > 0) | (c("_ib") > 0)
+    d = d.withColumn("_end", F.when(fenced & (c("_lf") >= c("_off")), c("_lf") - 1).otherwise(c("_n")))
+    r_close = F.call_function("locate", F.lit("}"), c("_rv"), c("_n") - c("_end") + 1)
+    d = (d.withColumn("_s", F.call_function("locate", F.lit("{"), c("_t"), c("_off")))
+          .withColumn("_e", F.when(r_close > 0, c("_n") - r_close + 1).otherwise(0)))
+    bad = ((c("_s") == 0) | (c("_s") > c("_end")) | (c("_e") == 0) | (c("_e") < c("_off"))
+           | (c("_e") <= c("_s")))
+    err = (F.when(c(col).isNull() | is_blank(c(col)), F.lit(S.EMPTY_REPLY_ERROR))
+            .when(bad, F.lit(S.NO_DELIMITER_ERROR)))
+    d = d.withColumn("error", err)
+    d = d.withColumn("json", F.when(c("error").isNull(),
+                                    jtrim(c("_t").substr(c("_s"), c("_e") - c("_s") + 1))))
+    return barrier(d.drop("_t", "_n", "_ij", "_ib", "_rv", "_off", "_lf", "_end", "_s", "_e"), "replies_extracted")
 
 
 def _strip_trailing_commas(c: Column) -> Column:
@@ -96,52 +112,39 @@ def parse_replies(df: DataFrame, json_col: str = "json", error_col: str = "error
     """
     c = F.col
     js = c(json_col)
-
-    def second_pass(p1):
-        # only rows the first pass could not read are retried (the plain
-        # regex would also rewrite ",}" inside strings of readable rows)
-        p = F.when(p1["_corrupt"].isNotNull(),
-                   F.from_json(_strip_trailing_commas(js), REPLY_SCHEMA, LENIENT)).otherwise(p1)
-        return let(p, fields)
-
-    def fields(p):
-        score_txt = F.coalesce(*[p[k] for k in S.SCORE_ALIASES])
-        araw = F.coalesce(*[p[k] for k in S.ANALYSIS_ALIASES])
-        st = F.struct(
-            (p.isNull() | p["_corrupt"].isNotNull()).alias("corrupt"),
-            score_txt.alias("score_txt"),
-            F.trim(score_txt).cast("double").alias("score_num"),
-            F.coalesce(*[p[k] for k in S.LETTER_ALIASES]).alias("letter"),
-            araw.alias("araw"),
-            F.when(F.trim(araw).startswith("["), F.from_json(araw, T.ArrayType(T.StringType()))).alias("items"),
-            F.trim(araw).startswith("{").alias("is_obj"))
-        return let(st, finish)
-
-    def finish(q):
-        err = (F.when(q["corrupt"], F.lit("Unreadable JSON reply"))
-                .when(q["score_txt"].isNotNull() & q["score_num"].isNull(),
-                      F.concat(F.lit("Cannot parse score: "), q["score_txt"])))
-        analysis = (F.when(q["araw"].isNull(), F.lit(""))
-                     .when(q["items"].isNotNull(), java_trim(F.array_join(q["items"], "\n")))
-                     .when(q["is_obj"], F.lit(""))
-                     .otherwise(q["araw"]))
-        ok = err.isNull()
-        return F.struct(
-            err.alias("error"),
-            F.when(ok, F.coalesce(q["score_num"].cast("long"), F.lit(0).cast("long"))).alias("score"),
-            F.when(ok, q["letter"]).alias("letter"),
-            F.when(ok, analysis).alias("analysis"),
-            F.when(ok, q["items"]).alias("analysis_items"))
-
-    parsed = F.when(js.isNotNull(), let(F.from_json(js, REPLY_SCHEMA, LENIENT), second_pass))
-    d = df.withColumn("_r", parsed)
+    d = df.withColumn("_p1", F.from_json(js, REPLY_SCHEMA, LENIENT))
+    # second pass only for rows the first could not read (the plain regex
+    # would also rewrite ",}" inside strings of readable rows)
+    d = d.withColumn("_p", F.when(c("_p1._corrupt").isNotNull(),
+                                  F.from_json(_strip_trailing_commas(js), REPLY_SCHEMA, LENIENT))
+                            .otherwise(c("_p1"))).drop("_p1")
+    d = d.select("*",
+                 (js.isNotNull() & (c("_p").isNull() | c("_p._corrupt").isNotNull())).alias("_corrupt_row"),
+                 F.coalesce(*[c(f"_p.{k}") for k in S.SCORE_ALIASES]).alias("_score_txt"),
+                 F.coalesce(*[c(f"_p.{k}") for k in S.LETTER_ALIASES]).alias("_letter"),
+                 F.coalesce(*[c(f"_p.{k}") for k in S.ANALYSIS_ALIASES]).alias("_araw")).drop("_p")
+    d = d.select("*",
+                 F.trim(c("_score_txt")).cast("double").alias("_score_num"),
+                 F.when(F.trim(c("_araw")).startswith("["),
+                        F.from_json(c("_araw"), T.ArrayType(T.StringType()))).alias("_items"),
+                 F.trim(c("_araw")).startswith("{").alias("_is_obj"))
     prior = c(error_col)
-    return (d.withColumn(error_col, F.coalesce(prior, c("_r.error")))
-             .withColumn("score", F.when(prior.isNull(), c("_r.score")))
-             .withColumn("letter", F.when(prior.isNull(), c("_r.letter")))
-             .withColumn("analysis", F.when(prior.isNull(), c("_r.analysis")))
-             .withColumn("analysis_items", F.when(prior.isNull(), c("_r.analysis_items")))
-             .drop("_r"))
+    err = (F.when(prior.isNotNull(), prior)
+            .when(c("_corrupt_row"), F.lit("Unreadable JSON reply"))
+            .when(c("_score_txt").isNotNull() & c("_score_num").isNull(),
+                  F.concat(F.lit("Cannot parse score: "), c("_score_txt"))))
+    d = d.withColumn(error_col, err)
+    ok = c(error_col).isNull()
+    analysis = (F.when(c("_araw").isNull(), F.lit(""))
+                 .when(c("_items").isNotNull(), jtrim(F.array_join(c("_items"), "\n")))
+                 .when(c("_is_obj"), F.lit(""))
+                 .otherwise(c("_araw")))
+    out = (d.withColumn("score", F.when(ok, F.coalesce(c("_score_num").cast("long"), F.lit(0).cast("long"))))
+            .withColumn("letter", F.when(ok, c("_letter")))
+            .withColumn("analysis", F.when(ok, analysis))
+            .withColumn("analysis_items", F.when(ok, c("_items")))
+            .drop("_corrupt_row", "_score_txt", "_letter", "_araw", "_score_num", "_is_obj", "_items"))
+    return barrier(out, "replies_parsed")
 
 
 def classify_failure(root) -> Column:
