@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import contains_any
+from ..session import bounded_broadcast
 
 Q = 4
+SHORT_BROADCAST_LIMIT = 10_000
 
 
 def grams(text: Column, q: int) -> Column:
@@ -30,6 +32,16 @@ def grams(text: Column, q: int) -> Column:
             .otherwise(F.array().cast("array<string>"))
 
 
+def gram_rows(df: DataFrame, key: str, text: str, q: int) -> DataFrame:
+    """(key, gram) rows for every position of ``text`` (codegen'd: a
+    generated position column and a substring, no per-row lambda).  A gram
+    repeated inside one text yields repeated rows; the join below verifies
+    candidates and collapses them, so this changes nothing but cost."""
+    n = F.length(text)
+    pos = df.select(key, text, F.explode(F.when(n >= q, F.sequence(F.lit(1), n - q + 1))).alias("_i"))
+    return pos.select(key, F.col(text).substr(F.col("_i"), F.lit(q)).alias("gram"))
+
+
 def short_grams(text: Column, q: int) -> Column:
     """Distinct substrings of every length 1 .. q-1."""
     parts = [grams(text, k) for k in range(1, q)]
@@ -52,7 +64,8 @@ def company_heads(postings: DataFrame) -> DataFrame:
                .select("company_l", F.col("rank.id").alias("posting_id"), "rank"))
 
 
-def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> DataFrame:
+def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q,
+                   short_limit: int | None = SHORT_BROADCAST_LIMIT) -> DataFrame:
     """J5 + W3 (snapshot mode): per message the first matching active posting
     in (created_at, id) order, or no row when nothing matches.
 
@@ -62,21 +75,28 @@ def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> Data
     msg = messages.select("message_id", F.lower("from_addr").alias("from_l"),
                           F.lower(F.coalesce("subject", F.lit(""))).alias("subj_l"))
     # message grams: distinct per message over both fields
-    mg = msg.select("message_id", F.explode(F.array_distinct(F.concat(
-        grams(F.col("from_l"), q), grams(F.col("subj_l"), q)))).alias("gram"))
+    mg = gram_rows(msg, "message_id", "from_l", q).unionByName(gram_rows(msg, "message_id", "subj_l", q))
     freq = mg.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     long_c = heads.filter(F.length("company_l") >= q)
-    cg = long_c.select("company_l", F.explode(grams(F.col("company_l"), q)).alias("gram"))
+    cg = gram_rows(long_c, "company_l", "company_l", q)
     chosen = (cg.join(freq, "gram", "left")
                 .groupBy("company_l")
                 .agg(F.min_by("gram", F.struct(F.coalesce("freq", F.lit(0)), "gram")).alias("gram")))
     cand_long = mg.join(chosen, "gram").select("message_id", "company_l")
-    # companies shorter than q: exact equi-join on the mail's short substrings
+    # companies shorter than q: there are few distinct strings that short,
+    # so after a size check they are broadcast and tested with ``contains``
+    # directly; above the bound the mail's short substrings are exploded and
+    # equi-joined instead (exact, no nested loop)
     short_c = heads.filter(F.length("company_l") < q).select("company_l")
-    ms = msg.select("message_id", F.explode(F.array_distinct(F.concat(
-        short_grams(F.col("from_l"), q), short_grams(F.col("subj_l"), q)))).alias("company_l"))
-    cand_short = ms.join(short_c, "company_l").select("message_id", "company_l")
-    cand = cand_long.unionByName(cand_short)
+    if short_limit and bounded_broadcast(short_c, short_limit) is not short_c:
+        cand_short = msg.join(F.broadcast(short_c),
+                              F.col("from_l").contains(F.col("company_l")) | F.col("subj_l").contains(F.col("company_l"))
+                              ).select("message_id", "company_l")
+    else:
+        ms = msg.select("message_id", F.explode(F.array_distinct(F.concat(
+            short_grams(F.col("from_l"), q), short_grams(F.col("subj_l"), q)))).alias("company_l"))
+        cand_short = ms.join(short_c, "company_l").select("message_id", "company_l")
+    cand = cand_long.unionByName(cand_short).distinct()
     verified = (cand.join(msg, "message_id")
                     .filter(F.col("from_l").contains(F.col("company_l")) | F.col("subj_l").contains(F.col("company_l")))
                     .join(heads, "company_l"))

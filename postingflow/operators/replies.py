@@ -188,19 +188,18 @@ def overlap_score(postings: DataFrame, cv_terms: DataFrame, text_col: str = "des
                   key: str = "id") -> DataFrame:
     """Share (0-100, floor) of a posting's distinct terms found in the CV.
 
-    Terms are exploded and equi-joined with the CV term set (a join, not a
-    broadcast of an unbounded set; AQE broadcasts it when it is small), then
-    counted per posting.
+    Each text is tokenised once; its distinct terms are exploded and
+    left-joined with the CV term set (a join, not a broadcast of an
+    unbounded set; AQE broadcasts it when it is small), then counted per
+    posting in one aggregate.
     """
-    terms = postings.select(key, F.explode(tokens(text_col)).alias("term"))
-    total = postings.select(key, F.size(tokens(text_col)).alias("n_terms"))
-    hits = (terms.join(cv_terms.select("term").distinct(), "term", "left_semi")
-                 .groupBy(key).agg(F.count(F.lit(1)).alias("n_hits")))
-    return (total.join(hits, key, "left")
-                 .select(key, "n_terms", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"),
-                         F.when(F.col("n_terms") > 0,
-                                F.floor(F.coalesce("n_hits", F.lit(0)) * 100 / F.col("n_terms")))
-                          .otherwise(F.lit(0)).cast("long").alias("overlap_score")))
+    terms = postings.select(key, F.explode_outer(tokens(text_col)).alias("term"))
+    known = cv_terms.select("term").distinct().withColumn("_hit", F.lit(1))
+    per = (terms.join(known, "term", "left")
+                .groupBy(key).agg(F.count("term").alias("n_terms"), F.count("_hit").alias("n_hits")))
+    return per.select(key, F.col("n_terms").cast("int").alias("n_terms"), F.col("n_hits").cast("long").alias("n_hits"),
+                      F.when(F.col("n_terms") > 0, F.floor(F.col("n_hits") * 100 / F.col("n_terms")))
+                       .otherwise(F.lit(0)).cast("long").alias("overlap_score"))
 
 
 # ------------------------------------------------------------------ B7
