@@ -97,7 +97,8 @@ def _call_batches(it, fn, in_col, out_col, keep, out_type):
 def call_with(df: DataFrame, fn: Callable, in_col: str, out_col: str, out_type: T.DataType,
               keep=("id",)) -> DataFrame:
     fields = [df.schema[k] for k in keep] + [T.StructField(out_col, out_type), T.StructField("error", T.StringType())]
-    return df.select(*keep, in_col).mapInPandas(
+    cols = list(dict.fromkeys([*keep, in_col]))
+    return df.select(*cols).mapInPandas(
         lambda it: _call_batches(it, fn, in_col, out_col, keep, out_type), T.StructType(fields))
 
 

@@ -125,3 +125,37 @@ def test_profile_and_persona(spark):
     a = {r.profile_id: r for r in DP.active_persona(prof, pers).collect()}
     assert a["p1"].persona_id == "x2" and a["p1"].prompt_source == "override" and a["p1"].cv_source == "fallback"
     assert a["p2"].persona_id is None and a["p2"].prompt_source == "default"
+
+
+def test_delete_rules_and_clear(spark):
+    from postingflow import schemas as S
+    from postingflow.operators import actions as A
+    p = posting_rows(spark, [dict(id="1"), dict(id="2")])
+    apps = spark.createDataFrame([("a", "1")], "id string, job_id string")
+    ids = spark.createDataFrame([("1",), ("2",)], "id string")
+    left, blocked = A.delete_postings(p, apps, ids)
+    assert [r.id for r in left.collect()] == ["1"] and [r.id for r in blocked.collect()] == ["1"]
+    prof = spark.createDataFrame([("p1", "A", None, None, None, None, None, None)], S.PROFILE)
+    pers = spark.createDataFrame([("x1", "p1", "n", "", None, None, True), ("x2", "p9", "n", "", None, None, True)],
+                                 S.PERSONA)
+    prof2, pers2 = A.delete_profiles(prof, pers, spark.createDataFrame([("p1",)], "id string"))
+    assert prof2.count() == 0 and [r.id for r in pers2.collect()] == ["x2"]
+    e1, e2 = A.clear(p, apps)
+    assert e1.count() == 0 and e2.count() == 0 and e1.schema == p.schema
+
+
+def test_embedder_and_queue_step(spark):
+    import pandas as pd
+    from postingflow.operators import replies as RP
+    from postingflow.streaming import streams as ST
+    df = spark.createDataFrame([("a",), ("bb",)], "content string")
+    emb = {r.content: r.embedding for r in RP.embed_with(df, lambda s: [[float(len(x))] for x in s]).collect()}
+    assert emb == {"a": [1.0], "bb": [2.0]}
+    rows = [dict(id=str(i), status="FETCHED", processing_status="QUEUED", title=f"T{i}", company="c",
+                 description="d", created_at=T0 + dt.timedelta(hours=i)) for i in range(3)]
+    scorer = lambda s: pd.Series(['{"score": 42, "analysis": ["• ok"]}'] * len(s))
+    posts, apps, events = ST.queue_step(posting_rows(spark, rows), scorer, "2024-01-01 00:00:00", n=2)
+    got = {r.id: (r.status, r.processing_status, r.match_score) for r in posts.collect()}
+    assert got["0"] == ("SCORED", "IDLE", 42) and got["1"] == ("SCORED", "IDLE", 42)
+    assert got["2"] == ("FETCHED", "QUEUED", None)
+    assert apps.count() == 2 and {r.type for r in events.collect()} == {"success"}
