@@ -52,7 +52,7 @@ def assign(postings: DataFrame, n: int, workers: int) -> DataFrame:
     over the already-limited ``n`` rows only."""
     top = queue_candidates(postings).orderBy(*QUEUE_ORDER).limit(n)
     w = Window.orderBy(*QUEUE_ORDER)
-    return (top.withColumn("claim_rank", F.row_number().over(w))
+    return (top.withColumn("claim_rank", F.row_number().over(w).cast("int"))
                .withColumn("worker", F.pmod(F.col("claim_rank") - 1, F.lit(workers)).cast("int")))
 
 

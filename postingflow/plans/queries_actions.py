@@ -96,7 +96,7 @@ def q_claim_release_states(spark, sf):
 
 
 @register("assign", with_ctes("posting") + """
-SELECT id, created_at, claim_rank, CAST((claim_rank - 1) % 3 AS INTEGER) AS worker FROM (
+SELECT id, created_at, CAST(claim_rank AS INTEGER) AS claim_rank, CAST((claim_rank - 1) % 3 AS INTEGER) AS worker FROM (
   SELECT id, created_at, row_number() OVER (ORDER BY created_at, id) AS claim_rank FROM (
     SELECT id, created_at FROM posting
     WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'QUEUED'
@@ -114,8 +114,8 @@ def q_page(spark, sf):
 BREAKER_SQL = with_ctes("call") + """,
 w AS (SELECT service, ts, call_id, failed, duration_s,
              count(*) OVER win AS window_calls,
-             sum(CAST(failed AS BIGINT)) OVER win AS failures,
-             sum(CAST(duration_s > 180.0 AS BIGINT)) OVER win AS slow_calls
+             CAST(sum(CAST(failed AS BIGINT)) OVER win AS BIGINT) AS failures,
+             CAST(sum(CAST(duration_s > 180.0 AS BIGINT)) OVER win AS BIGINT) AS slow_calls
       FROM call
       WINDOW win AS (PARTITION BY service ORDER BY ts, call_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT *, CASE WHEN window_calls = 10 AND (failures * 100.0 >= 80.0 * window_calls

@@ -196,10 +196,10 @@ def q_validate_postings(spark, sf):
 
 @register("progress_events", """
 SELECT event_id,
-       to_json(struct_pack(type := CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'success'
-                                   WHEN 'signup' THEN 'start' ELSE 'info' END,
-                           message := replace(coalesce(props, ''), chr(13), ''),
-                           time := strftime(ts, '%H:%M:%S'))) AS json
+       CAST(to_json(struct_pack(type := CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'success'
+                                        WHEN 'signup' THEN 'start' ELSE 'info' END,
+                                message := replace(coalesce(props, ''), chr(13), ''),
+                                time := strftime(ts, '%H:%M:%S'))) AS VARCHAR) AS json
 FROM events""")
 def q_progress_events(spark, sf):
     e = B.table(spark, sf, "events").select("event_id", "event_type", "props", "ts")

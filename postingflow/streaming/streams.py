@@ -268,11 +268,17 @@ def change_events(actions: DataFrame) -> DataFrame:
 
 
 def weekly_counts(events: DataFrame, lateness: str | None = "1 day") -> DataFrame:
-    """Tumbling 7-day windows of event counts.  ``ts`` (without zone)
-    is cast to a session-zone (UTC) timestamp for the watermark."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if lateness and e.isStreaming:
-        e = e.withWatermark("ts", lateness)
+    """Tumbling 7-day windows (epoch-aligned) of event counts.
+
+    Batch form windows the zone-less ``ts`` directly, so the result does not
+    depend on the session time zone.  A watermark needs a zoned timestamp:
+    the streaming form casts ``ts`` in the session zone (UTC by default,
+    see ``session.DEFAULT_CONF``)."""
+    e = events
+    if e.isStreaming:
+        e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+        if lateness:
+            e = e.withWatermark("ts", lateness)
     return (e.groupBy(F.window("ts", "7 days").alias("w"), "event")
              .agg(F.count(F.lit(1)).alias("n"))
              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
