@@ -36,24 +36,29 @@ def _last(value: Column, cond: Column) -> Column:
     return F.max_by(F.when(cond, value), F.when(cond, F.col("seq")))
 
 
-def action_outcomes(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> DataFrame:
-    """Per action: not_found / blocked / deleted / no_application / ok.
+def job_facts(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row per posting touched by the log: does it exist, does it have an
+    application, and the seq of its first effective reject (the cut).
 
-    Job facts (exists, has an application, first effective reject) are
-    computed once per touched posting and joined back to the log.
+    Computed from one aggregate over the log and two semi joins on key
+    projections, so the log itself is joined only once afterwards.
     """
-    touched = actions.select("job_id").distinct()
-    exists = postings.select(F.col("id").alias("job_id")).join(touched, "job_id", "left_semi") \
+    per_job = actions.groupBy("job_id").agg(
+        F.min(F.when(F.col("action") == "reject", F.col("seq"))).alias("first_reject"))
+    exists = postings.select(F.col("id").alias("job_id")).join(per_job, "job_id", "left_semi") \
                      .withColumn("job_exists", F.lit(True))
-    has_app = apps.select("job_id").join(touched, "job_id", "left_semi").distinct() \
-                  .withColumn("has_app", F.lit(True))
-    facts = (touched.join(exists, "job_id", "left").join(has_app, "job_id", "left")
-             .select("job_id", F.coalesce("job_exists", F.lit(False)).alias("job_exists"),
-                     F.coalesce("has_app", F.lit(False)).alias("has_app")))
-    a = actions.join(facts, "job_id", "left")
-    cuts = (a.filter((F.col("action") == "reject") & F.col("job_exists") & ~F.col("has_app"))
-             .groupBy("job_id").agg(F.min("seq").alias("cut_seq")))
-    a = a.join(cuts, "job_id", "left")
+    has_app = (apps.select("job_id").join(per_job, "job_id", "left_semi").distinct()
+                   .withColumn("has_app", F.lit(True)))
+    f = (per_job.join(exists, "job_id", "left").join(has_app, "job_id", "left")
+                .select("job_id", F.coalesce("job_exists", F.lit(False)).alias("job_exists"),
+                        F.coalesce("has_app", F.lit(False)).alias("has_app"), "first_reject"))
+    return f.withColumn("cut_seq", F.when(F.col("job_exists") & ~F.col("has_app"), F.col("first_reject"))) \
+            .drop("first_reject")
+
+
+def action_outcomes(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> DataFrame:
+    """Per action: not_found / blocked / deleted / no_application / ok."""
+    a = actions.join(job_facts(postings, apps, actions), "job_id", "left")
     act = F.col("action")
     outcome = (F.when(~F.coalesce(F.col("job_exists"), F.lit(False)), "not_found")
                 .when(F.col("cut_seq").isNotNull() & (F.col("seq") > F.col("cut_seq")), "not_found")
@@ -64,31 +69,36 @@ def action_outcomes(postings: DataFrame, apps: DataFrame, actions: DataFrame) ->
     return a.withColumn("outcome", outcome)
 
 
+def _job_state(o: DataFrame) -> DataFrame:
+    """Net effect per posting of the outcomes: one hash aggregate."""
+    act = F.col("action")
+    ok = F.col("outcome") == "ok"
+    return o.groupBy("job_id").agg(
+        _last(_new_status(act), ok & act.isin("approve", "ignore", "dispatched")).alias("new_status"),
+        F.coalesce(F.max(F.when(ok & (act == "analyze"), F.lit(True))), F.lit(False)).alias("queued"),
+        _last(F.coalesce(F.col("arg"), F.lit("")), ok & (act == "notes")).alias("new_notes"),
+        _last(F.col("arg"), ok & (act == "dispatched")).alias("override"),
+        F.coalesce(F.max(F.when(ok & (act == "dispatched"), F.lit(True))), F.lit(False)).alias("dispatched"),
+        F.coalesce(F.max(F.when(F.col("outcome") == "deleted", F.lit(True))), F.lit(False)).alias("deleted"),
+        F.count(F.lit(1)).alias("n_actions"))
+
+
 def apply_actions(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold per-posting actions into the posting table.
 
-    Returns (postings', outcomes).  Global commands in the log are applied
-    as barriers (see ``apply_log``).
+    Returns (postings', outcomes).  The posting table is joined once, with
+    one state row per touched posting.  Global commands in the log are
+    applied as barriers (see ``apply_log``).
     """
     o = action_outcomes(postings, apps, actions)
-    eff = o.filter(F.col("outcome") == "ok")
-    act = F.col("action")
-    state = eff.groupBy("job_id").agg(
-        _last(_new_status(act), act.isin("approve", "ignore", "dispatched")).alias("_status"),
-        F.max(F.when(act == "analyze", F.lit(True))).alias("_queued"),
-        _last(F.coalesce(F.col("arg"), F.lit("")), act == "notes").alias("_notes"),
-        _last(F.col("arg"), act == "dispatched").alias("_override"),
-        F.max(F.when(act == "dispatched", F.lit(True))).alias("_dispatched"),
-    )
-    deleted = o.filter(F.col("outcome") == "deleted").select(F.col("job_id").alias("id"))
-    p = (postings.join(deleted, "id", "left_anti")
-                 .join(state.withColumnRenamed("job_id", "id"), "id", "left"))
+    st = _job_state(o).withColumnRenamed("job_id", "id")
+    p = postings.join(st, "id", "left").filter(~F.coalesce(F.col("deleted"), F.lit(False)))
     p = p.select(
         *[c for c in postings.columns if c not in ("status", "processing_status", "notes", "employer_email")],
-        F.coalesce("_status", "status").alias("status"),
-        F.when(F.col("_queued"), F.lit("QUEUED")).otherwise(F.col("processing_status")).alias("processing_status"),
-        F.coalesce("_notes", "notes").alias("notes"),
-        F.when(F.col("_dispatched"), resolve_recipient("_override", "employer_email", "company"))
+        F.coalesce("new_status", "status").alias("status"),
+        F.when(F.col("queued"), F.lit("QUEUED")).otherwise(F.col("processing_status")).alias("processing_status"),
+        F.coalesce("new_notes", "notes").alias("notes"),
+        F.when(F.col("dispatched"), resolve_recipient("override", "employer_email", "company"))
          .otherwise(F.col("employer_email")).alias("employer_email"),
     ).select(*postings.columns)
     outcomes = o.select("seq", "job_id", "action", "outcome")
@@ -234,12 +244,5 @@ def action_changes(postings: DataFrame, apps: DataFrame, actions: DataFrame) ->
     """Per touched posting, the net change of the per-posting actions:
     (job_id, new_status, queued, new_notes, deleted, n_actions).  The batch
     twin of the live state stream (R4)."""
-    o = action_outcomes(postings, apps, actions)
-    act = F.col("action")
-    ok = F.col("outcome") == "ok"
-    return o.groupBy("job_id").agg(
-        _last(_new_status(act), ok & act.isin("approve", "ignore", "dispatched")).alias("new_status"),
-        F.coalesce(F.max(F.when(ok & (act == "analyze"), F.lit(True))), F.lit(False)).alias("queued"),
-        _last(F.coalesce(F.col("arg"), F.lit("")), ok & (act == "notes")).alias("new_notes"),
-        F.coalesce(F.max(F.when(F.col("outcome") == "deleted", F.lit(True))), F.lit(False)).alias("deleted"),
-        F.count(F.lit(1)).alias("n_actions"))
+    return _job_state(action_outcomes(postings, apps, actions)).select(
+        "job_id", "new_status", "queued", "new_notes", "deleted", "n_actions")
