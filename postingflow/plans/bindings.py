@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 NOW = "2001-08-01 00:00:00"
 
 # Fixed values of the binding (see the SQL twins in catalog.BINDING_SQL).
@@ -92,7 +94,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events JOIN customer -> inbound mail (one message per event)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = e.join(c, e.user_id == c.c_custkey, "left")
     et = F.col("event_type")
@@ -168,7 +170,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     The letter carries the whole document text (JSON-escaped) so reply
     parsing works on full texts.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     score = F.pmod(F.col("n_chars"), F.lit(101)).cast("string")
     # JSON string literal of the whole text: quotes and newlines are the only
     # characters needing escapes in the driver's documents.
@@ -201,11 +203,11 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("html"))
+    return spread(table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("html")))
 
 
 def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-partitioned input before heavy per-row work.
+
+    A scan of one large unsplittable file (one Parquet row group, one landed
+    feed) yields a single task.  Only then is the input redistributed
+    round-robin over the cluster's parallelism; an input that already has
+    that many partitions (any table at scale) is returned untouched, so no
+    shuffle is added there.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
