@@ -22,6 +22,7 @@ from ..functions.text import resolve_recipient
 
 STATUS_OF_ACTION = [("approve", "APPROVED"), ("ignore", "REJECTED"), ("dispatched", "APPLIED")]
 GLOBAL_ACTIONS = ("score_all", "cancel_queue")
+MAX_BARRIERS = 100   # global commands are user clicks; each one is a fold segment
 
 
 def _new_status(action: Column) -> Column:
@@ -131,11 +132,12 @@ def apply_log(postings: DataFrame, apps: DataFrame, actions: DataFrame, barriers
     clicks, so the list is short; each one splits the fold into segments.
     Returns (postings', outcomes) where outcomes include the barrier counts.
     """
-    spark = postings.sparkSession
     if barriers is None:
-        barriers = [(r["seq"], r["action"]) for r in
-                    actions.filter(F.col("action").isin(*GLOBAL_ACTIONS)).select("seq", "action")
-                           .orderBy("seq").collect()]
+        rows = (actions.filter(F.col("action").isin(*GLOBAL_ACTIONS)).select("seq", "action")
+                       .orderBy("seq").limit(MAX_BARRIERS + 1).collect())
+        if len(rows) > MAX_BARRIERS:
+            raise ValueError(f"more than {MAX_BARRIERS} global commands in one log; fold it in slices")
+        barriers = [(r["seq"], r["action"]) for r in rows]
     per_job = actions.filter(~F.col("action").isin(*GLOBAL_ACTIONS))
     outs = []
     lo = None

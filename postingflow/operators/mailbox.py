@@ -7,8 +7,8 @@ lossless: a text that contains a company name contains every q-gram of it,
 in particular the one gram chosen for that company.  Each company picks its
 rarest gram (by frequency in the mail), so candidate pairs stay few, and
 every candidate is verified with the real ``contains``.  Companies shorter
-than q are matched by exploding the mail's short substrings of exactly
-their length (an exact equi-join, again no nested loop).
+than q are matched by exploding the mail's substrings of exactly their
+length (an exact equi-join, again no nested loop).
 """
 
 from __future__ import annotations
@@ -18,18 +18,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import contains_any
-from ..session import bounded_broadcast
 
 Q = 4
-SHORT_BROADCAST_LIMIT = 10_000
-
-
-def grams(text: Column, q: int) -> Column:
-    """Distinct substrings of length ``q`` (empty array when shorter)."""
-    n = F.length(text)
-    return F.when(n >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), n - q + 1),
-                                                       lambda i: F.substring(text, i, q)))) \
-            .otherwise(F.array().cast("array<string>"))
 
 
 def gram_rows(df: DataFrame, key: str, text: str, q: int) -> DataFrame:
@@ -42,12 +32,6 @@ def gram_rows(df: DataFrame, key: str, text: str, q: int) -> DataFrame:
     return pos.select(key, F.col(text).substr(F.col("_i"), F.lit(q)).alias("gram"))
 
 
-def short_grams(text: Column, q: int) -> Column:
-    """Distinct substrings of every length 1 .. q-1."""
-    parts = [grams(text, k) for k in range(1, q)]
-    return F.array_distinct(F.flatten(F.array(*parts)))
-
-
 def company_heads(postings: DataFrame) -> DataFrame:
     """Earliest active posting per lower(company), non-empty companies only.
 
@@ -64,8 +48,7 @@ def company_heads(postings: DataFrame) -> DataFrame:
                .select("company_l", F.col("rank.id").alias("posting_id"), "rank"))
 
 
-def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q,
-                   short_limit: int | None = SHORT_BROADCAST_LIMIT) -> DataFrame:
+def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> DataFrame:
     """J5 + W3 (snapshot mode): per message the first matching active posting
     in (created_at, id) order, or no row when nothing matches.
 
@@ -83,19 +66,19 @@ def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q,
                 .groupBy("company_l")
                 .agg(F.min_by("gram", F.struct(F.coalesce("freq", F.lit(0)), "gram")).alias("gram")))
     cand_long = mg.join(chosen, "gram").select("message_id", "company_l")
-    # companies shorter than q: there are few distinct strings that short,
-    # so after a size check they are broadcast and tested with ``contains``
-    # directly; above the bound the mail's short substrings are exploded and
-    # equi-joined instead (exact, no nested loop)
+    # companies shorter than q: an exact equi-join of the company with the
+    # mail's substrings of the same length.  Only the lengths that occur
+    # among the short names are exploded (at most q - 1 values, read with a
+    # bounded collect), and nothing is exploded when there is no short name.
     short_c = heads.filter(F.length("company_l") < q).select("company_l")
-    if short_limit and bounded_broadcast(short_c, short_limit) is not short_c:
-        cand_short = msg.join(F.broadcast(short_c),
-                              F.col("from_l").contains(F.col("company_l")) | F.col("subj_l").contains(F.col("company_l"))
-                              ).select("message_id", "company_l")
-    else:
-        ms = msg.select("message_id", F.explode(F.array_distinct(F.concat(
-            short_grams(F.col("from_l"), q), short_grams(F.col("subj_l"), q)))).alias("company_l"))
-        cand_short = ms.join(short_c, "company_l").select("message_id", "company_l")
+    lengths = sorted(r[0] for r in short_c.select(F.length("company_l")).distinct().limit(q).collect())
+    cand_short = None
+    for k in lengths:
+        sub = gram_rows(msg, "message_id", "from_l", k).unionByName(gram_rows(msg, "message_id", "subj_l", k))
+        part = sub.withColumnRenamed("gram", "company_l").join(short_c, "company_l").select("message_id", "company_l")
+        cand_short = part if cand_short is None else cand_short.unionByName(part)
+    if cand_short is None:
+        cand_short = cand_long.filter(F.lit(False))
     cand = cand_long.unionByName(cand_short).distinct()
     verified = (cand.join(msg, "message_id")
                     .filter(F.col("from_l").contains(F.col("company_l")) | F.col("subj_l").contains(F.col("company_l")))

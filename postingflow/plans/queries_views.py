@@ -103,9 +103,9 @@ _list("keyword", "contains(lower(title), 'machinery') OR contains(lower(descript
 
 @register("by_reference", with_ctes("posting") + f"""
 SELECT {LIST_SQL} FROM posting
-WHERE reference_id IN (SELECT 'REF-' || CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R')""")
+WHERE reference_id IN (SELECT 'REF-' || CAST(l_orderkey AS VARCHAR) FROM lineitem)""")
 def q_by_reference(spark, sf):
-    keys = (B.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
+    keys = (B.table(spark, sf, "lineitem")
             .select(F.concat(F.lit("REF-"), F.col("l_orderkey").cast("string")).alias("reference_id")))
     return V.by_reference(B.postings(spark, sf), keys).select(*LIST_COLS)
 
