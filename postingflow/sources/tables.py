@@ -1,10 +1,9 @@
 """Table scans and sinks.
 
 Stored posting tables are Parquet directories partitioned by a hash bucket
-of the reference key.  An idempotent append first semi-joins the stored
-table with the (bounded) set of buckets present in the batch; with the
-broadcast bucket list Spark's dynamic partition pruning reads only those
-bucket directories instead of the whole table.
+of the reference key.  An idempotent append reads the (bounded) list of
+buckets present in the batch and filters the stored table on it, so the
+anti join reads only those bucket directories instead of the whole table.
 """
 
 from __future__ import annotations
@@ -47,17 +46,20 @@ def append_new(new_df: DataFrame, path: str, key: str = "reference_id",
     """
     spark = new_df.sparkSession
     batch = dedup_first(new_df, key, order).withColumn("ref_bucket", ref_bucket(F.col(key), buckets))
+    batch = batch.drop(*[c for c in order if c in batch.columns and c not in S.POSTING.fieldNames()]).cache()
     stored = try_read(spark, path)
+    fresh = batch
     if stored is not None:
-        stored = stored.select("ref_bucket", key)
-        touched = F.broadcast(batch.select("ref_bucket").distinct())   # <= ``buckets`` rows
-        stored = stored.join(touched, "ref_bucket", "left_semi")
-        batch = batch.join(stored, ["ref_bucket", key], "left_anti")
-    batch = batch.drop(*[c for c in order if c in batch.columns and c not in S.POSTING.fieldNames()])
-    batch = batch.cache()
-    n = batch.count()
+        # the touched buckets are at most ``buckets`` small ints: a bounded
+        # read that turns into a static partition filter on the stored table
+        touched = [r[0] for r in batch.select("ref_bucket").distinct().collect()]
+        stored = stored.filter(F.col("ref_bucket").isin(touched)).select("ref_bucket", key)
+        fresh = batch.join(stored, ["ref_bucket", key], "left_anti")
+    fresh = fresh.cache()
+    n = fresh.count()
     if n:
-        batch.write.mode("append").partitionBy("ref_bucket").parquet(path)
+        fresh.write.mode("append").partitionBy("ref_bucket").parquet(path)
+    fresh.unpersist()
     batch.unpersist()
     return n
 
