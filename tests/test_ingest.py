@@ -164,3 +164,25 @@ def test_artifact_inventory_and_progress(spark, tmp):
     out = [json.loads(r.json) for r in TB.progress_events(ev).collect()]
     assert out[0] == {"type": "info", "message": "", "time": "13:14:15"}
     assert out[1]["message"] == 'a"b\nc'
+
+
+def test_read_details_keyed_by_file_name(spark, tmp):
+    d = os.path.join(tmp, "details")
+    os.makedirs(d)
+    with open(os.path.join(d, "h1.json"), "w") as f:
+        json.dump({"refnr": "R1", "stellenbeschreibung": "Build", "kontakt": {"email": "a@x"}}, f)
+    with open(os.path.join(d, "other.json"), "w") as f:
+        json.dump({"hashId": "h2", "externeUrl": "https://x"}, f)
+    det = {r.detail_key: r for r in FD.read_details(spark, d).collect()}
+    assert det["h1"].stellenbeschreibung == "Build" and det["h1"].kontakt.email == "a@x"
+    assert det["h2"].externeUrl == "https://x"
+    raw = raw_df(spark, [("r1", "h1", "T", "C", "", 1, 0), ("r2", "zz", "T", "C", "", 1, 1)])
+    out = {r.hash_id: r.description for r in N.normalize_ingest(raw, FD.read_details(spark, d), NOW).collect()}
+    assert out["h1"] == "Build" and out["zz"].startswith("Role: T\nCompany: C")    # missing detail: row survives
+
+
+def test_quarantine_partitions_input(spark):
+    from postingflow.plans import bindings as B
+    df = B.doc_postings(spark, "/root/testdata/sf0.01")
+    ok, bad = R.validate_postings(df)
+    assert ok.count() + bad.count() == df.count() and bad.count() > 0

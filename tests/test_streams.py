@@ -108,3 +108,23 @@ def test_weekly_stream_matches_closed_windows(spark, tmp):
     closed = batch.filter(F.col("window_end") <= F.lit(wm) - F.expr("INTERVAL 1 DAY"))
     want = sorted(tuple(r) for r in closed.select("window_start", "event", "n").collect())
     assert got_rows == want and len(want) > 0
+
+
+def test_queue_stream_ticks(spark, tmp):
+    import datetime as dt
+    import pandas as pd
+    from conftest import posting_rows
+    rows = [dict(id=str(i), status="FETCHED", processing_status="QUEUED", title=f"T{i}", company="c",
+                 description="d", created_at=dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(3)]
+    ppath = os.path.join(tmp, "postings")
+    posting_rows(spark, rows).write.parquet(ppath)
+    ticks = os.path.join(tmp, "ticks")
+    os.makedirs(ticks)
+    open(os.path.join(ticks, "t1.txt"), "w").write("tick\n")
+    scorer = lambda s: pd.Series(['{"score": 7}'] * len(s))
+    out = os.path.join(tmp, "out")
+    run(ST.queue_stream(spark, ticks, ppath, out, scorer, NOW, n=2, checkpoint=os.path.join(tmp, "ck"),
+                        trigger="availableNow"))
+    got = {r.id: (r.status, r.processing_status) for r in spark.read.parquet(out + "/postings").collect()}
+    assert got == {"0": ("SCORED", "IDLE"), "1": ("SCORED", "IDLE"), "2": ("FETCHED", "QUEUED")}
+    assert spark.read.parquet(out + "/progress").count() == 2
