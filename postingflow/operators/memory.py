@@ -50,7 +50,8 @@ def _bounded_matrix(queries: DataFrame, max_rows: int) -> tuple[np.ndarray, np.n
     return ids, mat / nrm
 
 
-def _partial_topk(it, qids, qmat, k, id_col, vec_col, exclude_self):
+def _partial_topk(it, qids, qmat_b, k, id_col, vec_col, exclude_self):
+    qmat = qmat_b.value
     for pdf in it:
         if pdf.empty or len(qids) == 0:
             continue
@@ -79,11 +80,13 @@ def top_k(queries: DataFrame, memory: DataFrame, k: int, id_col: str = "mem_id",
     """V2: for each query the ``k`` most cosine-similar memory rows, best
     first, ties broken by id.  Returns (query_id, rank, mem_id, similarity)."""
     qids, qmat = _bounded_matrix(queries, max_queries)
+    # shipped once per executor (a broadcast variable), not once per task
+    qmat_b = memory.sparkSession.sparkContext.broadcast(qmat)
     qtype = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", qtype), T.StructField("mem_id", memory.schema[id_col].dataType),
                            T.StructField("similarity", T.DoubleType())])
     part = memory.select(id_col, vec_col).mapInPandas(
-        lambda it: _partial_topk(it, qids, qmat, k, id_col, vec_col, exclude_self), schema)
+        lambda it: _partial_topk(it, qids, qmat_b, k, id_col, vec_col, exclude_self), schema)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("mem_id"))
     return (part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "mem_id", "similarity"))
