@@ -20,6 +20,7 @@ from .. import schemas as S
 from ..functions.text import contains_any
 
 Q = 4
+SEP = "\u0000"
 
 
 def gram_rows(df: DataFrame, key: str, text: str, q: int) -> DataFrame:
@@ -42,7 +43,8 @@ def company_heads(postings: DataFrame) -> DataFrame:
     st = F.coalesce(F.col("status"), F.lit("FETCHED"))
     act = postings.filter(~st.isin("REJECTED", "HIRED")).select(
         F.lower("company").alias("company_l"), "id", "created_at")
-    act = act.filter(F.col("company_l").isNotNull() & (F.col("company_l") != ""))
+    act = act.filter(F.col("company_l").isNotNull() & (F.col("company_l") != "")
+                     & ~F.col("company_l").contains(SEP))
     return (act.groupBy("company_l")
                .agg(F.min_by(F.struct("created_at", "id"), F.struct("created_at", "id")).alias("rank"))
                .select("company_l", F.col("rank.id").alias("posting_id"), "rank"))
@@ -55,10 +57,11 @@ def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> Data
     Returns (message_id, posting_id).
     """
     heads = company_heads(postings)
-    msg = messages.select("message_id", F.lower("from_addr").alias("from_l"),
-                          F.lower(F.coalesce("subject", F.lit(""))).alias("subj_l"))
-    # message grams: distinct per message over both fields
-    mg = gram_rows(msg, "message_id", "from_l", q).unionByName(gram_rows(msg, "message_id", "subj_l", q))
+    # both searched fields in one text, separated by a character no company
+    # name holds: a name occurs in the joined text iff it occurs in one field
+    msg = messages.select("message_id", F.concat(F.lower("from_addr"), F.lit(SEP),
+                                                 F.lower(F.coalesce("subject", F.lit("")))).alias("txt"))
+    mg = gram_rows(msg, "message_id", "txt", q)
     freq = mg.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     long_c = heads.filter(F.length("company_l") >= q)
     cg = gram_rows(long_c, "company_l", "company_l", q)
@@ -72,16 +75,12 @@ def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> Data
     # bounded collect), and nothing is exploded when there is no short name.
     short_c = heads.filter(F.length("company_l") < q).select("company_l")
     lengths = sorted(r[0] for r in short_c.select(F.length("company_l")).distinct().limit(q).collect())
-    cand_short = None
+    cand = cand_long
     for k in lengths:
-        sub = gram_rows(msg, "message_id", "from_l", k).unionByName(gram_rows(msg, "message_id", "subj_l", k))
-        part = sub.withColumnRenamed("gram", "company_l").join(short_c, "company_l").select("message_id", "company_l")
-        cand_short = part if cand_short is None else cand_short.unionByName(part)
-    if cand_short is None:
-        cand_short = cand_long.filter(F.lit(False))
-    cand = cand_long.unionByName(cand_short).distinct()
-    verified = (cand.join(msg, "message_id")
-                    .filter(F.col("from_l").contains(F.col("company_l")) | F.col("subj_l").contains(F.col("company_l")))
+        sub = gram_rows(msg, "message_id", "txt", k).withColumnRenamed("gram", "company_l")
+        cand = cand.unionByName(sub.join(short_c, "company_l").select("message_id", "company_l"))
+    verified = (cand.distinct().join(msg, "message_id")
+                    .filter(F.col("txt").contains(F.col("company_l")))
                     .join(heads, "company_l"))
     return (verified.groupBy("message_id")
                     .agg(F.min_by("posting_id", "rank").alias("posting_id")))
