@@ -46,12 +46,21 @@ def _case(col, pairs, default=None):
     return out.otherwise(default) if default is not None else out
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders LEFT JOIN customer -> posting model frame (id = o_orderkey)."""
+def postings(spark: SparkSession, sf_dir: str, with_customer: bool = True) -> DataFrame:
+    """orders LEFT JOIN customer -> posting model frame (id = o_orderkey).
+
+    Views that never read title, company or description pass
+    ``with_customer=False``: Catalyst cannot drop a left join whose right
+    side it does not know to be unique, and at scale that join is a full
+    shuffle of the posting table on o_custkey.
+    """
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    if with_customer:
+        c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+        j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    else:
+        j = o.select("*", F.lit(None).cast("string").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
     status = _case(F.substring("o_orderpriority", 1, 1), PRIORITY_TO_STATUS)
     title = F.concat(F.col("c_mktsegment"), F.lit(" Engineer"))
     return j.select(

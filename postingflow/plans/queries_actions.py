@@ -28,14 +28,15 @@ o AS (SELECT a.*, CASE WHEN NOT job_exists THEN 'not_found'
 @register("action_outcomes", with_ctes("posting", "action") + OUTCOME_SQL + """
 SELECT seq, job_id, action, outcome FROM o""")
 def q_action_outcomes(spark, sf):
-    _, o = A.apply_actions(B.postings(spark, sf), B.applications(spark, sf), B.actions(spark, sf))
-    return o
+    return A.action_outcomes(B.postings(spark, sf, with_customer=False), B.applications(spark, sf),
+                             B.actions(spark, sf)).select("seq", "job_id", "action", "outcome")
 
 
 @register("operation_counts", with_ctes("posting", "action") + OUTCOME_SQL + """
 SELECT action, outcome, count(*) AS n FROM o GROUP BY 1, 2""")
 def q_operation_counts(spark, sf):
-    _, o = A.apply_actions(B.postings(spark, sf), B.applications(spark, sf), B.actions(spark, sf))
+    o = A.action_outcomes(B.postings(spark, sf, with_customer=False), B.applications(spark, sf),
+                          B.actions(spark, sf))
     return A.operation_counts(o)
 
 
@@ -65,13 +66,13 @@ def q_apply_actions(spark, sf):
 SELECT count(*) FILTER (WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'IDLE') AS queued
 FROM posting""")
 def q_score_all(spark, sf):
-    return A.score_all(B.postings(spark, sf))[1]
+    return A.score_all(B.postings(spark, sf, with_customer=False))[1]
 
 
 @register("cancel_queue", with_ctes("posting") + """
 SELECT count(*) FILTER (WHERE processing_status IN ('QUEUED', 'PROCESSING')) AS cancelled FROM posting""")
 def q_cancel_queue(spark, sf):
-    return A.cancel_queue(B.postings(spark, sf))[1]
+    return A.cancel_queue(B.postings(spark, sf, with_customer=False))[1]
 
 
 @register("claim", with_ctes("posting") + """
@@ -79,7 +80,7 @@ SELECT id, created_at, 'PROCESSING' AS processing_status FROM posting
 WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'QUEUED'
 ORDER BY created_at, id LIMIT 5""")
 def q_claim(spark, sf):
-    claimed, _ = Q.claim(B.postings(spark, sf), 5)
+    claimed, _ = Q.claim(B.postings(spark, sf, with_customer=False), 5)
     return claimed.select("id", "created_at", "processing_status")
 
 
@@ -90,7 +91,7 @@ SELECT CASE WHEN id IN (SELECT id FROM c) THEN 'IDLE' ELSE processing_status END
        count(*) AS n
 FROM posting GROUP BY 1""")
 def q_claim_release_states(spark, sf):
-    claimed, updated = Q.claim(B.postings(spark, sf), 5)
+    claimed, updated = Q.claim(B.postings(spark, sf, with_customer=False), 5)
     released = Q.release(updated, claimed.select("id"))
     return released.groupBy("processing_status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -102,13 +103,13 @@ SELECT id, created_at, CAST(claim_rank AS INTEGER) AS claim_rank, CAST((claim_ra
     WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'QUEUED'
     ORDER BY created_at, id LIMIT 20))""")
 def q_assign(spark, sf):
-    return Q.assign(B.postings(spark, sf), 20, 3).select("id", "created_at", "claim_rank", "worker")
+    return Q.assign(B.postings(spark, sf, with_customer=False), 20, 3).select("id", "created_at", "claim_rank", "worker")
 
 
 @register("page", with_ctes("posting") + """
 SELECT id, created_at FROM posting ORDER BY created_at, id LIMIT 25 OFFSET 50""")
 def q_page(spark, sf):
-    return Q.page(B.postings(spark, sf).select("id", "created_at"), 2, 25)
+    return Q.page(B.postings(spark, sf, with_customer=False).select("id", "created_at"), 2, 25)
 
 
 BREAKER_SQL = with_ctes("call") + """,
@@ -132,7 +133,7 @@ def q_breaker_windows(spark, sf):
 @register("delete_postings", with_ctes("posting") + """
 SELECT id, id IN (SELECT l_orderkey FROM lineitem) AS blocked FROM posting WHERE status = 'REJECTED'""")
 def q_delete_postings(spark, sf):
-    p = B.postings(spark, sf)
+    p = B.postings(spark, sf, with_customer=False)
     ids = p.filter(F.col("status") == "REJECTED").select("id")
     _, blocked = A.delete_postings(p, B.applications(spark, sf), ids)
     return ids.join(blocked.withColumn("blocked", F.lit(True)), "id", "left") \

@@ -41,7 +41,7 @@ SELECT p.id, {_state_sql('f.cv_path', 'cf.length')} AS cv_state,
 FROM posting p LEFT JOIN first f ON f.job_id = p.id
 LEFT JOIN files cf ON cf.path = f.cv_path LEFT JOIN files lf ON lf.path = f.letter_path""")
 def q_audit_artifacts(spark, sf):
-    return DP.audit_artifacts(B.postings(spark, sf).select("id"), B.applications(spark, sf),
+    return DP.audit_artifacts(B.postings(spark, sf, with_customer=False).select("id"), B.applications(spark, sf),
                               B.artifact_files(spark, sf))
 
 

@@ -25,7 +25,8 @@ SELECT job_id,
        count(*) AS n_actions
 FROM o GROUP BY job_id""")
 def q_action_changes(spark, sf):
-    return A.action_changes(B.postings(spark, sf), B.applications(spark, sf), B.actions(spark, sf))
+    return A.action_changes(B.postings(spark, sf, with_customer=False), B.applications(spark, sf),
+                            B.actions(spark, sf))
 
 
 @register("live_stats", with_ctes("posting", "action") + OUTCOME_SQL + """,
@@ -40,7 +41,7 @@ FROM posting p LEFT JOIN ch ON ch.job_id = p.id
 WHERE NOT coalesce(ch.deleted, false)
 GROUP BY 1""")
 def q_live_stats(spark, sf):
-    p = B.postings(spark, sf)
+    p = B.postings(spark, sf, with_customer=False)
     ch = A.action_changes(p, B.applications(spark, sf), B.actions(spark, sf))
     return ST.stats_from_changes(p, ch)
 
@@ -63,7 +64,7 @@ SELECT 'ApplicationScored', id, scored_at FROM posting WHERE scored_at IS NOT NU
 UNION ALL
 SELECT 'ApplicationApproved', job_id, ts FROM o WHERE action = 'approve' AND outcome = 'ok'""")
 def q_event_rows(spark, sf):
-    p = B.postings(spark, sf)
+    p = B.postings(spark, sf, with_customer=False)
     a = B.actions(spark, sf)
-    _, o = A.apply_actions(p, B.applications(spark, sf), a)
+    o = A.action_outcomes(p, B.applications(spark, sf), a)
     return ST.event_rows(p, o, a)

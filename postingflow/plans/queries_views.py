@@ -25,7 +25,7 @@ SELECT count(*) FILTER (WHERE {ST} = 'FETCHED') AS inbox,
        count(*) FILTER (WHERE {ST} = 'FETCHED') AS pending_scoring
 FROM posting""")
 def q_pipeline_stats(spark, sf):
-    return V.pipeline_stats(B.postings(spark, sf))
+    return V.pipeline_stats(B.postings(spark, sf, with_customer=False))
 
 
 @register("weekly_stats", with_ctes("posting") + f"""
@@ -35,7 +35,7 @@ SELECT count(*) FILTER (WHERE scored_at > {NOW_SQL} - INTERVAL 7 DAY) AS scored_
        count(*) FILTER (WHERE {ST} <> 'FETCHED') AS total_in_pipeline
 FROM posting""")
 def q_weekly_stats(spark, sf):
-    return V.weekly_stats(B.postings(spark, sf), B.NOW)
+    return V.weekly_stats(B.postings(spark, sf, with_customer=False), B.NOW)
 
 
 BOARD_DIM_SQL = """board_dim AS (SELECT * FROM (VALUES (1, 'discovery', 'New Matches', 'FETCHED'),
@@ -60,13 +60,13 @@ SELECT d.col_pos, d.col_id, d.col_title, CAST(count(p.id) AS BIGINT) AS n_cards
 FROM board_dim d LEFT JOIN posting p ON {ST.replace('status', 'p.status')} = d.col_status
 GROUP BY 1, 2, 3""")
 def q_board_counts(spark, sf):
-    return V.board_counts(B.postings(spark, sf))
+    return V.board_counts(B.postings(spark, sf, with_customer=False))
 
 
 @register("by_status", with_ctes("posting") + f"""
 SELECT {ST} AS status, count(*) AS n FROM posting GROUP BY 1""")
 def q_by_status(spark, sf):
-    return V.by_status(B.postings(spark, sf))
+    return V.by_status(B.postings(spark, sf, with_customer=False))
 
 
 @register("score_bands", with_ctes("posting") + f"""
@@ -81,12 +81,12 @@ SELECT {ST} AS status,
        count(*) AS n
 FROM posting GROUP BY 1, 2""")
 def q_score_bands(spark, sf):
-    return V.score_bands(B.postings(spark, sf))
+    return V.score_bands(B.postings(spark, sf, with_customer=False))
 
 
-def _list(name, pred_sql, fn):
+def _list(name, pred_sql, fn, with_customer=False):
     register(name, with_ctes("posting") + f"SELECT {LIST_SQL} FROM posting WHERE {pred_sql}")(
-        lambda spark, sf: fn(B.postings(spark, sf)).select(*LIST_COLS))
+        lambda spark, sf: fn(B.postings(spark, sf, with_customer)).select(*LIST_COLS))
 
 
 _list("inbox", f"{ST} = 'FETCHED'", V.inbox)
@@ -98,7 +98,7 @@ _list("scored_since", f"scored_at > {NOW_SQL} - INTERVAL 7 DAY", lambda d: V.sco
 _list("max_age", f"created_at >= {NOW_SQL} - INTERVAL 30 DAY", lambda d: V.max_age(d, 30, B.NOW))
 _list("min_score", "match_score >= 75", lambda d: V.min_score(d, 75))
 _list("keyword", "contains(lower(title), 'machinery') OR contains(lower(description), 'machinery')",
-      lambda d: V.keyword(d, "Machinery"))
+      lambda d: V.keyword(d, "Machinery"), with_customer=True)
 
 
 @register("by_reference", with_ctes("posting") + f"""
@@ -107,7 +107,7 @@ WHERE reference_id IN (SELECT 'REF-' || CAST(l_orderkey AS VARCHAR) FROM lineite
 def q_by_reference(spark, sf):
     keys = (B.table(spark, sf, "lineitem")
             .select(F.concat(F.lit("REF-"), F.col("l_orderkey").cast("string")).alias("reference_id")))
-    return V.by_reference(B.postings(spark, sf), keys).select(*LIST_COLS)
+    return V.by_reference(B.postings(spark, sf, with_customer=False), keys).select(*LIST_COLS)
 
 
 @register("capped_inbox", with_ctes("posting") + f"""
@@ -132,7 +132,7 @@ def q_first_application(spark, sf):
 @register("has_application", with_ctes("posting") + """
 SELECT id, status, id IN (SELECT l_orderkey FROM lineitem) AS has_application FROM posting""")
 def q_has_application(spark, sf):
-    p = B.postings(spark, sf).select("id", "status")
+    p = B.postings(spark, sf, with_customer=False).select("id", "status")
     return V.has_application(p, B.applications(spark, sf).select("job_id"))
 
 

@@ -224,9 +224,10 @@ def state_stream(actions: DataFrame, postings: DataFrame, apps: DataFrame) -> Da
 
 def stats_from_changes(postings: DataFrame, changes: DataFrame) -> DataFrame:
     """Board counts of the postings with the latest live changes."""
-    p = (postings.join(changes.filter(F.col("deleted")).select(F.col("job_id").alias("id")), "id", "left_anti")
-                 .join(changes.select(F.col("job_id").alias("id"), "new_status"), "id", "left")
-                 .withColumn("status", F.coalesce("new_status", "status")).drop("new_status"))
+    ch = changes.select(F.col("job_id").alias("id"), F.col("new_status").alias("_new"), F.col("deleted").alias("_del"))
+    p = (postings.join(ch, "id", "left")
+                 .filter(~F.coalesce(F.col("_del"), F.lit(False)))
+                 .withColumn("status", F.coalesce("_new", "status")).drop("_new", "_del"))
     return V.by_status(p)
 
 
@@ -308,7 +309,8 @@ def event_rows(postings: DataFrame, outcomes: DataFrame, actions: DataFrame) ->
                               F.col("created_at").alias("ts"))
     scored = postings.filter(F.col("scored_at").isNotNull()).select(
         F.lit("ApplicationScored").alias("event_type"), F.col("id").alias("job_id"), F.col("scored_at").alias("ts"))
-    appr = (outcomes.filter((F.col("action") == "approve") & (F.col("outcome") == "ok"))
-                    .join(actions.select("seq", "ts"), "seq")
-                    .select(F.lit("ApplicationApproved").alias("event_type"), "job_id", "ts"))
+    appr = outcomes.filter((F.col("action") == "approve") & (F.col("outcome") == "ok"))
+    if "ts" not in appr.columns:
+        appr = appr.join(actions.select("seq", "ts"), "seq")
+    appr = appr.select(F.lit("ApplicationApproved").alias("event_type"), "job_id", "ts")
     return fetched.unionByName(scored).unionByName(appr)
