@@ -57,10 +57,40 @@ def assign(postings: DataFrame, n: int, workers: int) -> DataFrame:
 
 
 def page(df: DataFrame, page_no: int, size: int, order=QUEUE_ORDER) -> DataFrame:
-    """Rows of page ``page_no`` (0-based) of ``size`` in a total order."""
+    """Rows of page ``page_no`` (0-based) of ``size`` in a total order.
+
+    Offset paging keeps (page_no + 1) x size rows per partition before the
+    final merge; that is fine for the first pages.  Deep pages of a large
+    table should use ``page_after`` (keyset paging), whose cost does not
+    grow with the page number.
+    """
     return df.orderBy(*order).offset(page_no * size).limit(size)
 
 
+def _key_lit(v):
+    """Literal for a key value; datetimes become zone-less timestamps so the
+    comparison does not depend on the session or process time zone."""
+    import datetime as _dt
+    if isinstance(v, _dt.datetime):
+        return F.expr(f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'")
+    return F.lit(v)
+
+
+def page_after(df: DataFrame, after: tuple | None, size: int, order=QUEUE_ORDER) -> DataFrame:
+    """T3, keyset form: the ``size`` rows that follow the row whose order key
+    is ``after`` (None for the first page).  A pushed-down filter plus a
+    top-``size``; pass the last row's key of a page to get the next one."""
+    if after is not None:
+        cond = None
+        for i in range(len(order)):
+            term = F.col(order[i]) > _key_lit(after[i])
+            for j in range(i):
+                term = term & (F.col(order[j]) == _key_lit(after[j]))
+            cond = term if cond is None else cond | term
+        df = df.filter(cond)
+    return df.orderBy(*order).limit(size)
+
+
 # ------------------------------------------------------------------ W4
 
 def _window_stats(pdf_iter, n, slow_s, halo_pdf):

@@ -138,3 +138,13 @@ def q_delete_postings(spark, sf):
     _, blocked = A.delete_postings(p, B.applications(spark, sf), ids)
     return ids.join(blocked.withColumn("blocked", F.lit(True)), "id", "left") \
               .select("id", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+
+
+@register("page_after", with_ctes("posting") + """
+SELECT id, created_at FROM posting
+WHERE created_at > TIMESTAMP '1998-01-01 00:00:00' OR (created_at = TIMESTAMP '1998-01-01 00:00:00' AND id > 7000)
+ORDER BY created_at, id LIMIT 25""")
+def q_page_after(spark, sf):
+    import datetime as dt
+    p = B.postings(spark, sf, with_customer=False).select("id", "created_at")
+    return Q.page_after(p, (dt.datetime(1998, 1, 1), 7000), 25)

@@ -123,3 +123,17 @@ def test_profile_and_persona_logs(spark):
                                 "seq long, op string, persona_id string, profile_id string, name string, role string, prompt string")
     out = A.apply_persona_log(pers, log).first()
     assert (out.persona_name, out.role, out.prompt_override) == ("New Persona", "", "P2")
+
+
+def test_keyset_paging_equals_offset(spark):
+    rows = [dict(id=f"{i:02d}", created_at=T0 + dt.timedelta(hours=i // 2)) for i in range(23)]
+    df = posting_rows(spark, rows)
+    pages, after = [], None
+    for _ in range(5):
+        got = Q.page_after(df, after, 5).collect()
+        if not got:
+            break
+        pages.append([r.id for r in got])
+        after = (got[-1].created_at, got[-1].id)
+    offset = [[r.id for r in Q.page(df, i, 5).collect()] for i in range(len(pages))]
+    assert pages == offset and sum(len(p) for p in pages) == 23
