@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,12 +112,18 @@ def _window_stats(pdf_iter, n, slow_s, halo_pdf):
                                                                    "duration_s"]]
         k = len(carry)
         full = pd.concat([carry, pdf[["service", "ts", "call_id", "failed", "duration_s"]]], ignore_index=True)
-        grp = full.groupby("service", sort=False)
-        fail = grp["failed"].transform(lambda s: s.astype("int64").rolling(n, min_periods=1).sum())
-        slow = grp["duration_s"].transform(lambda s: (s > slow_s).astype("int64").rolling(n, min_periods=1).sum())
-        cnt = grp["call_id"].transform(lambda s: s.rolling(n, min_periods=1).count())
-        out = full.assign(window_calls=cnt.astype("int64"), failures=fail.astype("int64"),
-                          slow_calls=slow.astype("int64")).iloc[k:]
+        m = len(full)
+        svc = full["service"].to_numpy()
+        idx = np.arange(m)
+        new_group = np.ones(m, dtype=bool)
+        new_group[1:] = svc[1:] != svc[:-1]
+        gstart = np.maximum.accumulate(np.where(new_group, idx, 0))     # first row of each row's service
+        lo = np.maximum(idx - n + 1, gstart)                            # window start (inclusive)
+        fail_cs = np.concatenate([[0], np.cumsum(full["failed"].fillna(False).to_numpy(dtype=np.int64))])
+        slow_cs = np.concatenate([[0], np.cumsum((full["duration_s"].to_numpy(dtype=float) > slow_s).astype(np.int64))])
+        out = full.assign(window_calls=(idx - lo + 1).astype("int64"),
+                          failures=(fail_cs[idx + 1] - fail_cs[lo]).astype("int64"),
+                          slow_calls=(slow_cs[idx + 1] - slow_cs[lo]).astype("int64")).iloc[k:]
         carry = full.iloc[-(n - 1):] if n > 1 else full.iloc[0:0]
         yield out[["service", "ts", "call_id", "failed", "duration_s", "window_calls", "failures", "slow_calls"]]
 
