@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from .text import is_blank, java_trim
+from .text import is_blank
 
 LENIENT = {
     "allowSingleQuotes": "true",

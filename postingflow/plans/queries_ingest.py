@@ -14,7 +14,6 @@ from . import bindings as B
 from .catalog import register, with_ctes
 
 NL = "chr(10)"
-WS_BLANK = r"regexp_matches(coalesce({x}, ''), '^\s*$')"
 
 
 def _nb(x):   # non-blank value or null (SQL)

@@ -5,7 +5,6 @@ one file and over several files with a restart must equal these)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import actions as A
 from ..streaming import streams as ST
