@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import resolve_recipient
+from ..session import cut_lineage
 
 STATUS_OF_ACTION = [("approve", "APPROVED"), ("ignore", "REJECTED"), ("dispatched", "APPLIED")]
 GLOBAL_ACTIONS = ("score_all", "cancel_queue")
 MAX_BARRIERS = 100   # global commands are user clicks; each one is a fold segment
+CUT_EVERY = 8        # segments between lineage cuts
 
 
 def _new_status(action: Column) -> Column:
@@ -153,6 +155,10 @@ def apply_log(postings: DataFrame, apps: DataFrame, actions: DataFrame, barriers
             postings, cnt = score_all(postings)
         elif cmd == "cancel_queue":
             postings, cnt = cancel_queue(postings)
+        if cmd and len(outs) % CUT_EVERY == 0:
+            # each segment stacks a fold on the previous plan: cut the
+            # lineage now and then (reliable checkpoint in the shared folder)
+            postings = cut_lineage(postings)
         if cmd:
             outs.append(cnt.select(F.lit(seq).cast("long").alias("seq"), F.lit(None).cast(actions.schema["job_id"].dataType).alias("job_id"),
                                    F.lit(cmd).alias("action"),

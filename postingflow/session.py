@@ -31,6 +31,26 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for the target cluster (~100 TB input, ~1000 executors); not used
+# by the local tests.  Shuffle partitions start high and AQE coalesces them
+# to ~256 MB each; scans split at 256 MB; a partition more than 5x the
+# median (and above 1 GB) is split by the skew-join rule; runtime broadcast
+# only below 64 MB of real size.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def build_session(master: str | None = None, app: str = "postingflow",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -95,7 +115,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     feed) yields a single task.  Only then is the input redistributed
     round-robin over the cluster's parallelism; an input that already has
     that many partitions (any table at scale) is returned untouched, so no
-    shuffle is added there.
+    shuffle is added there.  Apply it to scans (their partition count is
+    known from the file listing without running anything).
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
