@@ -159,3 +159,14 @@ def test_embedder_and_queue_step(spark):
     assert got["0"] == ("SCORED", "IDLE", 42) and got["1"] == ("SCORED", "IDLE", 42)
     assert got["2"] == ("FETCHED", "QUEUED", None)
     assert apps.count() == 2 and {r.type for r in events.collect()} == {"success"}
+
+
+def test_competing_messages_snapshot(spark):
+    # two rejections from "acme berlin" in one batch: in snapshot mode both
+    # go to posting #1 (the earliest active match); A12 keeps the last one
+    m = messages(spark, [("x@acme berlin", "Status", "unfortunately"),
+                         ("x@acme berlin", "Status", "unfortunately")])
+    out = MB.classify_messages(m, postings(spark))
+    assert [r.posting_id for r in out.orderBy("message_id").collect()] == ["1", "1"]
+    st = {r.id: r.status for r in MB.apply_mail_outcomes(postings(spark), out).collect()}
+    assert st["1"] == "REJECTED" and st["2"] == "APPLIED"
