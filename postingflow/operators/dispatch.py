@@ -118,5 +118,5 @@ def dispatch_manifest(postings: DataFrame, apps: DataFrame, overrides: DataFrame
         F.when(has_app, resolve_recipient("override_email", "employer_email", "company")).alias("recipient"),
         F.when(has_app, F.lit(S.DISPATCH_SUBJECT)).alias("subject"),
         F.when(has_app, F.lit(S.DISPATCH_BODY_OPENING + sig)).alias("body"),
-        F.when(has_app, F.coalesce("cv_exists", F.lit(False))).alias("attach_cv"),
-        F.when(has_app, F.coalesce("letter_exists", F.lit(False))).alias("attach_letter"))
+        (has_app & F.coalesce("cv_exists", F.lit(False))).alias("attach_cv"),
+        (has_app & F.coalesce("letter_exists", F.lit(False))).alias("attach_letter"))

@@ -52,8 +52,8 @@ SELECT p.id,
               'hr@' || regexp_replace(lower(p.company), '[^a-z0-9]', '', 'g') || '.de') END AS recipient,
        CASE WHEN f.job_id IS NOT NULL THEN {q_(S.DISPATCH_SUBJECT)} END AS subject,
        CASE WHEN f.job_id IS NOT NULL THEN {q_(S.DISPATCH_BODY_OPENING + S.FALLBACK_SIGNATURE)} END AS body,
-       CASE WHEN f.job_id IS NOT NULL THEN cf.path IS NOT NULL END AS attach_cv,
-       CASE WHEN f.job_id IS NOT NULL THEN lf.path IS NOT NULL END AS attach_letter
+       f.job_id IS NOT NULL AND cf.path IS NOT NULL AS attach_cv,
+       f.job_id IS NOT NULL AND lf.path IS NOT NULL AS attach_letter
 FROM posting p LEFT JOIN first f ON f.job_id = p.id
 LEFT JOIN (SELECT DISTINCT path FROM files) cf ON cf.path = f.cv_path
 LEFT JOIN (SELECT DISTINCT path FROM files) lf ON lf.path = f.letter_path

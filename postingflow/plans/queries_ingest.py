@@ -163,12 +163,12 @@ OLD_POSTING_COLS = ["id", "reference_id", "title", "company", "description", "st
 
 @register("upgrade_schema", with_ctes("posting") + """
 SELECT CAST(id AS VARCHAR) AS id, reference_id, CAST(NULL AS VARCHAR) AS hash_id, title, company, description,
-       status, 'IDLE' AS processing_status, match_score, employer_email, notes,
+       status, 'IDLE' AS processing_status, CAST(match_score AS DOUBLE) AS match_score, employer_email, notes,
        CAST(NULL AS VARCHAR) AS ai_analysis, CAST(NULL AS VARCHAR) AS portal_url, scored_at, created_at
 FROM posting""")
 def q_upgrade_schema(spark, sf):
     old = B.postings(spark, sf).select(*OLD_POSTING_COLS).withColumn("id", F.col("id").cast("string"))
-    return R.upgrade_schema(old, "posting")
+    return R.upgrade_schema(old, "posting").withColumn("match_score", F.col("match_score").cast("double"))
 
 
 @register("validate_postings", with_ctes("doc_posting") + """

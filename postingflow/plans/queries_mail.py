@@ -43,9 +43,10 @@ def q_match_messages(spark, sf):
     return MB.match_messages(B.messages(spark, sf), B.postings(spark, sf))
 
 
-@register("classify_messages", MAIL_SQL + "\nSELECT message_id, posting_id, outcome FROM cls")
+@register("classify_messages", MAIL_SQL + "\nSELECT message_id, CAST(posting_id AS DOUBLE) AS posting_id, outcome FROM cls")
 def q_classify_messages(spark, sf):
-    return _outcomes(spark, sf).select("message_id", "posting_id", "outcome")
+    # posting_id is null for pending mail: reported as DOUBLE (see queries_views)
+    return _outcomes(spark, sf).select("message_id", F.col("posting_id").cast("double").alias("posting_id"), "outcome")
 
 
 @register("mail_outcome_counts", MAIL_SQL + "\nSELECT outcome, count(*) AS n FROM cls GROUP BY outcome")

@@ -73,9 +73,10 @@ def q_extract_json(spark, sf):
     return J.extract_json(B.replies(spark, sf), "raw").select("job_id", "json", "error")
 
 
-@register("parse_replies", PARSE_SQL + "\nSELECT job_id, score, letter, analysis, error FROM parsed")
+@register("parse_replies", PARSE_SQL + "\nSELECT job_id, CAST(score AS DOUBLE) AS score, letter, analysis, error FROM parsed")
 def q_parse_replies(spark, sf):
-    return parsed_replies(spark, sf).select("job_id", "score", "letter", "analysis", "error")
+    return parsed_replies(spark, sf).select("job_id", F.col("score").cast("double").alias("score"),
+                                            "letter", "analysis", "error")
 
 
 @register("reply_quarantine", PARSE_SQL + "\nSELECT job_id, error FROM parsed WHERE error IS NOT NULL")
@@ -97,8 +98,8 @@ def _classify_sql(x):
 
 @register("apply_replies", with_ctes("posting") + "," + PARSE_SQL[len("WITH "):] + f"""
 SELECT p.id,
-       CASE WHEN r.job_id IS NULL THEN p.match_score WHEN r.error IS NULL THEN CAST(r.score AS INTEGER) ELSE 0 END
-         AS match_score,
+       CAST(CASE WHEN r.job_id IS NULL THEN p.match_score WHEN r.error IS NULL THEN CAST(r.score AS INTEGER) ELSE 0 END
+         AS DOUBLE) AS match_score,
        CASE WHEN r.job_id IS NULL THEN p.status ELSE 'SCORED' END AS status,
        CASE WHEN r.job_id IS NULL THEN p.ai_analysis WHEN r.error IS NULL THEN r.analysis
             ELSE '{S.FAIL_ANALYSIS_PREFIX}' || {_classify_sql('r.error')} END AS ai_analysis,
@@ -109,7 +110,8 @@ SELECT p.id,
 FROM posting p LEFT JOIN parsed r ON r.job_id = p.id""")
 def q_apply_replies(spark, sf):
     p, _, _ = RP.apply_replies(B.postings(spark, sf), parsed_replies(spark, sf), B.NOW)
-    return p.select("id", "match_score", "status", "ai_analysis", "notes", "scored_at")
+    return p.select("id", F.col("match_score").cast("double").alias("match_score"), "status", "ai_analysis",
+                    "notes", "scored_at")
 
 
 @register("reply_applications", with_ctes("posting") + "," + PARSE_SQL[len("WITH "):] + """

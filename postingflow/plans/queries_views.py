@@ -10,8 +10,12 @@ from . import bindings as B
 from .catalog import register, with_ctes
 from .oracle_sql import NOW_SQL
 
-LIST_COLS = ["id", "reference_id", "status", "processing_status", "match_score", "created_at"]
-LIST_SQL = "id, reference_id, status, processing_status, match_score, created_at"
+# Nullable integer outputs are reported as DOUBLE in both engines: pandas
+# turns a Spark int column with nulls into float64 but a DuckDB one into a
+# nullable Int, which would make equal values hash differently.
+LIST_COLS = ["id", "reference_id", "status", "processing_status",
+             F.col("match_score").cast("double").alias("match_score"), "created_at"]
+LIST_SQL = "id, reference_id, status, processing_status, CAST(match_score AS DOUBLE) AS match_score, created_at"
 ST = "coalesce(status, 'FETCHED')"
 
 
@@ -137,12 +141,13 @@ def q_has_application(spark, sf):
 
 
 @register("cards", with_ctes("posting") + f"""
-SELECT id, title, company AS employer, {ST} AS status, match_score AS score, ai_analysis AS analysis,
+SELECT id, title, company AS employer, {ST} AS status, CAST(match_score AS DOUBLE) AS score, ai_analysis AS analysis,
        portal_url, notes, strftime(scored_at, '%Y-%m-%dT%H:%M:%S') AS scored_at_text,
        id IN (SELECT l_orderkey FROM lineitem) AS has_application
 FROM posting""")
 def q_cards(spark, sf):
-    return V.to_cards(B.postings(spark, sf), B.applications(spark, sf).select("job_id"))
+    c = V.to_cards(B.postings(spark, sf), B.applications(spark, sf).select("job_id"))
+    return c.withColumn("score", F.col("score").cast("double"))
 
 
 @register("preview", """
