@@ -124,7 +124,10 @@ def parse_replies(df: DataFrame, json_col: str = "json", error_col: str = "error
                  F.coalesce(*[c(f"_p.{k}") for k in S.LETTER_ALIASES]).alias("_letter"),
                  F.coalesce(*[c(f"_p.{k}") for k in S.ANALYSIS_ALIASES]).alias("_araw")).drop("_p")
     d = d.select("*",
-                 F.trim(c("_score_txt")).cast("double").alias("_score_num"),
+                 # try_cast: a non-numeric score is a row error, not a failed job
+                 # (ANSI mode makes a plain cast raise); Java int range only
+                 F.when(F.abs(F.trim(c("_score_txt")).try_cast("double")) < 2147483648.0,
+                        F.trim(c("_score_txt")).try_cast("double")).alias("_score_num"),
                  F.when(F.trim(c("_araw")).startswith("["),
                         F.from_json(c("_araw"), T.ArrayType(T.StringType()))).alias("_items"),
                  F.trim(c("_araw")).startswith("{").alias("_is_obj"))
@@ -139,7 +142,7 @@ def parse_replies(df: DataFrame, json_col: str = "json", error_col: str = "error
                  .when(c("_items").isNotNull(), jtrim(F.array_join(c("_items"), "\n")))
                  .when(c("_is_obj"), F.lit(""))
                  .otherwise(c("_araw")))
-    out = (d.withColumn("score", F.when(ok, F.coalesce(c("_score_num").cast("long"), F.lit(0).cast("long"))))
+    out = (d.withColumn("score", F.when(ok, F.coalesce(c("_score_num").try_cast("long"), F.lit(0).cast("long"))))
             .withColumn("letter", F.when(ok, c("_letter")))
             .withColumn("analysis", F.when(ok, analysis))
             .withColumn("analysis_items", F.when(ok, c("_items")))

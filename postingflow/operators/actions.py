@@ -197,8 +197,14 @@ def apply_profile_patches(profiles: DataFrame, patches: DataFrame) -> DataFrame:
         hit = [x for x in PROFILE_PATCH_KEYS if x[1] == f]
         if hit:
             _, c, t = hit[0]
-            v = F.trim(F.col(f"_{c}")).cast("int") if t == "int" else F.col(f"_{c}")
-            cols.append(F.when(F.coalesce(F.col(f"_has_{c}"), F.lit(False)), v).otherwise(F.col(f)).alias(f))
+            if t == "int":
+                # an unparsable number changes nothing (the reference rejects the request)
+                v = F.trim(F.col(f"_{c}")).try_cast("int")
+                hit = F.coalesce(F.col(f"_has_{c}"), F.lit(False)) & v.isNotNull()
+            else:
+                v = F.col(f"_{c}")
+                hit = F.coalesce(F.col(f"_has_{c}"), F.lit(False))
+            cols.append(F.when(hit, v).otherwise(F.col(f)).alias(f))
         else:
             cols.append(F.col(f))
     return j.select(*cols)

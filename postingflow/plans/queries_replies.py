@@ -50,7 +50,7 @@ p AS (SELECT job_id, error, json,
       FROM ex),
 parsed AS (
   SELECT job_id, error,
-         CASE WHEN error IS NULL THEN coalesce(CAST(trunc(CAST(trim(score_txt) AS DOUBLE)) AS BIGINT), 0) END AS score,
+         CASE WHEN error IS NULL THEN coalesce(CAST(trunc(TRY_CAST(trim(score_txt) AS DOUBLE)) AS BIGINT), 0) END AS score,
          CASE WHEN error IS NULL THEN letter END AS letter,
          CASE WHEN error IS NOT NULL THEN NULL
               WHEN analysis_json IS NULL THEN ''

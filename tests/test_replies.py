@@ -109,3 +109,9 @@ def test_prompt_cut(spark):
     t, c, jd, cvt = u.split("|")
     assert (t, c) == (S.PROMPT_MISSING_TITLE, S.PROMPT_MISSING_COMPANY)
     assert jd == "d" * 4000 + "..." and cvt == "c" * 10
+
+
+def test_unparsable_score_is_a_row_error(spark):
+    out = parsed(spark, [("1", '{"score": "abc"}'), ("2", '{"score": 1e30}'), ("3", '{"score": 7.9}')])
+    assert out["1"].error.startswith("Cannot parse score") and out["2"].error.startswith("Cannot parse score")
+    assert out["3"].score == 7 and out["3"].error is None
