@@ -74,7 +74,12 @@ def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> Data
     # among the short names are exploded (at most q - 1 values, read with a
     # bounded collect), and nothing is exploded when there is no short name.
     short_c = heads.filter(F.length("company_l") < q).select("company_l")
-    lengths = sorted(r[0] for r in short_c.select(F.length("company_l")).distinct().limit(q).collect())
+    # the lengths come from a filter + distinct over the company column
+    # (no need to build the per-company heads for this small read)
+    st = F.coalesce(F.col("status"), F.lit("FETCHED"))
+    n = F.length(F.lower("company"))
+    lengths = sorted(r[0] for r in postings.filter(~st.isin("REJECTED", "HIRED") & (n > 0) & (n < q))
+                     .select(n.alias("n")).distinct().limit(q).collect())
     cand = cand_long
     for k in lengths:
         sub = gram_rows(msg, "message_id", "txt", k).withColumnRenamed("gram", "company_l")
