@@ -151,16 +151,30 @@ def apply_replies(postings: DataFrame, parsed: DataFrame, now: str,
         (cv_path if cv_path is not None else F.lit(None).cast("string")).alias("cv_path"),
         F.when(F.col("error").isNull(), letter_file_name("id")).otherwise(letter_file_name("id", True)).alias("letter_path"),
         ts_lit(now).alias("created_at"))
+    label = job_label()
     events = replied.select(
         F.col("id"),
         F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("error")).alias("type"),
         F.when(F.col("error").isNull(),
-               F.format_string(S.PROGRESS_OK_FORMAT, F.col("title"), F.col("score").cast("string")))
-         .otherwise(F.format_string(S.PROGRESS_FAIL_FORMAT, F.col("title"), reason)).alias("message"),
+               F.format_string(S.PROGRESS_OK_FORMAT, label, F.col("score").cast("string")))
+         .otherwise(F.format_string(S.PROGRESS_FAIL_FORMAT, label, reason)).alias("message"),
         ts_lit(now).alias("ts"))
     return updated, apps, events
 
 
+def job_label() -> Column:
+    """"title @ company" as the progress messages show it (null prints null)."""
+    return F.format_string(S.PROGRESS_LABEL_FORMAT, F.coalesce(F.col("title"), F.lit("null")),
+                           F.coalesce(F.col("company"), F.lit("null")))
+
+
+def scoring_started(claimed: DataFrame, now: str) -> DataFrame:
+    """Progress "start" events for claimed postings."""
+    return claimed.select(F.col("id"), F.lit("start").alias("type"),
+                          F.format_string(S.PROGRESS_START_FORMAT, job_label()).alias("message"),
+                          ts_lit(now).alias("ts"))
+
+
 # ------------------------------------------------------------------ M7
 
 def _tag_regex() -> str:

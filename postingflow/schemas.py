@@ -77,6 +77,8 @@ FAIL_TEXT_DEFERRED = ("AI Matchmaking is deferred due to ongoing connection reco
                       "re-establishing model health (Circuit Breaker OPEN).")
 FAIL_NOTE_PREFIX = "[System] AI Matchmaking Deferred — "
 FAIL_ANALYSIS_PREFIX = "AI Matching deferred. Reason: "
+PROGRESS_LABEL_FORMAT = "%s @ %s"          # title @ company
+PROGRESS_START_FORMAT = "⏳ Scoring: %s"
 PROGRESS_OK_FORMAT = "✓ %s — %s%% match"
 PROGRESS_FAIL_FORMAT = "✗ %s — %s"
 

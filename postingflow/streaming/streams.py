@@ -90,7 +90,7 @@ def queue_step(postings: DataFrame, scorer, now: str, n: int = 1):
                            .withColumn("error", F.coalesce("call_error", "error")))
     updated, apps, events = RP.apply_replies(working, parsed, now)
     released = Q.release(updated, claimed.select("id"))
-    return released, apps, events
+    return released, apps, RP.scoring_started(claimed, now).unionByName(events)
 
 
 def queue_stream(spark: SparkSession, tick_dir: str, postings_path: str, out_path: str, scorer, now: str,

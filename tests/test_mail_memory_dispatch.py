@@ -158,7 +158,8 @@ def test_embedder_and_queue_step(spark):
     got = {r.id: (r.status, r.processing_status, r.match_score) for r in posts.collect()}
     assert got["0"] == ("SCORED", "IDLE", 42) and got["1"] == ("SCORED", "IDLE", 42)
     assert got["2"] == ("FETCHED", "QUEUED", None)
-    assert apps.count() == 2 and {r.type for r in events.collect()} == {"success"}
+    assert apps.count() == 2 and sorted(r.type for r in events.collect()) == ["start", "start", "success", "success"]
+    assert {r.message for r in events.collect() if r.type == "success"} == {"✓ T0 @ c — 42% match", "✓ T1 @ c — 42% match"}
 
 
 def test_competing_messages_snapshot(spark):

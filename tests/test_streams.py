@@ -127,4 +127,4 @@ def test_queue_stream_ticks(spark, tmp):
                         trigger="availableNow"))
     got = {r.id: (r.status, r.processing_status) for r in spark.read.parquet(out + "/postings").collect()}
     assert got == {"0": ("SCORED", "IDLE"), "1": ("SCORED", "IDLE"), "2": ("FETCHED", "QUEUED")}
-    assert spark.read.parquet(out + "/progress").count() == 2
+    assert spark.read.parquet(out + "/progress").count() == 4     # start + success per claim
