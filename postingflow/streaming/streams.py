@@ -76,7 +76,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, table_path: str, now: str,
 
 # ------------------------------------------------------------------ R2
 
-def queue_step(postings: DataFrame, scorer, now: str, n: int = 1):
+def queue_step(postings: DataFrame, scorer, now: str, n: int = 1, with_claimed: bool = False):
     """One queue-worker step (T1 -> X1 -> M1..M5 -> A7 release):
     returns (postings', new applications, progress events)."""
     from ..functions.json_reply import extract_json, parse_replies
@@ -90,23 +90,47 @@ def queue_step(postings: DataFrame, scorer, now: str, n: int = 1):
                            .withColumn("error", F.coalesce("call_error", "error")))
     updated, apps, events = RP.apply_replies(working, parsed, now)
     released = Q.release(updated, claimed.select("id"))
-    return released, apps, RP.scoring_started(claimed, now).unionByName(events)
+    events = RP.scoring_started(claimed, now).unionByName(events)
+    if with_claimed:
+        return released, apps, events, claimed
+    return released, apps, events
+
+
+def current_postings(spark: SparkSession, base_path: str, changes_path: str, before_epoch: int) -> DataFrame:
+    """Base table with the latest change per posting from the change log
+    (epochs before ``before_epoch``) applied; the base is never rewritten."""
+    base = TB.read_table(spark, base_path)
+    changes = TB.try_read(spark, changes_path)
+    if changes is None:
+        return base
+    cols = base.columns
+    latest = (changes.filter(F.col("epoch") < before_epoch)
+                     .groupBy("id").agg(F.max_by(F.struct(*[c for c in cols if c != "id"]), "epoch").alias("r"))
+                     .select("id", "r.*"))
+    return base.join(latest.select("id"), "id", "left_anti").unionByName(latest.select(*cols))
 
 
 def queue_stream(spark: SparkSession, tick_dir: str, postings_path: str, out_path: str, scorer, now: str,
-                 n: int = 1, checkpoint: str | None = None, trigger: str | None = "3 seconds"):
+                 n: int = 1, checkpoint: str | None = None, trigger: str | None = "3 seconds",
+                 max_files: int | None = 1):
     """R2: every trigger claim ``n`` postings, score, apply, release.
 
-    Driven by a stream of landed tick files (one micro-batch per trigger);
-    the new posting state is written to ``out_path/epoch=<id>`` (a new
-    directory per batch, never the path being read).
+    Driven by a stream of landed tick files (one micro-batch per trigger).
+    The posting state is the base table plus a change log: each batch
+    writes only the rows it changed to ``out_path/postings/epoch=<id>``, and
+    the next batch reads the base with the latest changes applied, so a
+    posting claimed once is not claimed again.
     """
-    ticks = spark.readStream.format("text").load(tick_dir)
+    r = spark.readStream.format("text")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    ticks = r.load(tick_dir)
+    changes_path = f"{out_path}/postings"
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        cur = TB.read_table(spark, postings_path)
-        posts, apps, events = queue_step(cur, scorer, now, n)
-        write_epoch(posts, f"{out_path}/postings", epoch_id)
+        cur = current_postings(spark, postings_path, changes_path, epoch_id)
+        posts, apps, events, claimed = queue_step(cur, scorer, now, n, with_claimed=True)
+        write_epoch(posts.join(claimed.select("id"), "id", "left_semi"), changes_path, epoch_id)
         write_epoch(apps, f"{out_path}/applications", epoch_id)
         write_epoch(TB.progress_events(events, keep=("id",)), f"{out_path}/progress", epoch_id)
 

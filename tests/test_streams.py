@@ -120,11 +120,14 @@ def test_queue_stream_ticks(spark, tmp):
     posting_rows(spark, rows).write.parquet(ppath)
     ticks = os.path.join(tmp, "ticks")
     os.makedirs(ticks)
-    open(os.path.join(ticks, "t1.txt"), "w").write("tick\n")
+    for t in ("t1", "t2"):
+        open(os.path.join(ticks, f"{t}.txt"), "w").write("tick\n")
     scorer = lambda s: pd.Series(['{"score": 7}'] * len(s))
     out = os.path.join(tmp, "out")
-    run(ST.queue_stream(spark, ticks, ppath, out, scorer, NOW, n=2, checkpoint=os.path.join(tmp, "ck"),
+    # two ticks, one claim each: the second batch must see the first one's change
+    run(ST.queue_stream(spark, ticks, ppath, out, scorer, NOW, n=1, checkpoint=os.path.join(tmp, "ck"),
                         trigger="availableNow"))
-    got = {r.id: (r.status, r.processing_status) for r in spark.read.parquet(out + "/postings").collect()}
+    cur = ST.current_postings(spark, ppath, out + "/postings", 1 << 30)
+    got = {r.id: (r.status, r.processing_status) for r in cur.collect()}
     assert got == {"0": ("SCORED", "IDLE"), "1": ("SCORED", "IDLE"), "2": ("FETCHED", "QUEUED")}
     assert spark.read.parquet(out + "/progress").count() == 4     # start + success per claim
