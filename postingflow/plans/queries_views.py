@@ -13,8 +13,9 @@ from .oracle_sql import NOW_SQL
 # Nullable integer outputs are reported as DOUBLE in both engines: pandas
 # turns a Spark int column with nulls into float64 but a DuckDB one into a
 # nullable Int, which would make equal values hash differently.
-LIST_COLS = ["id", "reference_id", "status", "processing_status",
-             F.col("match_score").cast("double").alias("match_score"), "created_at"]
+def list_cols():
+    return ["id", "reference_id", "status", "processing_status",
+            F.col("match_score").cast("double").alias("match_score"), "created_at"]
 LIST_SQL = "id, reference_id, status, processing_status, CAST(match_score AS DOUBLE) AS match_score, created_at"
 ST = "coalesce(status, 'FETCHED')"
 
@@ -90,7 +91,7 @@ def q_score_bands(spark, sf):
 
 def _list(name, pred_sql, fn, with_customer=False):
     register(name, with_ctes("posting") + f"SELECT {LIST_SQL} FROM posting WHERE {pred_sql}")(
-        lambda spark, sf: fn(B.postings(spark, sf, with_customer)).select(*LIST_COLS))
+        lambda spark, sf: fn(B.postings(spark, sf, with_customer)).select(*list_cols()))
 
 
 _list("inbox", f"{ST} = 'FETCHED'", V.inbox)
@@ -111,7 +112,7 @@ WHERE reference_id IN (SELECT 'REF-' || CAST(l_orderkey AS VARCHAR) FROM lineite
 def q_by_reference(spark, sf):
     keys = (B.table(spark, sf, "lineitem")
             .select(F.concat(F.lit("REF-"), F.col("l_orderkey").cast("string")).alias("reference_id")))
-    return V.by_reference(B.postings(spark, sf, with_customer=False), keys).select(*LIST_COLS)
+    return V.by_reference(B.postings(spark, sf, with_customer=False), keys).select(*list_cols())
 
 
 @register("capped_inbox", with_ctes("posting") + f"""

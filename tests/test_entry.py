@@ -25,3 +25,13 @@ def test_all_queries_run_smoke(spark):
         except Exception as ex:  # noqa: BLE001
             bad[name] = str(ex)[:300]
     assert not bad, bad
+
+
+def test_registry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
