@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import non_blank, resolve_recipient
+from ..session import bounded_broadcast
 from .views import first_application
 
+MAX_PROFILES = 100_000
+
 DEFAULT_SYSTEM_PROMPT = ("You are a recruiter and cover-letter writer. Reply with one raw JSON object only.")
 SEARCH_FALLBACK = S.SCAN_KEYWORD
 MODEL_FALLBACK = "llama3.1"
@@ -62,7 +65,7 @@ def with_cv(postings: DataFrame, persona: DataFrame, cv_texts: DataFrame, fallba
     else the fallback CV, to every posting of the profile."""
     cv = (persona.join(cv_texts, "cv_path", "left")
                  .select("profile_id", F.coalesce(non_blank("cv_text"), F.lit(fallback_cv)).alias("cv_text")))
-    return postings.join(F.broadcast(cv), "profile_id", "left")
+    return postings.join(bounded_broadcast(cv, MAX_PROFILES), "profile_id", "left")
 
 
 def _artifact_state(path: Column, length: Column, has_app: Column) -> Column:

@@ -171,3 +171,21 @@ def test_competing_messages_snapshot(spark):
     assert [r.posting_id for r in out.orderBy("message_id").collect()] == ["1", "1"]
     st = {r.id: r.status for r in MB.apply_mail_outcomes(postings(spark), out).collect()}
     assert st["1"] == "REJECTED" and st["2"] == "APPLIED"
+
+
+def test_with_cv_and_profile_prompts(spark):
+    from postingflow import schemas as S
+    from postingflow.operators import replies as RP
+    prof = spark.createDataFrame([("p1", "A", None, None, None, None, None, None),
+                                  ("p2", "B", None, None, None, None, None, None)], S.PROFILE)
+    pers = spark.createDataFrame([("x1", "p1", "n", "", None, "cv1.pdf", True)], S.PERSONA)
+    act = DP.active_persona(prof, pers)
+    texts = spark.createDataFrame([("cv1.pdf", "Kotlin Spark")], "cv_path string, cv_text string")
+    posts = spark.createDataFrame([("j1", "p1", "T", "C", "D"), ("j2", "p2", "T", "C", "D")],
+                                  "id string, profile_id string, title string, company string, description string")
+    with_cv = DP.with_cv(posts, act, texts, "fallback cv")
+    got = {r.id: r.cv_text for r in with_cv.collect()}
+    assert got == {"j1": "Kotlin Spark", "j2": "fallback cv"}
+    prompts = {r.id: r.user for r in RP.build_prompts(posts, with_cv.select("profile_id", "cv_text").distinct(),
+                                                        template="{cv}").collect()}
+    assert prompts == {"j1": "Kotlin Spark", "j2": "fallback cv"}
