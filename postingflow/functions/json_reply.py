@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from .text import is_blank
+from .text import is_blank, java_trim
 
 LENIENT = {
     "allowSingleQuotes": "true",
@@ -41,13 +41,9 @@ def _from(s: Column, pos: Column) -> Column:
     return s.substr(pos, F.lit(1 << 30))
 
 
-# Characters removed by Java String.trim() (U+0000 .. U+0020).
-_JAVA_TRIM_CHARS = "".join(chr(i) for i in range(33))
-
-
 def jtrim(c: Column) -> Column:
     """Java trim as a codegen'd btrim (no regex)."""
-    return F.btrim(c, F.lit(_JAVA_TRIM_CHARS))
+    return java_trim(c)
 
 
 def barrier(df: DataFrame, name: str) -> DataFrame:

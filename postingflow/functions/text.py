@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-# Characters removed by Java String.trim(): U+0000 .. U+0020.
-_TRIM_CLASS = "[\\x00-\\x20]"
 # Characters for which Java Character.isWhitespace() is true.
 _WS_CLASS = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\u1680\\u2000-\\u2006\\u2008-\\u200A"
              "\\u2028\\u2029\\u205F\\u3000]")
@@ -23,8 +21,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_TRIM_CHARS = "".join(chr(i) for i in range(33))
+
+
 def java_trim(c) -> Column:
-    return F.regexp_replace(col_(c), f"^{_TRIM_CLASS}+|{_TRIM_CLASS}+$", "")
+    """Java String.trim(): btrim of U+0000..U+0020 (linear, no regex)."""
+    return F.btrim(col_(c), F.lit(_TRIM_CHARS))
 
 
 def is_blank(c) -> Column:
