@@ -17,13 +17,16 @@ from .. import schemas as S
 def explode_pages(env: DataFrame) -> DataFrame:
     """Envelope frame (page, stellenangebote, _file) -> one raw record per posting.
 
-    Keeps the array position; an empty or null array ends the feed, so pages
-    after the first empty one are dropped.  The end page is a scalar
-    subquery over a partial aggregate (no driver round trip).
+    Keeps the array position.  An empty or null array ends the feed: pages
+    after the first empty one of the same feed run are dropped, where a run
+    is the folder the pages were landed in.  The end page per run is a small
+    aggregate (one row per run), joined back to the pages.
     """
+    env = env.withColumn("_run", F.regexp_extract("_file", "^(.*)/[^/]*$", 1))
     ends = (env.filter(F.coalesce(F.size("stellenangebote"), F.lit(-1)) <= 0)
-               .agg(F.min("page").alias("end_page")))
-    live = env.filter(F.col("page") < F.coalesce(ends.scalar(), F.lit(1 << 62)))
+               .groupBy("_run").agg(F.min("page").alias("_end")))
+    live = (env.join(ends, "_run", "left")
+               .filter(F.col("_end").isNull() | (F.col("page") < F.col("_end"))))
     rec = live.select("page", "_file", F.posexplode("stellenangebote").alias("pos", "r"))
     return rec.select(
         F.col("r.refnr").alias("refnr"),

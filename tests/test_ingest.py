@@ -186,3 +186,13 @@ def test_quarantine_partitions_input(spark):
     df = B.doc_postings(spark, "/root/testdata/sf0.01")
     ok, bad = R.validate_postings(df)
     assert ok.count() + bad.count() == df.count() and bad.count() > 0
+
+
+def test_feed_end_is_per_run(spark, tmp):
+    a, b = os.path.join(tmp, "run_a"), os.path.join(tmp, "run_b")
+    land(a, "p1.json", {"page": 1, "stellenangebote": [{"refnr": "a1"}]})
+    land(a, "p2.json", {"page": 2, "stellenangebote": []})
+    land(a, "p3.json", {"page": 3, "stellenangebote": [{"refnr": "a3"}]})
+    land(b, "p3.json", {"page": 3, "stellenangebote": [{"refnr": "b3"}]})
+    got = sorted(r.refnr for r in FD.read_search_pages(spark, [a, b]).collect())
+    assert got == ["a1", "b3"]
