@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,35 +196,43 @@ _STATUS = dict(A.STATUS_OF_ACTION)
 
 
 def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Sequential fold of one posting's actions into its live state.
-
-    Rows of a key arrive as a stream of Arrow batches (never all at once);
-    each carries the posting facts (exists, has an application) from the
-    stream-static joins.
+    """Sequential fold of one posting's actions into its live state,
+    vectorised per Arrow batch (a key's rows arrive as a stream of batches,
+    never all at once); each row carries the posting facts (exists, has an
+    application) from the stream-static joins.
     """
     if state.exists:
         st, st_seq, queued, notes, notes_seq, deleted, n = state.get
     else:
         st, st_seq, queued, notes, notes_seq, deleted, n = None, None, False, None, None, False, 0
     for pdf in pdfs:
+        n += len(pdf)
+        if deleted or pdf.empty:
+            continue
         pdf = pdf.sort_values("seq")
-        for seq, action, arg, exists, has_app in zip(pdf["seq"], pdf["action"], pdf["arg"],
-                                                     pdf["job_exists"], pdf["has_app"]):
-            n += 1
-            if deleted or not exists:
-                continue
-            if action == "reject":
-                if not has_app:
-                    deleted = True
-                continue
-            if action == "dispatched" and not has_app:
-                continue
-            if action in _STATUS and (st_seq is None or seq > st_seq):
-                st, st_seq = _STATUS[action], int(seq)
-            elif action == "analyze":
-                queued = True
-            elif action == "notes" and (notes_seq is None or seq > notes_seq):
-                notes, notes_seq = ("" if arg is None or (isinstance(arg, float) and pd.isna(arg)) else arg), int(seq)
+        act = pdf["action"].to_numpy(dtype=object)
+        seq = pdf["seq"].to_numpy()
+        exists = pdf["job_exists"].to_numpy(dtype=bool)
+        has_app = pdf["has_app"].to_numpy(dtype=bool)
+        # rows up to (and including) the first effective reject take effect
+        cut = np.flatnonzero((act == "reject") & exists & ~has_app)
+        live = np.arange(len(pdf)) < (cut[0] if len(cut) else len(pdf))
+        if len(cut):
+            deleted = True
+        ok = live & exists & ((act != "dispatched") | has_app)
+        is_status = ok & np.isin(act, list(_STATUS))
+        if is_status.any():
+            i = np.flatnonzero(is_status)[-1]
+            if st_seq is None or seq[i] > st_seq:
+                st, st_seq = _STATUS[act[i]], int(seq[i])
+        if (ok & (act == "analyze")).any():
+            queued = True
+        is_note = ok & (act == "notes")
+        if is_note.any():
+            i = np.flatnonzero(is_note)[-1]
+            if notes_seq is None or seq[i] > notes_seq:
+                a = pdf["arg"].iloc[i]
+                notes, notes_seq = ("" if a is None or (isinstance(a, float) and np.isnan(a)) else a), int(seq[i])
     state.update((st, st_seq, bool(queued), notes, notes_seq, bool(deleted), int(n)))
     yield pd.DataFrame({"job_id": [key[0]], "new_status": [st], "queued": [bool(queued)],
                         "new_notes": [notes], "deleted": [bool(deleted)], "n_actions": [int(n)]})
@@ -234,7 +243,12 @@ def state_stream(actions: DataFrame, postings: DataFrame, apps: DataFrame) -> Da
 
     ``postings`` and ``apps`` are static tables (stream-static joins on the
     key projections only).  Each micro-batch's volume per key is bounded by
-    the source's trigger limits (``maxFilesPerTrigger``).
+    the source's trigger limits (``maxFilesPerTrigger``).  Status and notes
+    are last-wins by seq whatever the arrival order; the delete cut is exact
+    when a posting's actions of one micro-batch fit one Arrow batch
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``) or arrive in seq
+    order, as appended logs do.  The batch fold (``apply_actions``) has no
+    such condition.
     """
     ids = postings.select(F.col("id").alias("job_id")).withColumn("job_exists", F.lit(True))
     has = apps.select("job_id").distinct().withColumn("has_app", F.lit(True))
