@@ -186,25 +186,26 @@ PROFILE_PATCH_KEYS = [("searchKeyword", "search_keyword", "string"),
 
 def apply_profile_patches(profiles: DataFrame, patches: DataFrame) -> DataFrame:
     """Patches (seq, profile_id, key, value): only keys present change;
-    ints are parsed from text; last patch per (profile, key) wins."""
-    agg = patches.groupBy("profile_id").agg(*[
-        F.max_by(F.col("value"), F.when(F.col("key") == k, F.col("seq"))).alias(f"_{c}")
-        for k, c, _ in PROFILE_PATCH_KEYS] + [
-        F.max(F.when(F.col("key") == k, F.lit(True))).alias(f"_has_{c}") for k, c, _ in PROFILE_PATCH_KEYS])
+    last patch per (profile, key) wins.  Integer settings take the text as
+    Java's parseInt does (optional sign and digits, int range, no spaces); a
+    patch that does not parse is a rejected request and changes nothing, so
+    the last parsable one wins."""
+    v = F.col("value")
+    parses = v.rlike("^[+-]?[0-9]+$") & v.try_cast("int").isNotNull()
+    aggs = []
+    for k, c, t in PROFILE_PATCH_KEYS:
+        ok = (F.col("key") == k) & (parses if t == "int" else F.lit(True))
+        aggs.append(F.max_by(v, F.when(ok, F.col("seq"))).alias(f"_{c}"))
+        aggs.append(F.max(F.when(ok, F.lit(True))).alias(f"_has_{c}"))
+    agg = patches.groupBy("profile_id").agg(*aggs)
     j = profiles.join(agg.withColumnRenamed("profile_id", "id"), "id", "left")
     cols = []
     for f in profiles.columns:
         hit = [x for x in PROFILE_PATCH_KEYS if x[1] == f]
         if hit:
             _, c, t = hit[0]
-            if t == "int":
-                # an unparsable number changes nothing (the reference rejects the request)
-                v = F.trim(F.col(f"_{c}")).try_cast("int")
-                hit = F.coalesce(F.col(f"_has_{c}"), F.lit(False)) & v.isNotNull()
-            else:
-                v = F.col(f"_{c}")
-                hit = F.coalesce(F.col(f"_has_{c}"), F.lit(False))
-            cols.append(F.when(hit, v).otherwise(F.col(f)).alias(f))
+            new = F.col(f"_{c}").try_cast("int") if t == "int" else F.col(f"_{c}")
+            cols.append(F.when(F.coalesce(F.col(f"_has_{c}"), F.lit(False)), new).otherwise(F.col(f)).alias(f))
         else:
             cols.append(F.col(f))
     return j.select(*cols)

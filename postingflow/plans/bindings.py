@@ -314,3 +314,21 @@ def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(b < 1000, F.lit(None)).otherwise(F.concat(F.lit("cv_s"), F.col("s_suppkey").cast("string"),
                                                                     F.lit(".pdf"))).alias("cv_path"),
                     (b > 8000).alias("is_default"))
+
+
+def profile_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events JOIN customer -> settings patches of the customer's nation
+    profile; the event type picks the key (whole table, one patch per event)."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    j = e.join(c, e.user_id == c.c_custkey)
+    et, v = F.col("event_type"), F.col("value")
+    key = (F.when(et == "click", "searchKeyword").when(et == "view", "minMatchScore")
+            .when(et == "error", "maxJobAgeDays").when(et == "purchase", "aiModel").otherwise("systemPrompt"))
+    val = (F.when(et == "click", F.concat(F.lit("kw"), F.col("user_id").cast("string")))
+            .when(et == "view", F.floor(v).cast("string"))
+            .when(et == "error", F.concat(F.lit(" "), F.floor(v).cast("string"), F.lit(" ")))
+            .when(et == "purchase", F.when(v > 100, F.lit("x")).otherwise(F.lit("abc")))
+            .otherwise(F.concat(F.lit("prompt "), F.col("event_id").cast("string"))))
+    return j.select(F.col("event_id").alias("seq"), F.col("c_nationkey").cast("string").alias("profile_id"),
+                    key.alias("key"), val.alias("value"))

@@ -98,3 +98,40 @@ SELECT id, full_name, coalesce({NB.format(x='search_keyword')}, 'Java') AS searc
 FROM prof WHERE id = (SELECT min(id) FROM prof)""")
 def q_effective_profile(spark, sf):
     return DP.effective_profile(B.profiles(spark, sf))
+
+
+@register("profile_patches", "WITH " + PROFILE_SQL + """,
+patch AS (
+  SELECT e.event_id AS seq, CAST(c.c_nationkey AS VARCHAR) AS profile_id,
+         CASE e.event_type WHEN 'click' THEN 'searchKeyword' WHEN 'view' THEN 'minMatchScore'
+              WHEN 'error' THEN 'maxJobAgeDays' WHEN 'purchase' THEN 'aiModel' ELSE 'systemPrompt' END AS key,
+         CASE e.event_type WHEN 'click' THEN 'kw' || CAST(e.user_id AS VARCHAR)
+              WHEN 'view' THEN CAST(CAST(floor(e.value) AS BIGINT) AS VARCHAR)
+              WHEN 'error' THEN ' ' || CAST(CAST(floor(e.value) AS BIGINT) AS VARCHAR) || ' '
+              WHEN 'purchase' THEN CASE WHEN e.value > 100 THEN 'x' ELSE 'abc' END
+              ELSE 'prompt ' || CAST(e.event_id AS VARCHAR) END AS value
+  FROM events e JOIN customer c ON e.user_id = c.c_custkey),
+last AS (
+  SELECT profile_id,
+         arg_max(value, seq) FILTER (WHERE key = 'searchKeyword') AS kw,
+         arg_max(value, seq) FILTER (WHERE key = 'minMatchScore' AND regexp_matches(value, '^[+-]?[0-9]+$')
+                                     AND TRY_CAST(value AS INTEGER) IS NOT NULL) AS mms,
+         arg_max(value, seq) FILTER (WHERE key = 'maxJobAgeDays' AND regexp_matches(value, '^[+-]?[0-9]+$')
+                                     AND TRY_CAST(value AS INTEGER) IS NOT NULL) AS age,
+         arg_max(value, seq) FILTER (WHERE key = 'systemPrompt') AS sp,
+         arg_max(value, seq) FILTER (WHERE key = 'aiModel') AS model
+  FROM patch GROUP BY profile_id)
+SELECT prof.id, prof.full_name,
+       coalesce(l.kw, prof.search_keyword) AS search_keyword,
+       coalesce(l.sp, CAST(NULL AS VARCHAR)) AS system_prompt,
+       CAST(NULL AS VARCHAR) AS email_signature,
+       coalesce(l.model, prof.ai_model) AS ai_model,
+       CAST(coalesce(CAST(l.mms AS INTEGER), prof.min_match_score) AS DOUBLE) AS min_match_score,
+       CAST(coalesce(CAST(l.age AS INTEGER), prof.max_job_age_days) AS DOUBLE) AS max_job_age_days
+FROM prof LEFT JOIN last l ON l.profile_id = prof.id""")
+def q_profile_patches(spark, sf):
+    from ..operators import actions as A
+    out = A.apply_profile_patches(B.profiles(spark, sf), B.profile_patches(spark, sf))
+    # integer settings may be null: reported as DOUBLE (see queries_views)
+    return (out.withColumn("min_match_score", F.col("min_match_score").cast("double"))
+               .withColumn("max_job_age_days", F.col("max_job_age_days").cast("double")))

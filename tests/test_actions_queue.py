@@ -113,10 +113,11 @@ def test_profile_and_persona_logs(spark):
     from postingflow import schemas as S
     prof = spark.createDataFrame([("p1", "Ann", "Java", None, None, "llama3", 75, 30)], S.PROFILE)
     patches = spark.createDataFrame([(1, "p1", "minMatchScore", "80"), (2, "p1", "searchKeyword", "Go"),
-                                     (3, "p1", "minMatchScore", " 85 ")],
+                                     (3, "p1", "minMatchScore", " 85 "), (4, "p1", "maxJobAgeDays", "-7")],
                                     "seq long, profile_id string, key string, value string")
     r = A.apply_profile_patches(prof, patches).first()
-    assert (r.min_match_score, r.search_keyword, r.max_job_age_days) == (85, "Go", 30)
+    # " 85 " does not parse (a rejected request): the last parsable value wins
+    assert (r.min_match_score, r.search_keyword, r.max_job_age_days) == (80, "Go", -7)
     pers = spark.createDataFrame([], S.PERSONA)
     log = spark.createDataFrame([(1, "create", "x1", "p1", None, None, None), (2, "prompt", "x1", None, None, None, "P1"),
                                  (3, "prompt", "x1", None, None, None, "P2")],
