@@ -332,3 +332,28 @@ def profile_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit("prompt "), F.col("event_id").cast("string"))))
     return j.select(F.col("event_id").alias("seq"), F.col("c_nationkey").cast("string").alias("profile_id"),
                     key.alias("key"), val.alias("value"))
+
+
+def persona_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> persona creations (seq = s_suppkey), events JOIN supplier
+    -> prompt updates (seq after all creations)."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    pid = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
+    create = s.select(F.col("s_suppkey").alias("seq"), F.lit("create").alias("op"), pid("s_suppkey").alias("persona_id"),
+                      F.col("s_nationkey").cast("string").alias("profile_id"),
+                      F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("name"),
+                      F.when(F.col("s_acctbal") > 5000, F.lit("Lead")).alias("role"),
+                      F.lit(None).cast("string").alias("prompt"))
+    upd = e.join(s, e.user_id == s.s_suppkey).select(
+        (F.lit(1 << 40) + F.col("event_id")).alias("seq"), F.lit("prompt").alias("op"), pid("s_suppkey").alias("persona_id"),
+        F.lit(None).cast("string").alias("profile_id"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("string").alias("role"), F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("prompt"))
+    return create.unionByName(upd)
+
+
+def cv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> CV texts by file name (the text of a persona's CV file)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select(F.concat(F.lit("cv_s"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("cv_path"),
+                    F.col("text").alias("cv_text"))

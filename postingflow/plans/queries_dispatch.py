@@ -135,3 +135,41 @@ def q_profile_patches(spark, sf):
     # integer settings may be null: reported as DOUBLE (see queries_views)
     return (out.withColumn("min_match_score", F.col("min_match_score").cast("double"))
                .withColumn("max_job_age_days", F.col("max_job_age_days").cast("double")))
+
+
+@register("persona_log", """
+WITH s AS (SELECT * FROM supplier),
+upd AS (SELECT lpad(CAST(s.s_suppkey AS VARCHAR), 8, '0') AS persona_id, arg_max('P' || CAST(e.event_id AS VARCHAR), e.event_id) AS prompt
+        FROM events e JOIN s ON e.user_id = s.s_suppkey GROUP BY 1)
+SELECT lpad(CAST(s.s_suppkey AS VARCHAR), 8, '0') AS id, CAST(s.s_nationkey AS VARCHAR) AS profile_id,
+       coalesce(CASE WHEN s.s_acctbal > 0 THEN s.s_name END, 'New Persona') AS persona_name,
+       coalesce(CASE WHEN s.s_acctbal > 5000 THEN 'Lead' END, '') AS role,
+       u.prompt AS prompt_override
+FROM s LEFT JOIN upd u ON u.persona_id = lpad(CAST(s.s_suppkey AS VARCHAR), 8, '0')""")
+def q_persona_log(spark, sf):
+    from .. import schemas as S
+    from ..operators import actions as A
+    out = A.apply_persona_log(spark.createDataFrame([], S.PERSONA), B.persona_log(spark, sf))
+    return out.select("id", "profile_id", "persona_name", "role", "prompt_override")
+
+
+@register("with_cv", with_ctes("posting") + "," + PROFILE_SQL + f""",
+pick AS (SELECT profile_id, arg_min(id, (NOT coalesce(is_default, false), id)) AS persona_id FROM pers GROUP BY 1),
+act AS (SELECT prof.id AS profile_id, {NB.format(x='pers.cv_path')} AS cv_path
+        FROM prof LEFT JOIN pick ON pick.profile_id = prof.id LEFT JOIN pers ON pers.id = pick.persona_id),
+cvt AS (SELECT 'cv_s' || CAST(doc_id AS VARCHAR) || '.pdf' AS cv_path, text AS cv_text FROM documents),
+cv AS (SELECT act.profile_id, coalesce({NB.format(x='cvt.cv_text')}, 'fallback cv') AS cv_text
+       FROM act LEFT JOIN cvt ON cvt.cv_path = act.cv_path),
+pp AS (SELECT p.id, CAST(c.c_nationkey AS VARCHAR) AS profile_id
+       FROM posting p JOIN orders o ON o.o_orderkey = p.id JOIN customer c ON c.c_custkey = o.o_custkey)
+SELECT pp.id, pp.profile_id, CAST(length(cv.cv_text) AS BIGINT) AS cv_chars, sha256(cv.cv_text) AS cv_hash
+FROM pp LEFT JOIN cv ON cv.profile_id = pp.profile_id""")
+def q_with_cv(spark, sf):
+    o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = B.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    posts = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("id"), F.col("c_nationkey").cast("string").alias("profile_id"))
+    act = DP.active_persona(B.profiles(spark, sf), B.personas(spark, sf))
+    out = DP.with_cv(posts, act, B.cv_texts(spark, sf), "fallback cv")
+    return out.select("id", "profile_id", F.length("cv_text").cast("long").alias("cv_chars"),
+                      F.sha2("cv_text", 256).alias("cv_hash"))
