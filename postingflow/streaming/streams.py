@@ -352,3 +352,21 @@ def event_rows(postings: DataFrame, outcomes: DataFrame, actions: DataFrame) ->
         appr = appr.join(actions.select("seq", "ts"), "seq")
     appr = appr.select(F.lit("ApplicationApproved").alias("event_type"), "job_id", "ts")
     return fetched.unionByName(scored).unionByName(appr)
+
+
+# ------------------------------------------------------------------ S6 (stream)
+
+PROGRESS_FILES = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("type", T.StringType()),
+    T.StructField("message", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
+
+
+def progress_stream(spark: SparkSession, in_dir: str, out_path: str, checkpoint: str | None = None,
+                    trigger: str | None = "availableNow"):
+    """S6 as a stream: landed progress rows -> one JSON line per event
+    ({type, message, time HH:mm:ss}); the file sink is exactly-once through
+    its own commit log."""
+    src = spark.readStream.schema(PROGRESS_FILES).parquet(in_dir)
+    w = (TB.progress_events(src).writeStream.format("text").option("path", out_path)
+           .option("checkpointLocation", _ckpt(spark, "progress", checkpoint)))
+    return _start(w, trigger)

@@ -131,3 +131,14 @@ def test_queue_stream_ticks(spark, tmp):
     got = {r.id: (r.status, r.processing_status) for r in cur.collect()}
     assert got == {"0": ("SCORED", "IDLE"), "1": ("SCORED", "IDLE"), "2": ("FETCHED", "QUEUED")}
     assert spark.read.parquet(out + "/progress").count() == 4     # start + success per claim
+
+
+def test_progress_stream_json_lines(spark, tmp):
+    rows = [("1", "start", "go", "2024-01-01 10:00:01"), ("2", "error", None, "2024-01-01 10:00:02")]
+    src = os.path.join(tmp, "ev")
+    spark.createDataFrame(rows, "id string, type string, message string, ts string") \
+         .withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(src)
+    out = os.path.join(tmp, "out")
+    run(ST.progress_stream(spark, src, out, checkpoint=os.path.join(tmp, "ck")))
+    got = sorted(json.loads(r.value)["time"] + json.loads(r.value)["message"] for r in spark.read.text(out).collect())
+    assert got == ["10:00:01go", "10:00:02"]
