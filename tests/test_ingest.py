@@ -196,3 +196,12 @@ def test_feed_end_is_per_run(spark, tmp):
     land(b, "p3.json", {"page": 3, "stellenangebote": [{"refnr": "b3"}]})
     got = sorted(r.refnr for r in FD.read_search_pages(spark, [a, b]).collect())
     assert got == ["a1", "b3"]
+
+
+def test_upgrade_other_tables(spark):
+    old_app = spark.createDataFrame([("a1", "j1")], "id string, job_id string")
+    r = R.upgrade_schema(old_app, "application").first()
+    assert r.cv_path is None and r.letter_path is None and r.created_at is None
+    old_persona = spark.createDataFrame([("x1", "p1", "Dev")], "id string, profile_id string, persona_name string")
+    r = R.upgrade_schema(old_persona, "persona").first()
+    assert r.persona_name == "Dev" and r.is_default is None
