@@ -138,3 +138,11 @@ def test_keyset_paging_equals_offset(spark):
         after = (got[-1].created_at, got[-1].id)
     offset = [[r.id for r in Q.page(df, i, 5).collect()] for i in range(len(pages))]
     assert pages == offset and sum(len(p) for p in pages) == 23
+
+
+def test_analyze_on_scored_is_never_claimed(spark):
+    p = posting_rows(spark, [dict(id="1", status="SCORED", processing_status="IDLE", created_at=T0)])
+    p2, _ = A.apply_actions(p, apps(spark, []), acts(spark, [("1", "analyze", None)]))
+    assert p2.first().processing_status == "QUEUED"
+    claimed, _ = Q.claim(p2, 1)
+    assert claimed.count() == 0
