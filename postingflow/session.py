@@ -122,3 +122,34 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the Python path of the session's workers.
+
+    Functions run by ``mapInPandas`` / ``applyInPandasWithState`` are pickled
+    by reference to their module, so every worker must be able to import
+    ``postingflow``.  The package is zipped once per application and handed
+    to ``SparkContext.addPyFile``, which serves it to every executor (the
+    same as ``spark-submit --py-files``); the zip is only a staging file.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    stage = tempfile.mkdtemp(prefix="pf-pyfiles-")
+    target = os.path.join(stage, "postingflow.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
