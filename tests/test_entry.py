@@ -35,3 +35,24 @@ def test_registry_imports_without_a_session():
     code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_python_worker_queries_from_another_folder(tmp_path):
+    """The driver may import the entry from elsewhere with a plain session:
+    pandas-backed queries must still find the package on the workers."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "q = E.queries()\n"
+        "print(q['breaker_windows'](s, '/root/testdata/sf0.001').count(), q['top_k'](s, '/root/testdata/sf0.001').count())\n"
+    ) % root
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600, env=env)
+    assert out.returncode == 0, out.stderr[-3000:]
