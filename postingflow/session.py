@@ -136,8 +136,11 @@ def ship_package(spark: SparkSession) -> None:
     to ``SparkContext.addPyFile``, which serves it to every executor (the
     same as ``spark-submit --py-files``); the zip is only a staging file.
     """
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session): nothing to ship
+        return
     if app in _SHIPPED:
         return
     import zipfile
