@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, quality_rules, secrets, window_dedup
+from . import decontaminate, near_duplicates, quality_rules, secrets, suffix_dedup, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,6 +83,21 @@ def op3(spark, sf_dir):
         (F.size("spans") > 0).alias("contaminated"))
 
 
+@_query("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    kept = suffix_dedup.strip_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+                       F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op9_minhash_near_dedup")
+def op9(spark, sf_dir):
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
+                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @_query("op10_quality_rules")
 def op10(spark, sf_dir):
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
