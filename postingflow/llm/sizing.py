@@ -16,10 +16,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
 
 
-def bucket_count(spark: SparkSession, total: int, each: int) -> int:
-    """Hash buckets of about ``each`` bytes, several for every shuffle partition."""
+def bucket_count(spark: SparkSession, total: int, each: int, per_partition: int = 2) -> int:
+    """Hash buckets of at most about ``each`` bytes, several for every shuffle partition."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * parts, -(-total // each))
+    return max(per_partition * parts, -(-total // each))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -78,13 +78,7 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest value of every run of ``width`` values."""
     bits = max(1, int(len(h)).bit_length())
     low = np.uint64((1 << bits) - 1)
-    best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    have = 1
-    while 2 * have <= width:
-        best = np.minimum(best[:-have], best[have:])
-        have *= 2
-    n = len(h) - width + 1
-    return (np.minimum(best[:n], best[width - have:][:n]) & low).astype(np.int64)
+    return (tb.sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), width) & low).astype(np.int64)
 
 
 def anchored(raw: np.ndarray, off: np.ndarray, size: int, piece: int = tb.BLOCK_BYTES

@@ -201,6 +201,16 @@ def windows(words: np.ndarray, first: np.ndarray, size: int, base: int
     return hashed[keep], at[keep], doc[keep]
 
 
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every run of ``width`` values, by runs of a power of two."""
+    best, have = values, 1
+    while 2 * have <= width:
+        best = np.minimum(best[:-have], best[have:])
+        have *= 2
+    n = len(values) - width + 1
+    return np.minimum(best[:n], best[width - have:][:n])
+
+
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Boolean mask over ``n`` items covered by runs of ``size`` from each start."""
     delta = np.zeros(n + 1, np.int32)

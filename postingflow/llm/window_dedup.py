@@ -9,8 +9,10 @@ Plan: one pass over the texts posts the window hashes, packed by bucket (a
 block of texts first keeps one posting per hash, so a passage in a third of
 all documents reaches its bucket once per block); one grouped pass compares;
 one join by document id brings the repeated hashes back to the texts.  The
-bucket is drawn from a second rolling hash, so two different sequences are
-taken for one only if 64 bits and the bucket agree.
+bucket is drawn from the smallest hash of the window's three-word runs, so
+that neighbouring windows mostly share a bucket and a copied passage comes back
+in a few rows; two different sequences are taken for one only if 64 bits and
+the bucket agree.
 
 Edge cases: a null text has no words; a text of fewer than ``size`` words has
 no window and is kept whole; a null id counts as larger than every id; rows
@@ -34,7 +36,9 @@ from . import textblocks as tb
 
 WINDOW = 13
 BUCKET_BYTES = 8 << 20
-_BASE, _BUCKET_BASE = 0x9E3779B1, 0x85EBCA77
+_BASE, _RUN_BASE = 0x9E3779B1, 0x85EBCA77
+#: Words of the runs that choose a window's bucket.
+RUN = 3
 _LAST = np.iinfo(np.int64).max
 
 POSTINGS = "bucket long, final boolean, ids binary, counts binary, hashes binary"
@@ -85,7 +89,9 @@ def _post(size: int, buckets: int):
                 h, at, doc = tb.windows(words, first, size, _BASE)
                 if len(h) == 0:
                     continue
-                place = tb.rolling(words, size, _BUCKET_BASE)[at] % np.uint64(buckets)
+                run = min(RUN, size)
+                least_run = tb.sliding_min(tb.rolling(words, run, _RUN_BASE), size - run + 1)
+                place = tb.mix64(least_run[at]) % np.uint64(buckets)
                 owner = ids[a:b][doc]
                 order, new, least, again = _smallest(h, owner)
                 rows = list(_packed(place[order][new].astype(np.int64), least, h[order][new], False))
@@ -199,7 +205,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, id: str = "doc_id",
     """Per document id (null as the largest) the hashes of its repeated windows."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    buckets = sizing.bucket_count(spark, sizing.text_bytes(texts), BUCKET_BYTES)
+    buckets = sizing.bucket_count(spark, sizing.text_bytes(texts), BUCKET_BYTES, per_partition=8)
     posted = texts.mapInArrow(_post(size, buckets), POSTINGS)
     found = posted.groupBy("bucket").applyInArrow(_compare, REPEATED)
     return found.groupBy("id").agg(F.collect_list("hashes").alias("repeated"))
