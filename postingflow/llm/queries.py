@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, near_duplicates, quality_rules, secrets, suffix_dedup, window_dedup
+from . import (decontaminate, html_extract, language_id, near_duplicates, quality_rules, secrets,
+               suffix_dedup, toxicity, window_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,6 +84,33 @@ def op3(spark, sf_dir):
         (F.size("spans") > 0).alias("contaminated"))
 
 
+@_query("op5_language_id")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language_id.train(docs, fold != 2)
+    found = language_id.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"),
+                        F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score")
+
+
+@_query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    p = [F.get("p", F.lit(k)).alias(f"p_{c}") for k, c in enumerate(toxicity.CATEGORIES)]
+    return found.select(F.col("row.doc_id").alias("doc_id"), *p,
+                        (F.element_at("p", -1) >= toxicity.THRESHOLD).alias("toxic"))
+
+
+@_query("op7_html_extraction")
+def op7(spark, sf_dir):
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query("op8_suffix_dedup")
 def op8(spark, sf_dir):
     kept = suffix_dedup.strip_repeated_bytes(table(spark, sf_dir, "documents"))
