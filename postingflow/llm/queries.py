@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import (decontaminate, html_extract, language_id, near_duplicates, quality_rules, secrets,
-               suffix_dedup, toxicity, window_dedup)
+from . import (decontaminate, html_extract, language_id, mixing, near_duplicates, quality_rules,
+               secrets, suffix_dedup, toxicity, window_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,7 +51,7 @@ def op1(spark, sf_dir):
 
 @_query("op2_substring_dedup", """
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS h
@@ -63,7 +63,7 @@ gone AS (
 lost AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
        CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
-       sha256(array_to_string(list_filter(words, (x, j) -> NOT coalesce(list_contains(ks, j), false)), ' ')) AS kept_sha256
+       sha256(array_to_string(list_filter(words, lambda x, j: NOT coalesce(list_contains(ks, j), false)), ' ')) AS kept_sha256
 FROM w LEFT JOIN lost USING (doc_id)
 """)
 def op2(spark, sf_dir):
@@ -84,6 +84,22 @@ def op3(spark, sf_dir):
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def domain_of(source):
+    """The domain of a source of ``documents``: by its number (no number: web)."""
+    number = F.try_to_number(F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})", 1), F.lit("999999999"))
+    return F.element_at(F.array(*map(F.lit, mixing.DOMAINS)),
+                        F.coalesce(F.pmod(number.cast("int"), F.lit(len(mixing.DOMAINS))), F.lit(0)) + 1)
+
+
+@_query("op4_mixing", mixing.ORACLE)
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = mixing.mix(docs.select("doc_id", "text", "lang", "source", domain_of(F.col("source")).alias("domain")),
+                       levels=("domain", "lang", "source"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("level_1").alias("domain"),
+                        F.col("level_2").alias("lang"), F.col("level_3").alias("source"), "n_tokens", "epoch", "n_taken")
+
+
 @_query("op5_language_id")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -102,7 +118,7 @@ def op6(spark, sf_dir):
     found = toxicity.score(docs.select("doc_id", "text"), model)
     p = [F.get("p", F.lit(k)).alias(f"p_{c}") for k, c in enumerate(toxicity.CATEGORIES)]
     return found.select(F.col("row.doc_id").alias("doc_id"), *p,
-                        (F.element_at("p", -1) >= toxicity.THRESHOLD).alias("toxic"))
+                        (F.element_at("p", -1) >= model.threshold).alias("toxic"))
 
 
 @_query("op7_html_extraction")
