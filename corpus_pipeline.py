@@ -41,8 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of near-duplicates stays."""
     ship_package(spark)
     groups = near_duplicates.near_duplicates(docs, words=WORDS, percent=PERCENT)
-    copies = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("copy")).distinct()
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("copy")), "left_anti")
+    copies = groups.where("node <> component").select("node").distinct()
+    return _rows(docs).withColumn("node", near_duplicates.node_of("row.doc_id", "body")) \
+        .join(copies, "node", "left_anti").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,10 +75,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus at its target weights: documents by epoch, with the tokens taken."""
     ship_package(spark)
-    marked = docs.select("*", domain_of(F.col("source")).alias("mix_domain"))
-    taken = mixing.mix(marked, levels=("mix_domain", "lang", "source"))
+    domain = _free("mix_domain", docs)
+    marked = docs.select("*", domain_of(F.col("source")).alias(domain))
+    taken = mixing.mix(marked, levels=(domain, "lang", "source"))
     return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns),
-                        F.col("level_1").alias("mix_domain"), "n_tokens", "epoch", "n_taken")
+                        *(F.col(c).alias(_free(n, docs)) for c, n in (
+                            ("level_1", "mix_domain"), ("n_tokens", "mix_tokens"), ("epoch", "mix_epoch"),
+                            ("n_taken", "mix_taken"))))
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores until no column of ``docs`` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 STAGES = [

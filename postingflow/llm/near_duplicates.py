@@ -17,9 +17,10 @@ after the rounds is compared pair by pair, again only across components.
 
 Edge cases: a null text, or one without words, has an empty set and is linked
 with nothing; a text of fewer words than a shingle is one shingle; rows with
-one id are one document; a null id counts as larger than every id and is
-never a component id of others; an empty table gives an empty result; other
-columns of the input are not read.
+one id are one document; a row with a null id is a document known by its text,
+larger than every id, and a component of such rows only has a null
+``component_id``; an empty table gives an empty result; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ from .sizing import written
 K = 64
 ROUNDS = 2
 _SHINGLE = 0xC2B2AE3D
-_LAST = np.iinfo(np.int64).max
+#: Nodes from here on stand for rows without an id (ids are smaller).
+NO_ID = 1 << 62
 
 SIGNATURES = "id long, n long, set_key binary, tokens array<long>"
 
@@ -134,13 +136,18 @@ def _confirm(percent: int):
     return run
 
 
+def node_of(id: str = "doc_id", text: str = "text"):
+    """The node of a document row: its id, or a number from its text."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(body), 3))
+
+
 class _Join:
     """The state of one run: signatures, prefix lists and sets, all written tables."""
 
     def __init__(self, docs: DataFrame, id: str, text: str, words: int, percent: int, k: int):
         self.percent, self.t = percent, agreement(k, percent)
-        texts = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(int(_LAST))).alias("id"),
-                            F.col(text).cast("string").alias("text"))
+        texts = docs.select(node_of(id, text).alias("id"), F.col(text).cast("string").alias("text"))
         self.signed = written(texts.mapInArrow(_sign(words, k), SIGNATURES), "signatures")
         self.classes = written(
             self.signed.where("n > 0").groupBy("set_key")
@@ -201,10 +208,11 @@ class _Join:
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3,
                     percent: int = 85, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (id, n_shingles, component_id), one per document row.
+    """Rows (id, n_shingles, component_id, node, component), one per document row.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B|; a
     component is everything reachable over links, named by its smallest id.
+    ``node`` and ``component`` are the same with rows without an id numbered.
     """
     join = _Join(docs, id, text, words, percent, k)
     found, roots = None, None
@@ -216,7 +224,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         roots = components(found)
     classes = (join.classes.join(roots, F.col("rep") == F.col("node"), "left")
                .select("set_key", F.coalesce("root", "rep").alias("component")))
-    null = F.lit(int(_LAST))
-    return (join.signed.join(classes, "set_key", "left")
-            .select(F.nullif("id", null).alias("id"), F.col("n").alias("n_shingles"),
-                    F.nullif(F.coalesce("component", "id"), null).alias("component_id")))
+    joined = join.signed.join(classes, "set_key", "left").select(
+        F.col("id").alias("node"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+
+    def known(c):
+        return F.when(F.col(c) < NO_ID, F.col(c))
+    return joined.select(known("node").alias("id"), "n_shingles", known("component").alias("component_id"),
+                         "node", "component")

@@ -139,7 +139,7 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
-                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+                        (F.col("node") == F.col("component")).alias("kept"))
 
 
 @_query("op10_quality_rules")
