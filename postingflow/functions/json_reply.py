@@ -29,6 +29,8 @@ LENIENT = {
 ALL_KEYS = S.SCORE_ALIASES + S.LETTER_ALIASES + S.ANALYSIS_ALIASES
 REPLY_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in ALL_KEYS]
                             + [T.StructField("_corrupt", T.StringType())])
+# Tells a bare number (truncated) from a quoted one (must be a whole number).
+NUMBER_SCHEMA = T.StructType([T.StructField(k, T.DoubleType()) for k in S.SCORE_ALIASES])
 
 
 def _last_index(s: Column, needle: str) -> Column:
@@ -51,8 +53,9 @@ def barrier(df: DataFrame, name: str) -> DataFrame:
 
     Filters are not pushed through ``observe``; without it a filter on
     ``error`` would be inlined through every position step below and grow
-    into an expression tree of millions of nodes.  The observed count is a
-    useful metric on its own (replies seen per run).
+    into an expression tree of millions of nodes.  The cost: no filter passes
+    this point towards the scan, so filter the replies before extracting them.
+    The observed count is a useful metric on its own (replies seen per run).
     """
     return df.observe(f"{name}_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 
@@ -96,7 +99,10 @@ def extract_json(df: DataFrame, col: str = "raw") -> DataFrame:
 
 
 def _strip_trailing_commas(c: Column) -> Column:
-    return F.regexp_replace(c, ",\\s*([}\\]])", "$1")
+    """Drop commas before a closing bracket; string literals are matched first
+    and kept as they are."""
+    literal = "\"(?:[^\"\\\\]|\\\\.)*+\"|'(?:[^'\\\\]|\\\\.)*+'"
+    return F.regexp_replace(c, f"({literal})|,\\s*([}}\\]])", "$1$2")
 
 
 def parse_replies(df: DataFrame, json_col: str = "json", error_col: str = "error") -> DataFrame:
@@ -109,20 +115,23 @@ def parse_replies(df: DataFrame, json_col: str = "json", error_col: str = "error
     c = F.col
     js = c(json_col)
     d = df.withColumn("_p1", F.from_json(js, REPLY_SCHEMA, LENIENT))
-    # second pass only for rows the first could not read (the plain regex
-    # would also rewrite ",}" inside strings of readable rows)
-    d = d.withColumn("_p", F.when(c("_p1._corrupt").isNotNull(),
-                                  F.from_json(_strip_trailing_commas(js), REPLY_SCHEMA, LENIENT))
+    # second pass only for rows the first could not read
+    d = d.withColumn("_js", F.when(c("_p1._corrupt").isNotNull(), _strip_trailing_commas(js)).otherwise(js))
+    d = d.withColumn("_p", F.when(c("_p1._corrupt").isNotNull(), F.from_json("_js", REPLY_SCHEMA, LENIENT))
                             .otherwise(c("_p1"))).drop("_p1")
+    d = d.withColumn("_bare", F.from_json("_js", NUMBER_SCHEMA, LENIENT))
     d = d.select("*",
                  (js.isNotNull() & (c("_p").isNull() | c("_p._corrupt").isNotNull())).alias("_corrupt_row"),
                  F.coalesce(*[c(f"_p.{k}") for k in S.SCORE_ALIASES]).alias("_score_txt"),
+                 F.coalesce(*[F.when(c(f"_p.{k}").isNotNull(), c(f"_bare.{k}").isNotNull())
+                              for k in S.SCORE_ALIASES]).alias("_score_bare"),
                  F.coalesce(*[c(f"_p.{k}") for k in S.LETTER_ALIASES]).alias("_letter"),
-                 F.coalesce(*[c(f"_p.{k}") for k in S.ANALYSIS_ALIASES]).alias("_araw")).drop("_p")
+                 F.coalesce(*[c(f"_p.{k}") for k in S.ANALYSIS_ALIASES]).alias("_araw")).drop("_p", "_bare", "_js")
     d = d.select("*",
                  # try_cast: a non-numeric score is a row error, not a failed job
                  # (ANSI mode makes a plain cast raise); Java int range only
-                 F.when(F.abs(F.trim(c("_score_txt")).try_cast("double")) < 2147483648.0,
+                 F.when((F.abs(F.trim(c("_score_txt")).try_cast("double")) < 2147483648.0)
+                        & (c("_score_bare") | F.trim(c("_score_txt")).rlike("^[+-]?[0-9]+$")),
                         F.trim(c("_score_txt")).try_cast("double")).alias("_score_num"),
                  F.when(F.trim(c("_araw")).startswith("["),
                         F.from_json(c("_araw"), T.ArrayType(T.StringType()))).alias("_items"),
@@ -142,7 +151,7 @@ def parse_replies(df: DataFrame, json_col: str = "json", error_col: str = "error
             .withColumn("letter", F.when(ok, c("_letter")))
             .withColumn("analysis", F.when(ok, analysis))
             .withColumn("analysis_items", F.when(ok, c("_items")))
-            .drop("_corrupt_row", "_score_txt", "_letter", "_araw", "_score_num", "_is_obj", "_items"))
+            .drop("_corrupt_row", "_score_bare", "_score_txt", "_letter", "_araw", "_score_num", "_is_obj", "_items"))
     return barrier(out, "replies_parsed")
 
 

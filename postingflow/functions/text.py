@@ -69,11 +69,11 @@ def resolve_recipient(override, stored, company) -> Column:
 
 
 def size_label(nbytes) -> Column:
-    """>= 1e9 one-decimal GB, >= 1e6 whole MB, else "n B"; null -> Unknown."""
+    """>= 1e9 one-decimal GB, >= 1e6 rounded MB, else "n B"; null -> Unknown."""
     b = col_(nbytes)
     return (F.when(b.isNull(), F.lit("Unknown"))
             .when(b >= 1_000_000_000, F.format_string("%.1f GB", b / F.lit(1e9)))
-            .when(b >= 1_000_000, F.format_string("%d MB", (b / F.lit(1_000_000)).cast("long")))
+            .when(b >= 1_000_000, F.format_string("%.0f MB", b / F.lit(1e6)))
             .otherwise(F.format_string("%d B", b.cast("long"))))
 
 
@@ -95,6 +95,17 @@ def contains_any(c, words) -> Column:
     return out
 
 
+def java_datetime(c) -> Column:
+    """A timestamp as Java's LocalDateTime prints it: seconds only when they or
+    a fraction are not zero, a fraction of 3 or 6 digits only when not zero."""
+    c = col_(c)
+    micros = F.date_format(c, "SSSSSS")
+    tail = (F.when(micros != "000000", F.concat(
+                F.date_format(c, ":ss."), F.when(micros.endswith("000"), micros.substr(1, 3)).otherwise(micros)))
+             .when(F.second(c) != 0, F.date_format(c, ":ss")).otherwise(F.lit("")))
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm"), tail)
+
+
 def ts_lit(value: str) -> Column:
     """A timestamp-without-zone literal ("now" is always passed in)."""
     return F.expr(f"TIMESTAMP_NTZ '{value}'")

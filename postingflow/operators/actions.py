@@ -18,13 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import resolve_recipient
+from ..functions.text import non_blank, resolve_recipient
 from ..session import cut_lineage
 
 STATUS_OF_ACTION = [("approve", "APPROVED"), ("ignore", "REJECTED"), ("dispatched", "APPLIED")]
 GLOBAL_ACTIONS = ("score_all", "cancel_queue")
-MAX_BARRIERS = 100   # global commands are user clicks; each one is a fold segment
-CUT_EVERY = 8        # segments between lineage cuts
+CUT_EVERY = 2        # segments between lineage cuts
 
 
 def _new_status(action: Column) -> Column:
@@ -80,7 +79,8 @@ def _job_state(o: DataFrame) -> DataFrame:
         _last(_new_status(act), ok & act.isin("approve", "ignore", "dispatched")).alias("new_status"),
         F.coalesce(F.max(F.when(ok & (act == "analyze"), F.lit(True))), F.lit(False)).alias("queued"),
         _last(F.coalesce(F.col("arg"), F.lit("")), ok & (act == "notes")).alias("new_notes"),
-        _last(F.col("arg"), ok & (act == "dispatched")).alias("override"),
+        # an address once used is stored, so a later dispatch without one keeps it
+        _last(F.col("arg"), ok & (act == "dispatched") & non_blank("arg").isNotNull()).alias("override"),
         F.coalesce(F.max(F.when(ok & (act == "dispatched"), F.lit(True))), F.lit(False)).alias("dispatched"),
         F.coalesce(F.max(F.when(F.col("outcome") == "deleted", F.lit(True))), F.lit(False)).alias("deleted"),
         F.count(F.lit(1)).alias("n_actions"))
@@ -131,14 +131,13 @@ def apply_log(postings: DataFrame, apps: DataFrame, actions: DataFrame, barriers
 
     ``barriers`` is the ordered list of ``(seq, command)`` global commands;
     it is taken from the log when not given.  Global commands are user
-    clicks, so the list is short; each one splits the fold into segments.
+    clicks; each one splits the fold into segments, so the work grows with
+    their number (no bound is set on it).
     Returns (postings', outcomes) where outcomes include the barrier counts.
     """
     if barriers is None:
         rows = (actions.filter(F.col("action").isin(*GLOBAL_ACTIONS)).select("seq", "action")
-                       .orderBy("seq").limit(MAX_BARRIERS + 1).collect())
-        if len(rows) > MAX_BARRIERS:
-            raise ValueError(f"more than {MAX_BARRIERS} global commands in one log; fold it in slices")
+                       .orderBy("seq").collect())
         barriers = [(r["seq"], r["action"]) for r in rows]
     per_job = actions.filter(~F.col("action").isin(*GLOBAL_ACTIONS))
     outs = []
@@ -211,14 +210,17 @@ def apply_profile_patches(profiles: DataFrame, patches: DataFrame) -> DataFrame:
     return j.select(*cols)
 
 
-def apply_persona_log(personas: DataFrame, log: DataFrame, default_profile: Column | None = None) -> DataFrame:
+def apply_persona_log(personas: DataFrame, log: DataFrame) -> DataFrame:
     """Log (seq, op, persona_id, profile_id, name, role, prompt).
 
     ``create`` appends a persona (name default "New Persona", role ""),
-    ``prompt`` sets prompt_override of an existing persona, last wins.
+    ``prompt`` sets prompt_override of a persona that exists by then, last
+    wins; a prompt that comes before its persona is not found and changes
+    nothing.
     """
     from .. import schemas as S
-    created = log.filter(F.col("op") == "create").select(
+    creates = log.filter(F.col("op") == "create")
+    created = creates.select(
         F.col("persona_id").alias("id"), F.col("profile_id"),
         F.coalesce("name", F.lit(S.DEFAULT_PERSONA_NAME)).alias("persona_name"),
         F.coalesce("role", F.lit("")).alias("role"),
@@ -226,8 +228,13 @@ def apply_persona_log(personas: DataFrame, log: DataFrame, default_profile: Colu
         F.lit(None).cast("string").alias("cv_path"),
         F.lit(False).alias("is_default"))
     allp = personas.unionByName(created)
-    upd = (log.filter(F.col("op") == "prompt").groupBy(F.col("persona_id").alias("id"))
-              .agg(F.max_by("prompt", "seq").alias("_prompt"), F.lit(True).alias("_upd")))
+    # a stored persona exists from the start (no sequence number)
+    since = (personas.select("id", F.lit(None).cast("long").alias("_since"))
+             .unionByName(creates.groupBy(F.col("persona_id").alias("id")).agg(F.min("seq").alias("_since")))
+             .groupBy("id").agg(F.min(F.coalesce("_since", F.lit(-(1 << 63)))).alias("_since")))
+    upd = (log.filter(F.col("op") == "prompt").select(F.col("persona_id").alias("id"), "seq", "prompt")
+              .join(since, "id").filter(F.col("seq") > F.col("_since"))
+              .groupBy("id").agg(F.max_by("prompt", "seq").alias("_prompt"), F.lit(True).alias("_upd")))
     return (allp.join(upd, "id", "left")
                 .withColumn("prompt_override", F.when(F.col("_upd"), F.col("_prompt")).otherwise(F.col("prompt_override")))
                 .drop("_prompt", "_upd"))
@@ -258,6 +265,12 @@ def delete_profiles(profiles: DataFrame, personas: DataFrame, ids: DataFrame) ->
 def action_changes(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> DataFrame:
     """Per touched posting, the net change of the per-posting actions:
     (job_id, new_status, queued, new_notes, deleted, n_actions).  The batch
-    twin of the live state stream (R4)."""
-    return _job_state(action_outcomes(postings, apps, actions)).select(
-        "job_id", "new_status", "queued", "new_notes", "deleted", "n_actions")
+    twin of the live state stream (R4): a deleted posting has no other change."""
+    return changes_of(_job_state(action_outcomes(postings, apps, actions)))
+
+
+def changes_of(state: DataFrame) -> DataFrame:
+    live = ~F.col("deleted")
+    return state.select(
+        "job_id", F.when(live, F.col("new_status")).alias("new_status"), (live & F.col("queued")).alias("queued"),
+        F.when(live, F.col("new_notes")).alias("new_notes"), "deleted", "n_actions")

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+from ..functions.text import ts_lit
+
 
 def dedup_first(df: DataFrame, key: str = "reference_id", order=("page", "pos")) -> DataFrame:
     """Keep the earliest record per key in feed order."""
@@ -46,8 +49,11 @@ def import_postings(incoming: DataFrame, stored: DataFrame, seq: str = "seq") ->
     """Exact (title, company) match -> outcome "exists" with the earliest
     stored id; otherwise the first incoming record of that pair is
     "imported" under a new deterministic id and later duplicates in the same
-    batch report "exists" with that new id.
+    batch report "exists" with that new id.  A missing title or company takes
+    its default before the comparison.  ``imported_postings`` gives the rows.
     """
+    incoming = incoming.withColumn("title", F.coalesce("title", F.lit(S.IMPORT_DEFAULTS["title"]))) \
+                       .withColumn("company", F.coalesce("company", F.lit(S.IMPORT_DEFAULTS["company"])))
     existing = (stored.groupBy("title", "company")
                       .agg(F.min_by(F.col("id").cast("string"), F.struct("created_at", "id")).alias("stored_id")))
     firsts = (incoming.groupBy("title", "company")
@@ -65,6 +71,19 @@ def import_postings(incoming: DataFrame, stored: DataFrame, seq: str = "seq") ->
     )
 
 
+def imported_postings(incoming: DataFrame, stored: DataFrame, now: str, seq: str = "seq") -> DataFrame:
+    """The new posting rows of an import (status FETCHED, reference = id;
+    a missing description becomes empty)."""
+    new = import_postings(incoming, stored, seq).filter(F.col("outcome") == "imported")
+    text = incoming.select(F.col(seq), "description") if "description" in incoming.columns \
+        else incoming.select(F.col(seq), F.lit(None).cast("string").alias("description"))
+    rows = new.join(text, seq)
+    cols = dict(id=F.col("id"), reference_id=F.col("id"), title=F.col("title"), company=F.col("company"),
+                description=F.coalesce("description", F.lit(S.IMPORT_DEFAULTS["description"])),
+                status=F.lit("FETCHED"), processing_status=F.lit("IDLE"), created_at=ts_lit(now))
+    return rows.select(*(cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.POSTING.fields))
+
+
 def ref_bucket(key: Column, buckets: int) -> Column:
     """Hash bucket of a reference key, the partition column of stored tables."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

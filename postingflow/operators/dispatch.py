@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import non_blank, resolve_recipient
-from ..session import bounded_broadcast
+from ..sources.tables import plain_path
 from .views import first_application
 
-MAX_PROFILES = 100_000
-
 DEFAULT_SYSTEM_PROMPT = ("You are a recruiter and cover-letter writer. Reply with one raw JSON object only.")
 SEARCH_FALLBACK = S.SCAN_KEYWORD
 MODEL_FALLBACK = "llama3.1"
@@ -62,10 +60,11 @@ def active_persona(profiles: DataFrame, personas: DataFrame,
 
 def with_cv(postings: DataFrame, persona: DataFrame, cv_texts: DataFrame, fallback_cv: str) -> DataFrame:
     """Attach the CV text of the active persona (path -> text frame),
-    else the fallback CV, to every posting of the profile."""
+    else the fallback CV, to every posting of the profile (AQE broadcasts the
+    CVs when their bytes are few, and splits a profile with very many postings)."""
     cv = (persona.join(cv_texts, "cv_path", "left")
                  .select("profile_id", F.coalesce(non_blank("cv_text"), F.lit(fallback_cv)).alias("cv_text")))
-    return postings.join(bounded_broadcast(cv, MAX_PROFILES), "profile_id", "left")
+    return postings.join(cv, "profile_id", "left")
 
 
 def _artifact_state(path: Column, length: Column, has_app: Column) -> Column:
@@ -76,16 +75,33 @@ def _artifact_state(path: Column, length: Column, has_app: Column) -> Column:
              .otherwise(F.lit("ok")))
 
 
+def application_files(postings: DataFrame, apps: DataFrame, files: DataFrame) -> DataFrame:
+    """The first application (J3) of each given posting with the lengths of
+    its files: (id, cv_path, letter_path, cv_len, letter_len).
+
+    Applications are cut to the given postings before the first one is
+    chosen.  Its two paths are stacked, blank ones dropped, and meet the
+    inventory in one join; both sides carry plain paths.
+    """
+    wanted = apps.select("id", "job_id", "cv_path", "letter_path", "created_at") \
+        .join(postings.select(F.col("id").alias("job_id")).distinct(), "job_id", "left_semi")
+    first = first_application(wanted).select(F.col("job_id").alias("id"), "cv_path", "letter_path")
+    known = files.select(plain_path(F.col("path")).alias("path"), "length").groupBy("path").agg(F.max("length").alias("length"))
+    kinds = F.explode(F.array(F.struct(F.lit("cv").alias("kind"), F.col("cv_path").alias("path")),
+                              F.struct(F.lit("letter").alias("kind"), F.col("letter_path").alias("path"))))
+    stacked = first.select("id", kinds.alias("k")).select("id", "k.kind", plain_path(F.col("k.path")).alias("path")) \
+        .filter(non_blank("path").isNotNull())
+    found = stacked.join(known, "path").groupBy("id").agg(
+        F.max(F.when(F.col("kind") == "cv", F.col("length"))).alias("cv_len"),
+        F.max(F.when(F.col("kind") == "letter", F.col("length"))).alias("letter_len"))
+    return first.join(found, "id", "left")
+
+
 def audit_artifacts(postings: DataFrame, apps: DataFrame, files: DataFrame) -> DataFrame:
     """Per posting and kind (cv / letter) one of no_application,
     blank_path, missing, empty_file, ok, judged on the first application."""
-    first = first_application(apps.select("id", "job_id", "cv_path", "letter_path", "created_at"))
-    f = files.select(F.col("path").alias("_path"), F.col("length").alias("_len"))
-    j = postings.select("id").join(first.select(F.col("job_id").alias("id"), "cv_path", "letter_path",
-                                                F.lit(True).alias("_has")), "id", "left")
-    j = (j.join(f.withColumnRenamed("_path", "cv_path").withColumnRenamed("_len", "cv_len"), "cv_path", "left")
-          .join(f.withColumnRenamed("_path", "letter_path").withColumnRenamed("_len", "letter_len"),
-                "letter_path", "left"))
+    f = application_files(postings, apps, files).withColumn("_has", F.lit(True))
+    j = postings.select("id").join(f, "id", "left")
     has = F.coalesce("_has", F.lit(False))
     return j.select(
         "id",
@@ -94,32 +110,30 @@ def audit_artifacts(postings: DataFrame, apps: DataFrame, files: DataFrame) -> D
 
 
 def dispatch_manifest(postings: DataFrame, apps: DataFrame, overrides: DataFrame | None,
-                      files: DataFrame, signature: str | None) -> DataFrame:
-    """One row per posting that has an application: recipient (P9),
-    subject, body with signature, attachment flags for files that exist
-    (non-empty).  Postings without an application are reported as skipped.
+                      files: DataFrame, signature: str | DataFrame | None) -> DataFrame:
+    """One row per posting: recipient (P9), subject, body with signature,
+    attachment names for files that exist (whatever their length).  Postings
+    without an application are reported as skipped.  ``signature`` is a text
+    or the effective profile (J9), whose email signature is used unless null.
     Sending is not built; A11 applies the status change.
     """
-    first = first_application(apps.select("id", "job_id", "cv_path", "letter_path", "created_at"))
+    f = application_files(postings, apps, files).withColumn("_has", F.lit(True))
     p = postings.select("id", "company", "employer_email")
     if overrides is not None:
         p = p.join(overrides.select("id", "override_email"), "id", "left")
     else:
         p = p.withColumn("override_email", F.lit(None).cast("string"))
-    # a file counts as present whatever its length
-    f = files.select(F.col("path"), F.lit(True).alias("_exists")).distinct()
-    j = (p.join(first.select(F.col("job_id").alias("id"), "cv_path", "letter_path", F.lit(True).alias("_has")),
-                "id", "left")
-          .join(f.withColumnRenamed("path", "cv_path").withColumnRenamed("_exists", "cv_exists"), "cv_path", "left")
-          .join(f.withColumnRenamed("path", "letter_path").withColumnRenamed("_exists", "letter_exists"),
-                "letter_path", "left"))
-    sig = signature if signature is not None else S.FALLBACK_SIGNATURE
+    if isinstance(signature, DataFrame):
+        sig = F.coalesce(signature.select("email_signature").scalar(), F.lit(S.FALLBACK_SIGNATURE))
+    else:
+        sig = F.lit(signature if signature is not None else S.FALLBACK_SIGNATURE)
+    j = p.join(f, "id", "left")
     has_app = F.coalesce(F.col("_has"), F.lit(False))
     return j.select(
         "id",
         F.when(has_app, F.lit("send")).otherwise(F.lit("skipped_no_application")).alias("action"),
         F.when(has_app, resolve_recipient("override_email", "employer_email", "company")).alias("recipient"),
         F.when(has_app, F.lit(S.DISPATCH_SUBJECT)).alias("subject"),
-        F.when(has_app, F.lit(S.DISPATCH_BODY_OPENING + sig)).alias("body"),
-        (has_app & F.coalesce("cv_exists", F.lit(False))).alias("attach_cv"),
-        (has_app & F.coalesce("letter_exists", F.lit(False))).alias("attach_letter"))
+        F.when(has_app, F.concat(F.lit(S.DISPATCH_BODY_OPENING), sig)).alias("body"),
+        F.when(has_app & F.col("cv_len").isNotNull(), F.lit(S.CV_ATTACHMENT_NAME)).alias("cv_attachment"),
+        F.when(has_app & F.col("letter_len").isNotNull(), F.lit(S.LETTER_ATTACHMENT_NAME)).alias("letter_attachment"))

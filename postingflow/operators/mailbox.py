@@ -2,13 +2,21 @@
 outcome and rejection memory (J5, W3, G1, A12, V4).
 
 A plain ``contains`` join condition plans as a BroadcastNestedLoopJoin
-(messages x postings).  Here it becomes an equi-join on q-grams, which is
+(messages x companies).  Here it becomes an equi-join on q-grams, which is
 lossless: a text that contains a company name contains every q-gram of it,
-in particular the one gram chosen for that company.  Each company picks its
-rarest gram (by frequency in the mail), so candidate pairs stay few, and
-every candidate is verified with the real ``contains``.  Companies shorter
-than q are matched by exploding the mail's substrings of exactly their
-length (an exact equi-join, again no nested loop).
+in particular the one gram chosen for that company.  A company takes the
+longest gram length its name allows, and of its grams the one that fewest
+companies hold, so candidates per message stay flat as companies grow; every
+candidate is verified with the real ``contains``.
+
+Mail is taken in order (received_at, message_id).  A message goes to the
+first posting, in (created_at, id) order, that is still active and whose
+company it names; a rejecting message takes its posting out.  So the k-th
+rejection of a company hits its k-th active posting: a message's posting is
+found by an equi-join on (company, 1 + earlier rejections), with both counts
+made in two levels (``ordering``).  Messages that name several companies
+depend on each other; they are settled round by round, those first that no
+earlier unsettled one touches.
 """
 
 from __future__ import annotations
@@ -18,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import contains_any
+from ..session import cut_lineage
+from .ordering import running_before
 
-Q = 4
+#: Gram lengths; a shorter name is a gram by itself.
+GRAM_LENGTHS = (16, 8, 4)
 SEP = "\u0000"
 
 
@@ -33,71 +44,97 @@ def gram_rows(df: DataFrame, key: str, text: str, q: int) -> DataFrame:
     return pos.select(key, F.col(text).substr(F.col("_i"), F.lit(q)).alias("gram"))
 
 
-def company_heads(postings: DataFrame) -> DataFrame:
-    """Earliest active posting per lower(company), non-empty companies only.
-
-    In snapshot mode no other posting of the same company can win a match,
-    so the join only needs one row per company.  ``min_by`` aggregates with
-    map-side partials (a company with a third of all postings is fine).
-    """
+def active_postings(postings: DataFrame) -> DataFrame:
+    """(company_l, posting_id, created_at) of the postings mail can reach."""
     st = F.coalesce(F.col("status"), F.lit("FETCHED"))
     act = postings.filter(~st.isin("REJECTED", "HIRED")).select(
-        F.lower("company").alias("company_l"), "id", "created_at")
-    act = act.filter(F.col("company_l").isNotNull() & (F.col("company_l") != "")
-                     & ~F.col("company_l").contains(SEP))
-    return (act.groupBy("company_l")
-               .agg(F.min_by(F.struct("created_at", "id"), F.struct("created_at", "id")).alias("rank"))
-               .select("company_l", F.col("rank.id").alias("posting_id"), "rank"))
+        F.lower("company").alias("company_l"), F.col("id").alias("posting_id"), "created_at")
+    return act.filter(F.col("company_l").isNotNull() & (F.col("company_l") != "") & ~F.col("company_l").contains(SEP))
+
 
+def gram_length(name: str = "company_l") -> Column:
+    n = F.length(name)
+    out = n
+    for q in sorted(GRAM_LENGTHS):  # the longest allowed length wins
+        out = F.when(n >= q, F.lit(q)).otherwise(out)
+    return out
 
-def match_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> DataFrame:
-    """J5 + W3 (snapshot mode): per message the first matching active posting
-    in (created_at, id) order, or no row when nothing matches.
 
-    Returns (message_id, posting_id).
-    """
-    heads = company_heads(postings)
+def named_companies(messages: DataFrame, companies: DataFrame) -> DataFrame:
+    """(message_id, company_l) for every company a message names in its
+    sender or subject."""
     # both searched fields in one text, separated by a character no company
     # name holds: a name occurs in the joined text iff it occurs in one field
     msg = messages.select("message_id", F.concat(F.lower("from_addr"), F.lit(SEP),
                                                  F.lower(F.coalesce("subject", F.lit("")))).alias("txt"))
-    mg = gram_rows(msg, "message_id", "txt", q)
-    freq = mg.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    long_c = heads.filter(F.length("company_l") >= q)
-    cg = gram_rows(long_c, "company_l", "company_l", q)
-    chosen = (cg.join(freq, "gram", "left")
-                .groupBy("company_l")
-                .agg(F.min_by("gram", F.struct(F.coalesce("freq", F.lit(0)), "gram")).alias("gram")))
-    cand_long = mg.join(chosen, "gram").select("message_id", "company_l")
-    # companies shorter than q: an exact equi-join of the company with the
-    # mail's substrings of the same length.  Only the lengths that occur
-    # among the short names are exploded (at most q - 1 values, read with a
-    # bounded collect), and nothing is exploded when there is no short name.
-    short_c = heads.filter(F.length("company_l") < q).select("company_l")
-    # the lengths come from a filter + distinct over the company column
-    # (no need to build the per-company heads for this small read)
-    st = F.coalesce(F.col("status"), F.lit("FETCHED"))
-    n = F.length(F.lower("company"))
-    lengths = sorted(r[0] for r in postings.filter(~st.isin("REJECTED", "HIRED") & (n > 0) & (n < q))
-                     .select(n.alias("n")).distinct().limit(q).collect())
-    cand = cand_long
-    for k in lengths:
-        sub = gram_rows(msg, "message_id", "txt", k).withColumnRenamed("gram", "company_l")
-        cand = cand.unionByName(sub.join(short_c, "company_l").select("message_id", "company_l"))
-    verified = (cand.distinct().join(msg, "message_id")
-                    .filter(F.col("txt").contains(F.col("company_l")))
-                    .join(heads, "company_l"))
-    return (verified.groupBy("message_id")
-                    .agg(F.min_by("posting_id", "rank").alias("posting_id")))
-
-
-def match_messages_nested(messages: DataFrame, postings: DataFrame) -> DataFrame:
-    """J5 by a plain theta join (BroadcastNestedLoopJoin); the test oracle."""
-    heads = company_heads(postings)
-    msg = messages.select("message_id", F.lower("from_addr").alias("from_l"),
-                          F.lower(F.coalesce("subject", F.lit(""))).alias("subj_l"))
-    j = msg.join(heads, F.col("from_l").contains(F.col("company_l")) | F.col("subj_l").contains(F.col("company_l")))
-    return j.groupBy("message_id").agg(F.min_by("posting_id", "rank").alias("posting_id"))
+    names = companies.select("company_l").distinct().withColumn("q", gram_length())
+    # at most one value per gram length and short name length
+    lengths = sorted(r[0] for r in names.select("q").distinct().collect())
+    pairs = None
+    for q in lengths:
+        mine = names.filter(F.col("q") == q).select("company_l")
+        if q in GRAM_LENGTHS:
+            grams = gram_rows(mine, "company_l", "company_l", q).distinct()
+            held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            mine = grams.join(held, "gram").groupBy("company_l").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        else:
+            mine = mine.withColumn("gram", F.col("company_l"))
+        found = gram_rows(msg, "message_id", "txt", q).join(mine, "gram").select("message_id", "company_l").distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return msg.select("message_id", F.lit("").alias("company_l")).filter(F.lit(False))
+    return (pairs.join(msg, "message_id").filter(F.col("txt").contains(F.col("company_l")))
+                 .select("message_id", "company_l"))
+
+
+def _targets(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The posting each (company, message) row would hit: rows carry
+    ``company_l``, ``received_at``, ``message_id`` and ``takes`` (a settled
+    rejection of the company)."""
+    counted = running_before(rows, "company_l", F.date_trunc("hour", "received_at"), ["received_at", "message_id"],
+                             F.col("takes").cast("int"), "rank")
+    return counted.join(ranked, ["company_l", "rank"])
+
+
+def match_messages(messages: DataFrame, postings: DataFrame) -> DataFrame:
+    """J5 + W3: (message_id, posting_id) of every message that finds a posting,
+    taking the messages one after the other (see the module text)."""
+    active = active_postings(postings)
+    ranked = running_before(active, "company_l", F.date_trunc("hour", "created_at"), ["created_at", "posting_id"],
+                            name="rank")
+    named = named_companies(messages, active)
+    m = messages.select("message_id", "received_at",
+                        (classify(F.col("subject"), F.col("body")) == "rejected").alias("rejects"))
+    rows = named.join(m, "message_id")
+    several = rows.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("message_id")
+    if several.isEmpty():
+        settled = rows.withColumn("takes", F.col("rejects"))
+    else:
+        settled = _settle(cut_lineage(rows.join(several.withColumn("open", F.lit(True)), "message_id", "left")
+                                      .withColumn("open", F.coalesce("open", F.lit(False)))), ranked)
+    return _targets(settled, ranked).select("message_id", "posting_id")
+
+
+def _settle(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Choose a company for every message that names several: one row per
+    message, with ``takes``.  Messages that find no posting drop out."""
+    columns = ["message_id", "company_l", "received_at", "rejects"]
+    done = rows.filter(~F.col("open")).select(*columns)
+    left = rows.filter("open").select(*columns)
+    at = F.struct("received_at", "message_id")
+    while not left.isEmpty():
+        first = left.filter("rejects").groupBy("company_l").agg(F.min(at).alias("first"))
+        waits = (left.join(first, "company_l").filter(F.col("first") < at).select("message_id").distinct())
+        ready = left.join(waits, "message_id", "left_anti")
+        trial = done.withColumn("takes", F.col("rejects")).withColumn("mine", F.lit(False)).unionByName(
+            ready.withColumn("takes", F.lit(False)).withColumn("mine", F.lit(True)))
+        hit = _targets(trial, ranked).filter("mine")
+        chosen = hit.groupBy("message_id").agg(
+            F.min_by(F.struct("company_l", "received_at", "rejects"), F.struct("created_at", "posting_id")).alias("c")) \
+            .select("message_id", "c.*")
+        done = cut_lineage(done.unionByName(chosen.select(*columns)))
+        left = cut_lineage(left.join(ready.select("message_id").distinct(), "message_id", "left_anti"))
+    return done.withColumn("takes", F.col("rejects"))
 
 
 def classify(subject: Column, body: Column) -> Column:
@@ -113,10 +150,10 @@ def classify(subject: Column, body: Column) -> Column:
              .otherwise(F.lit("unchanged")))
 
 
-def classify_messages(messages: DataFrame, postings: DataFrame, q: int = Q) -> DataFrame:
+def classify_messages(messages: DataFrame, postings: DataFrame) -> DataFrame:
     """J5 + G1: (message_id, posting_id, outcome); unmatched mail is
     ``pending`` (it stays for the next run, new postings may match it)."""
-    m = match_messages(messages, postings, q)
+    m = match_messages(messages, postings)
     j = messages.join(m, "message_id", "left")
     return j.select("message_id", "posting_id", "received_at",
                     F.when(F.col("posting_id").isNull(), F.lit("pending"))
@@ -150,7 +187,7 @@ def rejection_memory(outcomes: DataFrame, postings: DataFrame, reasons: DataFram
     j = rej.join(postings.select("id", "title", "company"), "id").join(reasons, "message_id", "left")
     return j.select(
         "message_id",
-        F.concat(F.lit("Rejection for "), F.col("title"), F.lit(" at "), F.col("company"), F.lit(": "),
-                 F.coalesce(F.col("reason"), F.lit(""))).alias("content"),
-        F.create_map(F.lit("type"), F.lit("rejection_learning"), F.lit("company"), F.col("company"),
+        F.format_string(S.REJECTION_MEMORY_FORMAT, F.coalesce(F.col("title"), F.lit("null")), F.col("company"),
+                        F.coalesce(F.col("reason"), F.lit(""))).alias("content"),
+        F.create_map(F.lit("type"), F.lit(S.REJECTION_MEMORY_TYPE), F.lit("company"), F.col("company"),
                      F.lit("jobTitle"), F.col("title")).alias("metadata"))

@@ -1,11 +1,10 @@
 """Vector memory: memorise, exact and approximate top-k cosine retrieval,
 metadata filters (V1-V3, V5, V6).
 
-Exact retrieval streams the memory once.  The query set is bounded and its
-size is checked before it is shipped to the tasks; each Arrow batch of the
-memory is scored with one matrix product and reduced to its own top-k per
-query before anything is shuffled, so only k x queries rows per batch reach
-the final ranking (itself a window with a partial group limit).
+Exact retrieval streams the memory once.  The queries are sent in blocks;
+each Arrow batch of the memory meets a block in one matrix product, and a
+partition keeps its own top-k per query, so only k x queries rows per
+partition reach the final ranking (itself a window with a partial group limit).
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_QUERIES = 10_000
+#: Queries scored against a batch of the memory at a time.
+QUERY_BLOCK = 256
 
 
 def norm(c: Column) -> Column:
@@ -38,55 +38,76 @@ def centroids(memory: DataFrame, key: str = "label", vec: str = "embedding") ->
                 .select("query_id", F.transform("_c", lambda x: x["v"]).alias("vec")))
 
 
-def _bounded_matrix(queries: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    n = queries.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"query set larger than {max_rows} rows; use top_k_approx for large query sets")
-    rows = queries.select("query_id", "vec").collect()
-    ids = np.array([r["query_id"] for r in rows], dtype=object)
-    mat = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    nrm = np.linalg.norm(mat, axis=1, keepdims=True)
-    nrm[nrm == 0] = 1.0
-    return ids, mat / nrm
+def _query_blocks(queries: DataFrame, block: int) -> list:
+    """The query set as broadcast blocks of (ids, unit vectors), read from the
+    cluster one partition at a time."""
+    spark = queries.sparkSession
+    out, ids, rows = [], [], []
+
+    def flush():
+        if ids:
+            mat = np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+            norm_ = np.linalg.norm(mat, axis=1, keepdims=True)
+            norm_[norm_ == 0] = 1.0
+            out.append(spark.sparkContext.broadcast((np.array(ids, dtype=object), mat / norm_)))
+            ids.clear()
+            rows.clear()
+
+    for r in queries.select("query_id", "vec").toLocalIterator():
+        ids.append(r["query_id"])
+        rows.append(r["vec"])
+        if len(ids) == block:
+            flush()
+    flush()
+    return out
+
+
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the ``k`` largest values, ties by the smaller id."""
+    order = np.lexsort((ids, -sims), axis=-1)[:, :k]
+    return np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _partial_topk(it, qids, qmat_b, k, id_col, vec_col, exclude_self):
-    qmat = qmat_b.value
+def _partial_topk(it, blocks, k, id_col, vec_col, exclude_self):
+    """A partition's own top-k of every query, carried from batch to batch."""
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for pdf in it:
-        if pdf.empty or len(qids) == 0:
+        if pdf.empty:
             continue
         m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
         nrm = np.linalg.norm(m, axis=1, keepdims=True)
         nrm[nrm == 0] = 1.0
-        sims = (m / nrm) @ qmat.T                       # rows x queries
+        m = m / nrm
         ids = pdf[id_col].to_numpy()
-        out = []
-        kk = min(k, len(pdf))
-        for j, q in enumerate(qids):
-            s = sims[:, j]
+        for b, sent in enumerate(blocks):
+            qids, q = sent.value
+            sims = q @ m.T                                   # queries x rows
             if exclude_self:
-                s = np.where(ids == q, -np.inf, s)
-            # ties by id: sort on (-sim, id) inside the candidate slice
-            idx = np.argpartition(-s, kk - 1)[:kk] if kk < len(s) else np.arange(len(s))
-            cut = s[idx].min()
-            idx = np.nonzero(s >= cut)[0]              # keep every tie at the boundary
-            out.append(pd.DataFrame({"query_id": q, "mem_id": ids[idx], "similarity": s[idx]}))
-        res = pd.concat(out, ignore_index=True)
-        yield res[np.isfinite(res["similarity"])]
+                sims = np.where(qids[:, None] == ids[None, :], -np.inf, sims)
+            all_ids = np.broadcast_to(ids, sims.shape)
+            if b in best:
+                sims, all_ids = np.hstack((best[b][0], sims)), np.hstack((best[b][1], all_ids))
+            best[b] = _best(sims, all_ids, k)
+    for b, (sims, ids) in best.items():
+        qids = np.repeat(blocks[b].value[0], sims.shape[1])
+        out = pd.DataFrame({"query_id": qids, "mem_id": ids.reshape(-1), "similarity": sims.reshape(-1)})
+        yield out[np.isfinite(out["similarity"].to_numpy())]
 
 
 def top_k(queries: DataFrame, memory: DataFrame, k: int, id_col: str = "mem_id", vec_col: str = "embedding",
-          exclude_self: bool = False, max_queries: int = MAX_QUERIES) -> DataFrame:
+          exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """V2: for each query the ``k`` most cosine-similar memory rows, best
-    first, ties broken by id.  Returns (query_id, rank, mem_id, similarity)."""
-    qids, qmat = _bounded_matrix(queries, max_queries)
-    # shipped once per executor (a broadcast variable), not once per task
-    qmat_b = memory.sparkSession.sparkContext.broadcast(qmat)
+    first, ties broken by id.  Returns (query_id, rank, mem_id, similarity).
+
+    Every memory row meets every query, a block of queries at a time; a task
+    holds one Arrow batch times one block, and k rows per query.
+    """
+    blocks = _query_blocks(queries, block)
     qtype = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", qtype), T.StructField("mem_id", memory.schema[id_col].dataType),
                            T.StructField("similarity", T.DoubleType())])
     part = memory.select(id_col, vec_col).mapInPandas(
-        lambda it: _partial_topk(it, qids, qmat_b, k, id_col, vec_col, exclude_self), schema)
+        lambda it: _partial_topk(it, blocks, k, id_col, vec_col, exclude_self), schema)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("mem_id"))
     return (part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "mem_id", "similarity"))
@@ -145,14 +166,27 @@ def lsh_keys(df: DataFrame, id_col: str, vec_col: str, dim: int, bands: int = 8,
         lambda it: _signatures(it, planes, bands, bits, id_col, vec_col), schema)
 
 
-def top_k_approx(queries: DataFrame, memory: DataFrame, k: int, dim: int, bands: int = 8, bits: int = 6,
+#: Memory rows that one signature bucket is meant to hold.
+BUCKET_ROWS = 64
+
+
+def signature_bits(memory: DataFrame) -> int:
+    """Bits of a band's signature: buckets of about BUCKET_ROWS rows whatever the memory's size."""
+    return max(3, (max(1, memory.count()) // BUCKET_ROWS).bit_length())
+
+
+def top_k_approx(queries: DataFrame, memory: DataFrame, k: int, dim: int, bands: int = 16, bits: int | None = None,
                  seed: int = 7, id_col: str = "mem_id", vec_col: str = "embedding") -> DataFrame:
     """V3: candidates share an LSH bucket with the query in at least one band
     (an equi-join on (band, bucket)), then the exact cosine re-ranks them.
 
     Approximate: a true neighbour that shares no bucket is missed; publish
-    recall against ``top_k`` (see ``recall_at_k``).
+    recall against ``top_k`` (see ``recall_at_k``).  The signature length
+    follows the memory's size unless given; hot buckets are left to AQE's
+    skew split.
     """
+    if bits is None:
+        bits = signature_bits(memory)
     qk = lsh_keys(queries.withColumnRenamed("vec", "_v").withColumnRenamed("query_id", "_q"),
                   "_q", "_v", dim, bands, bits, seed)
     mk = lsh_keys(memory, id_col, vec_col, dim, bands, bits, seed)

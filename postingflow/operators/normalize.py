@@ -99,7 +99,7 @@ def normalize_ingest(raw: DataFrame, detail: DataFrame | None, now: str) -> Data
         F.coalesce("hashId", F.lit(S.INGEST_DEFAULTS["hashId"])).alias("hash_id"),
         F.coalesce("titel", F.lit(S.INGEST_DEFAULTS["titel"])).alias("title"),
         F.coalesce("arbeitgeber", F.lit(S.INGEST_DEFAULTS["arbeitgeber"])).alias("company"),
-        "page", "pos")
+        *feed_order(raw))
     if detail is not None:
         d = with_detail(d, detail, F.when(F.col("hash_id") != "", F.col("hash_id")))
     else:
@@ -118,18 +118,23 @@ def _posting_with_order(d: DataFrame, now: str, email: Column, desc: Column) ->
                 status=F.lit("FETCHED"), processing_status=F.lit("IDLE"), employer_email=email,
                 created_at=ts_lit(now))
     out = [cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.POSTING.fields]
-    return d.select(*out, "page", "pos")
+    return d.select(*out, *feed_order(d))
+
+
+def feed_order(df: DataFrame) -> list[str]:
+    """Columns that order feed records: page, then file where it is known, then position."""
+    return ["page", *(["_file"] if "_file" in df.columns else []), "pos"]
 
 
 def normalize_scan(raw: DataFrame, detail: DataFrame | None, now: str) -> DataFrame:
     """P2 + P3 + P4 + P6 + P7: scan rules.  Detail is looked up by the
-    resolved reference."""
+    resolved reference; scanned postings carry no hash id."""
     d = resolve_reference(raw).select(
         "reference_id", "hashId",
         F.coalesce("titel", F.lit(S.SCAN_DEFAULTS["titel"])).alias("title"),
         F.coalesce("arbeitgeber", F.lit(S.SCAN_DEFAULTS["arbeitgeber"])).alias("company"),
         F.coalesce("ort", F.lit(S.SCAN_DEFAULTS["ort"])).alias("ort"),
-        "page", "pos")
+        *feed_order(raw))
     if detail is not None:
         d = with_detail(d, detail, F.col("reference_id"))
         email, portal = contact_email("scan"), portal_url_scan()
@@ -138,9 +143,9 @@ def normalize_scan(raw: DataFrame, detail: DataFrame | None, now: str) -> DataFr
         email, portal = F.lit(None).cast("string"), F.lit(None).cast("string")
     desc = describe_scan(F.col("title"), F.col("company"), F.col("ort")) if detail is not None else \
         F.concat(F.col("title"), F.when(F.col("ort") != "", F.concat(F.lit(" in "), F.col("ort"))).otherwise(F.lit("")))
-    cols = dict(id=stable_id("reference_id"), reference_id=F.col("reference_id"), hash_id=F.col("hashId"),
+    cols = dict(id=stable_id("reference_id"), reference_id=F.col("reference_id"),
                 title=F.col("title"), company=F.col("company"), description=desc,
                 status=F.lit("FETCHED"), processing_status=F.lit("IDLE"), employer_email=email,
                 portal_url=portal, created_at=ts_lit(now))
     out = [cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.POSTING.fields]
-    return d.select(*out, "page", "pos")
+    return d.select(*out, *feed_order(d))

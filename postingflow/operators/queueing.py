@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..session import cut_lineage
+from .ordering import running_before
 
 QUEUE_ORDER = ("created_at", "id")
 
@@ -94,84 +91,47 @@ def page_after(df: DataFrame, after: tuple | None, size: int, order=QUEUE_ORDER)
 
 # ------------------------------------------------------------------ W4
 
-def _window_stats(pdf_iter, n, slow_s, halo_pdf):
-    """Rolling last-``n`` counts over a range-partitioned, sorted partition.
-
-    Rows of one service may continue from earlier partitions; their last
-    ``n - 1`` rows come from ``halo_pdf`` (the tail of every partition).
-    """
-    carry = None
-    for pdf in pdf_iter:
-        if pdf.empty:
-            continue
-        if carry is None:
-            pid = int(pdf["_pid"].iloc[0])
-            svc = pdf["service"].iloc[0]
-            h = halo_pdf[(halo_pdf["_pid"] < pid) & (halo_pdf["service"] == svc)]
-            carry = h.sort_values(["ts", "call_id"]).tail(n - 1)[["service", "ts", "call_id", "failed",
-                                                                   "duration_s"]]
-        k = len(carry)
-        full = pd.concat([carry, pdf[["service", "ts", "call_id", "failed", "duration_s"]]], ignore_index=True)
-        m = len(full)
-        svc = full["service"].to_numpy()
-        idx = np.arange(m)
-        new_group = np.ones(m, dtype=bool)
-        new_group[1:] = svc[1:] != svc[:-1]
-        gstart = np.maximum.accumulate(np.where(new_group, idx, 0))     # first row of each row's service
-        lo = np.maximum(idx - n + 1, gstart)                            # window start (inclusive)
-        fail_cs = np.concatenate([[0], np.cumsum(full["failed"].fillna(False).to_numpy(dtype=np.int64))])
-        slow_cs = np.concatenate([[0], np.cumsum((full["duration_s"].to_numpy(dtype=float) > slow_s).astype(np.int64))])
-        out = full.assign(window_calls=(idx - lo + 1).astype("int64"),
-                          failures=(fail_cs[idx + 1] - fail_cs[lo]).astype("int64"),
-                          slow_calls=(slow_cs[idx + 1] - slow_cs[lo]).astype("int64")).iloc[k:]
-        carry = full.iloc[-(n - 1):] if n > 1 else full.iloc[0:0]
-        yield out[["service", "ts", "call_id", "failed", "duration_s", "window_calls", "failures", "slow_calls"]]
+#: Calls that one window task handles in order, and the width of the time
+#: slices that number a service's calls.
+BLOCK_CALLS = 10_000
+SLICE = "hour"
 
 
 def breaker_windows(calls: DataFrame, n: int = S.BREAKER_WINDOW, rate: float = S.BREAKER_FAILURE_RATE,
                     slow_s: float = S.BREAKER_SLOW_SECONDS, slow_rate: float = S.BREAKER_SLOW_RATE,
-                    partitions: int | None = None) -> DataFrame:
+                    block: int = BLOCK_CALLS) -> DataFrame:
     """Per call, over the last ``n`` calls of its service (count-based
     sliding window): OPEN when the window is full and the failure rate or
     the slow-call rate reaches its threshold.
 
-    Skew-safe: a plain ``Window.partitionBy(service)`` would sort a hot
-    service in one task.  Rows are range-partitioned on (service, ts,
-    call_id) instead, so a hot service spans many partitions; each partition
-    is scanned in order, and the ``n - 1`` rows preceding a partition are
-    taken from a halo table holding the tail of every partition (n-1 rows x
-    partitions, bounded by the partition count, so it is broadcast).
+    A plain ``Window.partitionBy(service)`` would sort a hot service in one
+    task.  Here every call gets its number within its service in two levels
+    (calls per time slice, then the number inside the slice), calls are cut
+    into blocks of ``block`` numbers, and the last ``n - 1`` calls of a block
+    also go to the next one as context.  The window itself is the built-in
+    row frame over (service, block); context rows are dropped afterwards.
     """
-    spark = calls.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = calls.select("service", "ts", "call_id", "failed", "duration_s")
-    ranged = (base.repartitionByRange(parts, "service", "ts", "call_id")
-                  .sortWithinPartitions("service", "ts", "call_id")
-                  .withColumn("_pid", F.spark_partition_id()))
-    # Range boundaries come from sampling; a reliable checkpoint pins them so
-    # the halo and the scan see the very same partitions, even after an
-    # executor is lost.
-    ranged = cut_lineage(ranged)
-    tail_w = Window.partitionBy("_pid").orderBy(F.col("ts").desc(), F.col("call_id").desc())
-    last_service = ranged.groupBy("_pid").agg(F.max("service").alias("service"))
-    halo = (ranged.join(F.broadcast(last_service), ["_pid", "service"])
-                  .withColumn("_r", F.row_number().over(tail_w)).filter(F.col("_r") <= n - 1).drop("_r"))
-    halo_pdf = halo.toPandas()   # at most (n - 1) x partitions rows
-    schema = T.StructType([
-        T.StructField("service", calls.schema["service"].dataType),
-        T.StructField("ts", calls.schema["ts"].dataType),
-        T.StructField("call_id", calls.schema["call_id"].dataType),
-        T.StructField("failed", T.BooleanType()),
-        T.StructField("duration_s", T.DoubleType()),
-        T.StructField("window_calls", T.LongType()),
-        T.StructField("failures", T.LongType()),
-        T.StructField("slow_calls", T.LongType()),
-    ])
-    stats = ranged.mapInPandas(lambda it: _window_stats(it, n, slow_s, halo_pdf), schema)
-    full = F.col("window_calls") == n
-    open_ = full & ((F.col("failures") * 100.0 >= F.lit(rate) * F.col("window_calls"))
-                    | (F.col("slow_calls") * 100.0 >= F.lit(slow_rate) * F.col("window_calls")))
-    return stats.withColumn("state", F.when(open_, F.lit("OPEN")).otherwise(F.lit("CLOSED")))
+    numbered = running_before(base, "service", F.date_trunc(SLICE, "ts"), ["ts", "call_id"], name="_i")
+    size = max(block, n)
+    own = F.floor(F.col("_i") / size)
+    spread_over = F.when(F.col("_i") % size >= size - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))
+    rows = numbered.withColumn("_own", own).withColumn("_block", F.explode(spread_over))
+    w = Window.partitionBy("service", "_block").orderBy("_i").rowsBetween(-(n - 1), 0)
+    return _states(rows, w, n, rate, slow_s, slow_rate, keep=("_own", "_block")) \
+        .filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+
+
+def _states(rows: DataFrame, w, n: int, rate: float, slow_s: float, slow_rate: float, keep=()) -> DataFrame:
+    s = rows.select(
+        "service", "ts", "call_id", "failed", "duration_s", *keep,
+        F.count(F.lit(1)).over(w).alias("window_calls"),
+        F.sum(F.col("failed").cast("long")).over(w).alias("failures"),
+        F.sum((F.col("duration_s") > slow_s).cast("long")).over(w).alias("slow_calls"))
+    open_ = (F.col("window_calls") == n) & (
+        (F.col("failures") * 100.0 >= F.lit(rate) * F.col("window_calls"))
+        | (F.col("slow_calls") * 100.0 >= F.lit(slow_rate) * F.col("window_calls")))
+    return s.withColumn("state", F.when(open_, F.lit("OPEN")).otherwise(F.lit("CLOSED")))
 
 
 def breaker_windows_simple(calls: DataFrame, n: int = S.BREAKER_WINDOW, rate: float = S.BREAKER_FAILURE_RATE,
@@ -179,12 +139,4 @@ def breaker_windows_simple(calls: DataFrame, n: int = S.BREAKER_WINDOW, rate: fl
     """W4 with a built-in row frame (exact; one task per service).  Kept as
     the test oracle of ``breaker_windows``."""
     w = Window.partitionBy("service").orderBy("ts", "call_id").rowsBetween(-(n - 1), 0)
-    s = calls.select(
-        "service", "ts", "call_id", "failed", "duration_s",
-        F.count(F.lit(1)).over(w).alias("window_calls"),
-        F.sum(F.col("failed").cast("long")).over(w).alias("failures"),
-        F.sum((F.col("duration_s") > slow_s).cast("long")).over(w).alias("slow_calls"))
-    full = F.col("window_calls") == n
-    open_ = full & ((F.col("failures") * 100.0 >= F.lit(rate) * F.col("window_calls"))
-                    | (F.col("slow_calls") * 100.0 >= F.lit(slow_rate) * F.col("window_calls")))
-    return s.withColumn("state", F.when(open_, F.lit("OPEN")).otherwise(F.lit("CLOSED")))
+    return _states(calls, w, n, rate, slow_s, slow_rate)

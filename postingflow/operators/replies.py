@@ -19,30 +19,28 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.json_reply import append_note, classify_failure
 from ..functions.text import cut, letter_file_name, ts_lit
-from ..session import bounded_broadcast
-
-MAX_PROFILES = 100_000
 
 # ------------------------------------------------------------------ P11
 
 DEFAULT_TEMPLATE = (
     "Rate how well the candidate fits the position \"{title}\" at {company} on a scale of 0 to 100 "
     "and write a cover letter. Answer with one JSON object with the keys score, coverLetterMarkdown "
-    "and analysis.\n\n=== JOB DESCRIPTION ===\n{jd}\n\n=== CANDIDATE CV ===\n{cv}")
+    "and analysis.\n\n## Position\n{jd}\n\n## Candidate\n{cv}")
 
 
 def build_prompts(postings: DataFrame, cv: DataFrame, template: str = DEFAULT_TEMPLATE,
                   system: str | None = None) -> DataFrame:
     """Per posting: (id, system, user) with JD and CV cut to 4000 chars + "...".
 
-    ``cv`` holds one row per profile (``cv_text``); it is a bounded frame
-    (one row per persona choice, J6) and is broadcast to the posting scan.
+    ``cv`` holds one row per profile (``cv_text``, and ``system_prompt`` of its
+    persona where known, J6), or a single row for all postings.
     """
     jd = F.when(F.col("description").isNotNull(), cut("description", S.PROMPT_CUT)).otherwise(F.col("title"))
     title = F.coalesce(F.col("title"), F.lit(S.PROMPT_MISSING_TITLE))
     company = F.coalesce(F.col("company"), F.lit(S.PROMPT_MISSING_COMPANY))
     cvc = cut("cv_text", S.PROMPT_CUT)
     parts = []
+    prompt = F.lit(system).cast("string")
     rest = template
     fields = {"{title}": title, "{company}": company, "{jd}": jd, "{cv}": cvc}
     while rest:
@@ -55,11 +53,14 @@ def build_prompts(postings: DataFrame, cv: DataFrame, template: str = DEFAULT_TE
         parts.append(fields[nxt[1]])
         rest = rest[nxt[0] + len(nxt[1]):]
     if "profile_id" in cv.columns:
-        # one CV per profile: broadcast once the row bound is proven, else a shuffle join
-        j = postings.join(bounded_broadcast(cv.select("profile_id", "cv_text"), MAX_PROFILES), "profile_id")
+        # one CV per profile: a broadcast only if AQE sees few bytes, else a shuffle join
+        j = postings.join(cv.select("profile_id", "cv_text", *(["system_prompt"] if "system_prompt" in cv.columns else [])),
+                          "profile_id")
+        if "system_prompt" in cv.columns:
+            prompt = F.col("system_prompt")
     else:   # one CV for every posting: a scalar subquery (fails loudly on more than one row)
         j = postings.withColumn("cv_text", cv.select("cv_text").scalar())
-    return j.select("id", F.lit(system).cast("string").alias("system"), F.concat(*parts).alias("user"))
+    return j.select("id", prompt.alias("system"), F.concat(*parts).alias("user"))
 
 
 # ------------------------------------------------------------------ X1
@@ -123,16 +124,28 @@ def reason_with(df: DataFrame, fn: Callable, text_col: str = "body", keep=("id",
 
 # ------------------------------------------------------------------ M5
 
+# Opening of the letter that stands in for a failed one.
+FAILED_LETTER_HEADING = "No letter was written. Cause: "
+
 def apply_replies(postings: DataFrame, parsed: DataFrame, now: str,
                   cv_path: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Success (A9) and failure (A10) branches in one pass.
 
-    ``parsed`` has (job_id, score, letter, analysis, error).  Returns
-    (postings', new applications, progress events).  Postings without a
-    reply are unchanged; the join is on the posting key.
+    ``parsed`` has (job_id, score, letter, analysis, error) and, where a
+    posting may have several replies (retries), their order ``reply_seq``.
+    The posting takes its last reply; every reply makes an application (id
+    from posting and reply) with its letter: the sanitised letter text, or a
+    short failure note.  Returns (postings', new applications with
+    ``letter_text``, progress events).  Postings without a reply are
+    unchanged; the join is on the posting key.
     """
-    r = parsed.select(F.col("job_id").alias("id"), "score", "analysis", "error", F.lit(True).alias("_replied"))
-    j = postings.join(r, "id", "left")
+    several = "reply_seq" in parsed.columns
+    seq = F.col("reply_seq") if several else F.lit(None).cast("long")
+    r = parsed.select(F.col("job_id").alias("id"), seq.alias("_seq"), "score", "letter", "analysis", "error",
+                      F.lit(True).alias("_replied"))
+    last = r if not several else r.groupBy("id").agg(
+        F.max_by(F.struct("score", "analysis", "error", "_replied"), F.col("_seq")).alias("_l")).select("id", "_l.*")
+    j = postings.join(last.select("id", "score", "analysis", "error", "_replied"), "id", "left")
     ok = F.col("_replied") & F.col("error").isNull()
     failed = F.col("_replied") & F.col("error").isNotNull()
     reason = classify_failure(F.col("error"))
@@ -148,18 +161,22 @@ def apply_replies(postings: DataFrame, parsed: DataFrame, now: str,
            .otherwise(F.col("notes")).alias(c) if c == "notes" else
           F.col(c)
           for c in postings.columns])
-    replied = j.filter(F.col("_replied"))
+    replied = postings.select("id", "title", "company").join(r, "id")
+    replied_ok = F.col("error").isNull()
+    key = F.concat(F.lit("app-"), F.col("id").cast("string"))
     apps = replied.select(
-        F.concat(F.lit("app-"), F.col("id").cast("string")).alias("id"),
+        (F.concat(key, F.lit("-"), F.col("_seq").cast("string")) if several else key).alias("id"),
         F.col("id").alias("job_id"),
-        (cv_path if cv_path is not None else F.lit(None).cast("string")).alias("cv_path"),
-        F.when(F.col("error").isNull(), letter_file_name("id")).otherwise(letter_file_name("id", True)).alias("letter_path"),
-        ts_lit(now).alias("created_at"))
+        F.when(replied_ok, cv_path if cv_path is not None else F.lit(None).cast("string")).alias("cv_path"),
+        F.when(replied_ok, letter_file_name("id")).otherwise(letter_file_name("id", True)).alias("letter_path"),
+        ts_lit(now).alias("created_at"),
+        F.when(replied_ok, F.regexp_replace(F.coalesce("letter", F.lit("")), _tag_regex(), ""))
+         .otherwise(F.concat(F.lit(FAILED_LETTER_HEADING), F.col("error"))).alias("letter_text"))
     label = job_label()
     events = replied.select(
         F.col("id"),
-        F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("error")).alias("type"),
-        F.when(F.col("error").isNull(),
+        F.when(replied_ok, F.lit("success")).otherwise(F.lit("error")).alias("type"),
+        F.when(replied_ok,
                F.format_string(S.PROGRESS_OK_FORMAT, label, F.col("score").cast("string")))
          .otherwise(F.format_string(S.PROGRESS_FAIL_FORMAT, label, reason)).alias("message"),
         ts_lit(now).alias("ts"))

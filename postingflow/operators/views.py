@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import preview, ts_lit
+from ..functions.text import java_datetime, preview, ts_lit
+from .normalize import portal_url_read
 
 
 def status_of(df: DataFrame):
@@ -211,12 +212,13 @@ def has_application(postings: DataFrame, apps: DataFrame) -> DataFrame:
 
 
 def to_cards(postings: DataFrame, apps: DataFrame) -> DataFrame:
-    """Card projection with the existence flag."""
+    """Card projection with the existence flag; the link falls back to
+    the portal page of the hash id (P7)."""
     p = postings.select(
         "id", "title", F.col("company").alias("employer"),
         status_of(postings).alias("status"),
         F.col("match_score").alias("score"),
         F.col("ai_analysis").alias("analysis"),
-        F.col("portal_url"), F.col("notes"),
-        F.date_format("scored_at", "yyyy-MM-dd'T'HH:mm:ss").alias("scored_at_text"))
+        portal_url_read(postings).alias("portal_url"), F.col("notes"),
+        java_datetime("scored_at").alias("scored_at_text"))
     return has_application(p, apps)

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 NOW = "2001-08-01 00:00:00"
 
 # Fixed values of the binding (see the SQL twins in catalog.BINDING_SQL).
@@ -66,7 +64,7 @@ def postings(spark: SparkSession, sf_dir: str, with_customer: bool = True) -> Da
     return j.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("REF-"), F.col("o_orderkey").cast("string")).alias("reference_id"),
-        F.lit(None).cast("string").alias("hash_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("H-"), F.col("o_orderkey").cast("string"))).alias("hash_id"),
         title.alias("title"),
         F.col("c_name").alias("company"),
         F.concat(title, F.lit(" at "), F.col("c_name"), F.lit(" since "),
@@ -79,8 +77,9 @@ def postings(spark: SparkSession, sf_dir: str, with_customer: bool = True) -> Da
         F.lit(None).cast("string").alias("notes"),
         F.lit(None).cast("string").alias("ai_analysis"),
         F.lit(None).cast("string").alias("portal_url"),
-        F.when(status == "FETCHED", F.lit(None)).otherwise(F.col("o_orderdate"))
-         .cast("timestamp_ntz").alias("scored_at"),
+        F.when(status != "FETCHED", F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(
+            secs=((F.col("o_orderkey") % 4 * 20_000_000 + F.col("o_orderkey") % 5 * 1500) / F.lit(1_000_000))
+            .cast("decimal(18,6)"))).alias("scored_at"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
     )
 
@@ -179,7 +178,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     The letter carries the whole document text (JSON-escaped) so reply
     parsing works on full texts.
     """
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     score = F.pmod(F.col("n_chars"), F.lit(101)).cast("string")
     # JSON string literal of the whole text: quotes and newlines are the only
     # characters needing escapes in the driver's documents.
@@ -191,11 +190,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.lit(", \"analysis\": [\"• a\", \"• b\", \"• c\"]}\n```")))
            .when(shape == 1, F.concat(F.lit("```\n{\"match_score\": "), score,
                                       F.lit(", \"coverLetter\": "), letter, F.lit("}\n```")))
-           .when(shape == 2, F.concat(F.lit("{\"rating\": \""), score, F.lit(".5\", \"reasoning\": \"fits\"}")))
+           .when(shape == 2, F.concat(F.lit("{\"rating\": \""), score,
+                                      F.when(F.col("n_chars") % 2 == 0, F.lit(".5")).otherwise(F.lit("")),
+                                      F.lit("\", \"reasoning\": "), letter, F.lit("}")))
            .when(shape == 3, F.concat(F.lit("Sure. {\"matchScore\": "), score,
-                                      F.lit(", \"explanation\": [\"x\", \"y\"]} Thanks!")))
+                                      F.lit(".9, \"explanation\": [\"x\", "), letter, F.lit("]} Thanks!")))
            .when(shape == 4, F.col("text"))
-           .otherwise(F.lit("  \n ")))
+           .otherwise(F.concat(F.lit("  \n "), F.when(F.col("n_chars") % 2 == 0, F.lit("")).otherwise(F.col("text")))))
     return d.select(F.col("doc_id").alias("job_id"), raw.alias("raw"))
 
 
@@ -212,11 +213,11 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("html")))
+    return table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("html"))
 
 
 def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +337,7 @@ def profile_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def persona_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -> persona creations (seq = s_suppkey), events JOIN supplier
-    -> prompt updates (seq after all creations)."""
+    -> prompt updates (before or after all creations)."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     e = table(spark, sf_dir, "events").select("event_id", "user_id")
     pid = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
@@ -346,7 +347,8 @@ def persona_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("s_acctbal") > 5000, F.lit("Lead")).alias("role"),
                       F.lit(None).cast("string").alias("prompt"))
     upd = e.join(s, e.user_id == s.s_suppkey).select(
-        (F.lit(1 << 40) + F.col("event_id")).alias("seq"), F.lit("prompt").alias("op"), pid("s_suppkey").alias("persona_id"),
+        # every third prompt comes before its persona is created
+        F.when(F.col("event_id") % 3 == 0, -1 - F.col("event_id")).otherwise(F.lit(1 << 40) + F.col("event_id")).alias("seq"), F.lit("prompt").alias("op"), pid("s_suppkey").alias("persona_id"),
         F.lit(None).cast("string").alias("profile_id"), F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("role"), F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("prompt"))
     return create.unionByName(upd)

@@ -6,7 +6,7 @@ CTE = {
     "posting": """
 SELECT o.o_orderkey AS id,
        'REF-' || CAST(o.o_orderkey AS VARCHAR) AS reference_id,
-       CAST(NULL AS VARCHAR) AS hash_id,
+       CASE WHEN o.o_orderkey % 3 = 0 THEN 'H-' || CAST(o.o_orderkey AS VARCHAR) END AS hash_id,
        c.c_mktsegment || ' Engineer' AS title,
        c.c_name AS company,
        c.c_mktsegment || ' Engineer' || ' at ' || c.c_name || ' since ' || strftime(o.o_orderdate, '%Y-%m-%d') AS description,
@@ -19,7 +19,9 @@ SELECT o.o_orderkey AS id,
        CAST(NULL AS VARCHAR) AS notes,
        CAST(NULL AS VARCHAR) AS ai_analysis,
        CAST(NULL AS VARCHAR) AS portal_url,
-       CASE WHEN substr(o.o_orderpriority, 1, 1) = '4' THEN NULL ELSE o.o_orderdate END AS scored_at,
+       CASE WHEN substr(o.o_orderpriority, 1, 1) = '4' THEN NULL
+            ELSE CAST(o.o_orderdate AS TIMESTAMP)
+                 + to_microseconds(CAST(o.o_orderkey % 4 * 20000000 + o.o_orderkey % 5 * 1500 AS BIGINT)) END AS scored_at,
        o.o_orderdate AS created_at
 FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
     "application": """
@@ -75,10 +77,12 @@ SELECT doc_id AS job_id,
          WHEN 1 THEN '```' || chr(10) || '{"match_score": ' || CAST(n_chars % 101 AS VARCHAR)
                      || ', "coverLetter": ' || '"' || replace(replace(text, '"', '\"'), chr(10), '\n') || '"'
                      || '}' || chr(10) || '```'
-         WHEN 2 THEN '{"rating": "' || CAST(n_chars % 101 AS VARCHAR) || '.5", "reasoning": "fits"}'
-         WHEN 3 THEN 'Sure. {"matchScore": ' || CAST(n_chars % 101 AS VARCHAR) || ', "explanation": ["x", "y"]} Thanks!'
+         WHEN 2 THEN '{"rating": "' || CAST(n_chars % 101 AS VARCHAR) || CASE WHEN n_chars % 2 = 0 THEN '.5' ELSE '' END
+                     || '", "reasoning": ' || '"' || replace(replace(text, '"', '\"'), chr(10), '\n') || '"' || '}'
+         WHEN 3 THEN 'Sure. {"matchScore": ' || CAST(n_chars % 101 AS VARCHAR) || '.9, "explanation": ["x", '
+                     || '"' || replace(replace(text, '"', '\"'), chr(10), '\n') || '"' || ']} Thanks!'
          WHEN 4 THEN text
-         ELSE '  ' || chr(10) || ' '
+         ELSE '  ' || chr(10) || ' ' || CASE WHEN n_chars % 2 = 0 THEN '' ELSE text END
        END AS raw
 FROM documents""",
     "memory": """

@@ -148,3 +148,35 @@ def q_page_after(spark, sf):
     import datetime as dt
     p = B.postings(spark, sf, with_customer=False).select("id", "created_at")
     return Q.page_after(p, (dt.datetime(1998, 1, 1), 7000), 25)
+
+
+@register("queue_commands", with_ctes("posting") + """
+SELECT id, CASE WHEN coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'IDLE' THEN 'QUEUED'
+                ELSE processing_status END AS after_score_all,
+       CASE WHEN processing_status IN ('QUEUED', 'PROCESSING') THEN 'IDLE' ELSE processing_status END AS after_cancel
+FROM posting""")
+def q_queue_commands(spark, sf):
+    p = B.postings(spark, sf, with_customer=False)
+    scored = A.score_all(p)[0].select("id", F.col("processing_status").alias("after_score_all"))
+    return scored.join(A.cancel_queue(p)[0].select("id", F.col("processing_status").alias("after_cancel")), "id")
+
+
+@register("remaining_postings", with_ctes("posting") + """
+SELECT id, status FROM posting WHERE coalesce(status, '') <> 'REJECTED' OR id IN (SELECT l_orderkey FROM lineitem)""")
+def q_remaining_postings(spark, sf):
+    p = B.postings(spark, sf, with_customer=False)
+    ids = p.filter(F.col("status") == "REJECTED").select("id")
+    return A.delete_postings(p, B.applications(spark, sf), ids)[0].select("id", "status")
+
+
+@register("clear", with_ctes("posting", "application") + """
+SELECT 'posting' AS name, (SELECT count(*) FROM posting) AS stored, CAST(0 AS BIGINT) AS kept
+UNION ALL SELECT 'application', (SELECT count(*) FROM application), 0""")
+def q_clear(spark, sf):
+    p, a = B.postings(spark, sf, with_customer=False), B.applications(spark, sf)
+    p2, a2 = A.clear(p, a)
+
+    def counted(name, before, after):
+        return (before.select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(F.lit(0).alias("b"), F.lit(1).alias("a")))
+                .agg(F.sum("b").alias("stored"), F.sum("a").alias("kept")).select(F.lit(name).alias("name"), "stored", "kept"))
+    return counted("posting", p, p2).unionByName(counted("application", a, a2))

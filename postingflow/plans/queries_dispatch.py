@@ -48,19 +48,26 @@ def q_audit_artifacts(spark, sf):
 @register("dispatch_manifest", with_ctes("posting", "application") + ARTIFACT_SQL + f"""
 SELECT p.id,
        CASE WHEN f.job_id IS NULL THEN 'skipped_no_application' ELSE 'send' END AS action,
-       CASE WHEN f.job_id IS NOT NULL THEN coalesce(nullif(p.employer_email, ''),
+       CASE WHEN f.job_id IS NOT NULL THEN coalesce({NB.format(x='o.override_email')}, nullif(p.employer_email, ''),
               'hr@' || regexp_replace(lower(p.company), '[^a-z0-9]', '', 'g') || '.de') END AS recipient,
        CASE WHEN f.job_id IS NOT NULL THEN {q_(S.DISPATCH_SUBJECT)} END AS subject,
-       CASE WHEN f.job_id IS NOT NULL THEN {q_(S.DISPATCH_BODY_OPENING + S.FALLBACK_SIGNATURE)} END AS body,
-       f.job_id IS NOT NULL AND cf.path IS NOT NULL AS attach_cv,
-       f.job_id IS NOT NULL AND lf.path IS NOT NULL AS attach_letter
+       CASE WHEN f.job_id IS NOT NULL THEN {q_(S.DISPATCH_BODY_OPENING)} || (SELECT 'Regards, ' || n_name FROM nation
+         ORDER BY CAST(n_nationkey AS VARCHAR) LIMIT 1) END AS body,
+       CASE WHEN f.job_id IS NOT NULL AND cf.path IS NOT NULL THEN {q_(S.CV_ATTACHMENT_NAME)} END AS cv_attachment,
+       CASE WHEN f.job_id IS NOT NULL AND lf.path IS NOT NULL THEN {q_(S.LETTER_ATTACHMENT_NAME)} END AS letter_attachment
 FROM posting p LEFT JOIN first f ON f.job_id = p.id
+LEFT JOIN (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'jobs' || CAST(o_custkey AS VARCHAR) || '@x.example'
+                  ELSE ' ' END AS override_email FROM orders WHERE o_orderstatus = 'F') o ON o.id = p.id
 LEFT JOIN (SELECT DISTINCT path FROM files) cf ON cf.path = f.cv_path
-LEFT JOIN (SELECT DISTINCT path FROM files) lf ON lf.path = f.letter_path
-WHERE p.status = 'APPROVED'""")
+LEFT JOIN (SELECT DISTINCT path FROM files) lf ON lf.path = f.letter_path""")
 def q_dispatch_manifest(spark, sf):
-    p = B.postings(spark, sf).filter(F.col("status") == "APPROVED")
-    return DP.dispatch_manifest(p, B.applications(spark, sf), None, B.artifact_files(spark, sf), None)
+    o = B.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F")
+    overrides = o.select(F.col("o_orderkey").alias("id"), F.when(
+        F.col("o_orderkey") % 2 == 0, F.concat(F.lit("jobs"), F.col("o_custkey").cast("string"), F.lit("@x.example")))
+        .otherwise(F.lit(" ")).alias("override_email"))
+    named = B.profiles(spark, sf).withColumn("email_signature", F.concat(F.lit("Regards, "), "full_name"))
+    return DP.dispatch_manifest(B.postings(spark, sf), B.applications(spark, sf), overrides,
+                                B.artifact_files(spark, sf), DP.effective_profile(named))
 
 
 PROFILE_SQL = """prof AS (
@@ -140,7 +147,7 @@ def q_profile_patches(spark, sf):
 @register("persona_log", """
 WITH s AS (SELECT * FROM supplier),
 upd AS (SELECT lpad(CAST(s.s_suppkey AS VARCHAR), 8, '0') AS persona_id, arg_max('P' || CAST(e.event_id AS VARCHAR), e.event_id) AS prompt
-        FROM events e JOIN s ON e.user_id = s.s_suppkey GROUP BY 1)
+        FROM events e JOIN s ON e.user_id = s.s_suppkey WHERE e.event_id % 3 <> 0 GROUP BY 1)
 SELECT lpad(CAST(s.s_suppkey AS VARCHAR), 8, '0') AS id, CAST(s.s_nationkey AS VARCHAR) AS profile_id,
        coalesce(CASE WHEN s.s_acctbal > 0 THEN s.s_name END, 'New Persona') AS persona_name,
        coalesce(CASE WHEN s.s_acctbal > 5000 THEN 'Lead' END, '') AS role,

@@ -8,6 +8,7 @@ from .. import schemas as S
 from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import normalize as N
+from ..sources import feeds as FD
 from ..sources import schema_rules as R
 from ..sources import tables as TB
 from . import bindings as B
@@ -29,7 +30,7 @@ INGEST_N = """n AS (
 SCAN_N = """n AS (
   SELECT coalesce(refnr, hashId, 'gen-' || substr(sha256(concat_ws(chr(31), coalesce(titel, ''),
            coalesce(arbeitgeber, ''), CAST(page AS VARCHAR), CAST(pos AS VARCHAR))), 1, 32)) AS reference_id,
-         hashId AS hash_id,
+         CAST(NULL AS VARCHAR) AS hash_id,
          coalesce(titel, 'Unknown Title') AS title, coalesce(arbeitgeber, 'Unknown Employer') AS company,
          coalesce(ort, '') AS ort, page, pos
   FROM feed)"""
@@ -80,16 +81,20 @@ def q_normalize_scan(spark, sf):
 
 
 @register("portal_url_read", with_ctes("feed", "detail") + "," + SCAN_N + f""",
-s AS (SELECT n.pos, n.hash_id,
+s AS (SELECT 'scan' AS path, n.pos, n.hash_id,
              coalesce({_nb('d.externeUrl')},
                       CASE WHEN {_nb('d.refnr')} IS NOT NULL THEN '{S.PORTAL_BASE}' || d.refnr END) AS portal_url
-      FROM n LEFT JOIN detail d ON d.detail_key = n.reference_id)
-SELECT pos, coalesce({_nb('portal_url')},
+      FROM n LEFT JOIN detail d ON d.detail_key = n.reference_id
+      UNION ALL
+      SELECT 'ingest', pos, coalesce(hashId, ''), NULL FROM feed)
+SELECT path, pos, coalesce({_nb('portal_url')},
                      CASE WHEN {_nb('hash_id')} IS NOT NULL THEN '{S.PORTAL_BASE}' || hash_id END) AS link
 FROM s""")
 def q_portal_url_read(spark, sf):
-    p = N.normalize_scan(B.feed(spark, sf), B.details(spark, sf), B.NOW)
-    return p.select("pos", N.portal_url_read(p).alias("link"))
+    scan = N.normalize_scan(B.feed(spark, sf), B.details(spark, sf), B.NOW)
+    ingest = N.normalize_ingest(B.feed(spark, sf), None, B.NOW)
+    return scan.select(F.lit("scan").alias("path"), "pos", N.portal_url_read(scan).alias("link")).unionByName(
+        ingest.select(F.lit("ingest").alias("path"), "pos", N.portal_url_read(ingest).alias("link")))
 
 
 @register("resolve_reference", with_ctes("feed") + "," + SCAN_N + """
@@ -134,29 +139,45 @@ def _incoming_imports(spark, sf):
     c = B.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     eng = c.select((F.col("c_custkey") * 2).alias("seq"),
                    F.concat("c_mktsegment", F.lit(" Engineer")).alias("title"), F.col("c_name").alias("company"))
+    odd = F.col("c_custkey") % 5
     lead = c.select((F.col("c_custkey") * 2 + 1).alias("seq"),
-                    F.concat("c_mktsegment", F.lit(" Lead")).alias("title"), F.col("c_name").alias("company"))
+                    F.when(odd != 1, F.concat("c_mktsegment", F.lit(" Lead"))).alias("title"),
+                    F.when(odd != 2, F.col("c_name")).alias("company"))
     return eng.unionByName(lead)
 
 
-@register("import_postings", with_ctes("posting") + """,
+IMPORT_SQL = """,
 incoming AS (SELECT c_custkey * 2 AS seq, c_mktsegment || ' Engineer' AS title, c_name AS company FROM customer
              UNION ALL
-             SELECT c_custkey * 2 + 1, c_mktsegment || ' Lead', c_name FROM customer),
+             SELECT c_custkey * 2 + 1, CASE WHEN c_custkey % 5 = 1 THEN 'Unknown Title' ELSE c_mktsegment || ' Lead' END,
+                    CASE WHEN c_custkey % 5 = 2 THEN 'Unknown Employer' ELSE c_name END FROM customer),
 existing AS (SELECT title, company, CAST(arg_min(id, (created_at, id)) AS VARCHAR) AS stored_id
              FROM posting GROUP BY title, company),
-firsts AS (SELECT title, company, min(seq) AS first_seq FROM incoming GROUP BY title, company)
-SELECT i.seq, i.title, i.company,
+firsts AS (SELECT title, company, min(seq) AS first_seq FROM incoming GROUP BY title, company),
+imp AS (SELECT i.seq, i.title, i.company,
        CASE WHEN e.stored_id IS NOT NULL THEN 'exists' WHEN i.seq = f.first_seq THEN 'imported'
             ELSE 'exists' END AS outcome,
        coalesce(e.stored_id, 'EXT-' || substr(sha256(i.title || chr(31) || i.company), 1, 32)) AS id
 FROM incoming i LEFT JOIN existing e ON i.title = e.title AND i.company = e.company
-LEFT JOIN firsts f ON i.title = f.title AND i.company = f.company""")
+LEFT JOIN firsts f ON i.title = f.title AND i.company = f.company)"""
+
+
+@register("import_postings", with_ctes("posting") + IMPORT_SQL + """
+SELECT * FROM imp""")
 def q_import_postings(spark, sf):
     stored = B.postings(spark, sf).select("id", "title", "company", "created_at")
     return D.import_postings(_incoming_imports(spark, sf), stored)
 
 
+@register("imported_postings", with_ctes("posting") + IMPORT_SQL + """
+SELECT id, id AS reference_id, title, company, '' AS description, 'FETCHED' AS status, 'IDLE' AS processing_status
+FROM imp WHERE outcome = 'imported'""")
+def q_imported_postings(spark, sf):
+    stored = B.postings(spark, sf).select("id", "title", "company", "created_at")
+    return D.imported_postings(_incoming_imports(spark, sf), stored, B.NOW).select(
+        "id", "reference_id", "title", "company", "description", "status", "processing_status")
+
+
 OLD_POSTING_COLS = ["id", "reference_id", "title", "company", "description", "status", "match_score",
                     "employer_email", "notes", "scored_at", "created_at"]
 
@@ -247,7 +268,7 @@ def q_resolve_recipient(spark, sf):
 SELECT o_orderkey,
        CASE WHEN b >= 1000000000 THEN CAST((b + 50000000) // 100000000 // 10 AS VARCHAR) || '.'
                                       || CAST((b + 50000000) // 100000000 % 10 AS VARCHAR) || ' GB'
-            WHEN b >= 1000000 THEN CAST(b // 1000000 AS VARCHAR) || ' MB'
+            WHEN b >= 1000000 THEN CAST((b + 500000) // 1000000 AS VARCHAR) || ' MB'
             ELSE CAST(b AS VARCHAR) || ' B' END AS label
 FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 10000) AS BIGINT) AS b FROM orders)""")
 def q_size_label(spark, sf):
@@ -272,3 +293,59 @@ def q_artifact_name(spark, sf):
     return d.select("doc_id", X.letter_file_name("doc_id").alias("letter_file"),
                     X.letter_file_name("doc_id", fallback=True).alias("fallback_file"),
                     X.upload_extension(name).alias("upload_ext"))
+
+
+@register("search_pages", """
+SELECT 'R-' || CAST(doc_id AS VARCHAR) AS refnr, source AS titel, CAST(doc_id // 75 + 1 AS BIGINT) AS page,
+       CAST(doc_id // 3 % 25 AS BIGINT) AS pos
+FROM documents WHERE doc_id // 75 + 1 < 4 + doc_id % 3""")
+def q_search_pages(spark, sf):
+    # three feed runs of 25 records a page; a run's page 4, 5 or 6 came empty and ends it
+    d = B.table(spark, sf, "documents").select("doc_id", "source")
+    run, page = F.col("doc_id") % 3, F.floor(F.col("doc_id") / 75) + 1
+    rec = F.struct(*(F.concat(F.lit("R-"), F.col("doc_id").cast("string")).alias("refnr") if f.name == "refnr"
+                     else F.col("source").alias("titel") if f.name == "titel"
+                     else F.lit(None).cast(f.dataType).alias(f.name) for f in S.RAW_SUMMARY.fields))
+    env = (d.groupBy(run.alias("run"), page.cast("long").alias("page"))
+            .agg(F.sort_array(F.collect_list(F.struct("doc_id", rec.alias("r")))).alias("rs"))
+            .select("page", F.when(F.col("page") == 4 + F.col("run"), F.array().cast(S.SEARCH_PAGE["stellenangebote"].dataType))
+                    .otherwise(F.transform("rs", lambda x: x["r"])).alias("stellenangebote"),
+                    F.format_string("/feed/r%d/page_%06d.json", F.col("run"), F.col("page")).alias("_file")))
+    return FD.explode_pages(env).select("refnr", "titel", "page", "pos")
+
+
+@register("fresh_rows", with_ctes("raw_text", "stored_text") + """
+SELECT reference_id, min(pos) AS pos FROM raw_text r
+WHERE NOT EXISTS (SELECT 1 FROM stored_text s WHERE s.reference_id = r.reference_id)
+GROUP BY reference_id""")
+def q_fresh_rows(spark, sf):
+    batch = B.raw_postings(spark, sf, "text").select("reference_id", "page", "pos")
+    return TB.fresh_rows(batch, B.stored_keys(spark, sf, "text")).select("reference_id", "pos")
+
+
+@register("upgrade_profile", """
+SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS full_name, CAST(NULL AS VARCHAR) AS search_keyword,
+       CAST(NULL AS VARCHAR) AS system_prompt, CAST(NULL AS VARCHAR) AS email_signature, 'llama3' AS ai_model,
+       CAST(CASE WHEN n_regionkey = 2 THEN NULL ELSE n_nationkey + 50 END AS DOUBLE) AS min_match_score,
+       CAST(30 AS DOUBLE) AS max_job_age_days
+FROM nation""")
+def q_upgrade_profile(spark, sf):
+    # an old snapshot without model and age settings; its own null scores stay
+    old = B.profiles(spark, sf).select("id", "full_name", "min_match_score")
+    up = R.upgrade_schema(old, "profile")
+    return up.withColumns({c: F.col(c).cast("double") for c in ("min_match_score", "max_job_age_days")})
+
+
+@register("upgrade_application", with_ctes("application") + """
+SELECT id, CAST(job_id AS VARCHAR) AS job_id, CAST(NULL AS VARCHAR) AS cv_path, letter_path, created_at FROM application""")
+def q_upgrade_application(spark, sf):
+    old = B.applications(spark, sf).select("id", F.col("job_id").cast("string").alias("job_id"), "letter_path", "created_at")
+    return R.upgrade_schema(old, "application")
+
+
+@register("upgrade_persona", """
+SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS id, CAST(s_nationkey AS VARCHAR) AS profile_id, s_name AS persona_name,
+       '' AS role, CAST(NULL AS VARCHAR) AS prompt_override, CAST(NULL AS VARCHAR) AS cv_path, s_acctbal > 8000 AS is_default
+FROM supplier""")
+def q_upgrade_persona(spark, sf):
+    return R.upgrade_schema(B.personas(spark, sf).drop("prompt_override", "cv_path"), "persona")

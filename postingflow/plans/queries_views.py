@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions.text import preview
 from ..operators import views as V
 from . import bindings as B
@@ -143,7 +144,13 @@ def q_has_application(spark, sf):
 
 @register("cards", with_ctes("posting") + f"""
 SELECT id, title, company AS employer, {ST} AS status, CAST(match_score AS DOUBLE) AS score, ai_analysis AS analysis,
-       portal_url, notes, strftime(scored_at, '%Y-%m-%dT%H:%M:%S') AS scored_at_text,
+       coalesce(portal_url, CASE WHEN hash_id IS NOT NULL THEN '{S.PORTAL_BASE}' || hash_id END) AS portal_url, notes,
+       strftime(scored_at, '%Y-%m-%dT%H:%M')
+         || CASE WHEN microsecond(scored_at) % 1000000 <> 0
+                 THEN strftime(scored_at, ':%S.') || CASE WHEN microsecond(scored_at) % 1000 = 0
+                      THEN lpad(CAST(microsecond(scored_at) % 1000000 // 1000 AS VARCHAR), 3, '0')
+                      ELSE lpad(CAST(microsecond(scored_at) % 1000000 AS VARCHAR), 6, '0') END
+                 WHEN second(scored_at) <> 0 THEN strftime(scored_at, ':%S') ELSE '' END AS scored_at_text,
        id IN (SELECT l_orderkey FROM lineitem) AS has_application
 FROM posting""")
 def q_cards(spark, sf):

@@ -32,6 +32,7 @@ INBOX_CAP = 50
 # Feed normalisation defaults.
 INGEST_DEFAULTS = {"refnr": "", "titel": "Unknown Title", "arbeitgeber": "Unknown Company", "hashId": ""}
 SCAN_DEFAULTS = {"titel": "Unknown Title", "arbeitgeber": "Unknown Employer", "ort": ""}
+IMPORT_DEFAULTS = {"title": "Unknown Title", "company": "Unknown Employer", "description": ""}
 INGEST_KEYWORD = "Java Developer"
 SCAN_KEYWORD = "Java"
 PORTAL_BASE = "https://www.arbeitsagentur.de/jobsuche/jobdetail/"
@@ -248,3 +249,7 @@ RAW_DETAIL = T.StructType([
 def empty(spark, schema: T.StructType):
     """Empty typed frame (the neutral element of unions and overwrites)."""
     return spark.createDataFrame([], schema)
+
+# Rejection memory: its sentence and its type.
+REJECTION_MEMORY_FORMAT = "Rejection for %s at %s: %s"
+REJECTION_MEMORY_TYPE = "rejection_learning"

@@ -2,7 +2,7 @@
 
 Nothing here executes data work; it only configures Spark so that Catalyst
 and AQE can do theirs (runtime broadcast conversion, partition coalescing,
-skew-join splitting) and gives operators a checked broadcast.
+skew-join splitting).
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every session should carry.  AQE re-plans joins from real
 # shuffle sizes, so a join side that turns out small is broadcast at
@@ -75,12 +74,13 @@ def build_session(master: str | None = None, app: str = "postingflow",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a scratch folder is
-    created and registered, so lineage cuts and streaming checkpoints always
-    land in the folder the cluster names.
+    Only a local session without the setting (tests) gets a scratch folder; a
+    cluster must name one that all its machines share.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="pf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -98,32 +98,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Above the bound the frame
-    is returned unhinted and the planner (with AQE) picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-partitioned input before heavy per-row work.
-
-    A scan of one large unsplittable file (one Parquet row group, one landed
-    feed) yields a single task.  Only then is the input redistributed
-    round-robin over the cluster's parallelism; an input that already has
-    that many partitions (any table at scale) is returned untouched, so no
-    shuffle is added there.  Apply it to scans (their partition count is
-    known from the file listing without running anything).
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -19,15 +19,23 @@ def explode_pages(env: DataFrame) -> DataFrame:
 
     Keeps the array position.  An empty or null array ends the feed: pages
     after the first empty one of the same feed run are dropped, where a run
-    is the folder the pages were landed in.  The end page per run is a small
+    is the folder the pages were landed in.  Pages are ordered by their
+    number, pages without one by their file path.  The end per run is a small
     aggregate (one row per run), joined back to the pages.
     """
-    env = env.withColumn("_run", F.regexp_extract("_file", "^(.*)/[^/]*$", 1))
+    order = F.struct(F.coalesce("page", F.lit(0)).alias("page"), F.col("_file").alias("file"))
+    env = env.withColumn("_run", F.regexp_extract("_file", "^(.*)/[^/]*$", 1)).withColumn("_ord", order)
     ends = (env.filter(F.coalesce(F.size("stellenangebote"), F.lit(-1)) <= 0)
-               .groupBy("_run").agg(F.min("page").alias("_end")))
+               .groupBy("_run").agg(F.min("_ord").alias("_end")))
     live = (env.join(ends, "_run", "left")
-               .filter(F.col("_end").isNull() | (F.col("page") < F.col("_end"))))
-    rec = live.select("page", "_file", F.posexplode("stellenangebote").alias("pos", "r"))
+               .filter(F.col("_end").isNull() | (F.col("_ord") < F.col("_end"))))
+    return explode_records(live.withColumn("page", F.col("_ord.page")))
+
+
+def explode_records(env: DataFrame) -> DataFrame:
+    """Envelopes -> raw records, without the end-of-feed rule."""
+    rec = env.select(F.coalesce("page", F.lit(0)).cast("long").alias("page"), "_file",
+                     F.posexplode("stellenangebote").alias("pos", "r"))
     return rec.select(
         F.col("r.refnr").alias("refnr"),
         F.col("r.hashId").alias("hashId"),
@@ -45,12 +53,18 @@ def read_search_pages(spark: SparkSession, path: str, multi_line: bool = True) -
     """Read envelopes ``{"page": n, "stellenangebote": [...]}``.
 
     ``multi_line`` reads one pretty-printed envelope per file; otherwise one
-    envelope per line.  A missing ``page`` falls back to 1.
+    envelope per line.  The page number comes from the envelope, else from the
+    last number in the file's name; pages of a run that have neither are taken
+    in the order of their paths.
     """
-    env = (spark.read.schema(S.SEARCH_PAGE).option("multiLine", multi_line).json(path)
-           .select(F.coalesce("page", F.lit(1)).cast("long").alias("page"), "stellenangebote",
-                   F.col("_metadata.file_path").alias("_file")))
-    return explode_pages(env)
+    env = spark.read.schema(S.SEARCH_PAGE).option("multiLine", multi_line).json(path)
+    return explode_pages(env.select(page_number(), "stellenangebote", F.col("_metadata.file_path").alias("_file")))
+
+
+def page_number():
+    """Page of an envelope: its own number, else the last one in the file name, else null."""
+    named = F.regexp_extract(F.col("_metadata.file_name"), "([0-9]{1,18})[^0-9]*$", 1)
+    return F.coalesce(F.col("page").cast("long"), F.nullif(named, F.lit("")).try_cast("long")).alias("page")
 
 
 DETAIL_READ = T.StructType(list(S.RAW_DETAIL.fields) + [T.StructField("hashId", T.StringType())])

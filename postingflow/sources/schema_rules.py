@@ -18,17 +18,22 @@ UPGRADE_DEFAULTS = {
                 "ai_model": S.DEFAULT_AI_MODEL},
 }
 
+# Defaults that also replace a stored null.
+BACKFILLED = ("processing_status",)
+
 
 def upgrade_schema(df: DataFrame, table: str) -> DataFrame:
     """Bring an older snapshot to the current schema: missing columns are
-    added as null (or their migration default), null processing_status is
-    backfilled to IDLE.  Extra columns are kept after the current ones."""
+    added as null (or their migration default); a null that the snapshot holds
+    stays, but null processing_status is backfilled to IDLE.  Extra columns
+    are kept after the current ones."""
     target = TABLE_SCHEMAS[table]
     spark = df.sparkSession
     base = spark.createDataFrame([], target)
     up = base.unionByName(df, allowMissingColumns=True)
     for col, dflt in UPGRADE_DEFAULTS.get(table, {}).items():
-        up = up.withColumn(col, F.coalesce(F.col(col), F.lit(dflt).cast(target[col].dataType)))
+        if col not in df.columns or col in BACKFILLED:
+            up = up.withColumn(col, F.coalesce(F.col(col), F.lit(dflt).cast(target[col].dataType)))
     return up
 
 

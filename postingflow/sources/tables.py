@@ -8,8 +8,6 @@ anti join reads only those bucket directories instead of the whole table.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -17,7 +15,10 @@ from pyspark.errors import AnalysisException
 from .. import schemas as S
 from ..operators.dedup import dedup_first, ref_bucket
 
-DEFAULT_BUCKETS = 64
+#: Rows that one hash bucket of a stored table is meant to hold, and the least
+#: number of buckets.
+BUCKET_ROWS = 1_000_000
+MIN_BUCKETS = 64
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -30,21 +31,51 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def try_read(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None when nothing was written yet."""
+    """The stored table, or None when nothing was written yet.  Any other
+    failure to read it is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def table_buckets(spark: SparkSession, path: str, batch: DataFrame, expected_rows: int | None) -> int:
+    """Number of hash buckets of a stored table, kept beside it: chosen at the
+    first append from the rows that are expected (or those of that batch)."""
+    kept = try_read(spark, f"{path}/_properties")
+    if kept is not None:
+        return kept.agg(F.max("buckets")).first()[0]
+    rows = expected_rows if expected_rows is not None else batch.count()
+    buckets = max(MIN_BUCKETS, -(-rows // BUCKET_ROWS))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_properties")
+    return buckets
+
+
+def fresh_rows(batch: DataFrame, stored: DataFrame | None, key: str = "reference_id", order=("page", "pos")) -> DataFrame:
+    """S4's rows to append: the first record of each key (D1) that is not
+    stored yet (J1); ``stored`` is None for a table that does not exist."""
+    first = dedup_first(batch, key, order)
+    if stored is None:
+        return first
+    on = [c for c in ("ref_bucket", key) if c in stored.columns and c in first.columns]
+    return first.join(stored.select(*on).distinct(), on, "left_anti")
 
 
 def append_new(new_df: DataFrame, path: str, key: str = "reference_id",
-               order=("page", "pos"), buckets: int = DEFAULT_BUCKETS) -> int:
+               order=None, buckets: int | None = None, expected_rows: int | None = None) -> int:
     """Append only rows whose key is not stored yet; a rerun adds nothing.
 
     Returns the number of rows written.  The batch is deduplicated first
-    (D1), then anti-joined (J1) with the stored keys of the touched buckets.
+    (D1, in feed order), then anti-joined (J1) with the stored keys of the
+    touched buckets.  The bucket count belongs to the table (``table_buckets``).
     """
     spark = new_df.sparkSession
+    if order is None:
+        order = tuple(c for c in ("page", "_file", "pos") if c in new_df.columns)
+    if buckets is None:
+        buckets = table_buckets(spark, path, new_df, expected_rows)
     batch = dedup_first(new_df, key, order).withColumn("ref_bucket", ref_bucket(F.col(key), buckets))
     batch = batch.drop(*[c for c in order if c in batch.columns and c not in S.POSTING.fieldNames()]).cache()
     stored = try_read(spark, path)
@@ -67,12 +98,18 @@ def append_new(new_df: DataFrame, path: str, key: str = "reference_id",
 def list_artifacts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, length) of every non-empty file under ``path``; contents
     are pruned from the binaryFile scan because only path and length are
-    selected.  File sources never see zero-length files, so an "empty file"
-    verdict (J8) needs an inventory frame from the storage listing with
-    length 0; with this listing an empty file shows as missing."""
+    selected.  Paths come without scheme and host, as applications hold them.
+    File sources never see zero-length files, so an "empty file" verdict (J8)
+    needs an inventory frame from the storage listing with length 0; with this
+    listing an empty file shows as missing."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
                  .option("recursiveFileLookup", "true").load(path)
-                 .select(F.col("path"), F.col("length")))
+                 .select(plain_path(F.col("path")).alias("path"), F.col("length")))
+
+
+def plain_path(c):
+    """A path without URI scheme and host (``file:/a``, ``hdfs://host/a`` -> ``/a``)."""
+    return F.regexp_replace(c, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
 
 
 def progress_events(df: DataFrame, type_col: str = "type", message_col: str = "message",
@@ -84,11 +121,3 @@ def progress_events(df: DataFrame, type_col: str = "type", message_col: str = "m
         F.col(type_col).alias("type"), msg.alias("message"),
         F.date_format(time_col, "HH:mm:ss").alias("time"))).alias("json"))
 
-
-def write_progress(df: DataFrame, path: str) -> None:
-    """Append progress events as JSON lines."""
-    df.write.mode("append").text(path)
-
-
-def output_path(base: str, name: str) -> str:
-    return os.path.join(base, name)

@@ -14,14 +14,9 @@ Checkpoints live under the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 
 from .. import schemas as S
 from ..operators import actions as A
@@ -31,6 +26,7 @@ from ..operators import views as V
 from ..session import scratch_path
 from ..sources import feeds as FD
 from ..sources import tables as TB
+from ..sources.schema_rules import validate_postings
 
 
 def _ckpt(spark: SparkSession, name: str, given: str | None) -> str:
@@ -55,21 +51,25 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
 def ingest_stream(spark: SparkSession, in_dir: str, table_path: str, now: str,
                   detail: DataFrame | None = None, checkpoint: str | None = None,
                   trigger: str | None = "availableNow", max_files: int | None = None):
-    """Landed search pages -> explode -> ingest rules -> dedup -> append.
+    """Landed search pages -> explode -> ingest rules -> validate -> dedup
+    -> append; invalid postings go to ``<table>_quarantine`` with the reason.
 
     Every micro-batch appends only unseen reference keys (S4), so replays
-    and overlapping feeds add nothing.  ``max_files`` bounds a micro-batch.
+    and overlapping feeds add nothing.  ``max_files`` bounds a micro-batch and
+    changes nothing in the result: a landed page is a page that the client
+    fetched, so the end-of-feed rule of S1 (which would depend on what came in
+    which batch) has no part here.
     """
     r = spark.readStream.schema(S.SEARCH_PAGE).option("multiLine", True)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    src = r.json(in_dir).select(F.coalesce("page", F.lit(1)).cast("long").alias("page"), "stellenangebote",
-                                F.col("_metadata.file_path").alias("_file"))
+    src = r.json(in_dir).select(FD.page_number(), "stellenangebote", F.col("_metadata.file_path").alias("_file"))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        raw = FD.explode_pages(df)
-        posts = N.normalize_ingest(raw, detail, now)
-        TB.append_new(posts, table_path, order=("page", "pos"))
+        posts = N.normalize_ingest(FD.explode_records(df), detail, now)
+        ok, bad = validate_postings(posts)
+        write_epoch(bad, f"{table_path}_quarantine", epoch_id)
+        TB.append_new(ok, table_path)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, "ingest", checkpoint))
     return _start(w, trigger)
@@ -77,24 +77,44 @@ def ingest_stream(spark: SparkSession, in_dir: str, table_path: str, now: str,
 
 # ------------------------------------------------------------------ R2
 
-def queue_step(postings: DataFrame, scorer, now: str, n: int = 1, with_claimed: bool = False):
-    """One queue-worker step (T1 -> X1 -> M1..M5 -> A7 release):
-    returns (postings', new applications, progress events)."""
+def claimed_prompts(claimed: DataFrame, cv: DataFrame | None, fallback_cv: str) -> DataFrame:
+    """Prompts for claimed postings.  ``cv`` is the active persona's frame
+    (J6: cv_text, system_prompt; per profile_id or a single row); without one
+    the fallback CV and the default system prompt are used."""
+    from ..operators import dispatch as DP
+    from ..operators import replies as RP
+    if cv is None:
+        single = claimed.sparkSession.createDataFrame([(fallback_cv,)], "cv_text string")
+        return RP.build_prompts(claimed, single, system=DP.DEFAULT_SYSTEM_PROMPT)
+    if "profile_id" in cv.columns and "profile_id" not in claimed.columns:
+        raise ValueError("claimed postings carry no profile_id to find their persona by")
+    return RP.build_prompts(claimed, cv)
+
+
+def apply_claimed(working: DataFrame, claimed: DataFrame, replies: DataFrame, now: str,
+                  cv_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parse raw replies of claimed postings, apply them, release the claims:
+    (postings', new applications, progress events)."""
     from ..functions.json_reply import extract_json, parse_replies
     from ..operators import queueing as Q
     from ..operators import replies as RP
-    claimed, working = Q.claim(postings, n)
-    cv = postings.sparkSession.createDataFrame([("",)], "cv_text string")
-    prompts = RP.build_prompts(claimed, cv)
-    replies = RP.score_with(prompts, scorer).withColumnRenamed("id", "job_id")
-    parsed = parse_replies(extract_json(replies.withColumnRenamed("error", "call_error"), "raw")
-                           .withColumn("error", F.coalesce("call_error", "error")))
-    updated, apps, events = RP.apply_replies(working, parsed, now)
+    parsed = parse_replies(extract_json(
+        replies.withColumnRenamed("id", "job_id").withColumnRenamed("error", "call_error"), "raw")
+        .withColumn("error", F.coalesce("call_error", "error")))
+    updated, apps, events = RP.apply_replies(working, parsed, now, F.lit(cv_path).cast("string"))
     released = Q.release(updated, claimed.select("id"))
-    events = RP.scoring_started(claimed, now).unionByName(events)
-    if with_claimed:
-        return released, apps, events, claimed
-    return released, apps, events
+    return released, apps, RP.scoring_started(claimed, now).unionByName(events)
+
+
+def queue_step(postings: DataFrame, scorer, now: str, n: int = 1, cv: DataFrame | None = None,
+               fallback_cv: str = "", cv_path: str | None = None):
+    """One queue-worker step (T1 -> X1 -> M1..M5 -> A7 release) as a plan:
+    returns (postings', new applications, progress events)."""
+    from ..operators import queueing as Q
+    from ..operators import replies as RP
+    claimed, working = Q.claim(postings, n)
+    replies = RP.score_with(claimed_prompts(claimed, cv, fallback_cv), scorer)
+    return apply_claimed(working, claimed, replies, now, cv_path)
 
 
 def current_postings(spark: SparkSession, base_path: str, changes_path: str, before_epoch: int) -> DataFrame:
@@ -111,17 +131,32 @@ def current_postings(spark: SparkSession, base_path: str, changes_path: str, bef
     return base.join(latest.select("id"), "id", "left_anti").unionByName(latest.select(*cols))
 
 
+REPLY_FILES = T.StructType([T.StructField("id", T.StringType()), T.StructField("raw", T.StringType()),
+                            T.StructField("error", T.StringType())])
+
+
+def _has_epoch(spark: SparkSession, path: str, epoch_id: int) -> bool:
+    """An epoch without rows writes no partition."""
+    table = TB.try_read(spark, path)
+    return table is not None and not table.filter(F.col("epoch") == int(epoch_id)).isEmpty()
+
+
 def queue_stream(spark: SparkSession, tick_dir: str, postings_path: str, out_path: str, scorer, now: str,
                  n: int = 1, checkpoint: str | None = None, trigger: str | None = "3 seconds",
-                 max_files: int | None = 1):
+                 max_files: int | None = 1, cv: DataFrame | None = None, fallback_cv: str = "",
+                 cv_path: str | None = None):
     """R2: every trigger claim ``n`` postings, score, apply, release.
 
     Driven by a stream of landed tick files (one micro-batch per trigger).
     The posting state is the base table plus a change log: each batch
     writes only the rows it changed to ``out_path/postings/epoch=<id>``, and
     the next batch reads the base with the latest changes applied, so a
-    posting claimed once is not claimed again.
+    posting claimed once is not claimed again.  The claims are spread over the
+    cluster, each is scored once: the batch's raw replies are written to
+    ``out_path/replies`` first, and everything else is derived from that table.
     """
+    from ..operators import queueing as Q
+    from ..operators import replies as RP
     r = spark.readStream.format("text")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -130,7 +165,13 @@ def queue_stream(spark: SparkSession, tick_dir: str, postings_path: str, out_pat
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         cur = current_postings(spark, postings_path, changes_path, epoch_id)
-        posts, apps, events, claimed = queue_step(cur, scorer, now, n, with_claimed=True)
+        claimed, working = Q.claim(cur, n)
+        prompts = claimed_prompts(claimed, cv, fallback_cv).repartition(min(n, spark.sparkContext.defaultParallelism))
+        write_epoch(RP.score_with(prompts, scorer).withColumn("id", F.col("id").cast("string")), f"{out_path}/replies", epoch_id)
+        written = spark.read.schema(REPLY_FILES).parquet(f"{out_path}/replies/epoch={epoch_id}") \
+            if _has_epoch(spark, f"{out_path}/replies", epoch_id) else spark.createDataFrame([], REPLY_FILES)
+        replies = written.withColumn("id", F.col("id").cast(cur.schema["id"].dataType))
+        posts, apps, events = apply_claimed(working, claimed, replies, now, cv_path)
         write_epoch(posts.join(claimed.select("id"), "id", "left_semi"), changes_path, epoch_id)
         write_epoch(apps, f"{out_path}/applications", epoch_id)
         write_epoch(TB.progress_events(events, keep=("id",)), f"{out_path}/progress", epoch_id)
@@ -142,31 +183,49 @@ def queue_stream(spark: SparkSession, tick_dir: str, postings_path: str, out_pat
 # ------------------------------------------------------------------ R3
 
 def mail_stream(spark: SparkSession, in_dir: str, postings: DataFrame, out_path: str,
-                checkpoint: str | None = None, trigger: str | None = "availableNow"):
+                checkpoint: str | None = None, trigger: str | None = "availableNow",
+                max_files: int | None = None):
     """New mail plus the mail still pending from earlier batches is
-    matched against the postings (J5), classified (G1); outcomes are written
-    per batch, and the still-unmatched mail becomes the next pending set.
-    The checkpoint replaces the SEEN flag."""
-    src = spark.readStream.schema(S.MESSAGE).parquet(in_dir)
-    pending_path = f"{out_path}/pending"
+    matched against the postings (J5) and classified (G1).
+
+    All mail seen so far is kept in ``out_path/mail``, outcomes in
+    ``out_path/outcomes``; what is pending is the difference of the two, so
+    nothing resolved comes back and a replayed batch rewrites only its own
+    partition.  ``postings`` is read anew in every batch, with the outcomes of
+    earlier batches applied (A12).  The checkpoint replaces the SEEN flag.
+    """
+    r = spark.readStream.schema(S.MESSAGE)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    src = r.parquet(in_dir)
+    mail_path, outcomes_path = f"{out_path}/mail", f"{out_path}/outcomes"
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        msgs = df
-        prev = TB.try_read(spark, pending_path)
-        if prev is not None:
-            last = prev.filter(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
-            if last is not None:
-                msgs = msgs.unionByName(prev.filter(F.col("epoch") == last).drop("epoch"))
-        msgs = msgs.cache()
-        out = MB.classify_messages(msgs, postings)
-        write_epoch(out.filter(F.col("outcome") != "pending"), f"{out_path}/outcomes", epoch_id)
-        write_epoch(MB.pending_mail(msgs, out), pending_path, epoch_id)
-        msgs.unpersist()
+        write_epoch(df, mail_path, epoch_id)
+        seen = TB.try_read(spark, mail_path)
+        if seen is None:
+            return
+        seen = seen.filter(F.col("epoch") <= epoch_id).drop("epoch")
+        done = TB.try_read(spark, outcomes_path)
+        current = postings
+        if done is not None:
+            done = done.filter(F.col("epoch") < epoch_id)
+            seen = seen.join(done.select("message_id"), "message_id", "left_anti")
+            current = MB.apply_mail_outcomes(postings, done)
+        out = MB.classify_messages(seen, current)
+        write_epoch(out.filter(F.col("outcome") != "pending"), outcomes_path, epoch_id)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, "mail", checkpoint))
     return _start(w, trigger)
 
 
+def pending_of(spark: SparkSession, out_path: str) -> DataFrame:
+    """Mail of a ``mail_stream`` that no posting has matched yet."""
+    mail = spark.read.parquet(f"{out_path}/mail").drop("epoch")
+    done = TB.try_read(spark, f"{out_path}/outcomes")
+    return mail if done is None else mail.join(done.select("message_id"), "message_id", "left_anti")
+
+
 # ------------------------------------------------------------------ R4 / R5
 
 # Landed action files: the action log with numeric posting keys.
@@ -175,80 +234,14 @@ ACTION_FILES = T.StructType([
     T.StructField("job_id", T.LongType()), T.StructField("action", T.StringType()),
     T.StructField("arg", T.StringType())])
 
-STATE_OUT = T.StructType([
-    T.StructField("job_id", T.LongType()),
-    T.StructField("new_status", T.StringType()),
-    T.StructField("queued", T.BooleanType()),
-    T.StructField("new_notes", T.StringType()),
-    T.StructField("deleted", T.BooleanType()),
-    T.StructField("n_actions", T.LongType()),
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("new_status", T.StringType()),
-    T.StructField("status_seq", T.LongType()),
-    T.StructField("queued", T.BooleanType()),
-    T.StructField("new_notes", T.StringType()),
-    T.StructField("notes_seq", T.LongType()),
-    T.StructField("deleted", T.BooleanType()),
-    T.StructField("n_actions", T.LongType()),
-])
-_STATUS = dict(A.STATUS_OF_ACTION)
-
-
-def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Sequential fold of one posting's actions into its live state,
-    vectorised per Arrow batch (a key's rows arrive as a stream of batches,
-    never all at once); each row carries the posting facts (exists, has an
-    application) from the stream-static joins.
-    """
-    if state.exists:
-        st, st_seq, queued, notes, notes_seq, deleted, n = state.get
-    else:
-        st, st_seq, queued, notes, notes_seq, deleted, n = None, None, False, None, None, False, 0
-    for pdf in pdfs:
-        n += len(pdf)
-        if deleted or pdf.empty:
-            continue
-        pdf = pdf.sort_values("seq")
-        act = pdf["action"].to_numpy(dtype=object)
-        seq = pdf["seq"].to_numpy()
-        exists = pdf["job_exists"].to_numpy(dtype=bool)
-        has_app = pdf["has_app"].to_numpy(dtype=bool)
-        # rows up to (and including) the first effective reject take effect
-        cut = np.flatnonzero((act == "reject") & exists & ~has_app)
-        live = np.arange(len(pdf)) < (cut[0] if len(cut) else len(pdf))
-        if len(cut):
-            deleted = True
-        ok = live & exists & ((act != "dispatched") | has_app)
-        is_status = ok & np.isin(act, list(_STATUS))
-        if is_status.any():
-            i = np.flatnonzero(is_status)[-1]
-            if st_seq is None or seq[i] > st_seq:
-                st, st_seq = _STATUS[act[i]], int(seq[i])
-        if (ok & (act == "analyze")).any():
-            queued = True
-        is_note = ok & (act == "notes")
-        if is_note.any():
-            i = np.flatnonzero(is_note)[-1]
-            if notes_seq is None or seq[i] > notes_seq:
-                a = pdf["arg"].iloc[i]
-                notes, notes_seq = ("" if a is None or (isinstance(a, float) and np.isnan(a)) else a), int(seq[i])
-    state.update((st, st_seq, bool(queued), notes, notes_seq, bool(deleted), int(n)))
-    yield pd.DataFrame({"job_id": [key[0]], "new_status": [st], "queued": [bool(queued)],
-                        "new_notes": [notes], "deleted": [bool(deleted)], "n_actions": [int(n)]})
-
-
 def state_stream(actions: DataFrame, postings: DataFrame, apps: DataFrame) -> DataFrame:
     """Live per-posting state from the action stream (update mode).
 
-    ``postings`` and ``apps`` are static tables (stream-static joins on the
-    key projections only).  Each micro-batch's volume per key is bounded by
-    the source's trigger limits (``maxFilesPerTrigger``).  Status and notes
-    are last-wins by seq whatever the arrival order; the delete cut is exact
-    when a posting's actions of one micro-batch fit one Arrow batch
-    (``spark.sql.execution.arrow.maxRecordsPerBatch``) or arrive in seq
-    order, as appended logs do.  The batch fold (``apply_actions``) has no
-    such condition.
+    A streaming aggregate with map-side partials: status and notes are the
+    last by seq, whatever the arrival order and batch size, and a posting with
+    very many actions sends one buffer row per map task.  ``postings`` and
+    ``apps`` are static tables (stream-static joins on the key projections
+    only).  A deleted posting reports only that, and the number of actions.
     """
     ids = postings.select(F.col("id").alias("job_id")).withColumn("job_exists", F.lit(True))
     has = apps.select("job_id").distinct().withColumn("has_app", F.lit(True))
@@ -256,8 +249,16 @@ def state_stream(actions: DataFrame, postings: DataFrame, apps: DataFrame) -> Da
          .select("job_id", "seq", "action", "arg",
                  F.coalesce("job_exists", F.lit(False)).alias("job_exists"),
                  F.coalesce("has_app", F.lit(False)).alias("has_app")))
-    return a.groupBy("job_id").applyInPandasWithState(
-        _fold, STATE_OUT, STATE_SCHEMA, "update", "NoTimeout")
+    act, there = F.col("action"), F.col("job_exists")
+    status = F.when(there & ((act != "dispatched") | F.col("has_app")), A._new_status(act))
+    note = F.when(there & (act == "notes"), F.coalesce(F.col("arg"), F.lit("")))
+    state = a.groupBy("job_id").agg(
+        F.max_by(status, F.when(status.isNotNull(), F.col("seq"))).alias("new_status"),
+        F.coalesce(F.bool_or(there & (act == "analyze")), F.lit(False)).alias("queued"),
+        F.max_by(note, F.when(note.isNotNull(), F.col("seq"))).alias("new_notes"),
+        F.coalesce(F.bool_or(there & ~F.col("has_app") & (act == "reject")), F.lit(False)).alias("deleted"),
+        F.count(F.lit(1)).alias("n_actions"))
+    return A.changes_of(state)
 
 
 def stats_from_changes(postings: DataFrame, changes: DataFrame) -> DataFrame:
@@ -299,13 +300,22 @@ WEEKLY_EVENT = [("dispatched", "applied"), ("approve", "approved"), ("analyze",
 
 
 def change_events(actions: DataFrame) -> DataFrame:
-    """Typed change events (job_id, ts, event) from the action log."""
+    """Typed change events (job_id, ts, event) from the action log; with an
+    ``outcome`` column only the actions that took effect count."""
     ev = None
     for a, e in WEEKLY_EVENT:
         ev = F.when(F.col("action") == a, e) if ev is None else ev.when(F.col("action") == a, e)
+    if "outcome" in actions.columns:
+        actions = actions.filter(F.col("outcome") == "ok")
     return actions.select("job_id", "ts", ev.alias("event")).filter(F.col("event").isNotNull())
 
 
+def scored_events(postings: DataFrame) -> DataFrame:
+    """A change event per scored posting, at the time of its score."""
+    return postings.filter(F.col("scored_at").isNotNull()).select(
+        F.col("id").alias("job_id"), F.col("scored_at").alias("ts"), F.lit("scored").alias("event"))
+
+
 def weekly_counts(events: DataFrame, lateness: str | None = "1 day") -> DataFrame:
     """Tumbling 7-day windows (epoch-aligned) of event counts.
 

@@ -101,7 +101,7 @@ def test_breaker_windows(spark):
     calls = [(1, T0 + dt.timedelta(seconds=i), i, i < 8, 1.0) for i in range(10)]
     calls += [(2, T0 + dt.timedelta(seconds=i), 100 + i, True, 1.0) for i in range(9)]
     df = spark.createDataFrame(calls, "service long, ts timestamp_ntz, call_id long, failed boolean, duration_s double")
-    w = Q.breaker_windows(df, partitions=4)
+    w = Q.breaker_windows(df, block=16)
     last = {r.service: r.state for r in w.filter(F.col("call_id").isin(9, 108)).collect()}
     assert last == {1: "OPEN", 2: "CLOSED"}      # 8 of 10 failed; 9 calls only
     a = sorted(tuple(r) for r in w.select("call_id", "window_calls", "failures").collect())
@@ -146,3 +146,34 @@ def test_analyze_on_scored_is_never_claimed(spark):
     assert p2.first().processing_status == "QUEUED"
     claimed, _ = Q.claim(p2, 1)
     assert claimed.count() == 0
+
+
+def test_address_of_an_earlier_dispatch_stays(spark):
+    a = acts(spark, [("0", "dispatched", "hr@first.de"), ("0", "dispatched", None)])
+    p, _ = A.apply_actions(base(spark), apps(spark, ["0"]), a)
+    assert {r.id: r.employer_email for r in p.collect()}["0"] == "hr@first.de"
+
+
+def test_prompt_before_its_persona_is_not_found(spark):
+    from postingflow import schemas as S
+    cols = "seq long, op string, persona_id string, profile_id string, name string, role string, prompt string"
+    log = spark.createDataFrame([(1, "prompt", "x", None, None, None, "early"), (2, "create", "x", "p", "N", "R", None),
+                                 (3, "prompt", "old", None, None, None, "P")], cols)
+    stored = spark.createDataFrame([("old", "p", "O", "", None, None, False)], S.PERSONA)
+    got = {r.id: r.prompt_override for r in A.apply_persona_log(stored, log).collect()}
+    assert got == {"x": None, "old": "P"}
+
+
+def test_breaker_windows_null_service_and_blocks(spark):
+    rows = [(s, T0 + dt.timedelta(minutes=37 * i), 1000 * (s or 0) + i, i % 3 == 0, float(i % 200))
+            for s in (None, 1, 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "service long, ts timestamp_ntz, call_id long, failed boolean, duration_s double")
+    cols = ["service", "call_id", "window_calls", "failures", "slow_calls", "state"]
+    a = sorted(map(tuple, Q.breaker_windows(df, block=13).select(*cols).collect()), key=str)
+    assert a == sorted(map(tuple, Q.breaker_windows_simple(df).select(*cols).collect()), key=str)
+
+
+def test_many_global_commands(spark):
+    rows = [(None, "score_all" if i % 2 else "cancel_queue", None) for i in range(4)]
+    p, o = A.apply_log(base(spark), apps(spark, []), acts(spark, rows))
+    assert o.count() == 4 and {r.processing_status for r in p.collect()} == {"QUEUED"}

@@ -205,3 +205,51 @@ def test_upgrade_other_tables(spark):
     old_persona = spark.createDataFrame([("x1", "p1", "Dev")], "id string, profile_id string, persona_name string")
     r = R.upgrade_schema(old_persona, "persona").first()
     assert r.persona_name == "Dev" and r.is_default is None
+
+
+def test_pages_without_numbers_keep_their_records(spark, tmp):
+    for folder, names in (("n", ("p1.json", "p2.json", "p10.json")), ("x", ("a.json", "b.json", "c.json"))):
+        d = os.path.join(tmp, folder)
+        for name, recs in zip(names, ([{"refnr": "a"}], [{"refnr": "b"}, {"refnr": "a", "titel": "later"}], [])):
+            land(d, name, {"stellenangebote": recs})
+        raw = FD.read_search_pages(spark, d)
+        assert [r.refnr for r in raw.orderBy("page", "_file", "pos").collect()] == ["a", "b", "a"]
+        posts = N.normalize_ingest(raw, None, NOW)
+        table = os.path.join(tmp, "t" + folder)
+        assert TB.append_new(posts, table) == 2
+        assert {r.reference_id: r.title for r in spark.read.parquet(table).collect()}["a"] == "Unknown Title"
+
+
+def test_only_a_missing_path_counts_as_empty_table(spark, tmp):
+    import pytest
+    assert TB.try_read(spark, os.path.join(tmp, "none")) is None
+    os.makedirs(os.path.join(tmp, "bad"))
+    with open(os.path.join(tmp, "bad", "x.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        TB.try_read(spark, os.path.join(tmp, "bad"))
+
+
+def test_import_defaults(spark):
+    from postingflow.operators import dedup as D
+    inc = spark.createDataFrame([(1, None, "C", "d"), (2, "Unknown Title", "C", None), (3, "T", None, None)],
+                                "seq long, title string, company string, description string")
+    stored = spark.createDataFrame([], "id string, title string, company string, created_at timestamp_ntz")
+    out = {r.seq: (r.title, r.company, r.outcome) for r in D.import_postings(inc, stored).collect()}
+    assert out == {1: ("Unknown Title", "C", "imported"), 2: ("Unknown Title", "C", "exists"),
+                   3: ("T", "Unknown Employer", "imported")}
+    rows = {r.title: (r.company, r.description, r.status) for r in D.imported_postings(inc, stored, NOW).collect()}
+    assert rows == {"Unknown Title": ("C", "d", "FETCHED"), "T": ("Unknown Employer", "", "FETCHED")}
+
+
+def test_java_datetime(spark):
+    rows = [("2024-01-02 03:04:00",), ("2024-01-02 03:04:05",), ("2024-01-02 03:04:05.120",), ("2024-01-02 03:04:00.000007",)]
+    df = spark.createDataFrame(rows, "t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    assert [r[0] for r in df.select(X.java_datetime("t")).collect()] == [
+        "2024-01-02T03:04", "2024-01-02T03:04:05", "2024-01-02T03:04:05.120", "2024-01-02T03:04:00.000007"]
+
+
+def test_upgrade_keeps_stored_nulls(spark):
+    old = spark.createDataFrame([("p", None)], "id string, min_match_score int")
+    r = R.upgrade_schema(old, "profile").first()
+    assert r.min_match_score is None and r.max_job_age_days == S.DEFAULT_MAX_JOB_AGE_DAYS

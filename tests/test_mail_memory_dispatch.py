@@ -35,15 +35,101 @@ def test_mail_cases(spark):
                          ("hr@none", "Status", "interview"),
                          ("x@lab.example", "hi", "")])
     out = {r.message_id: (r.posting_id, r.outcome) for r in MB.classify_messages(m, postings(spark)).collect()}
-    assert out[0] == ("1", "rejected") and out[1] == ("1", "rejected")
-    assert out[2] == ("1", "interviewing")            # first match, not best match
-    assert out[3] == ("1", "unchanged") and out[4] == ("1", "unchanged")
+    assert out[0] == ("1", "rejected")
+    assert out[1] == (None, "pending")                # acme's only posting is out by now
+    assert out[2] == ("2", "interviewing")            # the next active posting that is named
+    assert out[3] == (None, "pending") and out[4] == (None, "pending")
     assert out[5] == (None, "pending") and out[6] == (None, "pending")
     assert out[7] == ("5", "unchanged")               # short company via the exact short path
-    # the q-gram join equals the nested-loop oracle
-    a = sorted(tuple(r) for r in MB.match_messages(m, postings(spark)).collect())
-    b = sorted(tuple(r) for r in MB.match_messages_nested(m, postings(spark)).collect())
-    assert a == b
+
+
+def one_by_one(messages, postings):
+    """The mailbox as a plain loop over messages and postings."""
+    state = {p.id: p.status or "FETCHED" for p in postings}
+    order = sorted(postings, key=lambda p: (p.created_at, p.id))
+    out = {}
+    for m in sorted(messages, key=lambda m: (m.received_at, m.message_id)):
+        sender, subject, body = m.from_addr.lower(), (m.subject or "").lower(), (m.body or "").lower()
+        for p in order:
+            name = (p.company or "").lower()
+            if state[p.id] in ("REJECTED", "HIRED") or not name or not (name in sender or name in subject):
+                continue
+            outcome = "unchanged"
+            if any(w in subject for w in ("update", "status", "unfortunate", "rejection")):
+                if "unfortunately" in body or "unfortunately" in subject or "other candidates" in body:
+                    outcome, state[p.id] = "rejected", "REJECTED"
+                elif "interview" in body or "interview" in subject or "next steps" in body:
+                    outcome, state[p.id] = "interviewing", "INTERVIEWING"
+            out[m.message_id] = (p.id, outcome)
+            break
+        else:
+            out[m.message_id] = (None, "pending")
+    return out, state
+
+
+def test_mail_is_taken_in_order(spark):
+    import random
+    rng = random.Random(5)
+    names = ["acme", "acme berlin", "ab", "a very long company name gmbh", "zed", "Berlin", "x", "ingenieurbuero nord"]
+    posts = posting_rows(spark, [dict(id=f"{i:03d}", company=rng.choice(names + [None, ""]), title="Dev",
+                                      status=rng.choice(["APPLIED", None, "REJECTED", "HIRED", "FETCHED"]),
+                                      created_at=T0 + dt.timedelta(hours=rng.randrange(60))) for i in range(30)])
+    rows = [(f"hr@{rng.choice(names)}", rng.choice(["Status", "Update from " + rng.choice(names), "Hello", "unfortunately", None]),
+             rng.choice(["Unfortunately no", "next steps", "hi", "other candidates"])) for _ in range(36)]
+    m = messages(spark, rows)
+    m = m.withColumn("received_at", F.col("received_at") + F.make_dt_interval(hours=F.pmod(F.hash("message_id"), F.lit(40))))
+    want, state = one_by_one(m.collect(), posts.collect())
+    outcomes = MB.classify_messages(m, posts).cache()
+    assert {r.message_id: (r.posting_id, r.outcome) for r in outcomes.collect()} == want
+    got = {r.id: r.status or "FETCHED" for r in MB.apply_mail_outcomes(posts, outcomes).collect()}
+    assert got == state
+
+
+def test_running_sums_in_slices(spark):
+    from postingflow.operators.ordering import running_before
+    rows = [(k, i // 4, i, i % 3) for k in ("a", "b", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, s int, i int, v int")
+    got = {(r.k, r.i): r.before for r in running_before(df, "k", F.col("s"), ["i"], F.col("v")).collect()}
+    assert got == {(k, i): sum(j % 3 for j in range(i)) for k, _, i, _ in rows}
+
+
+def test_many_queries_no_cap(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    vecs = rng.standard_normal((50, 4))
+    mem = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "mem_id long, embedding array<float>")
+    q = spark.range(10_500).select(F.col("id").alias("query_id"), F.array(
+        *(F.lit(float(k)) - F.col("id") % (k + 7) for k in range(4))).cast("array<double>").alias("vec"))
+    got = M.top_k(q, mem.repartition(3), 1, block=1000)
+    assert got.count() == 10_500
+    want = {}
+    m = vecs.astype(np.float32).astype(float)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for r in q.where("query_id % 997 = 3").collect():
+        want[r.query_id] = int(np.argmax(m @ np.array(r.vec)))
+    assert {r.query_id: r.mem_id for r in got.where("query_id % 997 = 3").collect()} == want
+
+
+def test_files_meet_applications_by_plain_path(spark, tmp):
+    import os
+    from postingflow.sources import tables as TB
+    os.makedirs(os.path.join(tmp, "f"))
+    for name in ("cv.pdf", "letter.pdf"):
+        open(os.path.join(tmp, "f", name), "w").write("x")
+    files = TB.list_artifacts(spark, os.path.join(tmp, "f"))
+    posts = posting_rows(spark, [dict(id="1", company="acme", created_at=T0), dict(id="2", company="b", created_at=T0),
+                                 dict(id="3", company="c", created_at=T0)])
+    apps = spark.createDataFrame([("a1", "1", f"{tmp}/f/cv.pdf", f"file://{tmp}/f/letter.pdf", T0),
+                                  ("a2", "2", " ", f"{tmp}/f/none.pdf", T0)],
+                                 "id string, job_id string, cv_path string, letter_path string, created_at timestamp_ntz")
+    got = {r.id: (r.cv_state, r.letter_state) for r in DP.audit_artifacts(posts, apps, files).collect()}
+    assert got == {"1": ("ok", "ok"), "2": ("blank_path", "missing"), "3": ("no_application", "no_application")}
+    over = spark.createDataFrame([("1", "me@x.de"), ("2", " ")], "id string, override_email string")
+    prof = spark.createDataFrame([("Yours, N",)], "email_signature string")
+    m = {r.id: r for r in DP.dispatch_manifest(posts, apps, over, files, prof).collect()}
+    assert (m["1"].recipient, m["2"].recipient, m["3"].action) == ("me@x.de", "hr@b.de", "skipped_no_application")
+    assert (m["1"].cv_attachment, m["2"].letter_attachment) == ("Lebenslauf.pdf", None)
+    assert m["1"].body.endswith("Yours, N")
 
 
 def test_pending_matched_later(spark):
@@ -108,7 +194,7 @@ def test_dispatch_manifest(spark):
                                  "id string, job_id string, cv_path string, letter_path string, created_at timestamp_ntz")
     files = spark.createDataFrame([("l1", 0)], "path string, length long")
     m = {r.id: r for r in DP.dispatch_manifest(p, apps, None, files, None).collect()}
-    assert m["1"].recipient == "hr@techcorp.de" and m["1"].attach_letter and not m["1"].attach_cv
+    assert m["1"].recipient == "hr@techcorp.de" and m["1"].letter_attachment == "Anschreiben.pdf" and m["1"].cv_attachment is None
     assert m["1"].body.endswith("Mit freundlichen Grüßen,\nJohn Doe")
     assert m["2"].action == "skipped_no_application"
 

@@ -115,3 +115,24 @@ def test_unparsable_score_is_a_row_error(spark):
     out = parsed(spark, [("1", '{"score": "abc"}'), ("2", '{"score": 1e30}'), ("3", '{"score": 7.9}')])
     assert out["1"].error.startswith("Cannot parse score") and out["2"].error.startswith("Cannot parse score")
     assert out["3"].score == 7 and out["3"].error is None
+
+
+def test_quoted_decimal_and_commas_in_strings(spark):
+    out = parsed(spark, [("1", '{"score": "72.5"}'), ("2", '{"score": "72"}'), ("3", '{"score": 72.5}'),
+                         ("4", '{"score": 5, "letter": "x,} y", "analysis": ["a",],}')])
+    assert out["1"].error == "Cannot parse score: 72.5" and out["1"].score is None
+    assert (out["2"].score, out["3"].score) == (72, 72)
+    assert (out["4"].error, out["4"].letter, out["4"].analysis) == (None, "x,} y", "a")
+
+
+def test_several_replies_for_one_posting(spark):
+    p = posting_rows(spark, [dict(id="1", status="FETCHED", title="T", company="C")])
+    rep = spark.createDataFrame([("1", 1, None, None, None, "boom"), ("1", 2, 70, "<x>Dear</x>", "ok", None)],
+                                "job_id string, reply_seq long, score long, letter string, analysis string, error string")
+    up, apps, ev = RP.apply_replies(p, rep, "2024-01-01 00:00:00", F.lit("cv.pdf"))
+    r = up.collect()
+    assert len(r) == 1 and (r[0].match_score, r[0].ai_analysis) == (70, "ok")
+    a = {x.id: x for x in apps.collect()}
+    assert set(a) == {"app-1-1", "app-1-2"} and ev.count() == 2
+    assert (a["app-1-2"].letter_text, a["app-1-2"].cv_path, a["app-1-1"].cv_path) == ("Dear", "cv.pdf", None)
+    assert a["app-1-1"].letter_text.endswith("boom")

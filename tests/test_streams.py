@@ -80,19 +80,77 @@ def test_mail_stream_carries_pending(spark, tmp):
     msgs = B.messages(spark, SF)
     posts = B.postings(spark, SF)
     src = os.path.join(tmp, "mail")
-    bounds = msgs.agg(F.percentile_approx("message_id", [0.5]).alias("b")).first().b
-    msgs.filter(F.col("message_id") <= bounds[0]).write.parquet(os.path.join(src, "a"))
+    half = sorted(r.received_at for r in msgs.select("received_at").collect())[msgs.count() // 2]
+    msgs.filter(F.col("received_at") <= F.lit(half)).write.parquet(os.path.join(src, "a"))
     out, ck = os.path.join(tmp, "out"), os.path.join(tmp, "ck")
     run(ST.mail_stream(spark, src + "/*", posts, out, checkpoint=ck))
-    msgs.filter(F.col("message_id") > bounds[0]).write.parquet(os.path.join(src, "b"))
+    msgs.filter(F.col("received_at") > F.lit(half)).write.parquet(os.path.join(src, "b"))
     run(ST.mail_stream(spark, src + "/*", posts, out, checkpoint=ck))
     got = spark.read.parquet(out + "/outcomes").select("message_id", "posting_id", "outcome")
     want = MB.classify_messages(msgs, posts).filter(F.col("outcome") != "pending").select(
         "message_id", "posting_id", "outcome")
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
-    pend = spark.read.parquet(out + "/pending")
-    last = pend.filter(F.col("epoch") == pend.agg(F.max("epoch")).first()[0])
-    assert last.count() == MB.classify_messages(msgs, posts).filter(F.col("outcome") == "pending").count()
+    assert ST.pending_of(spark, out).count() == MB.classify_messages(msgs, posts).filter(F.col("outcome") == "pending").count()
+
+
+def test_mail_stream_does_not_replay(spark, tmp):
+    import datetime as dt
+    from conftest import posting_rows
+    t0 = dt.datetime(2024, 1, 1)
+    posts = posting_rows(spark, [dict(id=str(i), company="acme", status="APPLIED", created_at=t0 + dt.timedelta(days=i))
+                                 for i in range(2)])
+    cols = "message_id long, mailbox string, from_addr string, subject string, body string, received_at timestamp_ntz"
+    src = os.path.join(tmp, "mail")
+    for k in range(4):        # two rejections, then mail that finds nothing, one file at a time
+        spark.createDataFrame([(k, "inbox", "hr@acme", "Status", "unfortunately", t0 + dt.timedelta(minutes=k))], cols) \
+            .coalesce(1).write.parquet(os.path.join(src, f"m{k}"))
+        run(ST.mail_stream(spark, src + "/*", posts, os.path.join(tmp, "out"), checkpoint=os.path.join(tmp, "ck")))
+    got = sorted((r.message_id, r.posting_id) for r in spark.read.parquet(os.path.join(tmp, "out", "outcomes")).collect())
+    assert got == [(0, "0"), (1, "1")]
+    assert sorted(r.message_id for r in ST.pending_of(spark, os.path.join(tmp, "out")).collect()) == [2, 3]
+
+
+def test_state_stream_does_not_depend_on_order_or_batches(spark, tmp):
+    import datetime as dt
+    from conftest import posting_rows
+    t0 = dt.datetime(2024, 1, 1)
+    posts = posting_rows(spark, [dict(id="1"), dict(id="2")]).withColumn("id", F.col("id").cast("long"))
+    apps = spark.createDataFrame([(2,)], "job_id long")
+    rows = [(4, 1, "notes", "late"), (1, 1, "approve", None), (3, 1, "reject", None), (2, 1, "notes", "n"),
+            (9, 2, "ignore", None), (6, 2, "reject", None), (8, 2, "dispatched", None), (7, 3, "approve", None)]
+    acts = spark.createDataFrame([(s, t0, j, a, x) for s, j, a, x in rows],
+                                 "seq long, ts timestamp_ntz, job_id long, action string, arg string")
+    batch = sorted(map(tuple, A.action_changes(posts, apps, acts).collect()), key=str)
+    assert batch[0] == (1, None, False, None, True, 4)
+    for name, per_file, size in (("one", 8, 10_000), ("each", 1, 1)):
+        src, out = os.path.join(tmp, name), os.path.join(tmp, "out-" + name)
+        for k in range(0, 8, per_file):
+            spark.createDataFrame(acts.collect()[k:k + per_file], acts.schema).coalesce(1).write.parquet(os.path.join(src, f"p{k}"))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        run(ST.run_state_stream(spark, src + "/*", posts, apps, out, checkpoint=os.path.join(tmp, "ck-" + name), max_files=1))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        ch = spark.read.parquet(out + "/changes")
+        last = ch.groupBy("job_id").agg(F.max_by(F.struct("new_status", "queued", "new_notes", "deleted", "n_actions"),
+                                                 "epoch").alias("c")).select("job_id", "c.*")
+        assert sorted(map(tuple, last.collect()), key=str) == batch
+
+
+def test_ingest_stream_quarantine_and_any_batching(spark, tmp):
+    pages = [{"stellenangebote": [{"refnr": "a", "titel": "T", "arbeitgeber": "C"}]},
+             {"stellenangebote": []},
+             {"stellenangebote": [{"refnr": "b", "titel": "x" * 3000, "arbeitgeber": "C"}, {"refnr": "c", "titel": "T"}]}]
+    src = os.path.join(tmp, "pages")
+    os.makedirs(src)
+    for k, page in enumerate(pages):
+        json.dump(page, open(os.path.join(src, f"p{k}.json"), "w"))
+    tables = []
+    for name, files in (("all", None), ("one", 1)):
+        out = os.path.join(tmp, name)
+        run(ST.ingest_stream(spark, src, out, NOW, checkpoint=out + "-ck", max_files=files))
+        tables.append(table_rows(spark, out))
+        bad = spark.read.parquet(out + "_quarantine").collect()
+        assert [(r.reference_id, r.reason) for r in bad] == [("b", "title too long")]
+    assert tables[0] == tables[1] == [("a", "T"), ("c", "T")]
 
 
 def test_weekly_stream_matches_closed_windows(spark, tmp):
@@ -102,7 +160,7 @@ def test_weekly_stream_matches_closed_windows(spark, tmp):
     out = os.path.join(tmp, "weekly")
     run(ST.weekly_stream(spark, src, out, lateness="1 day", checkpoint=os.path.join(tmp, "ck")))
     got = spark.read.parquet(out)
-    batch = ST.weekly_counts(ST.change_events(acts))
+    batch = ST.weekly_counts(ST.change_events(acts))  # the stream sees the log only: no outcomes
     wm = acts.agg(F.max("ts")).first()[0]
     got_rows = sorted(tuple(r) for r in got.select("window_start", "event", "n").collect())
     closed = batch.filter(F.col("window_end") <= F.lit(wm) - F.expr("INTERVAL 1 DAY"))
@@ -122,15 +180,24 @@ def test_queue_stream_ticks(spark, tmp):
     os.makedirs(ticks)
     for t in ("t1", "t2"):
         open(os.path.join(ticks, f"{t}.txt"), "w").write("tick\n")
-    scorer = lambda s: pd.Series(['{"score": 7}'] * len(s))
+    calls = os.path.join(tmp, "calls")
+    os.makedirs(calls)
+
+    def scorer(prompts):
+        import uuid
+        for p in prompts:
+            open(os.path.join(calls, uuid.uuid4().hex), "w").write(p)
+        return pd.Series(['{"score": 7}'] * len(prompts))
     out = os.path.join(tmp, "out")
     # two ticks, one claim each: the second batch must see the first one's change
     run(ST.queue_stream(spark, ticks, ppath, out, scorer, NOW, n=1, checkpoint=os.path.join(tmp, "ck"),
-                        trigger="availableNow"))
+                        trigger="availableNow", fallback_cv="my cv"))
     cur = ST.current_postings(spark, ppath, out + "/postings", 1 << 30)
     got = {r.id: (r.status, r.processing_status) for r in cur.collect()}
     assert got == {"0": ("SCORED", "IDLE"), "1": ("SCORED", "IDLE"), "2": ("FETCHED", "QUEUED")}
     assert spark.read.parquet(out + "/progress").count() == 4     # start + success per claim
+    assert len(os.listdir(calls)) == 2                            # each claim is scored once
+    assert "my cv" in open(os.path.join(calls, os.listdir(calls)[0])).read()
 
 
 def test_progress_stream_json_lines(spark, tmp):
