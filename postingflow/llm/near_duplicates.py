@@ -10,10 +10,15 @@ their agreement is counted on the two signatures.  Pairs with ``t`` or more
 agreements are confirmed on the full shingle sets.  ``t`` lies 6.5 standard
 deviations under the agreement expected at the similarity threshold.
 
-Lists are merged without making all their pairs: in each round a list
-compares its members with one hub (another one each round) and members
-already in the hub's component are skipped.  What is still apart in some list
-after the rounds is compared pair by pair, again only across components.
+Lists are merged without making all their pairs.  First every list compares
+its members with one hub, the member whose values are the most frequent (the
+likely original of a family of copies).  Then every member is compared with
+the hub of its family, the component it came closest to.  Two members A and B
+of one family share at most min(|A and hub|, |B and hub|) shingles, unless they
+share a shingle that the hub lacks; so what is still apart is compared pair by
+pair only where that bound allows a link, or where such a shingle is shared.
+Members of different families are compared where their sizes, without the
+shingles that no other open member has, allow it.
 
 Edge cases: a null text, or one without words, has an empty set and is linked
 with nothing; a text of fewer words than a shingle is one shingle; rows with
@@ -34,11 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .graph import components
+from .graph import components, partial_components
 from .sizing import written
 
 K = 64
-ROUNDS = 2
 _SHINGLE = 0xC2B2AE3D
 #: Nodes from here on stand for rows without an id (ids are smaller).
 NO_ID = 1 << 62
@@ -107,32 +111,42 @@ def _sign(size: int, k: int):
 
 
 def _sets(size: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, off, raw in tb.blocks(batch):
                 h, first = shingle_sets(raw, off, size)
+                signed = (h ^ np.uint64(1 << 63)).view(np.int64)  # sorted as signed numbers too
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(a, b - a).cast(pa.int64()),
-                    pa.array([h[s:e].tobytes() for s, e in zip(first[:-1], first[1:])], pa.binary())],
-                    schema=schema)
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(signed))], schema=schema)
     return run
 
 
-def _confirm(percent: int):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    values, off = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(off[:-1], off[1:])]
+
+
+def _shared(with_rest: bool):
+    """(u, v, both, rest): shared shingles of a pair, and those of u that v lacks."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n_u", pa.int64()), ("n_v", pa.int64()),
+                        ("both", pa.int64()), ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_u"), batch.column("set_v")):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+            both, sizes, rest = [], [], []
+            for x, y in zip(_arrays(batch.column("set_u")), _arrays(batch.column("set_v"))):
                 at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                both = int((y[at] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            part = batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-            yield part.cast(schema)
+                same = y[at] == x if len(y) else np.zeros(len(x), bool)
+                both.append(int(same.sum()))
+                sizes.append((len(x), len(y)))
+                rest.append(x[~same] if with_rest else None)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("u"), batch.column("v"), pa.array([n for n, _ in sizes], pa.int64()),
+                pa.array([n for _, n in sizes], pa.int64()), pa.array(both, pa.int64()),
+                pa.array(rest, pa.list_(pa.int64()))], schema=schema)
     return run
 
 
@@ -156,24 +170,32 @@ class _Join:
         shared = posts.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
         prefix = k - self.t + 1
         listed = (posts.join(shared, "token").groupBy("rep", "n")
-                  .agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common")))
+                  .agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common"), F.sum("f").alias("weight")))
         room = F.greatest(F.lit(0), F.lit(prefix) - (F.lit(k) - F.size("common")))
-        chosen = listed.select("rep", "n", F.explode(F.slice("common", 1, room)).alias("c")) \
-            .select("rep", "n", F.col("c.token").alias("token"))
+        chosen = listed.select("rep", "n", "weight", F.explode(F.slice("common", 1, room)).alias("c")) \
+            .select("rep", "n", "weight", F.col("c.token").alias("token"))
         self.lists = written(chosen, "prefix")
         paired = self.lists.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
         members = self.lists.join(paired.select("token"), "token", "left_semi").select(F.col("rep").alias("id")).distinct()
-        self.sets = written(texts.join(members, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+        self.sets = written(texts.join(members, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>"), "sets")
+
+    def compared(self, pairs: DataFrame, with_rest: bool = False) -> DataFrame:
+        """Pairs (u, v) with their numbers of shingles, on the full sets."""
+        sets = (pairs.join(self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u")
+                .join(self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v"))
+        return sets.select("u", "v", "set_u", "set_v").mapInArrow(
+            _shared(with_rest), "u long, v long, n_u long, n_v long, both long, rest array<long>")
+
+    def linked(self, compared: DataFrame) -> DataFrame:
+        return compared.where((F.lit(100) * F.col("both") >= F.lit(self.percent) * (F.col("n_u") + F.col("n_v") - F.col("both")))
+                              & (F.col("both") > 0)).select("u", "v")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Pairs over the agreement threshold, confirmed on the full sets."""
+    def agreeing(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose signatures agree in enough coordinates."""
         signed = self.classes.select("rep", "tokens")
-        near = (pairs.join(signed.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), "u")
+        return (pairs.join(signed.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), "u")
                 .join(signed.select(F.col("rep").alias("v"), F.col("tokens").alias("tv")), "v")
                 .where(F.size(F.array_intersect("tu", "tv")) >= self.t).select("u", "v").distinct())
-        sets = (near.join(self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
-                .join(self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u"))
-        return sets.select("u", "v", "set_u", "set_v").mapInArrow(_confirm(self.percent), "u long, v long").distinct()
 
     def open_lists(self, roots: DataFrame | None) -> DataFrame:
         """List members with their component, of lists that hold several components."""
@@ -182,32 +204,76 @@ class _Join:
             rows = rows.withColumn("comp", F.col("rep"))
         else:
             rows = rows.join(roots, F.col("rep") == F.col("node"), "left").select(
-                "token", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+                "token", "rep", "n", "weight", F.coalesce("root", "rep").alias("comp"))
         mixed = (rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .where("lo < hi").select("token"))
         return rows.join(mixed, "token", "left_semi")
 
-    def sizes_fit(self, a, b):
-        return F.lit(100) * F.least(a, b) >= F.lit(self.percent) * F.greatest(a, b)
+    def possible(self, both, a, b):
+        """``both`` shared shingles link sets of sizes a and b."""
+        return F.lit(100 + self.percent) * both >= F.lit(self.percent) * (a + b)
 
-    def star(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of every list's hub with the members outside its component."""
-        order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        hub = (rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "rep", "comp", "n")).alias("h"))
-               .select("token", F.col("h.rep").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hub_n")))
-        met = rows.join(hub, "token").where((F.col("comp") != F.col("hub_comp")) & self.sizes_fit(F.col("n"), F.col("hub_n")))
+    def hub_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of every list's hub with its other members, where the sizes allow a link."""
+        hub = (rows.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("o"), "rep", "n")).alias("h"))
+               .select("token", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")))
+        met = rows.join(hub, "token").where((F.col("rep") != F.col("hub"))
+                                            & self.possible(F.least("n", "hub_n"), F.col("n"), F.col("hub_n")))
         return met.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
 
-    def rest(self, rows: DataFrame) -> DataFrame:
-        """Pairs across components of one list, for lists the stars left open."""
-        x, y = rows.alias("x"), rows.alias("y")
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep"))
-                     & (F.col("x.comp") != F.col("y.comp")) & self.sizes_fit(F.col("x.n"), F.col("y.n")))
-        return met.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
+    def family_pairs(self, rows: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
+        """Every open member (u) with the hub (v) of its family: its own
+        component if it is linked, else the component of its closest partner."""
+        root = roots.select(F.col("node").alias("p"), "root")
+        sides = compared.select(F.col("u").alias("rep"), F.col("v").alias("p"), "both").unionByName(
+            compared.select(F.col("v").alias("rep"), F.col("u").alias("p"), "both"))
+        closest = (sides.groupBy("rep").agg(F.max_by("p", F.struct("both", -F.col("p"))).alias("p"))
+                   .join(root, "p", "left").select("rep", F.coalesce("root", "p").alias("near")))
+        grown = roots.select("root").distinct().select(F.col("root").alias("comp"), F.lit(True).alias("grown"))
+        members = rows.select("rep", "comp", "weight").distinct().join(grown, "comp", "left").join(closest, "rep", "left")
+        family = members.select("rep", "comp", "weight", F.when(F.col("grown"), F.col("comp")).otherwise(
+            F.coalesce("near", "comp")).alias("family"))
+        hubs = (family.where(F.col("family") == F.col("comp")).groupBy("family")
+                .agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")))
+        return family.join(hubs, "family").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+
+    def rest_pairs(self, rows: DataFrame, family: DataFrame) -> DataFrame:
+        """Pairs across components that the bounds leave open (see the module text)."""
+        ids = rows.select(F.col("rep").alias("id")).distinct()
+        alone = (self.sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+                 .groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("rep")).where("c = 1")
+                 .groupBy("rep").agg(F.count("*").alias("own")))
+        hub = family.select(F.col("u").alias("rep"), F.col("v").alias("hub"), F.col("both").alias("with_hub"))
+        rows = rows.join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))) \
+            .join(hub, "rep", "left").where(F.lit(100) * F.col("most") >= F.lit(self.percent) * F.col("n"))
+        columns = ["rep", "n", "comp", "most", "hub", "with_hub"]
+
+        def paired(frame, keys):
+            x = frame.select(*keys, *(F.col(c).alias(f"x_{c}") for c in columns))
+            y = frame.select(*keys, *(F.col(c).alias(f"y_{c}") for c in columns))
+            return x, y, (F.col("x_rep") < F.col("y_rep")) & (F.col("x_comp") != F.col("y_comp"))
+
+        def bound(name):
+            return self.possible(F.least(f"x_{name}", f"y_{name}"), F.col("x_n"), F.col("y_n"))
+
+        x, y, apart = paired(rows, ["token"])
+        x = x.withColumnRenamed("token", "t")
+        same = F.coalesce(F.col("x_hub") == F.col("y_hub"), F.lit(False))
+        met = x.join(y, (F.col("t") == F.col("token")) & apart & bound("most")
+                     & (~same | (bound("with_hub") & (F.col("x_rep") != F.col("x_hub")) & (F.col("y_rep") != F.col("y_hub")))))
+        extra = rows.select(*columns).distinct().join(
+            family.select(F.col("u").alias("rep"), F.explode("rest").alias("s")), "rep")
+        held = extra.groupBy("hub", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        extra = extra.join(held.select("hub", "s"), ["hub", "s"], "left_semi").withColumn("h", F.col("hub"))
+        x, y, apart = paired(extra, ["h", "s"])
+        x = x.withColumnsRenamed({"h": "h1", "s": "s1"})
+        more = x.join(y, (F.col("h1") == F.col("h")) & (F.col("s1") == F.col("s")) & apart & bound("most"))
+        pick = [F.col("x_rep").alias("u"), F.col("y_rep").alias("v")]
+        return met.select(*pick).unionByName(more.select(*pick)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3,
-                    percent: int = 85, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+                    percent: int = 85, k: int = K) -> DataFrame:
     """Rows (id, n_shingles, component_id, node, component), one per document row.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B|; a
@@ -215,13 +281,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     ``node`` and ``component`` are the same with rows without an id numbered.
     """
     join = _Join(docs, id, text, words, percent, k)
-    found, roots = None, None
-    for turn in range(rounds + 1):
-        rows = join.open_lists(roots)
-        pairs = join.star(rows, turn) if turn < rounds else join.rest(rows)
-        links = join.links(pairs)
-        found = written(links if found is None else found.unionByName(links), "confirmed")
-        roots = components(found)
+    hubs = written(join.compared(join.agreeing(join.hub_pairs(join.open_lists(None)))).drop("rest"), "hub-pairs")
+    links = join.linked(hubs)
+    roots = partial_components(links)
+    family = written(join.compared(join.family_pairs(join.open_lists(roots), hubs, roots), True), "family-pairs")
+    links = links.unionByName(join.linked(family))
+    roots = partial_components(links)
+    rest = join.rest_pairs(join.open_lists(roots), family)
+    found = written(join.linked(join.compared(join.agreeing(rest))), "rest-links")
+    roots = components(links.unionByName(found))
     classes = (join.classes.join(roots, F.col("rep") == F.col("node"), "left")
                .select("set_key", F.coalesce("root", "rep").alias("component")))
     joined = join.signed.join(classes, "set_key", "left").select(
