@@ -22,58 +22,59 @@ def _column(data: np.ndarray, at: np.ndarray, have: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(old: np.ndarray, fresh: np.ndarray, places: np.ndarray, is_old: np.ndarray) -> np.ndarray:
-    out = np.empty(len(is_old), old.dtype)
-    out[is_old] = old
-    out[places] = fresh
-    return out
-
-
 def _ranges_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minimum of values[a:b] for non-empty ranges (values has a spare last item)."""
     return np.minimum.reduceat(values, np.column_stack((a, b)).reshape(-1))[::2]
 
 
+_SYMBOL, _PREFIX = np.uint32(24), np.uint32(0xFFFFFF)
+
+
 def build(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(transform, LCP with its row before) of the documents of a UTF-8 block.
 
     UTF-8 has no bytes over 0xF4, so byte + 1 fits a byte and 0 is free for
-    the terminators.
+    the terminators.  A row is one word, its symbol above its common prefix,
+    so that a round rewrites one array.
     """
     m = len(offsets) - 1
     starts, ends = offsets[:-1], offsets[1:]
     length = ends - starts
     rows = np.arange(m)                    # row of each document's newest suffix
     active = np.arange(m)
-    bwt = _column(data, ends - 1, length > 0)
-    lcp = np.zeros(m, np.uint16)
+    new = _column(data, ends - 1, length > 0)
+    table = new.astype(np.uint32) << _SYMBOL
+    count = np.bincount(new, minlength=257)
     for j in range(1, int(length.max(initial=0)) + 1):
         live = length[active] >= j
         active, rows = active[live], rows[live]
         order = np.argsort(rows)
         active, rows = active[order], rows[order]
-        symbol = bwt[rows]
+        n = len(table)
+        bwt = (table >> _SYMBOL).astype(np.uint8)
+        symbol = bwt[rows].astype(np.int64)
         # Old rows in the order of their extended suffixes: by symbol, then row.
         by_symbol = np.argsort(bwt, kind="stable")
-        count = np.bincount(bwt, minlength=256)
         first = np.concatenate(([0], np.cumsum(count)))
-        rank = np.empty(len(bwt), np.int32)
-        rank[by_symbol] = np.arange(len(bwt), dtype=np.int32)
-        at = rank[rows]
+        at = np.searchsorted(by_symbol + np.repeat(np.arange(257) * n, count), rows + symbol * n)
         places = at - count[0] + m
         # Common prefix with the neighbours that start with the same symbol.
-        padded = np.append(lcp, np.uint16(0))
-        before, after = at > first[symbol], at + 1 < first[symbol.astype(np.int64) + 1]
-        own = np.zeros(len(rows), np.uint16)
-        own[before] = _ranges_min(padded, by_symbol[at[before] - 1] + 1, rows[before] + 1) + np.uint16(1)
-        follow = _ranges_min(padded, rows[after] + 1, by_symbol[at[after] + 1] + 1) + np.uint16(1)
-        is_old = np.ones(len(bwt) + len(rows), bool)
+        lcp = np.append(table & _PREFIX, np.uint32(0))
+        before, after = at > first[symbol], at + 1 < first[symbol + 1]
+        own = np.zeros(len(rows), np.uint32)
+        own[before] = _ranges_min(lcp, by_symbol[at[before] - 1] + 1, rows[before] + 1) + np.uint32(1)
+        follow = _ranges_min(lcp, rows[after] + 1, by_symbol[at[after] + 1] + 1) + np.uint32(1)
+        new = _column(data, ends[active] - j - 1, length[active] > j)
+        is_old = np.ones(n + len(rows), bool)
         is_old[places] = False
-        bwt = _spread(bwt, _column(data, ends[active] - j - 1, length[active] > j), places, is_old)
-        lcp = _spread(lcp, own, places, is_old)
-        lcp[places[after] + 1] = follow
-        rows = places
-    return bwt, lcp
+        grown = np.empty(n + len(rows), np.uint32)
+        grown[is_old] = table
+        grown[places] = (new.astype(np.uint32) << _SYMBOL) | own
+        below = places[after] + 1
+        grown[below] = (grown[below] & ~_PREFIX) | follow
+        table, rows = grown, places
+        count = count + np.bincount(new, minlength=257)
+    return (table >> _SYMBOL).astype(np.uint8), (table & _PREFIX).astype(np.int32)
 
 
 def rows_of(bwt: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,5 +96,5 @@ def rows_of(bwt: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def repeated_starts(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
     """Mask over the bytes: a ``size``-byte string that starts here also starts elsewhere."""
     bwt, lcp = build(data, offsets)
-    near = np.maximum(lcp, np.append(lcp[1:], np.uint16(0)))
+    near = np.maximum(lcp, np.append(lcp[1:], np.int32(0)))
     return near[rows_of(bwt, offsets)] >= size

@@ -20,7 +20,8 @@ by a third of all documents reaches its bucket once per block.  A group of very
 many different segments (a passage in as many contexts) is not put into one
 block either: if one block of texts holds more than ``LOCAL`` of them, or a
 bucket more than ``WIDE``, the strings of the group are compared one by one, by
-128-bit hash, in as many buckets as there are.  A block that finds a group wide
+128-bit hash; their buckets follow a second anchor inside the string, and equal
+strings of one block go there once.  A block that finds a group wide
 says so in the group's bucket, so that all of its segments go the same way.
 
 Edge cases: a null text is an empty one; texts under ``size`` bytes have no
@@ -44,13 +45,13 @@ from . import textblocks as tb
 from .bwt_columns import repeated_starts
 
 SIZE = 200
-GRAM = 32
-WIDE = 2048
-LOCAL = 32
+GRAM = 80
+WIDE = 256
+LOCAL = 16
 BUCKET_BYTES = 8 << 20
-#: Bytes of segments indexed at a time.
-INDEX_BYTES = 1 << 19
-_GRAM_BASE = 0x27D4EB2F
+#: Bytes of segments indexed at a time (the index stays in a core's cache).
+INDEX_BYTES = 3 << 15
+_GRAM_BASE, _PLACE_BASE = 0x27D4EB2F, 0x165667B1
 
 # A posted anchor: its gram, its segment's hash, the segment's document (in
 # the row's own list), place and length, and whether the segment is known to
@@ -66,7 +67,7 @@ STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<u4"), ("at", "<u4"),
 
 POSTINGS = "bucket long, ids binary, rids binary, posted binary, done binary"
 DECIDED = "id long, rid long, undecided boolean, spans binary"
-GATHERED = "bucket long, strings boolean, ids binary, rids binary, items binary, bytes binary"
+GATHERED = "bucket long, strings boolean, ids binary, rids binary, items binary, bytes binary, done binary"
 STRIPPED = "id long, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary"
 
 
@@ -240,12 +241,16 @@ def _compare(table: pa.Table) -> pa.Table:
 def _gather(size: int, buckets: int):
     """Fetch the bytes (or string hashes) of undecided segments, packed by bucket."""
     schema = _schema({"bucket": pa.int64(), "strings": pa.bool_(),
-                      **{c: pa.binary() for c in ("ids", "rids", "items", "bytes")}})
+                      **{c: pa.binary() for c in ("ids", "rids", "items", "bytes", "done")}})
 
-    def rows(ids, rids, doc, items, home, texts, strings):
+    def rows(ids, rids, doc, items, home, texts, strings, done=None):
         order = np.argsort(home, kind="stable")
         doc, items, home = doc[order], items[order], home[order]
-        cuts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
+        if done is not None and len(done):  # what the block has settled goes along with one bucket
+            docs, local = np.unique(done["doc"], return_inverse=True)
+            done["doc"] = local
+            yield (int(rids[docs[0]] % buckets), True, ids[docs].tobytes(), rids[docs].tobytes(), b"", b"", done.tobytes())
+        cuts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))) if len(home) else []
         for a, b in zip(cuts, np.append(cuts[1:], len(home))):
             docs, local = np.unique(doc[a:b], return_inverse=True)
             if strings:
@@ -258,7 +263,7 @@ def _gather(size: int, buckets: int):
                 what = part.tobytes()
                 body = b"".join(texts[d][s:s + n] for d, s, n in zip(
                     doc[a:b].tolist(), items["at"][a:b].tolist(), items["len"][a:b].tolist()))
-            yield int(home[a]), strings, ids[docs].tobytes(), rids[docs].tobytes(), what, body
+            yield int(home[a]), strings, ids[docs].tobytes(), rids[docs].tobytes(), what, body, b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,39 +281,71 @@ def _gather(size: int, buckets: int):
                                   (part["gram"] % np.uint64(buckets)).astype(np.int64), texts, False)
                 wide = (todo["how"] == WIDE_SETTLED) | (todo["how"] == WIDE_OPEN)
                 if wide.any():
-                    part, of = _strings(todo[wide], doc[wide], texts, size)
-                    found += rows(ids[a:b], rids[a:b], of, part,
-                                  (part["h2"] % np.uint64(buckets)).astype(np.int64), texts, True)
+                    part, of, home, done = _strings(todo[wide], doc[wide], texts, size, buckets)
+                    found += rows(ids[a:b], rids[a:b], of, part, home, texts, True, done)
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
     return run
 
 
-def _strings(spans: np.ndarray, doc: np.ndarray, texts: list[bytes], size: int):
-    """Every string of the given segments by 128-bit hash, one of each per block."""
-    out, docs = [], []
+def _strings(spans: np.ndarray, doc: np.ndarray, texts: list[bytes], size: int, buckets: int):
+    """Every string of the given segments by 128-bit hash, one of each per block:
+    (strings, documents, buckets, spans of the strings that repeat in the block)."""
+    out, places = [], []
     for d, s, n, how in zip(doc.tolist(), spans["at"].tolist(), spans["len"].tolist(), spans["how"].tolist()):
-        text = texts[d]
-        digest = b"".join(xxhash.xxh3_128_digest(text[k:k + size]) for k in range(s, s + n - size + 1))
-        part = np.zeros(n - size + 1, STRING)
-        pair = np.frombuffer(digest, "<u8").reshape(-1, 2)
-        part["h1"], part["h2"], part["at"] = pair[:, 0], pair[:, 1], np.arange(s, s + len(part))
+        text = texts[d][s:s + n]
+        pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k:k + size]) for k in range(n - size + 1)),
+                             "<u8").reshape(-1, 2)
+        part = np.zeros(len(pair), STRING)
+        part["h1"], part["h2"], part["doc"], part["at"] = pair[:, 0], pair[:, 1], d, np.arange(s, s + len(pair))
         part["again"] = how == WIDE_SETTLED
+        # Neighbouring strings mostly share the smallest hash of their grams.
+        grams = tb.rolling(tb._LETTERS[np.frombuffer(text, np.uint8)], GRAM, _PLACE_BASE)
+        places.append(tb.sliding_min(grams, size - GRAM + 1))
         out.append(part)
-        docs.append(np.full(len(part), d))
-    return np.concatenate(out), np.concatenate(docs)
+    items, place = np.concatenate(out), np.concatenate(places)
+    order, new = _groups(items["h1"], items["h2"])
+    items, place = items[order], place[order]
+    count = np.diff(np.append(new, len(items)))
+    settled = (count > 1) | np.logical_or.reduceat(items["again"] > 0, new)
+    open_ = items["again"] == 0
+    gone = items[np.repeat(settled, count) & open_]
+    one, place = items[new], place[new]
+    one["again"] = settled
+    done = np.zeros(0, DONE)
+    if len(gone):
+        at, end, of = _runs_of(gone)
+        done = np.zeros(len(at), DONE)
+        done["doc"], done["at"], done["len"], done["how"] = of, at, end - at + size, REMOVED
+    return one, one["doc"].astype(np.int64), (tb.mix64(place) % np.uint64(buckets)).astype(np.int64), done
+
+
+def _runs_of(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive places of one document: (first, last, document)."""
+    items = items[np.lexsort((items["at"], items["doc"]))]
+    at, of = items["at"].astype(np.int64), items["doc"]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (of[1:] != of[:-1]))))
+    return at[new], at[np.append(new[1:], len(at)) - 1], of[new]
 
 
 def _index(size: int):
     def strings(table: pa.Table):
-        items, ids, rids = _unpack(table, "items", STRING)
-        order, new = _groups(items["h1"], items["h2"])
-        items = items[order]
-        count = np.diff(np.append(new, len(items)))
-        again = np.repeat((count > 1) | np.logical_or.reduceat(items["again"] > 0, new), count)
-        found = items[again & (items["again"] == 0)]
-        return _decided(ids, rids, found["doc"], _as_spans(found["at"], size, 0, REMOVED))
+        done, ids, rids = _unpack(table, "done", DONE)
+        items, _, _ = _unpack(table, "items", STRING)
+        docs = [done["doc"]]
+        spans = [_as_spans(done["at"], done["len"], done["gram"], done["how"])]
+        if len(items):
+            order, new = _groups(items["h1"], items["h2"])
+            items = items[order]
+            count = np.diff(np.append(new, len(items)))
+            again = np.repeat((count > 1) | np.logical_or.reduceat(items["again"] > 0, new), count)
+            found = items[again & (items["again"] == 0)]
+            if len(found):
+                at, end, of = _runs_of(found)
+                docs.append(of)
+                spans.append(_as_spans(at, end - at + size, 0, REMOVED))
+        return _decided(ids, rids, np.concatenate(docs), np.concatenate(spans))
 
     def segments(table: pa.Table):
         items, ids, rids = _unpack(table, "items", POSTED)

@@ -144,7 +144,7 @@ def test_suffix_dedup(spark, tmp_path, rows, sample):
     assert key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == key(want)
 
 
-@pytest.mark.parametrize("local, wide", [(32, 2048), (32, 3), (2, 2048)])
+@pytest.mark.parametrize("local, wide", [(16, 2048), (16, 3), (2, 2048)])
 def test_suffix_dedup_steps_by_hand(monkeypatch, local, wide):
     """The same steps without Spark, with the wide path forced at either place."""
     monkeypatch.setattr(suffix_dedup, "LOCAL", local)
