@@ -72,7 +72,27 @@ def op2(spark, sf_dir):
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@_query("op3_decontamination")
+_ALNUM_SQL = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+@_query("op3_decontamination", f"""
+WITH d AS (SELECT doc_id, {_ALNUM_SQL} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+pat AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 10) AS m,
+    array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+win AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS p
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM pat) WHERE len(w) >= m)),
+hit AS (SELECT doc_id, m, i, item FROM win JOIN pat USING (m, p)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
 def op3(spark, sf_dir):
     found = decontaminate.contaminated_words(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -142,7 +162,36 @@ def op9(spark, sf_dir):
                         (F.col("node") == F.col("component")).alias("kept"))
 
 
-@_query("op10_quality_rules")
+@_query("op10_quality_rules", """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+again AS (SELECT doc_id, p FROM win GROUP BY doc_id, p HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (
+  SELECT doc_id, unnest(range(i, i + 8)) AS k FROM win JOIN again USING (doc_id, p)) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words,
+    length(t) - length(regexp_replace(t, '\\p{Lu}', '', 'g')) AS n_upper
+  FROM d LEFT JOIN rep USING (doc_id)),
+f AS (
+  SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT)
+    + 4 * CAST(100 * n_symbols > 50 * n_words AS BIGINT)
+    + 8 * CAST(n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines AS BIGINT)
+    + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 20 * n_words AS BIGINT)
+    + 64 * CAST(n_words >= 20 AND 100 * n_upper > 60 * word_chars AS BIGINT) AS fail_bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits
+FROM f
+""")
 def op10(spark, sf_dir):
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
