@@ -5,7 +5,8 @@ syllables.  A random string costs a token every two characters or less.  So
 every long run of credential characters is encoded with a tiktoken
 vocabulary, and a run with a low ratio of characters to tokens is reported
 (kind ``random``), unless it is a known digest (hexadecimal of a digest's
-length), a UUID, a number, or an identifier made of words.  The base kinds
+length), a UUID, a number, a row of equal or successive characters, or an
+identifier whose parts the vocabulary holds as words.  The base kinds
 ``assign``, ``access`` and ``hex`` are patterns and are always reported.
 
 The scan is a map over the documents: no shuffle, memory of one batch.
@@ -46,6 +47,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Characters per token under which a run counts as random.
 RATIO = 2.2
+#: Letters per token from which the parts of a run count as words.
+WORD_RATIO = 2.5
+#: Breaks in a row of equal or successive characters (the base64 alphabet has four).
+JUMPS = 4
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -58,17 +63,26 @@ def encoder(ranks: bytes):
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers: not random secrets."""
+    """Digests, UUIDs, numbers, rows of equal or successive characters: not random secrets."""
     core = run.strip("+/_=-")
     if UUID.fullmatch(core) or re.fullmatch(r"[0-9+/_=-]*", core):
         return True
     if len(core) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
         return True
-    parts = PARTS.findall(core)
-    letters = sum(len(p) for p in parts if not p.isdigit())
-    # Words joined by case, dashes or underscores, with few digits.
-    return not any(ch.isdigit() for ch in core) and 2 * len(parts) < len(core) or \
-        letters >= 5 * sum(p.isalpha() for p in parts) and letters >= 0.8 * len(core)
+    return sum(ord(b) - ord(a) not in (0, 1) for a, b in zip(core, core[1:])) <= JUMPS
+
+
+def identifier(run: str, encoding) -> bool:
+    """Words joined by case, dashes, slashes or underscores, with few digits.
+
+    The parts are words if the vocabulary holds them in large pieces once case
+    is set aside; letters alone are no evidence, as a random key has them too.
+    """
+    parts = PARTS.findall(run)
+    words = [p.lower() for p in parts if p.isalpha()]
+    letters = sum(map(len, words))
+    return letters >= 0.8 * sum(map(len, parts)) and \
+        letters >= WORD_RATIO * sum(len(encoding.encode_ordinary(w)) for w in words)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,7 +100,8 @@ def scan_text(text: str, encoding, ratio: float = RATIO) -> list[tuple[int, int,
     found = base_spans(text)
     for m in RUN.finditer(text):
         inside = any(s < m.end() and m.start() < e for s, _, e in found)
-        if not inside and not known(m[0]) and len(m[0]) < ratio * len(encoding.encode_ordinary(m[0])):
+        if not inside and not known(m[0]) and len(m[0]) < ratio * len(encoding.encode_ordinary(m[0])) \
+                and not identifier(m[0], encoding):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 

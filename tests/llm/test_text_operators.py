@@ -1,6 +1,7 @@
 """Operators with an exact contract, against plain Python."""
 
 import random
+import string
 
 import brute
 import fixtures
@@ -78,6 +79,26 @@ def test_random_strings_are_found_and_known_ones_left():
     assert kinds("d41d8cd98f00b204e9800998ecf8427e") == [2]
 
 
+@pytest.mark.parametrize("alphabet", [
+    string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_uppercase + "234567"])
+@pytest.mark.parametrize("length", [20, 32, 64])
+def test_random_letters_are_found(alphabet, length):
+    with open(secrets.VOCABULARY, "rb") as f:
+        enc = secrets.encoder(f.read())
+    rng = random.Random(length)
+    runs = ["".join(rng.choices(alphabet, k=length)) for _ in range(200)]
+    assert sum(bool(secrets.scan_text(f"see {r} there", enc)) for r in runs) >= 196
+
+
+def test_names_and_alphabets_are_left():
+    with open(secrets.VOCABULARY, "rb") as f:
+        enc = secrets.encoder(f.read())
+    for clean in ("SPARK_SQL_ADAPTIVE_ENABLED", "HTTP_X_FORWARDED_FOR_URI_IDX", "NullPointerExceptionHandlerImplV2",
+                  "com/example/foo/bar/baz/qux", "x" * 24, string.ascii_uppercase,
+                  string.ascii_letters + string.digits + "+/"):
+        assert secrets.scan_text(f"see {clean} there", enc) == [], clean
+
+
 def test_redaction(spark):
     spans = [("assign", 4, 10), ("hex", 6, 10), ("random", 12, 15)]
     df = spark.createDataFrame([("abc.defghi.jklmno", spans), ("clean", []), ("é12345", [("hex", 1, 6)])],
