@@ -295,6 +295,18 @@ def q_artifact_name(spark, sf):
                     X.upload_extension(name).alias("upload_ext"))
 
 
+def _landed_feed(d, run, page, empty):
+    """Envelopes of the documents, one per (run, page); those where ``empty`` holds came without records."""
+    rec = F.struct(*(F.concat(F.lit("R-"), F.col("doc_id").cast("string")).alias("refnr") if f.name == "refnr"
+                     else F.col("source").alias("titel") if f.name == "titel"
+                     else F.lit(None).cast(f.dataType).alias(f.name) for f in S.RAW_SUMMARY.fields))
+    return (d.groupBy(run.alias("run"), page.cast("long").alias("page"))
+             .agg(F.sort_array(F.collect_list(F.struct("doc_id", rec.alias("r")))).alias("rs"))
+             .select("page", F.when(empty, F.array().cast(S.SEARCH_PAGE["stellenangebote"].dataType))
+                     .otherwise(F.transform("rs", lambda x: x["r"])).alias("stellenangebote"),
+                     F.format_string("/feed/r%d/page_%06d.json", F.col("run"), F.col("page")).alias("_file")))
+
+
 @register("search_pages", """
 SELECT 'R-' || CAST(doc_id AS VARCHAR) AS refnr, source AS titel, CAST(doc_id // 75 + 1 AS BIGINT) AS page,
        CAST(doc_id // 3 % 25 AS BIGINT) AS pos
@@ -302,18 +314,25 @@ FROM documents WHERE doc_id // 75 + 1 < 4 + doc_id % 3""")
 def q_search_pages(spark, sf):
     # three feed runs of 25 records a page; a run's page 4, 5 or 6 came empty and ends it
     d = B.table(spark, sf, "documents").select("doc_id", "source")
-    run, page = F.col("doc_id") % 3, F.floor(F.col("doc_id") / 75) + 1
-    rec = F.struct(*(F.concat(F.lit("R-"), F.col("doc_id").cast("string")).alias("refnr") if f.name == "refnr"
-                     else F.col("source").alias("titel") if f.name == "titel"
-                     else F.lit(None).cast(f.dataType).alias(f.name) for f in S.RAW_SUMMARY.fields))
-    env = (d.groupBy(run.alias("run"), page.cast("long").alias("page"))
-            .agg(F.sort_array(F.collect_list(F.struct("doc_id", rec.alias("r")))).alias("rs"))
-            .select("page", F.when(F.col("page") == 4 + F.col("run"), F.array().cast(S.SEARCH_PAGE["stellenangebote"].dataType))
-                    .otherwise(F.transform("rs", lambda x: x["r"])).alias("stellenangebote"),
-                    F.format_string("/feed/r%d/page_%06d.json", F.col("run"), F.col("page")).alias("_file")))
+    env = _landed_feed(d, F.col("doc_id") % 3, F.floor(F.col("doc_id") / 75) + 1, F.col("page") == 4 + F.col("run"))
     return FD.explode_pages(env).select("refnr", "titel", "page", "pos")
 
 
+@register("search_feed", """
+SELECT 'R-' || CAST(doc_id AS VARCHAR) AS refnr, source AS titel, CAST(doc_id // 200 AS BIGINT) AS run,
+       CAST(doc_id % 200 // 25 + 1 AS BIGINT) AS page,
+       CAST(row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id, source) - 1 AS BIGINT) AS pos
+FROM documents WHERE doc_id // 200 % 10 <> 0 OR doc_id % 200 // 25 + 1 < 7""")
+def q_search_feed(spark, sf):
+    # a run for every 200 ids, eight pages of 25 records; in every tenth run page 7 came empty and page 8 is not read
+    d = B.table(spark, sf, "documents").select("doc_id", "source")
+    run = F.floor(F.col("doc_id") / 200)
+    page = F.floor(F.col("doc_id") % 200 / 25) + 1
+    env = _landed_feed(d, run, page, (F.col("run") % 10 == 0) & (F.col("page") == 7))
+    raw = FD.explode_pages(env).withColumn("run", F.regexp_extract("_file", "/r([0-9]+)/", 1).cast("long"))
+    return raw.select("refnr", "titel", "run", "page", "pos")
+
+
 @register("fresh_rows", with_ctes("raw_text", "stored_text") + """
 SELECT reference_id, min(pos) AS pos FROM raw_text r
 WHERE NOT EXISTS (SELECT 1 FROM stored_text s WHERE s.reference_id = r.reference_id)

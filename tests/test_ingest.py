@@ -188,6 +188,18 @@ def test_quarantine_partitions_input(spark):
     assert ok.count() + bad.count() == df.count() and bad.count() > 0
 
 
+def test_feed_query_grows_with_the_documents(spark, tmp):
+    from postingflow.plans import catalog
+    catalog.load_all()
+    for n in (1000, 10000):
+        sf = os.path.join(tmp, str(n))
+        spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source")).write.parquet(f"{sf}/documents.parquet")
+        got = catalog.QUERIES["search_feed"](spark, sf).collect()
+        ended = -(-n // 2000)  # every tenth run: pages 7 and 8 of 25 records
+        assert len({r.refnr for r in got}) == len(got) == n - 50 * ended
+        assert not [r for r in got if r.run % 10 == 0 and r.page >= 7]
+
+
 def test_feed_end_is_per_run(spark, tmp):
     a, b = os.path.join(tmp, "run_a"), os.path.join(tmp, "run_b")
     land(a, "p1.json", {"page": 1, "stellenangebote": [{"refnr": "a1"}]})
