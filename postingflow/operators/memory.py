@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 #: Queries scored against a batch of the memory at a time.
 QUERY_BLOCK = 256
 
@@ -175,15 +177,31 @@ def signature_bits(memory: DataFrame) -> int:
     return max(3, (max(1, memory.count()) // BUCKET_ROWS).bit_length())
 
 
+#: Probability that a neighbour shares no bucket up to which a query's candidates are trusted.
+MISS = 1e-3
+
+
+def safe_similarity(bands: int, bits: int) -> float:
+    """Cosine from which a pair shares no bucket in any band with a probability of at most MISS.
+
+    A random hyperplane leaves two vectors at angle a on one side with probability 1 - a / pi.
+    """
+    same_side = (1 - MISS ** (1 / bands)) ** (1 / bits)
+    return float(np.cos(np.pi * (1 - same_side)))
+
+
 def top_k_approx(queries: DataFrame, memory: DataFrame, k: int, dim: int, bands: int = 16, bits: int | None = None,
                  seed: int = 7, id_col: str = "mem_id", vec_col: str = "embedding") -> DataFrame:
     """V3: candidates share an LSH bucket with the query in at least one band
     (an equi-join on (band, bucket)), then the exact cosine re-ranks them.
 
-    Approximate: a true neighbour that shares no bucket is missed; publish
-    recall against ``top_k`` (see ``recall_at_k``).  The signature length
-    follows the memory's size unless given; hot buckets are left to AQE's
-    skew split.
+    A neighbour that shares no bucket is missed, so the buckets settle only the
+    queries whose k-th candidate is so close that a row at least as close is
+    missed with a probability under MISS (``safe_similarity``); the others are
+    searched exactly (``top_k``).  The k-th true neighbour is never farther
+    than the k-th candidate, so the bound holds for all k.  The signature
+    length follows the memory's size unless given; hot buckets are left to
+    AQE's skew split.
     """
     if bits is None:
         bits = signature_bits(memory)
@@ -195,10 +213,15 @@ def top_k_approx(queries: DataFrame, memory: DataFrame, k: int, dim: int, bands:
                   .join(queries.select("query_id", F.col("vec").alias("_qv")), "query_id"))
     sim = F.aggregate(F.zip_with(unit(F.col(vec_col)), unit(F.col("_qv")), lambda a, b: a * b),
                       F.lit(0.0), lambda acc, x: acc + x)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_col))
-    return (scored.select("query_id", F.col(id_col).alias("mem_id"), sim.alias("similarity"))
-                  .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                  .select("query_id", "rank", "mem_id", "similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("mem_id"))
+    found = cut_lineage(
+        scored.select("query_id", F.col(id_col).alias("mem_id"), sim.alias("similarity"))
+              .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+              .select("query_id", "rank", "mem_id", "similarity"))
+    settled = (found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_s"))
+                    .filter((F.col("_n") == k) & (F.col("_s") >= safe_similarity(bands, bits))).select("query_id"))
+    rest = top_k(queries.join(settled, "query_id", "left_anti"), memory, k, id_col, vec_col)
+    return found.join(settled, "query_id", "left_semi").unionByName(rest)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

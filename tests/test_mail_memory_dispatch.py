@@ -176,6 +176,22 @@ def test_lsh_recall_reported(spark):
     assert len(vals) == 5 and min(vals) >= 0.2
 
 
+def test_approximate_search_reaches_its_recall(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    vecs = rng.standard_normal((600, 16)).astype("float32")
+    vecs[:8] = vecs[0] + 0.01 * rng.standard_normal((8, 16))  # one query with close neighbours, the others without
+    mem = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "mem_id long, embedding array<float>")
+    q = spark.createDataFrame([(str(i), vecs[i].astype("float64").tolist()) for i in (0, *range(10, 20))]
+                              + [("far", rng.standard_normal(16).tolist()), ("zero", [0.0] * 16)],
+                              "query_id string, vec array<double>")
+    found = M.top_k_approx(q, mem, 5, dim=16, bands=6, bits=8)
+    assert all(r["count"] == 5 for r in found.groupBy("query_id").count().collect())
+    vals = {r.query_id: r.recall for r in M.recall_at_k(found, M.top_k(q, mem, 5)).collect()}
+    assert len(vals) == 13 and min(vals.values()) >= 0.9
+    assert M.safe_similarity(32, 4) < M.safe_similarity(16, 4) < M.safe_similarity(16, 8) < 1
+
+
 def test_artifact_audit_states(spark):
     p = posting_rows(spark, [dict(id=str(i)) for i in range(5)])
     apps = spark.createDataFrame([("a1", "1", " ", "l1", T0), ("a2", "2", "cv2", "l2", T0), ("a3", "3", "cv3", "l3", T0),
