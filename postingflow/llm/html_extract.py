@@ -4,7 +4,10 @@ A page is read as a flat list of text blocks: runs of text between block-level
 tags, in page order.  A block is described by its own and its neighbours' word
 counts and link densities and by where it stands (inside an article, inside a
 navigation, header, footer, aside or form element, under an element whose class
-or id names such a part, in a heading).  A decision tree, trained on the small
+or id names such a part, in a heading).  A wrapper of the page is no part: a
+form that holds most of the page's words, or an element with such a name that
+holds the main element, or most words with a top heading or an article among
+them.  A decision tree, trained on the small
 labelled table below, says which blocks are main text.
 
 The extraction is a map over the pages: no shuffle, memory of one batch.
@@ -45,6 +48,10 @@ PART_NAMES = frozenset((
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "paywall",
     "popup", "promo", "promoted", "recommended", "related", "reply", "replies", "respond", "search", "share",
     "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "widget"))
+#: First words of a class that tell a page's state ("has-sidebar"), not a part.
+STATES = frozenset(("has", "no", "with", "without"))
+#: Part elements that are never taken for a wrapper of the page.
+NEVER_WIDE = PART_TAGS - {"form", "fieldset"}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
@@ -63,8 +70,10 @@ def _named_part(attributes: str, in_article: bool) -> bool:
     names = PART_NAMES - {"header"} if in_article else PART_NAMES
     for m in _NAMES.finditer(attributes):
         value = (m[1] or m[2] or m[3] or "").lower()
-        if not names.isdisjoint(_SPLIT.split(value)):
-            return True
+        for token in value.split():
+            words = _SPLIT.split(token)
+            if words[0] not in STATES and not names.isdisjoint(words):
+                return True
     return False
 
 
@@ -76,11 +85,21 @@ class Block:
         self.article, self.part, self.heading, self.label = article, part, heading, label
 
 
+class _Part:
+    """An element beside the main text, or a wrapper of the page (as the page itself is)."""
+    __slots__ = ("above", "fixed", "form", "words", "sure", "likely", "wrapper")
+
+    def __init__(self, above, fixed, form=False):
+        self.above, self.fixed, self.form = above, fixed, form
+        self.words, self.sure, self.likely, self.wrapper = 0, False, False, True
+
+
 def text_blocks(page: str) -> list[Block]:
     """Blocks of a page in order, white space as one space, references decoded."""
     found: list[Block] = []
-    stack: list[tuple[str, int, int, str | None]] = []  # element, in article, in part, label
+    stack: list[tuple[str, int, int, str | None]] = []  # element, in article, innermost part, label
     article = part = 0
+    parts = [_Part(0, False)]  # the page itself is the first
     label: str | None = None
     pieces: list[tuple[str, bool]] = []
     in_link, heading, own, at, end = 0, False, False, 0, len(page)
@@ -91,7 +110,9 @@ def text_blocks(page: str) -> list[Block]:
             text = " ".join("".join(unescape(t) if "&" in t else t for t, _ in pieces).split())
             if text:
                 linked = sum(len(t.split()) for t, link in pieces if link)
-                found.append(Block(text, text.count(" ") + 1, linked, article > 0, own or part > 0, heading, label))
+                words = text.count(" ") + 1
+                parts[part].words += words
+                found.append(Block(text, words, linked, article > 0, -1 if own else part, heading, label))
             pieces.clear()
 
     while at < end:
@@ -126,6 +147,8 @@ def text_blocks(page: str) -> list[Block]:
             continue
         if name in HEADINGS:
             heading = not closing
+            if name == "h1":
+                parts[part].likely = True
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -139,14 +162,32 @@ def text_blocks(page: str) -> list[Block]:
             continue
         stack.append((name, article, part, label))
         if name in ("article", "main"):
+            if name == "main":
+                parts[part].sure = True
+            elif not article and not _named_part(attributes, True):
+                parts[part].likely = True
             article += 1
-        if name in PART_TAGS and not (name == "header" and article) or (
-                attributes and name not in ("html", "body", "article", "main")
-                and (_named_part(attributes, article > 0) or _HIDDEN.search(attributes))):
-            part += 1
+        elif name in NEVER_WIDE and not (name == "header" and article) or attributes and _HIDDEN.search(attributes) \
+                and name not in ("html", "body"):
+            parts.append(_Part(part, True))
+            part = len(parts) - 1
+        elif name in ("form", "fieldset") or attributes and name not in ("html", "body") \
+                and _named_part(attributes, article > 0):
+            parts.append(_Part(part, False, name == "form"))
+            part = len(parts) - 1
         if attributes and (told := re.search(r"data-main=\"([01])\"", attributes)):
             label = told[1]
     close()
+    for p in reversed(parts[1:]):
+        above = parts[p.above]
+        above.words += p.words
+        above.sure |= p.sure
+        above.likely |= p.likely
+    for p in parts[1:]:
+        p.wrapper = parts[p.above].wrapper and not p.fixed and (
+            p.sure or (p.likely or p.form) and 2 * p.words > parts[0].words)
+    for b in found:
+        b.part = b.part < 0 or not parts[b.part].wrapper
     return found
 
 

@@ -115,6 +115,30 @@ def test_html_cases(page, text):
     assert html_extract.main_text(page, html_extract.train()) == text
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='has-sidebar'>%s</div>", "<div class='page no-ads'>%s</div>", "<div class=page-header-fixed>%s</div>",
+    "<div class='with-menu'>%s</div>", "<div id='search-results'>%s</div>", "<form method=post>%s</form>",
+    "<form id=f><div class='page-header-fixed'>%s</div></form>"])
+@pytest.mark.parametrize("body", ["<article><h1>T</h1><p>{}</p></article>", "<main><p>{}</p></main>",
+                                  "<div><h1>T</h1><p>{}</p></div>"])
+def test_html_wrappers_are_no_parts(wrapper, body):
+    words = ("word " * 60).strip()
+    page = "<nav><a>menu</a></nav>" + wrapper % (body.format(words) + "<div class='sidebar'><p>side</p></div>") + "<footer>f</footer>"
+    got = html_extract.main_text(page, html_extract.train())
+    assert words in got and "menu" not in got and "side" not in got and not got.endswith("f")
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='related-posts'><article class='post'><p>{}</p></article></div>",
+    "<aside><article><h1>T</h1><p>{}</p></article></aside>", "<form class='login'><h1>Sign in</h1><p>{}</p></form>",
+    "<div style='display:none'><article><h1>T</h1><p>{}</p></article></div>",
+    "<div id='comments'><article class='comment'><p>{}</p></article></div>"])
+def test_html_parts_stay_parts(part):
+    text = ("word " * 60).strip()
+    page = f"<article><p>{text}</p></article>" + part.format("other words here")
+    assert html_extract.main_text(page, html_extract.train()) == text
+
+
 def test_tree_reproduces_its_table():
     x, y = html_extract.labelled_table()
     assert (html_extract.classify(html_extract.train(), x) == y).all()
