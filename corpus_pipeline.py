@@ -7,8 +7,9 @@ Each stage works on all that its predecessor kept; all but the last return
 the columns they were given.
 
 Edge cases: what a stage does with nulls, empty and repeated rows is its
-operator's rule; rows with one id stay or go together; an empty table passes
-through every stage; extra columns pass through untouched.
+operator's rule; rows with one id stay or go together, but of exact copies of a
+text under one id, or without an id, the near-duplicates stage keeps one row;
+an empty table passes through every stage; extra columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -38,12 +39,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
+    """The document with the smallest id of each group of near-duplicates stays,
+    and one row of those that repeat a text under one id, or without an id."""
     ship_package(spark)
     groups = near_duplicates.near_duplicates(docs, words=WORDS, percent=PERCENT)
     copies = groups.where("node <> component").select("node").distinct()
-    return _rows(docs).withColumn("node", near_duplicates.node_of("row.doc_id", "body")) \
-        .join(copies, "node", "left_anti").select("row.*")
+    rows = _rows(docs).withColumn("node", near_duplicates.node_of("row.doc_id", "body")) \
+        .withColumn("key", F.md5(F.coalesce("body", F.lit(""))))
+    repeated = rows.groupBy("node", "key").agg(F.count("*").alias("n")).where("n > 1").select("node").distinct()
+    single = rows.join(copies.unionByName(repeated).distinct(), "node", "left_anti").select("row")
+    one = rows.join(repeated.join(copies, "node", "left_anti"), "node", "left_semi") \
+        .groupBy("node", "key").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row")).select("row")
+    return single.unionByName(one).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

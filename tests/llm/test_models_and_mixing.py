@@ -220,6 +220,18 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     assert frames[3][1].count() == frames[3][0].count()
 
 
+def test_one_row_of_exact_copies_stays(spark):
+    a, b, c = (" ".join(fixtures.words(40, s)) for s in (1, 2, 3))
+    rows = [(None, a, "en", "s"), (None, a, "en", "s"), (None, a, "de", "t"), (None, b, "en", "s"), (None, c, "en", "s"),
+            (5, b, "en", "s"), (6, c, "en", "s"), (6, c, "en", "s"), (6, a + " " + b, "en", "s"), (7, c, "en", "s"),
+            (8, "", "en", "s"), (9, "", "en", "s"), (None, None, "en", "s"), (None, "", "en", "s")]
+    docs = fixtures.frame(spark, rows)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter(
+        [(None, a), (5, b), (6, c), (6, a + " " + b), (8, ""), (9, ""), (None, "")])
+
+
 def awkward_texts():
     seen = set()
     for i, t in fixtures.awkward():
