@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import (decontaminate, html_extract, language_id, mixing, near_duplicates, quality_rules,
-               secrets, suffix_dedup, toxicity, window_dedup)
+from . import (decontaminate, html_extract, language_id, mixing, near_duplicates, periodic_runs, pieces,
+               quality_rules, secrets, suffix_dedup, toxicity, window_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -198,3 +198,27 @@ def op10(spark, sf_dir):
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", (~quality_rules.passes(F.col("fail_bits"), "base-1")).alias("base_failed"),
         quality_rules.passes(F.col("fail_bits"), quality_rules.CURRENT).alias("kept"), "fail_bits")
+
+
+@_query("op12_sentencepiece")
+def op12(spark, sf_dir):
+    found = pieces.encode(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(docs.select(
+        "doc_id", periodic_runs.looped(F.col("text"), F.col("doc_id")).alias("text")))
+    best = periodic_runs.strongest(F.col("runs"))
+    part = lambda name: best[name].cast("long").alias(name)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        part("start"), part("length"), part("period"),
+        F.floor(F.lit(1000).cast("long") * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))

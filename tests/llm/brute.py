@@ -1,8 +1,11 @@
 """Plain Python versions of the contracts, one document or pair at a time."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -139,3 +142,68 @@ def quality(text):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text),
             len(lines) - len(set(lines)), len(inside),
             len(w) < 20 or 100 * len(inside) > 30 * len(w))
+
+
+def looped(doc_id, text):
+    """The words of a text, every tenth document made periodic."""
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g, n = h // 10, len(w)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def word_runs(w, least=6, times=4):
+    """(start, length, period) of every run, each period tried at every place."""
+    found = set()
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            length = j + q - i
+            if length >= max(least, times * q) and not any((i, length, d) in found for d in range(1, q)):
+                found.add((i, length, q))
+            i = max(j, i + 1)
+    return sorted(found)
+
+
+def runs(rows):
+    """The columns of the periodic-run contract of (doc_id, text) rows."""
+    out = []
+    for i, text in rows:
+        w = looped(i, text)
+        found = word_runs(w)
+        best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        gone = {k for s, n, q in found for k in range(s + q, s + n)}
+        out.append((i, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2],
+                    sha("".join(f"{s},{n},{q}\n" for s, n, q in found)),
+                    sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
+
+
+def ranked(rows, items, top=50):
+    """(item_id, rank, doc_id, score) of the ranked search; rows without an id last among equals."""
+    docs = [(i, Counter(ALNUM.findall(lower(t or "")))) for i, t in rows]
+    n_docs = sum(1 for _, c in docs if c)
+    words = sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in items:
+        terms = set(ALNUM.findall(lower(text or "")))
+        found = []
+        for i, c in docs:
+            n, score = sum(c.values()), 0
+            for t in terms & set(c):
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                m = 50 + (50 * n * n_docs) // words
+                score += w * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m))
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        found.sort()
+        out += [(item, k + 1, i, -s) for k, (s, _, _, i) in enumerate(found[:top])]
+    return out
