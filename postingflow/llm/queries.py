@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import (decontaminate, html_extract, language_id, mixing, near_duplicates, periodic_runs, pieces,
-               quality_rules, secrets, suffix_dedup, toxicity, window_dedup)
+               quality_rules, ranked_search, secrets, suffix_dedup, toxicity, window_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,6 +200,27 @@ def op10(spark, sf_dir):
         quality_rules.passes(F.col("fail_bits"), quality_rules.CURRENT).alias("kept"), "fail_bits")
 
 
+@_query("op11_ranked_search", f"""
+WITH d AS (SELECT doc_id, unnest({_ALNUM_SQL}) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_ALNUM_SQL}) AS t FROM benchmark),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM tf, total WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+m AS (SELECT doc_id, 50 + (50 * n * docs) // words AS m FROM n, total),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, score
+FROM s WHERE score > 0
+QUALIFY rank <= 50
+""")
+def op11(spark, sf_dir):
+    found = ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 @_query("op12_sentencepiece")
 def op12(spark, sf_dir):
     found = pieces.encode(table(spark, sf_dir, "documents"))
