@@ -38,8 +38,9 @@ import hashlib
 import math
 import re
 import struct
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ MERGES = 2
 UNKNOWN_TEXT = " ⁇ "
 
 #: Entries of a task's tables of known words and pairs; a full table is emptied.
-KNOWN_WORDS, KNOWN_PAIRS = 1 << 18, 1 << 18
+KNOWN_WORDS, KNOWN_PAIRS = 1 << 19, 1 << 18
 #: Longer units are not kept.
 KNOWN_CHARS = 48
 #: Ids of one Arrow batch of results, and characters of its decoded texts.
@@ -131,6 +132,22 @@ class Vocabulary:
         self.word_starts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
 
 
+class KnownWords(dict):
+    """Unit -> its ids as bytes; a unit that is not known is encoded and, if short, kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.find(unit)
+        if len(unit) <= KNOWN_CHARS:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Encoder:
     """Encodes and decodes texts with one vocabulary."""
 
@@ -152,8 +169,10 @@ class Encoder:
             self.longest.add_word(p, (p, len(p) - 1))
         self.longest.make_automaton()
         self.shorter: dict[str, str | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        #: Last token -> longest piece that follows -> the token that fits.
+        self.pairs: dict[str, dict[str | None, str]] = defaultdict(dict)
+        self.n_pairs = 0
+        self.known = KnownWords(self.unit_ids)
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if v.word_starts else "(?s:.+)").findall
         self.shown = [b"" if k == CONTROL else UNKNOWN_TEXT.encode() if k == UNKNOWN
                       else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
@@ -190,9 +209,6 @@ class Encoder:
         its own merges in its own order, so only the parts at the border and
         the scores of the next merges are looked at.
         """
-        found = self.pairs.get((left, right))
-        if found is not None:
-            return found
         if left not in self.as_left:
             self._learn(left)  # a character outside the vocabulary
         if right not in self.as_right:
@@ -203,19 +219,28 @@ class Encoder:
         across = score.get(last + first)
         while True:
             if across is not None and across > next_a and across >= next_b:
-                found = False
-                break
+                return False
             if next_a == next_b == -math.inf:
-                found = True
-                break
+                return True
             if next_a >= next_b:
                 last, (next_a, part_a) = part_a, next(a)
             else:
                 first, (next_b, part_b) = part_b, next(b)
             across = score.get(last + first)
-        if len(self.pairs) >= KNOWN_PAIRS:
-            self.pairs.clear()
-        self.pairs[left, right] = found
+
+    def fitting(self, last: str, token: str | None) -> str:
+        """The longest token that starts like ``token`` (itself included) and is
+        compatible with the one before it ("" for none at all)."""
+        found = self.pairs[last].get(token)
+        if found is None:
+            found = token
+            while found is not None and last and not self.compatible(last, found):
+                found = self.prefix(found)
+            if self.n_pairs >= KNOWN_PAIRS:
+                self.pairs.clear()
+                self.n_pairs = 0
+            found = self.pairs[last][token] = found or ""
+            self.n_pairs += 1
         return found
 
     def prefix(self, token: str) -> str | None:
@@ -234,79 +259,65 @@ class Encoder:
         for end, (piece, back) in self.longest.iter(unit):  # a later end at one start is a longer piece
             start[end - back] = piece
         failed = None  # made at the first failure
-        pairs, taken, last = self.pairs, [], None
+        taken, last, pairs = [], "", self.pairs
         at, token = 0, start[0] if n else None
         while at < n:
-            while token is not None:
-                end = at + len(token)
-                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
-                    fits = last is None or pairs.get((last, token))
-                    if fits is None:
-                        fits = self.compatible(last, token)
-                    if fits:
-                        break
-                token = self.prefix(token)
-            if token is not None:
-                taken.append(token)
-                at, last = end, token
+            fits = pairs[last].get(token)
+            if fits is None:
+                fits = self.fitting(last, token)
+            if failed is not None:
+                while fits and failed[(at + len(fits)) >> 3] >> ((at + len(fits)) & 7) & 1:
+                    fits = self.fitting(last, self.prefix(fits))
+            if fits:
+                taken.append(fits)
+                at += len(fits)
+                last = fits
                 token = start[at] if at < n else None
-            elif last is None:
+                continue
+            if not last:
                 raise ValueError(f"no encoding of {unit[:80]!r}")
-            else:
-                if failed is None:
-                    failed = bytearray((n >> 3) + 1)
-                failed[at >> 3] |= 1 << (at & 7)
-                at -= len(taken.pop())
-                token = self.prefix(last)
-                last = taken[-1] if taken else None
+            if failed is None:
+                failed = bytearray((n >> 3) + 1)
+            failed[at >> 3] |= 1 << (at & 7)
+            at -= len(taken.pop())
+            token = self.prefix(last)
+            last = taken[-1] if taken else ""
         return taken
 
-    def part_ids(self, part: str) -> list[int]:
-        v, out = self.vocabulary, []
+    def part_ids(self, part: str) -> bytes:
+        v, out = self.vocabulary, array("i")
         for token in self.tokens(part):
             i = v.ids.get(token)
             if i is not None:
                 out.append(i)
             elif v.bytes:
-                out += [v.bytes[b] for b in token.encode()]
+                out.extend(v.bytes[b] for b in token.encode())
             else:
                 out.append(v.unknown)
-        return out
+        return out.tobytes()
 
-    def unit_ids(self, unit: str) -> list[int]:
+    def unit_ids(self, unit: str) -> bytes:
         """The ids of a unit, cut once more where no piece holds both neighbours
         (mostly before a punctuation mark), so that a word is searched once."""
-        known, together = self.known, self.side_by_side
+        if unit[1:].isalpha():
+            return self.part_ids(unit)
+        together = self.side_by_side
         cuts = [k + 1 for k in range(len(unit) - 1) if unit[k:k + 2] not in together]
         if not cuts:
             return self.part_ids(unit)
-        out = []
-        for a, b in zip([0] + cuts, cuts + [len(unit)]):
-            part = unit[a:b]
-            found = known.get(part)
-            if found is None:
-                found = self.part_ids(part)
-                if b - a <= KNOWN_CHARS and len(known) < KNOWN_WORDS:
-                    known[part] = found
-            out += found
-        return out
+        return b"".join([self.known[unit[a:b]] for a, b in zip([0] + cuts, cuts + [len(unit)])])
 
     def normalised(self, text: str) -> str:
         text = text.replace(" ", SPACE)
         return SPACE + text if text and self.vocabulary.dummy_prefix else text
 
-    def encode(self, text: str) -> list[int]:
+    def encode_array(self, text: str) -> np.ndarray:
         """The ids of a text, without begin and end."""
-        known, units = self.known, self.units(self.normalised(text))
-        if len(known) + len(units) > KNOWN_WORDS:
-            known.clear()
-        for unit in set(units).difference(known):
-            if len(unit) <= KNOWN_CHARS and len(known) < KNOWN_WORDS:
-                known[unit] = self.unit_ids(unit)
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, units)))
-        except KeyError:  # long units, or more words than are kept
-            return list(chain.from_iterable(known.get(u) or self.unit_ids(u) for u in units))
+        units = self.units(self.normalised(text))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: byte pieces joined to characters, the dummy prefix removed."""
@@ -347,9 +358,9 @@ def _encode(model, kind: pa.DataType):
             ids, texts = batch.column("id"), batch.column("text")
             first, held, found, shown = 0, 0, [], []
             for k in range(batch.num_rows):
-                encoded = pieces.encode(texts[k].as_py() or "")
-                found.append(np.array(encoded, np.int32))
-                shown.append(pieces.decode(encoded))
+                encoded = pieces.encode_array(texts[k].as_py() or "")
+                found.append(encoded)
+                shown.append(pieces.decode(encoded.tolist()))
                 held += len(encoded)
                 if held >= BATCH_IDS:
                     yield packed(ids.slice(first, k + 1 - first), found, shown)
