@@ -279,12 +279,14 @@ def _shards(pairs: DataFrame) -> list[DataFrame]:
     return [pairs.where(F.pmod(F.xxhash64("item"), F.lit(count)) == s) for s in range(count)]
 
 
-def _search_shard(docs: DataFrame, pairs: DataFrame, top: int) -> DataFrame:
+def _search_shard(docs: DataFrame, pairs: DataFrame, top: int) -> DataFrame | None:
     from pyspark.sql.pandas.types import to_arrow_type
     spark = docs.sparkSession
     kind = docs.schema["id"].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
     table = pairs.toArrow()
+    if table.num_rows == 0:
+        return None
     coded = table["item"].combine_chunks().dictionary_encode("encode")
     terms, term = np.unique(table["term"].to_numpy().view(np.uint64), return_inverse=True)
     vectors = sizing.written(docs.mapInArrow(
@@ -333,7 +335,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, id: str = "doc_id"
     kind = asked.schema["item"].dataType
     pairs = sizing.written(asked.mapInArrow(
         _item_terms(to_arrow_type(kind)), f"item {kind.simpleString()}, term long").distinct(), "item-terms")
-    found = [_search_shard(texts, shard, top) for shard in _shards(pairs)]
+    found = [f for shard in _shards(pairs) if (f := _search_shard(texts, shard, top)) is not None]
     if not found:
         return docs.sparkSession.createDataFrame(
             [], f"item {kind.simpleString()}, rank int, id {texts.schema['id'].dataType.simpleString()}, score long")
