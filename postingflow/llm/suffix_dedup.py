@@ -4,7 +4,8 @@ Every ``size``-byte string that starts at two or more places (of one document
 or of several) is removed wherever it starts.  Documents meet in three steps:
 
 1. Every ``size``-byte string belongs to the anchor inside it: the leftmost
-   smallest hash of its ``GRAM``-byte grams.  Consecutive strings of one
+   smallest hash of its ``GRAM``-byte grams (of half a string's bytes, for
+   strings under twice that).  Consecutive strings of one
    anchor form a segment.  Equal strings have equal anchors, so a string can
    only repeat inside the group of its anchor's gram; anchors are posted,
    packed by bucket, and compared once.
@@ -75,6 +76,11 @@ def _schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(ddl.items()))
 
 
+def gram_of(size: int) -> int:
+    """Bytes of the grams that anchor strings of ``size`` bytes."""
+    return max(1, min(GRAM, size // 2))
+
+
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest value of every run of ``width`` values."""
     bits = max(1, int(len(h)).bit_length())
@@ -85,10 +91,11 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
 def anchored(raw: np.ndarray, off: np.ndarray, size: int, piece: int = tb.BLOCK_BYTES
              ) -> Iterator[tuple[np.ndarray, ...]]:
     """Segments (first string, last string, gram hash, document) of a block, by pieces."""
-    span = size - GRAM + 1
+    gram = gram_of(size)
+    span = size - gram + 1
     for lo in range(0, max(0, len(raw) - size + 1), piece):
         part = raw[lo:min(len(raw), lo + piece + size - 1)]
-        grams = tb.rolling(tb._LETTERS[part], GRAM, _GRAM_BASE)
+        grams = tb.rolling(tb._LETTERS[part], gram, _GRAM_BASE)
         place = sliding_argmin(grams, span)
         first = np.arange(lo, lo + len(place))
         doc = np.searchsorted(off, first, side="right") - 1
@@ -301,8 +308,8 @@ def _strings(spans: np.ndarray, doc: np.ndarray, texts: list[bytes], size: int,
         part["h1"], part["h2"], part["doc"], part["at"] = pair[:, 0], pair[:, 1], d, np.arange(s, s + len(pair))
         part["again"] = how == WIDE_SETTLED
         # Neighbouring strings mostly share the smallest hash of their grams.
-        grams = tb.rolling(tb._LETTERS[np.frombuffer(text, np.uint8)], GRAM, _PLACE_BASE)
-        places.append(tb.sliding_min(grams, size - GRAM + 1))
+        grams = tb.rolling(tb._LETTERS[np.frombuffer(text, np.uint8)], gram_of(size), _PLACE_BASE)
+        places.append(tb.sliding_min(grams, size - gram_of(size) + 1))
         out.append(part)
     items, place = np.concatenate(out), np.concatenate(places)
     order, new = _groups(items["h1"], items["h2"])

@@ -93,11 +93,11 @@ def test_bounds_leave_out_most_documents():
     inside = np.zeros(terms, bool)
     inside[item] = True
     every = chunk.scores(np.arange(n), inside, weight)
-    for place in (5, 50, 500):
-        floor = np.sort(every)[-place]
+    for place in (5, 50, 200):
+        floor = max(1, np.sort(every)[-place])
         found = chunk.survivors(q.terms, weight, floor)
         assert set(np.flatnonzero(every >= floor)) <= set(found.tolist())
-        assert len(found) < n / 10 + 3 * place
+        assert len(found) < n / 4 + place, place
 
 
 def test_impacts_of_very_large_corpora():
