@@ -27,54 +27,62 @@ def _ranges_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values, np.column_stack((a, b)).reshape(-1))[::2]
 
 
-_SYMBOL, _PREFIX = np.uint32(24), np.uint32(0xFFFFFF)
+def _grown(values: np.ndarray, is_old: np.ndarray, places: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """``values`` with ``new`` put in at ``places`` of the longer array."""
+    out = np.empty(len(is_old), values.dtype)
+    out[is_old] = values
+    out[places] = new
+    return out
 
 
 def build(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(transform, LCP with its row before) of the documents of a UTF-8 block.
 
     UTF-8 has no bytes over 0xF4, so byte + 1 fits a byte and 0 is free for
-    the terminators.  A row is one word, its symbol above its common prefix,
-    so that a round rewrites one array.
+    the terminators.  Common prefixes take two bytes while the documents are
+    short enough, and a symbol with its row is one word of four.
     """
     m = len(offsets) - 1
     starts, ends = offsets[:-1], offsets[1:]
     length = ends - starts
+    longest = int(length.max(initial=0))
     rows = np.arange(m)                    # row of each document's newest suffix
     active = np.arange(m)
-    new = _column(data, ends - 1, length > 0)
-    table = new.astype(np.uint32) << _SYMBOL
-    count = np.bincount(new, minlength=257)
-    for j in range(1, int(length.max(initial=0)) + 1):
+    bwt = _column(data, ends - 1, length > 0)
+    lcp = np.zeros(m + 1, np.uint16 if longest < 1 << 16 else np.uint32)  # one spare item at the end
+    count = np.bincount(bwt, minlength=257)
+    word, bits = (np.uint32, 24) if len(data) + m < 1 << 24 else (np.uint64, 48)
+    place = np.arange(len(data) + m, dtype=word)
+    for j in range(1, longest + 1):
         live = length[active] >= j
         active, rows = active[live], rows[live]
         order = np.argsort(rows)
         active, rows = active[order], rows[order]
-        n = len(table)
-        bwt = (table >> _SYMBOL).astype(np.uint8)
+        n = len(bwt)
         symbol = bwt[rows].astype(np.int64)
         # Old rows in the order of their extended suffixes: by symbol, then row.
-        by_symbol = np.argsort(bwt, kind="stable")
+        by_symbol = bwt.astype(word)
+        by_symbol <<= word(bits)
+        by_symbol |= place[:n]
+        own_place = by_symbol[rows]
+        by_symbol.sort()
         first = np.concatenate(([0], np.cumsum(count)))
-        at = np.searchsorted(by_symbol + np.repeat(np.arange(257) * n, count), rows + symbol * n)
+        at = np.searchsorted(by_symbol, own_place)
         places = at - count[0] + m
         # Common prefix with the neighbours that start with the same symbol.
-        lcp = np.append(table & _PREFIX, np.uint32(0))
+        row = lambda k: (by_symbol[k] & word((1 << bits) - 1)).astype(np.int64)  # noqa: E731, B023
         before, after = at > first[symbol], at + 1 < first[symbol + 1]
-        own = np.zeros(len(rows), np.uint32)
-        own[before] = _ranges_min(lcp, by_symbol[at[before] - 1] + 1, rows[before] + 1) + np.uint32(1)
-        follow = _ranges_min(lcp, rows[after] + 1, by_symbol[at[after] + 1] + 1) + np.uint32(1)
+        own = np.zeros(len(rows), lcp.dtype)
+        own[before] = _ranges_min(lcp, row(at[before] - 1) + 1, rows[before] + 1) + 1
+        follow = _ranges_min(lcp, rows[after] + 1, row(at[after] + 1) + 1) + 1
         new = _column(data, ends[active] - j - 1, length[active] > j)
-        is_old = np.ones(n + len(rows), bool)
+        is_old = np.ones(n + len(rows) + 1, bool)
         is_old[places] = False
-        grown = np.empty(n + len(rows), np.uint32)
-        grown[is_old] = table
-        grown[places] = (new.astype(np.uint32) << _SYMBOL) | own
-        below = places[after] + 1
-        grown[below] = (grown[below] & ~_PREFIX) | follow
-        table, rows = grown, places
+        bwt, lcp = _grown(bwt, is_old[:-1], places, new), _grown(lcp, is_old, places, own)
+        lcp[places[after] + 1] = follow
+        rows = places
         count = count + np.bincount(new, minlength=257)
-    return (table >> _SYMBOL).astype(np.uint8), (table & _PREFIX).astype(np.int32)
+    return bwt, lcp[:-1].astype(np.int32)
 
 
 def rows_of(bwt: np.ndarray, offsets: np.ndarray) -> np.ndarray:
