@@ -17,6 +17,8 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
+        if name in QUERIES:
+            raise ValueError(f"query name used twice: {name}")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql.strip()

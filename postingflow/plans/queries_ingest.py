@@ -308,14 +308,16 @@ def _landed_feed(d, run, page, empty):
 
 
 @register("search_pages", """
-SELECT 'R-' || CAST(doc_id AS VARCHAR) AS refnr, source AS titel, CAST(doc_id // 75 + 1 AS BIGINT) AS page,
-       CAST(doc_id // 3 % 25 AS BIGINT) AS pos
-FROM documents WHERE doc_id // 75 + 1 < 4 + doc_id % 3""")
+SELECT 'R-' || CAST(doc_id AS VARCHAR) AS refnr, source AS titel, CAST(doc_id % 75 // 25 + 1 AS BIGINT) AS page,
+       CAST(row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id, source) - 1 AS BIGINT) AS pos
+FROM documents""")
 def q_search_pages(spark, sf):
-    # three feed runs of 25 records a page; a run's page 4, 5 or 6 came empty and ends it
+    # a run for every 75 ids: three pages of 25 records, then page 4 comes empty and ends the run
     d = B.table(spark, sf, "documents").select("doc_id", "source")
-    env = _landed_feed(d, F.col("doc_id") % 3, F.floor(F.col("doc_id") / 75) + 1, F.col("page") == 4 + F.col("run"))
-    return FD.explode_pages(env).select("refnr", "titel", "page", "pos")
+    run = F.floor(F.col("doc_id") / 75)
+    pages = _landed_feed(d, run, F.floor(F.col("doc_id") % 75 / 25) + 1, F.lit(False))
+    ends = _landed_feed(d.withColumn("doc_id", F.floor(F.col("doc_id") / 75) * 75).distinct(), run, F.lit(4), F.lit(True))
+    return FD.explode_pages(pages.unionByName(ends)).select("refnr", "titel", "page", "pos")
 
 
 @register("search_feed", """

@@ -96,7 +96,7 @@ def _list(name, pred_sql, fn, with_customer=False):
 
 
 _list("inbox", f"{ST} = 'FETCHED'", V.inbox)
-_list("pipeline", "status IS NOT NULL AND status <> 'FETCHED'", V.pipeline)
+_list("in_pipeline", "status IS NOT NULL AND status <> 'FETCHED'", V.pipeline)
 _list("busy", "processing_status IN ('QUEUED', 'PROCESSING')", V.busy)
 _list("idle", "processing_status = 'IDLE'", V.idle)
 _list("active", f"{ST} NOT IN ('REJECTED', 'HIRED')", V.active)

@@ -56,3 +56,30 @@ def test_python_worker_queries_from_another_folder(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
                          timeout=600, env=env)
     assert out.returncode == 0, out.stderr[-3000:]
+
+
+def test_a_name_stands_for_one_query():
+    import pytest
+    from postingflow.plans import catalog
+    catalog.load_all()
+    assert "in_pipeline" in catalog.QUERIES and "pipeline" not in catalog.QUERIES
+    with pytest.raises(ValueError):
+        E._merged({"a": 1}, {"a": 2})
+    with pytest.raises(ValueError):
+        catalog.register("in_pipeline")(lambda spark, sf: None)
+
+
+def test_entry_without_the_training_data_folders(tmp_path):
+    """A copy without the optional files, but with a left-over cache folder."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    skip = shutil.ignore_patterns(".git", "__pycache__", "tests", "llm", "corpus_pipeline.py")
+    shutil.copytree(root, tmp_path / "repo", ignore=skip)
+    os.makedirs(tmp_path / "repo" / "postingflow" / "llm" / "__pycache__")
+    code = "import __spark_entry__ as E; q = E.queries(); print(len(q), 'pipeline' in q, 'in_pipeline' in E.oracle_sql())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.split()[1:] == ["False", "True"]

@@ -264,15 +264,15 @@ def test_embedder_and_queue_step(spark):
     assert {r.message for r in events.collect() if r.type == "success"} == {"✓ T0 @ c — 42% match", "✓ T1 @ c — 42% match"}
 
 
-def test_competing_messages_snapshot(spark):
-    # two rejections from "acme berlin" in one batch: in snapshot mode both
-    # go to posting #1 (the earliest active match); A12 keeps the last one
+def test_competing_messages_in_order(spark):
+    # two rejections from "acme berlin" in one batch: the first takes posting
+    # #1 out, so the second goes to the next active posting it names
     m = messages(spark, [("x@acme berlin", "Status", "unfortunately"),
                          ("x@acme berlin", "Status", "unfortunately")])
     out = MB.classify_messages(m, postings(spark))
-    assert [r.posting_id for r in out.orderBy("message_id").collect()] == ["1", "1"]
+    assert [r.posting_id for r in out.orderBy("message_id").collect()] == ["1", "2"]
     st = {r.id: r.status for r in MB.apply_mail_outcomes(postings(spark), out).collect()}
-    assert st["1"] == "REJECTED" and st["2"] == "APPLIED"
+    assert st["1"] == "REJECTED" and st["2"] == "REJECTED"
 
 
 def test_with_cv_and_profile_prompts(spark):
