@@ -85,6 +85,45 @@ def test_mail_is_taken_in_order(spark):
     assert got == state
 
 
+def test_nested_names_settle_in_few_rounds(spark):
+    """500 rejections that name both companies, among others that name one."""
+    import random
+    rng = random.Random(9)
+    names = ["acme", "acme berlin", "berlin", "zed"]
+    posts = posting_rows(spark, [dict(id=f"{i:04d}", company=rng.choice(names), title="Dev", status="APPLIED",
+                                      created_at=T0 + dt.timedelta(minutes=rng.randrange(4000))) for i in range(900)])
+    texts = ["acme berlin"] * 500 + ["acme"] * 90 + ["berlin"] * 60 + ["zed"] * 40 + ["zed and acme"] * 40
+    rng.shuffle(texts)
+    rows = [(f"hr@{t}", "Status", "Unfortunately no" if rng.random() < 0.9 else "next steps") for t in texts]
+    m = messages(spark, rows).repartition(5)
+    want, _ = one_by_one(m.collect(), posts.collect())
+    got = {r.message_id: (r.posting_id, r.outcome) for r in MB.classify_messages(m, posts).collect()}
+    assert got == want
+    # The same in slices: at most a round for each, and the same takes.
+    active = MB.active_postings(posts)
+    ranked = MB.running_before(active, "company_l", F.date_trunc("hour", "created_at"), ["created_at", "posting_id"],
+                               name="before").withColumn("rank", F.col("before") + 1).drop("before")
+    named = MB.named_companies(m, active).join(m.select("message_id", "received_at", (MB.classify(
+        F.col("subject"), F.col("body")) == "rejected").alias("rejects")), "message_id")
+    whole, rounds = MB.settle(named, ranked)
+    assert rounds == 1
+    sliced, rounds = MB.settle(named, ranked, size=110)
+    assert 1 < rounds <= 7
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_names_in_texts(spark, monkeypatch):
+    from postingflow.operators import names as NM
+    texts = spark.createDataFrame([(1, "acme berlin gmbh"), (2, None), (3, ""), (4, "x"), (1, "berlin"), (5, "aaa")], "k long, t string")
+    names = spark.createDataFrame([("acme",), ("acme berlin",), ("berlin",), (None,), ("",), ("x",), ("x",), ("aa",)], "name string")
+    want = [(1, "acme"), (1, "acme berlin"), (1, "berlin"), (1, "berlin"), (4, "x"), (5, "aa")]
+    assert sorted(map(tuple, NM.names_in(texts, names, "k", "t", "name").collect())) == want
+    monkeypatch.setattr(NM, "SHARD_BYTES", 7)
+    assert len(NM.shards(names, "name")) > 1
+    assert sorted(map(tuple, NM.names_in(texts, names, "k", "t", "name").collect())) == want
+    assert NM.names_in(texts, names.limit(0), "k", "t", "name").collect() == []
+
+
 def test_running_sums_in_slices(spark):
     from postingflow.operators.ordering import running_before
     rows = [(k, i // 4, i, i % 3) for k in ("a", "b", None) for i in range(20)]
