@@ -1,24 +1,32 @@
-"""Vector memory: memorise, exact and approximate top-k cosine retrieval,
-metadata filters (V1-V3, V5, V6).
-
-Exact retrieval streams the memory once.  The queries are sent in blocks;
-each Arrow batch of the memory meets a block in one matrix product, and a
-partition keeps its own top-k per query, so only k x queries rows per
-partition reach the final ranking (itself a window with a partial group limit).
+"""Vector memory: memorise, exact top-k cosine retrieval, metadata filters
+(V1, V2, V5, V6).  The approximate search (V3) is ``vector_index``.
+
+Exact retrieval compares every query with every memory row, in blocks: both
+sides are tables of packed blocks (some hundred unit vectors a row), joined
+block by block, so a comparison is one matrix product.  A task carries each
+query's best ``k`` from pair to pair and sends at most ``k`` rows a query and
+memory block; the final ranking is a window with a partial group limit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
-#: Queries scored against a batch of the memory at a time.
-QUERY_BLOCK = 256
+#: Queries of one block, and bytes of a block of the memory.
+QUERY_BLOCK, BLOCK_BYTES = 256, 1 << 20
+#: Packed queries up to these bytes (measured) are broadcast to the memory's blocks;
+#: larger sets meet it in stripes of these bytes, by a shuffle.
+STRIPE_BYTES = 32 << 20
+#: Best rows that a task holds before it sends them on.
+HELD = 1 << 20
 
 
 def norm(c: Column) -> Column:
@@ -40,60 +48,126 @@ def centroids(memory: DataFrame, key: str = "label", vec: str = "embedding") ->
                 .select("query_id", F.transform("_c", lambda x: x["v"]).alias("vec")))
 
 
-def _query_blocks(queries: DataFrame, block: int) -> list:
-    """The query set as broadcast blocks of (ids, unit vectors), read from the
-    cluster one partition at a time."""
-    spark = queries.sparkSession
-    out, ids, rows = [], [], []
-
-    def flush():
-        if ids:
-            mat = np.array(rows, dtype=np.float64).reshape(len(rows), -1)
-            norm_ = np.linalg.norm(mat, axis=1, keepdims=True)
-            norm_[norm_ == 0] = 1.0
-            out.append(spark.sparkContext.broadcast((np.array(ids, dtype=object), mat / norm_)))
-            ids.clear()
-            rows.clear()
-
-    for r in queries.select("query_id", "vec").toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["vec"])
-        if len(ids) == block:
-            flush()
-    flush()
-    return out
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column as unit rows (a zero vector stays zero)."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    length = np.linalg.norm(values, axis=1, keepdims=True)
+    length[length == 0] = 1.0
+    return values / length
+
+
+def list_of(values: pa.Array) -> pa.Array:
+    """One list that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _pack(kind: pa.DataType, rows: int | None):
+    schema = pa.schema([("ids", pa.list_(kind)), ("vecs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids, vecs = batch.column(0).cast(kind), matrix(batch.column(1))
+            step = rows or max(1, BLOCK_BYTES // max(8, 8 * vecs.shape[1]))
+            for at in range(0, len(ids), step):
+                yield pa.RecordBatch.from_arrays(
+                    [list_of(ids.slice(at, step)), pa.array([vecs[at:at + step].tobytes()], pa.binary())], schema=schema)
+    return run
+
 
+def packed(df: DataFrame, id_col: str, vec_col: str, rows: int | None = None) -> DataFrame:
+    """(ids, vecs): blocks of ``rows`` unit vectors (default: ``BLOCK_BYTES``); rows without a vector drop out."""
+    ship_package(df.sparkSession)
+    read = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where(F.col("vec").isNotNull())
+    kind = read.schema["id"].dataType
+    return read.mapInArrow(_pack(to_arrow_type(kind), rows), f"ids array<{kind.simpleString()}>, vecs binary")
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the ``k`` largest values, ties by the smaller id."""
-    order = np.lexsort((ids, -sims), axis=-1)[:, :k]
-    return np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def _partial_topk(it, blocks, k, id_col, vec_col, exclude_self):
-    """A partition's own top-k of every query, carried from batch to batch."""
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for pdf in it:
-        if pdf.empty:
-            continue
-        m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-        nrm = np.linalg.norm(m, axis=1, keepdims=True)
-        nrm[nrm == 0] = 1.0
-        m = m / nrm
-        ids = pdf[id_col].to_numpy()
-        for b, sent in enumerate(blocks):
-            qids, q = sent.value
-            sims = q @ m.T                                   # queries x rows
-            if exclude_self:
-                sims = np.where(qids[:, None] == ids[None, :], -np.inf, sims)
-            all_ids = np.broadcast_to(ids, sims.shape)
-            if b in best:
-                sims, all_ids = np.hstack((best[b][0], sims)), np.hstack((best[b][1], all_ids))
-            best[b] = _best(sims, all_ids, k)
-    for b, (sims, ids) in best.items():
-        qids = np.repeat(blocks[b].value[0], sims.shape[1])
-        out = pd.DataFrame({"query_id": qids, "mem_id": ids.reshape(-1), "similarity": sims.reshape(-1)})
-        yield out[np.isfinite(out["similarity"].to_numpy())]
+
+def block_pairs(queries: DataFrame, memory: DataFrame) -> DataFrame:
+    """Every block of ``queries`` with every block of ``memory`` (columns of both).
+
+    A set of checked size is broadcast and the memory stays where it is; a
+    larger one is cut into stripes, the memory's blocks go to each stripe, and
+    either side is dealt over a salt, so no key holds more than its share.
+    """
+    size = queries.agg(F.coalesce(F.sum(F.octet_length("q_vecs")), F.lit(0))).first()[0]
+    stripes = -(-size // STRIPE_BYTES)
+    salts = 1 if stripes <= 1 else int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.withColumns({"stripe": part("q_vecs", max(1, stripes)), "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
+    m = memory.withColumns({"stripe": F.explode(F.sequence(F.lit(0), F.lit(max(1, stripes) - 1))), "salt": part("vecs", salts)})
+    return m.join(F.broadcast(q) if stripes <= 1 else q, ["stripe", "salt"]).drop("stripe", "salt")
+
+
+class Best:
+    """The ``k`` best (similarity, id) of each query of a block, ties by the smaller id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.row, self.sim, self.who = np.zeros(0, np.int64), np.zeros(0), None
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, sims: np.ndarray, who: np.ndarray) -> None:
+        """``sims``: queries x rows, -inf where a row is not to be taken."""
+        n = sims.shape[1]
+        floor = self.least if n <= self.k else np.maximum(self.least, np.partition(sims, n - self.k, axis=1)[:, n - self.k])
+        row, col = np.nonzero((sims >= floor[:, None] - 1e-9) & np.isfinite(sims))
+        row = np.concatenate((self.row, row))
+        sim = np.concatenate((self.sim, np.round(sims[row[len(self.row):], col], 9)))
+        who = who[col] if self.who is None else np.concatenate((self.who, who[col]))
+        order = np.lexsort((np.unique(who, return_inverse=True)[1], -sim, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = order[place < self.k]
+        self.row, self.sim, self.who = row[place < self.k], sim[keep], who[keep]
+        full = place == self.k - 1
+        self.least[row[full]] = sim[order[full]]
+
+
+def _best_of_pairs(k: int, exclude_self: bool, query: pa.DataType, mem: pa.DataType):
+    schema = pa.schema([("query_id", query), ("mem_id", mem), ("similarity", pa.float64())])
+
+    def sent(best: dict) -> Iterator[pa.RecordBatch]:
+        for b in best.values():
+            if len(b.row):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b.ids[b.row], query), pa.array(b.who, mem), pa.array(b.sim)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, Best] = {}
+        for batch in batches:
+            for j in range(batch.num_rows):
+                row = {name: batch.column(k)[j] for k, name in enumerate(batch.schema.names)}
+                ids = row["ids"].values.to_numpy(zero_copy_only=False)
+                key = row["q_key"].as_py()
+                if key not in best:
+                    if sum(len(b.ids) for b in best.values()) * k > HELD:
+                        yield from sent(best)
+                        best.clear()
+                    best[key] = Best(row["q_ids"].values.to_numpy(zero_copy_only=False), k)
+                b = best[key]
+                q = np.frombuffer(row["q_vecs"].as_py()).reshape(len(b.ids), -1)
+                sims = q @ np.frombuffer(row["vecs"].as_py()).reshape(len(ids), -1).T
+                if exclude_self:
+                    sims[b.ids[:, None] == ids[None, :]] = -np.inf
+                b.add(sims, ids)
+        yield from sent(best)
+    return run
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each query, ties by id."""
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("mem_id"))
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                 .select("query_id", "rank", "mem_id", "similarity"))
+
+
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(q_key, q_ids, q_vecs) of the queries (query_id, vec), checkpointed."""
+    blocks = packed(queries, "query_id", "vec", block)
+    return cut_lineage(blocks.select(F.monotonically_increasing_id().alias("q_key"),
+                                     F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
 
 
 def top_k(queries: DataFrame, memory: DataFrame, k: int, id_col: str = "mem_id", vec_col: str = "embedding",
@@ -101,18 +175,15 @@ def top_k(queries: DataFrame, memory: DataFrame, k: int, id_col: str = "mem_id",
     """V2: for each query the ``k`` most cosine-similar memory rows, best
     first, ties broken by id.  Returns (query_id, rank, mem_id, similarity).
 
-    Every memory row meets every query, a block of queries at a time; a task
-    holds one Arrow batch times one block, and k rows per query.
+    Rows and queries without a vector are in no result; all vectors have one
+    dimension; a zero vector is similar to nothing (0).
     """
-    blocks = _query_blocks(queries, block)
-    qtype = queries.schema["query_id"].dataType
-    schema = T.StructType([T.StructField("query_id", qtype), T.StructField("mem_id", memory.schema[id_col].dataType),
-                           T.StructField("similarity", T.DoubleType())])
-    part = memory.select(id_col, vec_col).mapInPandas(
-        lambda it: _partial_topk(it, blocks, k, id_col, vec_col, exclude_self), schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("mem_id"))
-    return (part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .select("query_id", "rank", "mem_id", "similarity"))
+    query, mem = queries.schema["query_id"].dataType, memory.schema[id_col].dataType
+    pairs = block_pairs(query_blocks(queries, block), packed(memory, id_col, vec_col))
+    found = pairs.select("q_key", "q_ids", "q_vecs", "ids", "vecs").mapInArrow(
+        _best_of_pairs(k, exclude_self, to_arrow_type(query), to_arrow_type(mem)),
+        f"query_id {query.simpleString()}, mem_id {mem.simpleString()}, similarity double")
+    return ranked(found, k)
 
 
 def similar_past(new: DataFrame, past: DataFrame, k: int = 3, **kw) -> DataFrame:
@@ -137,93 +208,6 @@ def memorize(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
-# ------------------------------------------------------------------ V3
-
-def _planes(dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return rng.standard_normal((bands * bits, dim))
-
-
-def _signatures(it, planes, bands, bits, id_col, vec_col):
-    weights = (1 << np.arange(bits)).astype(np.int64)
-    for pdf in it:
-        if pdf.empty:
-            continue
-        m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-        proj = (m @ planes.T) >= 0                       # rows x (bands*bits)
-        codes = proj.reshape(len(pdf), bands, bits).astype(np.int64) @ weights
-        n = len(pdf)
-        yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), bands),
-                            "band": np.tile(np.arange(bands, dtype=np.int32), n),
-                            "bucket": codes.reshape(-1)})
-
-
-def lsh_keys(df: DataFrame, id_col: str, vec_col: str, dim: int, bands: int = 8, bits: int = 6,
-             seed: int = 7) -> DataFrame:
-    """Random-hyperplane signatures: one (band, bucket) row per band."""
-    planes = _planes(dim, bands, bits, seed)
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
-                           T.StructField("band", T.IntegerType()), T.StructField("bucket", T.LongType())])
-    return df.select(id_col, vec_col).mapInPandas(
-        lambda it: _signatures(it, planes, bands, bits, id_col, vec_col), schema)
-
-
-#: Memory rows that one signature bucket is meant to hold.
-BUCKET_ROWS = 64
-
-
-def signature_bits(memory: DataFrame) -> int:
-    """Bits of a band's signature: buckets of about BUCKET_ROWS rows whatever the memory's size."""
-    return max(3, (max(1, memory.count()) // BUCKET_ROWS).bit_length())
-
-
-#: Probability that a neighbour shares no bucket up to which a query's candidates are trusted.
-MISS = 1e-3
-
-
-def safe_similarity(bands: int, bits: int) -> float:
-    """Cosine from which a pair shares no bucket in any band with a probability of at most MISS.
-
-    A random hyperplane leaves two vectors at angle a on one side with probability 1 - a / pi.
-    """
-    same_side = (1 - MISS ** (1 / bands)) ** (1 / bits)
-    return float(np.cos(np.pi * (1 - same_side)))
-
-
-def top_k_approx(queries: DataFrame, memory: DataFrame, k: int, dim: int, bands: int = 16, bits: int | None = None,
-                 seed: int = 7, id_col: str = "mem_id", vec_col: str = "embedding") -> DataFrame:
-    """V3: candidates share an LSH bucket with the query in at least one band
-    (an equi-join on (band, bucket)), then the exact cosine re-ranks them.
-
-    A neighbour that shares no bucket is missed, so the buckets settle only the
-    queries whose k-th candidate is so close that a row at least as close is
-    missed with a probability under MISS (``safe_similarity``); the others are
-    searched exactly (``top_k``).  The k-th true neighbour is never farther
-    than the k-th candidate, so the bound holds for all k.  The signature
-    length follows the memory's size unless given; hot buckets are left to
-    AQE's skew split.
-    """
-    if bits is None:
-        bits = signature_bits(memory)
-    qk = lsh_keys(queries.withColumnRenamed("vec", "_v").withColumnRenamed("query_id", "_q"),
-                  "_q", "_v", dim, bands, bits, seed)
-    mk = lsh_keys(memory, id_col, vec_col, dim, bands, bits, seed)
-    cand = mk.join(qk, ["band", "bucket"]).select(F.col("_q").alias("query_id"), id_col).distinct()
-    scored = (cand.join(memory.select(id_col, vec_col), id_col)
-                  .join(queries.select("query_id", F.col("vec").alias("_qv")), "query_id"))
-    sim = F.aggregate(F.zip_with(unit(F.col(vec_col)), unit(F.col("_qv")), lambda a, b: a * b),
-                      F.lit(0.0), lambda acc, x: acc + x)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("mem_id"))
-    found = cut_lineage(
-        scored.select("query_id", F.col(id_col).alias("mem_id"), sim.alias("similarity"))
-              .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-              .select("query_id", "rank", "mem_id", "similarity"))
-    settled = (found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_s"))
-                    .filter((F.col("_n") == k) & (F.col("_s") >= safe_similarity(bands, bits))).select("query_id"))
-    rest = top_k(queries.join(settled, "query_id", "left_anti"), memory, k, id_col, vec_col)
-    return found.join(settled, "query_id", "left_semi").unionByName(rest)
-
-
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact neighbours the approximate search found, per query."""
     hit = exact.join(approx.select("query_id", "mem_id", F.lit(1).alias("_h")), ["query_id", "mem_id"], "left")

@@ -6,6 +6,7 @@ from conftest import posting_rows
 from postingflow.operators import dispatch as DP
 from postingflow.operators import mailbox as MB
 from postingflow.operators import memory as M
+from postingflow.operators import vector_index as VI
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -203,32 +204,85 @@ def test_memorize_and_filter(spark, tmp):
     assert M.memory_where(spark.read.parquet(tmp + "/mem"), "type", "x").count() == 1
 
 
-def test_lsh_recall_reported(spark):
+def vector_rows(spark, vecs):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "mem_id long, embedding array<float>")
+
+
+def test_index_holds_every_row_and_bounds_hold(spark, tmp):
     import numpy as np
     rng = np.random.default_rng(1)
-    vecs = rng.standard_normal((300, 16)).astype("float32")
-    mem = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "mem_id long, embedding array<float>")
-    q = spark.createDataFrame([(str(i), vecs[i].astype("float64").tolist()) for i in range(5)],
-                              "query_id string, vec array<double>")
-    rec = M.recall_at_k(M.top_k_approx(q, mem, 5, dim=16, bands=12, bits=4), M.top_k(q, mem, 5))
-    vals = [r.recall for r in rec.collect()]
-    assert len(vals) == 5 and min(vals) >= 0.2
+    vecs = rng.standard_normal((700, 15)).astype("float32")   # a dimension that fills no whole part
+    mem = vector_rows(spark, vecs).repartition(3)
+    model = VI.train(mem)
+    index = VI.build(mem, model, path=tmp + "/index")
+    seen = []
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    for r in index.collect():
+        x = model.lists[r["list"]] + model.decoded(np.frombuffer(r.codes, np.uint8).reshape(len(r.ids), -1))
+        off = np.linalg.norm(unit[r.ids] - x, axis=1)
+        assert np.allclose(off, np.frombuffer(r.rests, np.float32), atol=1e-4)
+        assert np.linalg.norm(unit[r.ids] - model.lists[r["list"]], axis=1).max() <= r.radius + 1e-6
+        seen += r.ids
+    assert sorted(seen) == list(range(700))
 
 
 def test_approximate_search_reaches_its_recall(spark):
     import numpy as np
     rng = np.random.default_rng(2)
-    vecs = rng.standard_normal((600, 16)).astype("float32")
+    vecs = rng.standard_normal((2000, 16)).astype("float32")
     vecs[:8] = vecs[0] + 0.01 * rng.standard_normal((8, 16))  # one query with close neighbours, the others without
-    mem = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "mem_id long, embedding array<float>")
-    q = spark.createDataFrame([(str(i), vecs[i].astype("float64").tolist()) for i in (0, *range(10, 20))]
-                              + [("far", rng.standard_normal(16).tolist()), ("zero", [0.0] * 16)],
+    vecs[100:700] = vecs[100]                                 # a third of all rows are copies
+    mem = vector_rows(spark, vecs).repartition(4)
+    q = spark.createDataFrame([(str(i), vecs[i].astype("float64").tolist()) for i in (0, *range(10, 30), 100)]
+                              + [("far", rng.standard_normal(16).tolist()), ("zero", [0.0] * 16), ("none", None)],
                               "query_id string, vec array<double>")
-    found = M.top_k_approx(q, mem, 5, dim=16, bands=6, bits=8)
+    found = VI.top_k_approx(q, mem, 5).cache()
     assert all(r["count"] == 5 for r in found.groupBy("query_id").count().collect())
     vals = {r.query_id: r.recall for r in M.recall_at_k(found, M.top_k(q, mem, 5)).collect()}
-    assert len(vals) == 13 and min(vals.values()) >= 0.9
-    assert M.safe_similarity(32, 4) < M.safe_similarity(16, 4) < M.safe_similarity(16, 8) < 1
+    assert len(vals) == 24 and min(vals.values()) >= 0.9
+    shares = {r.query_id: r.share_scored for r in found.collect()}
+    assert max(v for n, v in shares.items() if n not in ("100", "zero")) < 0.2
+
+
+def test_clustered_memory_is_probed_in_part(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32)) * 3
+    vecs = np.repeat(centres, 60, axis=0) + 0.2 * rng.standard_normal((2400, 32))
+    mem = vector_rows(spark, vecs)
+    q = spark.createDataFrame([(str(i), vecs[i].tolist()) for i in range(0, 2400, 100)], "query_id string, vec array<double>")
+    found = VI.top_k_approx(q, mem, 5).cache()
+    assert min(r.recall for r in M.recall_at_k(found, M.top_k(q, mem, 5)).collect()) >= 0.9
+    assert max(r.share_probed for r in found.collect()) < 0.5
+
+
+def test_index_of_an_empty_memory(spark):
+    q = spark.createDataFrame([("a", [1.0, 0.0])], "query_id string, vec array<double>")
+    assert VI.top_k_approx(q, vector_rows(spark, []), 3).collect() == []
+    assert M.top_k(q, vector_rows(spark, []), 3).collect() == []
+    assert M.top_k(q.limit(0), vector_rows(spark, [[1.0, 2.0]]), 3).collect() == []
+
+
+def test_top_k_by_blocks_and_stripes(spark, monkeypatch):
+    """Many small blocks, stripes and salts, string ids, copies: as a plain sort."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    vecs = rng.standard_normal((300, 6))
+    vecs[40:140] = vecs[40]
+    mem = spark.createDataFrame([(f"m{i:03d}", [float(x) for x in v]) for i, v in enumerate(vecs)] + [("none", None)],
+                                "mem_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(f"m{i:03d}", [float(x) for x in vecs[i]]) for i in range(0, 300, 7)], "query_id string, vec array<double>")
+    monkeypatch.setattr(M, "BLOCK_BYTES", 6 * 8 * 16)
+    monkeypatch.setattr(M, "STRIPE_BYTES", 600)
+    monkeypatch.setattr(M, "HELD", 40)
+    got = {(r.query_id, r["rank"]): r.mem_id for r in M.top_k(q, mem, 4, exclude_self=True, block=5).collect()}
+    u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, 300, 7):
+        sims = np.round(u @ u[i], 9)
+        best = [j for j in sorted(range(300), key=lambda j: (-sims[j], j)) if j != i][:4]
+        want.update({(f"m{i:03d}", k + 1): f"m{j:03d}" for k, j in enumerate(best)})
+    assert got == want
 
 
 def test_artifact_audit_states(spark):
