@@ -9,8 +9,8 @@ The reference mutates rows in place, one request at a time.  Here the log
   buffer row per map partition);
 * a successful ``reject`` deletes the row and cuts every later action of
   that posting (they report ``not_found``);
-* global commands (``score_all``, ``cancel_queue``) read the current state,
-  so they are barriers between fold segments.
+* global commands (``score_all``, ``cancel_queue``) act on all postings; their
+  counts are running sums over the stretches between cancels (``apply_log``).
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions.text import non_blank, resolve_recipient
 from ..session import cut_lineage
+from .ordering import running_before
 
 STATUS_OF_ACTION = [("approve", "APPROVED"), ("ignore", "REJECTED"), ("dispatched", "APPLIED")]
 GLOBAL_ACTIONS = ("score_all", "cancel_queue")
-CUT_EVERY = 2        # segments between lineage cuts
+SEQ_SLICE = 1 << 16  # sequence numbers of one slice of the log
 
 
 def _new_status(action: Column) -> Column:
@@ -90,10 +92,14 @@ def apply_actions(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> t
     """Fold per-posting actions into the posting table.
 
     Returns (postings', outcomes).  The posting table is joined once, with
-    one state row per touched posting.  Global commands in the log are
-    applied as barriers (see ``apply_log``).
+    one state row per touched posting.  A log with global commands goes
+    through ``apply_log``.
     """
-    o = action_outcomes(postings, apps, actions)
+    return _fold(postings, action_outcomes(postings, apps, actions))
+
+
+def _fold(postings: DataFrame, o: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings', outcomes) of per-posting actions with their outcomes."""
     st = _job_state(o).withColumnRenamed("job_id", "id")
     p = postings.join(st, "id", "left").filter(~F.coalesce(F.col("deleted"), F.lit(False)))
     p = p.select(
@@ -126,47 +132,95 @@ def cancel_queue(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, cnt
 
 
-def apply_log(postings: DataFrame, apps: DataFrame, actions: DataFrame, barriers: list | None = None):
-    """Fold a log that may hold global commands.
-
-    ``barriers`` is the ordered list of ``(seq, command)`` global commands;
-    it is taken from the log when not given.  Global commands are user
-    clicks; each one splits the fold into segments, so the work grows with
-    their number (no bound is set on it).
-    Returns (postings', outcomes) where outcomes include the barrier counts.
+def _log_segments(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per-posting actions with ``seg``, segments): a segment is the stretch between two
+    cancels, numbered by the cancels before it.  Segment rows hold ``s1``, its first
+    score-all, and ``c``, the cancel that ends it."""
+    is_cancel = (F.col("action") == "cancel_queue").cast("int")
+    log = cut_lineage(running_before(actions.withColumn("_all", F.lit(0)), "_all", F.floor(F.col("seq") / SEQ_SLICE),
+                                     ["seq"], is_cancel, name="seg").drop("_all"))
+    command = F.col("action").isin(*GLOBAL_ACTIONS)
+    segments = log.filter(command).groupBy("seg").agg(
+        F.min(F.when(F.col("action") == "score_all", F.col("seq"))).alias("s1"),
+        F.min(F.when(F.col("action") == "cancel_queue", F.col("seq"))).alias("c"))
+    return log, cut_lineage(segments)
+
+
+def apply_log(postings: DataFrame, apps: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fold a log that may hold global commands (A5, A6), in a fixed number of jobs.
+
+    Per-posting actions do not depend on the commands, and a command acts on the
+    processing status alone.  A cancel leaves it IDLE; after that an own
+    ``analyze``, or the first score-all of the segment while the posting is
+    FETCHED, makes it QUEUED until the next cancel.  No action makes a posting
+    FETCHED again, so those first score-alls reach it in the segments from 0
+    up to one bound, set by its first status action or its deletion.  A
+    command's count is a running sum of these bounds over the segments,
+    corrected by what the postings did themselves inside the segment; no
+    command is looked at one by one.
+
+    Returns (postings', outcomes); the outcome of a command is ``count=<n>``.
+    A posting without a processing status counts as IDLE, the model's default.
     """
-    if barriers is None:
-        rows = (actions.filter(F.col("action").isin(*GLOBAL_ACTIONS)).select("seq", "action")
-                       .orderBy("seq").collect())
-        barriers = [(r["seq"], r["action"]) for r in rows]
-    per_job = actions.filter(~F.col("action").isin(*GLOBAL_ACTIONS))
-    outs = []
-    lo = None
-    for seq, cmd in barriers + [(None, None)]:
-        seg = per_job
-        if lo is not None:
-            seg = seg.filter(F.col("seq") > lo)
-        if seq is not None:
-            seg = seg.filter(F.col("seq") < seq)
-        postings, o = apply_actions(postings, apps, seg)
-        outs.append(o)
-        if cmd == "score_all":
-            postings, cnt = score_all(postings)
-        elif cmd == "cancel_queue":
-            postings, cnt = cancel_queue(postings)
-        if cmd and len(outs) % CUT_EVERY == 0:
-            # each segment stacks a fold on the previous plan: cut the
-            # lineage now and then (reliable checkpoint in the shared folder)
-            postings = cut_lineage(postings)
-        if cmd:
-            outs.append(cnt.select(F.lit(seq).cast("long").alias("seq"), F.lit(None).cast(actions.schema["job_id"].dataType).alias("job_id"),
-                                   F.lit(cmd).alias("action"),
-                                   F.concat(F.lit("count="), F.col(cnt.columns[0]).cast("string")).alias("outcome")))
-        lo = seq
-    outcomes = outs[0]
-    for o in outs[1:]:
-        outcomes = outcomes.unionByName(o)
-    return postings, outcomes
+    log, segments = _log_segments(actions)
+    command = F.col("action").isin(*GLOBAL_ACTIONS)
+    o = cut_lineage(action_outcomes(postings, apps, log.filter(~command)))
+    last, last_s1 = log.agg(F.max(F.col("seg") + (F.col("action") == "cancel_queue").cast("int"))).first()[0] or 0, None
+    row = segments.filter(F.col("seg") == last).select("s1").first()
+    last_s1 = row[0] if row else None
+
+    act, ok, gone = F.col("action"), F.col("outcome") == "ok", F.col("outcome") == "deleted"
+    at = F.struct("seq", "seg")
+    ends = o.groupBy(F.col("job_id").alias("id")).agg(
+        F.min(F.when(gone | (ok & act.isin(*(a for a, _ in STATUS_OF_ACTION))), at)).alias("e"),
+        F.min(F.when(gone, F.col("seg"))).alias("gone_seg"))
+    # ``until``: the first segment whose score-all no longer finds the posting FETCHED (null: none)
+    facts = cut_lineage(
+        postings.select("id", (F.coalesce("status", F.lit("FETCHED")) == "FETCHED").alias("fetched"),
+                        F.coalesce("processing_status", F.lit("IDLE")).alias("p0"))
+        .join(ends, "id", "left")
+        .join(segments.select("seg", "s1"), F.col("e.seg") == F.col("seg"), "left")
+        .select("id", "fetched", "p0", "gone_seg", (F.col("e.seg") + F.when(F.col("s1") < F.col("e.seq"), 1).otherwise(0)).alias("until")))
+    # Own business of a posting in a segment: its first analyze, or that it was busy from the start.
+    own = (o.filter(ok & (act == "analyze")).select(F.col("job_id").alias("id"), "seg", "seq")
+           .unionByName(facts.filter(F.col("p0").isin("QUEUED", "PROCESSING")).select("id", F.lit(0).cast("long").alias("seg"),
+                                                                                     F.lit(-(1 << 63)).alias("seq")))
+           .groupBy("id", "seg").agg(F.min("seq").alias("a1"), F.max("seq").alias("a2")))
+
+    def n(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0))
+
+    reached = F.col("fetched") & F.col("s1").isNotNull() & (F.col("until").isNull() | (F.col("seg") < F.col("until")))
+    own_counts = own.join(segments, "seg").join(facts, "id").groupBy("seg").agg(
+        n(reached & (F.col("a1") < F.col("s1"))).alias("busy_before"),
+        n(~reached & (F.col("gone_seg").isNull() | (F.col("gone_seg") != F.col("seg")))).alias("own_only"))
+    deleted = facts.filter(F.col("fetched") & (F.col("gone_seg") < F.col("until"))).groupBy(F.col("gone_seg").alias("seg")) \
+        .agg(F.count(F.lit(1)).alias("deleted"))
+    fetched = facts.filter("fetched").agg(F.count(F.lit(1)).alias("n_fetched"))
+    drops = facts.filter("fetched AND until IS NOT NULL").groupBy(F.col("until").alias("seg")).agg(F.count(F.lit(1)).alias("n"))
+    steps = (drops.withColumns({"kind": F.lit(0), "s1": F.lit(None).cast("long"), "c": F.lit(None).cast("long")})
+             .unionByName(segments.withColumns({"kind": F.lit(1), "n": F.lit(0).cast("long")})).withColumn("_all", F.lit(0)))
+    running = running_before(steps, "_all", F.floor(F.col("seg") / SEQ_SLICE), ["seg", "kind"], F.col("n"), name="dropped")
+    counted = (running.filter("kind = 1").select("seg", "s1", "c", "dropped")
+               .join(own_counts, "seg", "left").join(deleted, "seg", "left").join(F.broadcast(fetched), F.lit(True))
+               .na.fill(0, ["busy_before", "own_only", "deleted"])
+               .withColumn("reach", F.when(F.col("s1").isNotNull(), F.col("n_fetched") - F.col("dropped")).otherwise(0)))
+    first_score, cancels = (F.col("reach") - F.col("busy_before")), (F.col("reach") - F.col("deleted") + F.col("own_only"))
+    commands = log.filter(command).join(counted, "seg").select(
+        "seq", "job_id", "action", F.concat(F.lit("count="), F.when(act == "cancel_queue", cancels)
+                                            .when(F.col("seq") == F.col("s1"), first_score).otherwise(0).cast("string")).alias("outcome"))
+
+    done, outcomes = _fold(postings, o)
+    now = own.filter(F.col("seg") == last).select("id", F.when(F.col("a2") >= 0, F.lit("QUEUED")).alias("_own"), F.lit(True).alias("_busy"))
+    held = facts.select("id", (F.col("fetched") & F.lit(last_s1 is not None) & (
+        F.col("until").isNull() | (F.col("until") > last))).alias("_reached"))
+    idle = F.lit("IDLE") if last else F.col("processing_status")
+    processing = (F.when(F.col("_busy"), F.coalesce("_own", "processing_status"))
+                  .when(F.col("_reached"), F.lit("QUEUED")).otherwise(idle))
+    start = postings.select("id", F.col("processing_status").alias("_start"))
+    done = (done.drop("processing_status").join(start.withColumnRenamed("_start", "processing_status"), "id")
+            .join(held, "id").join(now, "id", "left").withColumn("processing_status", processing).select(*postings.columns))
+    return done, outcomes.unionByName(commands)
 
 
 def operation_counts(outcomes: DataFrame) -> DataFrame:
@@ -174,6 +228,28 @@ def operation_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("action", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def command_results(outcomes: DataFrame) -> DataFrame:
+    """(seq, action, affected, message) of the global commands of a folded log."""
+    n = F.regexp_extract("outcome", "^count=([0-9]+)$", 1).cast("long")
+    return (outcomes.filter(F.col("action").isin(*GLOBAL_ACTIONS)).select("seq", "action", n.alias("affected"))
+            .withColumn("message", result_text(F.col("action"), F.col("affected"))))
+
+
+def result_text(operation: Column, n: Column) -> Column:
+    """The text a bulk operation answers with: ``score_all``, ``cancel_queue`` or ``scan``."""
+    texts = S.RESULT_TEXTS
+    return (F.when((operation == "score_all") & (n == 0), F.lit(texts["score_none"]))
+             .when(operation == "score_all", F.format_string(texts["score_all"], n))
+             .when(operation == "cancel_queue", F.format_string(texts["cancel_queue"], n))
+             .when(operation == "scan", F.format_string(texts["scan"], n)))
+
+
+def scan_result(added: DataFrame) -> DataFrame:
+    """One row (message, added) for the postings that a scan added."""
+    return added.agg(F.count(F.lit(1)).alias("added")).select(
+        result_text(F.lit("scan"), F.col("added")).alias("message"), "added")
+
+
 # ------------------------------------------------------------------ profile / persona logs
 
 PROFILE_PATCH_KEYS = [("searchKeyword", "search_keyword", "string"),
@@ -218,7 +294,6 @@ def apply_persona_log(personas: DataFrame, log: DataFrame) -> DataFrame:
     wins; a prompt that comes before its persona is not found and changes
     nothing.
     """
-    from .. import schemas as S
     creates = log.filter(F.col("op") == "create")
     created = creates.select(
         F.col("persona_id").alias("id"), F.col("profile_id"),

@@ -8,7 +8,7 @@ a bounded dimension.  Null status counts as FETCHED everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -124,6 +124,56 @@ def board_counts(df: DataFrame) -> DataFrame:
         "col_pos", "col_id", "col_title", F.coalesce("n", F.lit(0)).cast("long").alias("n_cards"))
 
 
+#: Cards of one column of the nested board.
+BOARD_CARDS = 25
+
+
+def board_nested(df: DataFrame, cards: int = BOARD_CARDS) -> DataFrame:
+    """B1, nested: one row per board column with its newest cards.
+
+    Four rows whatever the table's size: (col_pos, col_id, col_title, total,
+    jobs, next_at, next_id).  ``jobs`` holds at most ``cards`` cards by falling
+    created_at, then rising id (null dates last); where there are more,
+    (next_at, next_id) is the place of the last one shown, from which
+    ``board_more`` goes on.  Every partition sends its own ``cards`` + 1 best
+    rows of a column (a window with a partial group limit) and one count, so no
+    column is collected.
+    """
+    spark = df.sparkSession
+    dim = F.broadcast(board_dimension(spark))
+    order = [F.col("created_at").desc_nulls_last(), F.col("id")]
+    p = df.select(status_of(df).alias("col_status"), "created_at", *_card(df)).join(dim, "col_status", "left_semi")
+    ranked = p.withColumn("_n", F.row_number().over(Window.partitionBy("col_status").orderBy(*order))) \
+        .filter(F.col("_n") <= cards + 1)
+    card = F.struct("id", "company", "title", "score", "location", "matchReason")
+    listed = ranked.groupBy("col_status").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_n") <= cards, F.struct("_n", card.alias("card"))))).alias("_cards"),
+        F.max(F.when(F.col("_n") == cards, F.struct("created_at", "id"))).alias("_last"), F.count(F.lit(1)).alias("_found"))
+    return (board_counts(df).join(dim.select("col_id", "col_status"), "col_id").join(listed, "col_status", "left")
+            .select("col_pos", "col_id", "col_title", F.col("n_cards").alias("total"),
+                    F.coalesce(F.transform("_cards", lambda c: c["card"]), F.array().cast(listed.select(
+                        F.transform("_cards", lambda c: c["card"]).alias("j")).schema["j"].dataType)).alias("jobs"),
+                    F.when(F.col("_found") > cards, F.col("_last.created_at")).alias("next_at"),
+                    F.when(F.col("_found") > cards, F.col("_last.id")).alias("next_id")))
+
+
+def _card(df: DataFrame) -> list:
+    """The fields of a card of the nested board."""
+    return [F.col("id"), F.col("company"), F.col("title"), F.coalesce(F.col("match_score"), F.lit(0)).cast("long").alias("score"),
+            F.lit(S.BOARD_LOCATION).alias("location"), preview("description").alias("matchReason")]
+
+
+def board_more(df: DataFrame, col_id: str, next_at, next_id, cards: int = BOARD_CARDS) -> DataFrame:
+    """The cards of one column after a cursor of ``board_nested``, as many as ``cards``."""
+    status = {c: s for _, c, _, s in S.BOARD_COLUMNS}[col_id]
+    at = F.lit(next_at).cast(df.schema["created_at"].dataType)
+    later = F.col("id") > F.lit(next_id)
+    after = (F.col("created_at").isNull() & later) if next_at is None else \
+        ((F.col("created_at") < at) | F.col("created_at").isNull() | ((F.col("created_at") == at) & later))
+    return (df.filter((status_of(df) == status) & after).select("created_at", *_card(df))
+            .orderBy(F.col("created_at").desc_nulls_last(), "id").limit(cards))
+
+
 # ---------------------------------------------------------------- stats
 
 def weekly_stats(df: DataFrame, now: str) -> DataFrame:

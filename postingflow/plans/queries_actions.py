@@ -40,6 +40,63 @@ def q_operation_counts(spark, sf):
     return A.operation_counts(o)
 
 
+COMMAND_SQL = with_ctes("posting", "action") + """,
+logged AS (SELECT seq, job_id, CASE WHEN seq % 200 = 0 THEN 'score_all' WHEN seq % 200 = 100 THEN 'cancel_queue' ELSE action END AS action
+           FROM action),
+apps AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem),
+a AS (SELECT l.*, p.id IS NOT NULL AS job_exists, ap.job_id IS NOT NULL AS has_app
+      FROM logged l LEFT JOIN (SELECT id FROM posting) p ON p.id = l.job_id LEFT JOIN apps ap ON ap.job_id = l.job_id
+      WHERE action NOT IN ('score_all', 'cancel_queue')),
+cuts AS (SELECT job_id, min(seq) AS cut_seq FROM a WHERE action = 'reject' AND job_exists AND NOT has_app GROUP BY job_id),
+ok AS (SELECT a.* FROM a LEFT JOIN cuts c USING (job_id)
+       WHERE job_exists AND (c.cut_seq IS NULL OR a.seq < c.cut_seq) AND action <> 'reject' AND (action <> 'dispatched' OR has_app)),
+p AS (SELECT id, coalesce(status, 'FETCHED') = 'FETCHED' AS fetched, coalesce(processing_status, 'IDLE') AS p0, cut_seq,
+             least((SELECT min(seq) FROM ok WHERE ok.job_id = posting.id AND action IN ('approve', 'ignore', 'dispatched')), cut_seq) AS status_end
+      FROM posting LEFT JOIN cuts ON cuts.job_id = posting.id),
+cmd AS (SELECT seq, action, (SELECT max(seq) FROM logged x WHERE x.action = 'cancel_queue' AND x.seq < l.seq) AS c
+        FROM logged l WHERE action IN ('score_all', 'cancel_queue')),
+-- what makes a posting busy between the cancel before a command and the command
+an AS (SELECT DISTINCT cmd.seq, ok.job_id FROM cmd JOIN ok ON ok.action = 'analyze' AND ok.seq < cmd.seq AND ok.seq > coalesce(c, -1)),
+sc AS (SELECT DISTINCT cmd.seq, p.id FROM cmd JOIN logged s ON s.action = 'score_all' AND s.seq < cmd.seq AND s.seq > coalesce(c, -1)
+       JOIN p ON p.fetched AND (p.status_end IS NULL OR p.status_end > s.seq)),
+state AS (SELECT cmd.seq, cmd.action, p.fetched AND (status_end IS NULL OR status_end > cmd.seq) AS fetched_now,
+                 an.job_id IS NOT NULL OR sc.id IS NOT NULL OR (cmd.c IS NULL AND p0 IN ('QUEUED', 'PROCESSING')) AS busy
+          FROM cmd JOIN p ON p.cut_seq IS NULL OR p.cut_seq > cmd.seq
+          LEFT JOIN an ON an.seq = cmd.seq AND an.job_id = p.id LEFT JOIN sc ON sc.seq = cmd.seq AND sc.id = p.id),
+counts AS (SELECT seq, action, CASE action WHEN 'score_all' THEN count(*) FILTER (WHERE fetched_now AND NOT busy)
+                                           ELSE count(*) FILTER (WHERE busy) END AS n
+           FROM state GROUP BY seq, action)"""
+
+
+def _commanded(spark, sf):
+    """The action log in which every hundredth entry is a global command."""
+    a = B.actions(spark, sf)
+    command = F.when(F.col("seq") % 200 == 0, "score_all").when(F.col("seq") % 200 == 100, "cancel_queue")
+    return A.apply_log(B.postings(spark, sf), B.applications(spark, sf), a.withColumn("action", F.coalesce(command, "action")))
+
+
+@register("command_results", COMMAND_SQL + """
+SELECT seq, action, n AS affected, CASE WHEN action = 'cancel_queue' THEN 'Queue drained — ' || n || ' job(s) cancelled.'
+            WHEN n > 0 THEN 'Queued ' || n || ' jobs for AI scoring. Check the Activity Log for progress.'
+            ELSE 'No unscored jobs found in your inbox.' END AS message
+FROM counts""")
+def q_command_results(spark, sf):
+    return A.command_results(_commanded(spark, sf)[1]).select("seq", "action", "affected", "message")
+
+
+@register("command_states", COMMAND_SQL + """,
+last AS (SELECT max(seq) FILTER (WHERE action = 'cancel_queue') AS c FROM cmd)
+SELECT p.id, CASE WHEN EXISTS (SELECT 1 FROM ok WHERE ok.job_id = p.id AND action = 'analyze' AND seq > coalesce(c, -1)) THEN 'QUEUED'
+                  WHEN c IS NULL AND p0 IN ('QUEUED', 'PROCESSING') THEN p0
+                  WHEN EXISTS (SELECT 1 FROM logged s WHERE s.action = 'score_all' AND s.seq > coalesce(c, -1)
+                                 AND p.fetched AND (p.status_end IS NULL OR p.status_end > s.seq)) THEN 'QUEUED'
+                  ELSE 'IDLE' END AS processing_status
+FROM p, last WHERE cut_seq IS NULL""")
+def q_command_states(spark, sf):
+    p = _commanded(spark, sf)[0]
+    return p.select("id", F.coalesce("processing_status", F.lit("IDLE")).alias("processing_status"))
+
+
 @register("apply_actions", with_ctes("posting", "action") + OUTCOME_SQL + """,
 st AS (SELECT job_id,
               arg_max(CASE action WHEN 'approve' THEN 'APPROVED' WHEN 'ignore' THEN 'REJECTED'

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
+from ..operators import actions as A
 from ..operators import dedup as D
 from ..operators import normalize as N
 from ..sources import feeds as FD
@@ -135,6 +136,15 @@ def q_scan_new(spark, sf):
     return D.scan_new(r, B.stored_keys(spark, sf, "text"), 10).select("reference_id", "pos")
 
 
+@register("scan_result", with_ctes("raw_text", "stored_text") + """,
+fresh AS (SELECT DISTINCT reference_id FROM raw_text r
+          WHERE NOT EXISTS (SELECT 1 FROM stored_text s WHERE s.reference_id = r.reference_id))
+SELECT 'Scraped ' || count(*) || ' new jobs' AS message, count(*) AS added FROM fresh""")
+def q_scan_result(spark, sf):
+    r = B.raw_postings(spark, sf, "text").select("reference_id", "page", "pos")
+    return A.scan_result(TB.fresh_rows(r, B.stored_keys(spark, sf, "text")))
+
+
 def _incoming_imports(spark, sf):
     c = B.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     eng = c.select((F.col("c_custkey") * 2).alias("seq"),

@@ -69,6 +69,26 @@ def q_board_counts(spark, sf):
     return V.board_counts(B.postings(spark, sf, with_customer=False))
 
 
+@register("board_nested", with_ctes("posting") + "," + BOARD_DIM_SQL + f""",
+listed AS (SELECT {ST} AS col_status, id, company, title, coalesce(match_score, 0) AS score, created_at,
+                  CASE WHEN length(description) > 100 THEN substr(description, 1, 100) || '...' ELSE description END AS reason,
+                  row_number() OVER (PARTITION BY {ST} ORDER BY created_at DESC, id) AS n
+           FROM posting),
+first AS (SELECT col_status, string_agg(n || ':' || id || ':' || company || ':' || title || ':' || score || ':Location Unspecified:' || reason, '|' ORDER BY n)
+            FILTER (WHERE n <= 25) AS jobs, count(*) AS total, max(created_at) FILTER (WHERE n = 25) AS next_at, max(id) FILTER (WHERE n = 25) AS next_id
+          FROM listed GROUP BY col_status)
+SELECT d.col_pos, d.col_id, d.col_title, CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(jobs, '') AS jobs,
+       CASE WHEN total > 25 THEN CAST(next_at AS TIMESTAMP) END AS next_at, CAST(CASE WHEN total > 25 THEN next_id END AS DOUBLE) AS next_id
+FROM board_dim d LEFT JOIN first USING (col_status)""")
+def q_board_nested(spark, sf):
+    # the cards as one text; the operator returns an array of structs
+    b = V.board_nested(B.postings(spark, sf))
+    text = F.transform("jobs", lambda c, i: F.concat_ws(":", (i + 1).cast("string"), c["id"].cast("string"), c["company"], c["title"],
+                                                       c["score"].cast("string"), c["location"], c["matchReason"]))
+    return b.select("col_pos", "col_id", "col_title", "total", F.array_join(text, "|").alias("jobs"), "next_at",
+                    F.col("next_id").cast("double").alias("next_id"))
+
+
 @register("by_status", with_ctes("posting") + f"""
 SELECT {ST} AS status, count(*) AS n FROM posting GROUP BY 1""")
 def q_by_status(spark, sf):

@@ -253,3 +253,11 @@ def empty(spark, schema: T.StructType):
 # Rejection memory: its sentence and its type.
 REJECTION_MEMORY_FORMAT = "Rejection for %s at %s: %s"
 REJECTION_MEMORY_TYPE = "rejection_learning"
+
+# The answers of the bulk operations.
+RESULT_TEXTS = {
+    "score_all": "Queued %d jobs for AI scoring. Check the Activity Log for progress.",
+    "score_none": "No unscored jobs found in your inbox.",
+    "cancel_queue": "Queue drained — %d job(s) cancelled.",
+    "scan": "Scraped %d new jobs",
+}

@@ -72,6 +72,68 @@ def test_apply_log_with_barrier(spark):
     assert "count=2" in [r.outcome for r in o.collect()]
 
 
+def by_hand(postings, apps, log):
+    """The log as a plain loop: postings by id, outcome of every row."""
+    state = {p.id: [p.status or "FETCHED", p.processing_status or "IDLE"] for p in postings}
+    out = {}
+    for a in sorted(log, key=lambda r: r.seq):
+        if a.action == "score_all":
+            hit = [s for s in state.values() if s == ["FETCHED", "IDLE"]]
+            for s in hit:
+                s[1] = "QUEUED"
+            out[a.seq] = f"count={len(hit)}"
+        elif a.action == "cancel_queue":
+            hit = [s for s in state.values() if s[1] in ("QUEUED", "PROCESSING")]
+            for s in hit:
+                s[1] = "IDLE"
+            out[a.seq] = f"count={len(hit)}"
+        elif a.job_id not in state:
+            out[a.seq] = "not_found"
+        elif a.action == "reject":
+            out[a.seq] = "blocked" if a.job_id in apps else "deleted"
+            if a.job_id not in apps:
+                del state[a.job_id]
+        elif a.action == "dispatched" and a.job_id not in apps:
+            out[a.seq] = "no_application"
+        else:
+            out[a.seq] = "ok"
+            if a.action == "analyze":
+                state[a.job_id][1] = "QUEUED"
+            elif a.action in dict(A.STATUS_OF_ACTION):
+                state[a.job_id][0] = dict(A.STATUS_OF_ACTION)[a.action]
+    return {k: tuple(v) for k, v in state.items()}, out
+
+
+def test_logs_with_commands_as_a_plain_loop(spark):
+    import random
+    for seed, share in ((1, 0.3), (2, 0.05), (3, 0.8), (4, 0.0)):
+        rng = random.Random(seed)
+        posts = posting_rows(spark, [dict(id=str(i), company="c", status=rng.choice(["FETCHED", "FETCHED", None, "SCORED", "APPLIED"]),
+                                          processing_status=rng.choice(["IDLE", "IDLE", None, "QUEUED", "PROCESSING"])) for i in range(40)])
+        rows = []
+        for _ in range(150):
+            if rng.random() < share:
+                rows.append((None, rng.choice(["score_all", "cancel_queue"]), None))
+            else:
+                job = "7" if rng.random() < 0.3 else str(rng.randrange(44))  # one posting holds a third of the log
+                rows.append((job, rng.choice(["analyze", "analyze", "approve", "ignore", "notes", "reject", "dispatched"]), "x"))
+        log, held = acts(spark, rows), ["7", "3", "11"]
+        p, o = A.apply_log(posts, apps(spark, held), log)
+        state, out = by_hand(posts.collect(), held, log.collect())
+        assert {r.seq: r.outcome for r in o.collect()} == out
+        assert {r.id: (r.status or "FETCHED", r.processing_status or "IDLE") for r in p.collect()} == state
+
+
+def test_ten_thousand_commands(spark):
+    """A fixed number of jobs, whatever the number of commands."""
+    rows = [(None, ("score_all", "cancel_queue")[i % 2], None) if i % 11 else (str(i % 3), "analyze", None) for i in range(11_000)]
+    log = acts(spark, rows)
+    p, o = A.apply_log(base(spark), apps(spark, []), log)
+    state, out = by_hand(base(spark).collect(), [], log.collect())
+    assert {r.seq: r.outcome for r in o.collect()} == out
+    assert {r.id: (r.status, r.processing_status) for r in p.collect()} == state
+
+
 def test_queue_drains_one_by_one(spark):
     rows = [dict(id=f"ref-{i}", status="FETCHED", processing_status="QUEUED", created_at=T0 + dt.timedelta(hours=i))
             for i in range(5)]

@@ -92,3 +92,25 @@ def test_score_bands(spark):
                               for i, s in enumerate([95, 80, 60, 40, 10, 900, None])])
     bands = {r.band: r.n for r in V.score_bands(df).collect()}
     assert bands == {"90-100": 1, "75-89": 1, "55-74": 1, "35-54": 1, "0-34": 1, "out_of_range": 1, "none": 1}
+
+
+def test_nested_board_pages(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [dict(id=f"{i:03d}", status=None if i % 2 else "FETCHED", title="T", company="C", description="d" * (95 + i % 10),
+                 created_at=None if i % 13 == 0 else t0 + dt.timedelta(hours=i % 7)) for i in range(60)]
+    rows += [dict(id=f"s{i}", status="SCORED", created_at=t0, match_score=i or None) for i in range(3)] + [dict(id="x", status="REJECTED")]
+    df = posting_rows(spark, rows).repartition(4)
+    b = {r.col_id: r for r in V.board_nested(df, cards=8).collect()}
+    assert [b[c].total for c in ("discovery", "scored", "applied", "interviewing")] == [60, 3, 0, 0]
+    assert b["applied"].jobs == [] and b["applied"].next_id is None and b["scored"].next_id is None
+    assert [(j.id, j.score) for j in b["scored"].jobs] == [("s0", 0), ("s1", 1), ("s2", 2)]
+    want = [r["id"] for r in sorted(rows[:60], key=lambda r: (r["created_at"] is None, -(r["created_at"] or t0).timestamp(), r["id"]))]
+    got, at, last = [j.id for j in b["discovery"].jobs], b["discovery"].next_at, b["discovery"].next_id
+    while True:
+        more = V.board_more(df, "discovery", at, last, cards=8).collect()
+        if not more:
+            break
+        got += [r.id for r in more]
+        at, last = more[-1].created_at, more[-1].id
+    assert got == want
