@@ -23,7 +23,7 @@ from ..operators import actions as A
 from ..operators import mailbox as MB
 from ..operators import normalize as N
 from ..operators import views as V
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources import feeds as FD
 from ..sources import tables as TB
 from ..sources.schema_rules import validate_postings
@@ -243,20 +243,12 @@ def state_stream(actions: DataFrame, postings: DataFrame, apps: DataFrame) -> Da
     ``apps`` are static tables (stream-static joins on the key projections
     only).  A deleted posting reports only that, and the number of actions.
     """
-    ids = postings.select(F.col("id").alias("job_id")).withColumn("job_exists", F.lit(True))
-    has = apps.select("job_id").distinct().withColumn("has_app", F.lit(True))
-    a = (actions.join(ids, "job_id", "left").join(has, "job_id", "left")
-         .select("job_id", "seq", "action", "arg",
-                 F.coalesce("job_exists", F.lit(False)).alias("job_exists"),
-                 F.coalesce("has_app", F.lit(False)).alias("has_app")))
-    act, there = F.col("action"), F.col("job_exists")
-    status = F.when(there & ((act != "dispatched") | F.col("has_app")), A._new_status(act))
-    note = F.when(there & (act == "notes"), F.coalesce(F.col("arg"), F.lit("")))
+    a = _with_effects(actions, postings.select(F.col("id").alias("job_id")), apps)
     state = a.groupBy("job_id").agg(
-        F.max_by(status, F.when(status.isNotNull(), F.col("seq"))).alias("new_status"),
-        F.coalesce(F.bool_or(there & (act == "analyze")), F.lit(False)).alias("queued"),
-        F.max_by(note, F.when(note.isNotNull(), F.col("seq"))).alias("new_notes"),
-        F.coalesce(F.bool_or(there & ~F.col("has_app") & (act == "reject")), F.lit(False)).alias("deleted"),
+        F.max_by("set_status", F.when(F.col("set_status").isNotNull(), F.col("seq"))).alias("new_status"),
+        F.bool_or("queues").alias("queued"),
+        F.max_by("set_notes", F.when(F.col("set_notes").isNotNull(), F.col("seq"))).alias("new_notes"),
+        F.bool_or("deletes").alias("deleted"),
         F.count(F.lit(1)).alias("n_actions"))
     return A.changes_of(state)
 
@@ -270,30 +262,129 @@ def stats_from_changes(postings: DataFrame, changes: DataFrame) -> DataFrame:
     return V.by_status(p)
 
 
+#: What the keyed state holds of a posting.
+LIVE = ("status string, status_seq long, queued boolean, notes string, notes_seq long, deleted boolean, n_actions long")
+CHANGED = ("job_id long, new_status string, queued boolean, new_notes string, deleted boolean, n_actions long, "
+           "label_before string, label_now string")
+
+
+def _live_processor():
+    """The fold of one posting's actions into its state; made here so that workers need no import."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Live(StatefulProcessor):
+        def init(self, handle):
+            self.state = handle.getValueState("live", LIVE)
+
+        def handleInputRows(self, key, rows, timerValues):
+            status, status_seq, queued, notes, notes_seq, deleted, n = \
+                self.state.get() if self.state.exists() else (None, -1, False, None, -1, False, 0)
+            first, there, before = None, False, None
+            for pdf in rows:  # a posting's rows come in batches, whatever their number
+                if first is None:
+                    first, there = pdf["start_status"].iloc[0], bool(pdf["job_exists"].iloc[0])
+                    before = None if deleted or not there else status or first
+                n += len(pdf)
+                for seq, new in pdf.loc[pdf["set_status"].notna(), ["seq", "set_status"]].itertuples(index=False):
+                    if seq > status_seq:
+                        status, status_seq = new, int(seq)
+                for seq, new in pdf.loc[pdf["set_notes"].notna(), ["seq", "set_notes"]].itertuples(index=False):
+                    if seq > notes_seq:
+                        notes, notes_seq = new, int(seq)
+                queued = queued or bool(pdf["queues"].any())
+                deleted = deleted or bool(pdf["deletes"].any())
+            self.state.update((status, status_seq, queued, notes, notes_seq, deleted, n))
+            now = None if deleted or not there else status or first
+            yield pd.DataFrame({
+                "job_id": [key[0]], "new_status": [None if deleted else status], "queued": [queued and not deleted],
+                "new_notes": [None if deleted else notes], "deleted": [deleted], "n_actions": [n],
+                "label_before": [before], "label_now": [now]})
+
+        def close(self):
+            pass
+
+    return Live()
+
+
+def live_changes(actions: DataFrame, postings: DataFrame, apps: DataFrame) -> DataFrame:
+    """R4 with keyed state (update mode): the changed state of each posting that a
+    micro-batch touches, as ``state_stream``, with its board status before and
+    now (null where it is not on the board).  A batch reads the state of
+    its own postings only."""
+    a = _with_effects(actions, postings.select(F.col("id").alias("job_id"), F.coalesce("status", F.lit("FETCHED")).alias("start_status")), apps)
+    return a.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_live_processor(), outputStructType=CHANGED, outputMode="Update", timeMode="None")
+
+
+def _with_effects(actions: DataFrame, postings: DataFrame, apps: DataFrame) -> DataFrame:
+    """Each action with what it sets on its posting (``set_status``, ``set_notes``, ``queues``, ``deletes``)."""
+    has = apps.select("job_id").distinct().withColumn("has_app", F.lit(True))
+    a = (actions.join(postings.withColumn("job_exists", F.lit(True)), "job_id", "left").join(has, "job_id", "left")
+         .withColumns({"job_exists": F.coalesce("job_exists", F.lit(False)), "has_app": F.coalesce("has_app", F.lit(False))}))
+    act, there = F.col("action"), F.col("job_exists")
+    return a.select(
+        "job_id", "seq", "job_exists", *(c for c in postings.columns if c != "job_id"),
+        F.when(there & ((act != "dispatched") | F.col("has_app")), A._new_status(act)).alias("set_status"),
+        F.when(there & (act == "notes"), F.coalesce(F.col("arg"), F.lit(""))).alias("set_notes"),
+        F.coalesce(there & (act == "analyze"), F.lit(False)).alias("queues"),
+        F.coalesce(there & ~F.col("has_app") & (act == "reject"), F.lit(False)).alias("deletes"))
+
+
+def board_deltas(changes: DataFrame) -> DataFrame:
+    """(status, delta) of changed postings: the old status retracted, the new one added."""
+    moved = changes.filter(~F.col("label_before").eqNullSafe(F.col("label_now")))
+    steps = F.explode(F.array(F.struct(F.col("label_before").alias("status"), F.lit(-1).alias("delta")),
+                              F.struct(F.col("label_now").alias("status"), F.lit(1).alias("delta"))))
+    return moved.select(steps.alias("s")).select("s.*").filter(F.col("status").isNotNull()) \
+        .groupBy("status").agg(F.sum("delta").alias("delta"))
+
+
 def run_state_stream(spark: SparkSession, in_dir: str, postings: DataFrame, apps: DataFrame, out_path: str,
                      checkpoint: str | None = None, trigger: str | None = "availableNow",
                      max_files: int | None = None):
-    """R4 + R5 wiring: action files -> live state -> per-batch change rows
-    (``out_path/changes``) and board counts (``out_path/stats``)."""
+    """R4 + R5 wiring: action files -> keyed live state -> per-batch change rows
+    (``out_path/changes``) and board counts (``out_path/stats``).
+
+    The counts of a batch are those of the batch before it (a row a status) plus
+    the batch's signed deltas; the posting table is counted once, before the
+    first batch, into epoch -1.  A replayed batch starts from the same counts
+    and rewrites its own partition.
+    """
+    ship_package(spark)
     r = spark.readStream.schema(ACTION_FILES)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    live = state_stream(r.parquet(in_dir), postings, apps)
-    changes_path = f"{out_path}/changes"
+    live = live_changes(r.parquet(in_dir), postings, apps)
+    changes_path, stats_path = f"{out_path}/changes", f"{out_path}/stats"
+    if TB.try_read(spark, f"{stats_path}/epoch=-1") is None:
+        write_epoch(V.by_status(postings), stats_path, -1)
+    changed_type = T._parse_datatype_string(CHANGED)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        write_epoch(df, changes_path, epoch_id)
-        allc = spark.read.parquet(changes_path).filter(F.col("epoch") <= epoch_id)
-        latest = (allc.groupBy("job_id")
-                      .agg(F.max_by(F.struct("new_status", "deleted"), "epoch").alias("c"))
-                      .select("job_id", "c.new_status", "c.deleted"))
-        write_epoch(stats_from_changes(postings, latest), f"{out_path}/stats", epoch_id)
+        write_epoch(df, changes_path, epoch_id)  # the state is run through once; the rest reads this partition
+        changed = spark.read.schema(changed_type).parquet(f"{changes_path}/epoch={epoch_id}") \
+            if TB.try_read(spark, f"{changes_path}/epoch={epoch_id}") is not None else spark.createDataFrame([], changed_type)
+        past = TB.try_read(spark, f"{stats_path}/epoch={epoch_id - 1}")
+        if past is None:  # no partition of that number: the last one there is
+            all_past = TB.read_table(spark, stats_path).filter(F.col("epoch") < epoch_id)
+            past = all_past.filter(F.col("epoch") == all_past.agg(F.max("epoch")).first()[0]).drop("epoch")
+        counts = (past.select("status", "n").unionByName(board_deltas(changed).withColumnRenamed("delta", "n"))
+                  .groupBy("status").agg(F.sum("n").alias("n")).filter("n <> 0"))
+        write_epoch(counts, stats_path, epoch_id)
 
     w = live.writeStream.outputMode("update").foreachBatch(batch) \
             .option("checkpointLocation", _ckpt(spark, "state", checkpoint))
     return _start(w, trigger)
 
 
+def live_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The keyed state of a ``run_state_stream`` as of its last batch, read from its
+    checkpoint by Spark's state data source: (job_id, status, queued, notes, deleted, n_actions)."""
+    state = spark.read.format("statestore").option("stateVarName", "live").load(checkpoint)
+    return state.select("key.job_id", *(f"value.{c}" for c in ("status", "queued", "notes", "deleted", "n_actions")))
+
+
 # ------------------------------------------------------------------ R6
 
 WEEKLY_EVENT = [("dispatched", "applied"), ("approve", "approved"), ("analyze", "queued")]
@@ -328,18 +419,44 @@ def weekly_counts(events: DataFrame, lateness: str | None = "1 day") -> DataFram
         e = e.withColumn("ts", F.col("ts").cast("timestamp"))
         if lateness:
             e = e.withWatermark("ts", lateness)
-    return (e.groupBy(F.window("ts", "7 days").alias("w"), "event")
-             .agg(F.count(F.lit(1)).alias("n"))
-             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event", "n"))
-
-
-def weekly_stream(spark: SparkSession, in_dir: str, out_path: str, lateness: str = "1 day",
-                  checkpoint: str | None = None, trigger: str | None = "availableNow"):
-    """R6 streaming: append mode emits a window once the watermark passes
-    its end; events later than ``lateness`` are dropped."""
-    src = spark.readStream.schema(ACTION_FILES).parquet(in_dir)
-    counts = weekly_counts(change_events(src), lateness)
+    return _weeks(e)
+
+
+def _weeks(events: DataFrame) -> DataFrame:
+    return (events.groupBy(F.window("ts", "7 days").alias("w"), "event")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event", "n"))
+
+
+# Landed outcomes of actions, and landed scores.
+OUTCOME_FILES = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("done_at", T.TimestampNTZType()), T.StructField("outcome", T.StringType())])
+SCORE_FILES = T.StructType([T.StructField("id", T.LongType()), T.StructField("scored_at", T.TimestampNTZType())])
+
+
+def weekly_stream(spark: SparkSession, in_dir: str, out_path: str, outcomes_dir: str, scores_dir: str,
+                  lateness: str = "1 day", answered_in: str = "1 hour", checkpoint: str | None = None,
+                  trigger: str | None = "availableNow"):
+    """R6 streaming: the counts of ``weekly_counts`` over actions that took effect and scores.
+
+    An action counts once its outcome has landed (a stream-stream join by
+    sequence number; outcomes come within ``answered_in`` of their action, so
+    either side's state is dropped after that and the lateness).  Append mode
+    emits a window once the watermark passes its end; what is later than
+    ``lateness`` is dropped.
+    """
+    def landed(schema, path, column):
+        rows = spark.readStream.schema(schema).parquet(path)
+        return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
+
+    actions = landed(ACTION_FILES, in_dir, "ts")
+    outcomes = landed(OUTCOME_FILES, outcomes_dir, "done_at").withColumnRenamed("seq", "o_seq")
+    met = actions.join(outcomes, F.expr(
+        f"seq = o_seq AND done_at >= ts AND done_at <= ts + INTERVAL {answered_in}"))
+    scores = landed(SCORE_FILES, scores_dir, "scored_at")
+    scored = scores.select(F.col("id").alias("job_id"), F.col("scored_at").alias("ts"), F.lit("scored").alias("event"))
+    counts = _weeks(change_events(met).unionByName(scored))
     w = (counts.writeStream.outputMode("append").format("parquet").option("path", out_path)
                .option("checkpointLocation", _ckpt(spark, "weekly", checkpoint)))
     return _start(w, trigger)

@@ -156,9 +156,7 @@ def test_artifact_inventory_and_progress(spark, tmp):
     open(os.path.join(tmp, "cl_1.pdf"), "wb").write(b"%PDF")
     open(os.path.join(tmp, "cl_2.pdf"), "wb").close()
     files = {os.path.basename(r.path): r.length for r in TB.list_artifacts(spark, tmp).collect()}
-    # file sources skip zero-length files: an empty file is judged from an
-    # inventory frame (see J8 tests), the listing shows non-empty files
-    assert files == {"cl_1.pdf": 4}
+    assert files == {"cl_1.pdf": 4, "cl_2.pdf": 0}   # an empty file is listed
     ev = spark.createDataFrame([("info", None), ("error", 'a"b\r\nc')], "type string, message string") \
               .withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 13:14:15'"))
     out = [json.loads(r.json) for r in TB.progress_events(ev).collect()]
@@ -166,6 +164,29 @@ def test_artifact_inventory_and_progress(spark, tmp):
     assert out[1]["message"] == 'a"b\nc'
 
 
+def test_inventory_of_nested_folders(spark, tmp):
+    from postingflow.operators import dispatch as DP
+    from conftest import posting_rows
+    base = os.path.join(tmp, "store")
+    for name, text in (("a/b/cv 1.pdf", "x"), ("a/b/c/cv_2.pdf", ""), ("z/letter.pdf", ""), ("top.pdf", "yy"),
+                       ("a/.hidden.pdf", "x"), ("_tmp/part.pdf", "x"), ("a/notes.txt", "x")):
+        os.makedirs(os.path.dirname(os.path.join(base, name)), exist_ok=True)
+        with open(os.path.join(base, name), "w") as f:
+            f.write(text)
+    found = TB.list_artifacts(spark, base, "*.pdf")
+    assert {r.path[len(base) + 1:]: r.length for r in found.collect()} == {
+        "a/b/cv 1.pdf": 1, "a/b/c/cv_2.pdf": 0, "z/letter.pdf": 0, "top.pdf": 2}
+    assert TB.list_artifacts(spark, "file://" + base, "*.pdf").count() == 4
+    assert TB.list_artifacts(spark, os.path.join(tmp, "none")).count() == 0
+    posts = posting_rows(spark, [dict(id="1"), dict(id="2")])
+    apps = spark.createDataFrame([("a1", "1", f"{base}/a/b/c/cv_2.pdf", f"file://{base}/z/letter.pdf"),
+                                  ("a2", "2", f"{base}/top.pdf", f"{base}/gone.pdf")],
+                                 "id string, job_id string, cv_path string, letter_path string") \
+        .withColumn("created_at", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    got = {r.id: (r.cv_state, r.letter_state) for r in DP.audit_artifacts(posts, apps, found).collect()}
+    assert got == {"1": ("empty_file", "empty_file"), "2": ("ok", "missing")}
+
+
 def test_read_details_keyed_by_file_name(spark, tmp):
     d = os.path.join(tmp, "details")
     os.makedirs(d)

@@ -154,18 +154,70 @@ def test_ingest_stream_quarantine_and_any_batching(spark, tmp):
 
 
 def test_weekly_stream_matches_closed_windows(spark, tmp):
-    acts = B.actions(spark, SF)
-    src = os.path.join(tmp, "acts")
-    acts.write.parquet(src)
+    posts, acts = B.postings(spark, SF, with_customer=False), B.actions(spark, SF)
+    outcomes = A.action_outcomes(posts, B.applications(spark, SF), acts)
+    span = acts.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    # scores inside the log's time, so that neither stream holds back the watermark
+    scored = posts.filter(F.col("scored_at").isNotNull()).select("id", F.lit(span.a).alias("a"), F.lit(span.b).alias("b")).select(
+        "id", (F.col("a") + (F.col("b") - F.col("a")) * (F.pmod(F.hash("id"), F.lit(1000)) / 1000)).alias("scored_at"))
+    acts.write.parquet(os.path.join(tmp, "acts"))
+    outcomes.select("seq", (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("done_at"), "outcome").write.parquet(os.path.join(tmp, "done"))
+    scored.write.parquet(os.path.join(tmp, "scores"))
     out = os.path.join(tmp, "weekly")
-    run(ST.weekly_stream(spark, src, out, lateness="1 day", checkpoint=os.path.join(tmp, "ck")))
-    got = spark.read.parquet(out)
-    batch = ST.weekly_counts(ST.change_events(acts))  # the stream sees the log only: no outcomes
-    wm = acts.agg(F.max("ts")).first()[0]
-    got_rows = sorted(tuple(r) for r in got.select("window_start", "event", "n").collect())
-    closed = batch.filter(F.col("window_end") <= F.lit(wm) - F.expr("INTERVAL 1 DAY"))
-    want = sorted(tuple(r) for r in closed.select("window_start", "event", "n").collect())
-    assert got_rows == want and len(want) > 0
+    run(ST.weekly_stream(spark, os.path.join(tmp, "acts"), out, os.path.join(tmp, "done"), os.path.join(tmp, "scores"),
+                         lateness="1 day", checkpoint=os.path.join(tmp, "ck")))
+    cols = ["window_start", "event", "n"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
+    events = ST.change_events(outcomes).unionByName(ST.scored_events(scored))
+    limit = min(span.b, scored.agg(F.max("scored_at")).first()[0])
+    closed = ST.weekly_counts(events).filter(F.col("window_end") <= F.lit(limit) - F.expr("INTERVAL 25 HOURS"))
+    want = sorted(map(tuple, closed.select(*cols).collect()))
+    assert len(want) > 0 and {r[1] for r in want} >= {"scored", "approved"}
+    assert [r for r in got if r[0] in {w[0] for w in want}] == want
+    assert sum(r.n for r in ST.weekly_counts(events).collect()) < events.count() + 1 < acts.count() + scored.count()
+
+
+def test_fifty_epochs_read_their_own_rows(spark, tmp):
+    """Live state and board counts after every one of fifty batches: as the batch
+    fold of the log so far; a batch reads as many rows at the end as at the start."""
+    import datetime as dt
+    import random
+    from conftest import posting_rows
+    rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    posts = posting_rows(spark, [dict(id=str(i), status=rng.choice(["FETCHED", None, "SCORED"])) for i in range(12)]) \
+        .withColumn("id", F.col("id").cast("long")).cache()
+    apps = spark.createDataFrame([(2,), (5,)], "job_id long")
+    kinds = ["approve", "ignore", "reject", "notes", "analyze", "dispatched"]
+    log = [(k, t0, rng.randrange(14), rng.choice(kinds), "x") for k in range(100)]
+    schema = "seq long, ts timestamp_ntz, job_id long, action string, arg string"
+    src, out, ck = (os.path.join(tmp, n) for n in ("src", "out", "ck"))
+    for e in range(50):
+        spark.createDataFrame(log[2 * e:2 * e + 2], schema).coalesce(1).write.parquet(os.path.join(src, f"p{e:03d}"))
+        os.utime(next(os.path.join(src, f"p{e:03d}", f) for f in os.listdir(os.path.join(src, f"p{e:03d}")) if f.endswith("parquet")), (e + 1, e + 1))
+    run(ST.run_state_stream(spark, src + "/*", posts, apps, out, checkpoint=ck, max_files=1))
+    stats = {}
+    for r in spark.read.parquet(out + "/stats").collect():
+        stats.setdefault(r.epoch, {})[r.status] = r.n
+    state = {p.id: p.status or "FETCHED" for p in posts.collect()}
+    gone, seen = set(), {-1: dict(_counts(state, set()))}
+    for e in range(50):
+        for _, _, job, action, _ in log[2 * e:2 * e + 2]:
+            if job in state and action == "reject" and job not in (2, 5):
+                gone.add(job)
+            elif job in state and action in dict(A.STATUS_OF_ACTION) and (action != "dispatched" or job in (2, 5)):
+                state[job] = dict(A.STATUS_OF_ACTION)[action]
+        seen[e] = _counts(state, gone)
+    assert stats == seen
+    batch = A.action_changes(posts, apps, spark.createDataFrame(log, schema))
+    live = {r.job_id: (None if r.deleted else r.status, r.deleted, r.n_actions) for r in ST.live_state(spark, ck).collect()}
+    assert live == {r.job_id: (r.new_status, r.deleted, r.n_actions) for r in batch.collect()}
+    changed = spark.read.parquet(out + "/changes").groupBy("epoch").count().collect()
+    assert max(r["count"] for r in changed) <= 2
+
+
+def _counts(state, gone):
+    from collections import Counter
+    return dict(Counter(s for j, s in state.items() if j not in gone))
 
 
 def test_queue_stream_ticks(spark, tmp):
