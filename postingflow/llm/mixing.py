@@ -21,9 +21,10 @@ without a shuffle of the texts.
 
 Edge cases: a null group value is the group ``(none)``; groups without a given
 weight have ``DEFAULT_WEIGHT``; a null text has no tokens and is taken along
-when its place comes; rows of one id share their place and are taken together;
-an empty table, or one without tokens, gives an empty result; other columns
-pass through untouched in ``row``.
+when its place comes; a row without an id is placed by its text; rows that
+share a place (repeated ids, equal texts without one) follow each other in the
+order they are read, so the budget is met with them too; an empty table, or one
+without tokens, gives an empty result; other columns pass through in ``row``.
 """
 
 from __future__ import annotations
@@ -102,7 +103,9 @@ def mix(docs: DataFrame, levels: tuple[str, ...], id: str = "doc_id", text: str
     """
     names = [f"level_{k + 1}" for k in range(len(levels))]
     words = F.size(F.array_remove(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE), ""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id).cast("string").alias("key"),
+    # A row without an id is placed by its text.
+    key = F.coalesce(F.col(id).cast("string"), F.concat(F.lit("null:"), F.xxhash64(F.col(text).cast("string")).cast("string")))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"),
                        words.cast("long").alias("n_tokens"),
                        *(F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(n) for c, n in zip(levels, names)))
     sized = written(rows.drop("row"), "mix-sizes")
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, levels: tuple[str, ...], id: str = "doc_id", text: str
         .withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
         .withColumn("left", F.col("budget") - F.col("whole") * F.col("tokens")), "mix-plan")
 
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce("key", F.lit("null"))))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), "key"))
     slice_ = F.conv(F.substring("place", 1, 3), 16, 10).cast("int")
     # Token sums of the slices of each leaf's order, and the slice where the budget ends.
     placed = sized.join(_small(plan.where("left > 0")), names).withColumn("place", place).withColumn("slice", slice_)
@@ -132,13 +135,22 @@ def mix(docs: DataFrame, levels: tuple[str, ...], id: str = "doc_id", text: str
         .select(*names, F.col("m.place").alias("last"), F.col("m.fits").alias("fits"))
     cuts = written(plan.join(last, names, "left").select(*names, "whole", "last", "fits"), "mix-cuts")
 
-    picked = rows.join(_small(cuts), names).withColumn("place", place) \
-        .withColumn("copies", F.col("whole") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)) \
-        .where("copies > 0")
-    taken = F.when((F.col("epoch") == F.col("whole")) & (F.col("place") == F.col("last")),
-                   F.least("n_tokens", "fits")).otherwise(F.col("n_tokens"))
-    return picked.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))) \
-        .select("row", *names, "n_tokens", "epoch", taken.alias("n_taken"))
+    picked = rows.join(_small(cuts), names).withColumn("place", place)
+    sure = picked.withColumn("copies", F.col("whole") + F.when(F.col("place") < F.col("last"), 1).otherwise(0)) \
+        .where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))) \
+        .select("row", *names, "n_tokens", "epoch", F.col("n_tokens").alias("n_taken"))
+    # The rows of a leaf's last place, mostly one: each takes what those before it leave.
+    edge_rows = written(picked.where(F.col("place") == F.col("last")).select(
+        "row", *names, "n_tokens", "fits", F.col("whole").alias("epoch"), F.monotonically_increasing_id().alias("n")), "mix-last")
+    part = F.shiftright("n", 33)
+    along = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = edge_rows.groupBy(*names, part.alias("part")).agg(F.sum("n_tokens").alias("t")) \
+        .withColumn("before", F.coalesce(F.sum("t").over(along), F.lit(0))).drop("t")
+    inside_part = Window.partitionBy(*names, "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("fits") - F.col("before") - F.coalesce(F.sum("n_tokens").over(inside_part), F.lit(0))
+    edged = edge_rows.withColumn("part", part).join(parts, [*names, "part"]).withColumn("left", left).where("left > 0") \
+        .select("row", *names, "n_tokens", "epoch", F.least("n_tokens", "left").alias("n_taken"))
+    return sure.unionByName(edged)
 
 
 def _sql_weight(level: int, column: str) -> str:

@@ -250,3 +250,26 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+@pytest.mark.parametrize("seed", [17, 4, 5, 6])
+def test_mixture_budget_holds_without_ids(spark, seed):
+    """A third of all ids null, others repeated, equal rows: every leaf takes its budget."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(180):
+        key = None if k % 3 == 0 else k // 4 if k % 3 == 1 else 1000 + k
+        text = " ".join(["w"] * rng.randrange(1, 30)) if k % 5 else "same text for many rows"
+        rows.append((key, text, "en", f"src{k % 2}"))
+    rows += [(None, "same text for many rows", "en", "src0")] * 60 + [(None, None, "en", "src1")] * 20
+    docs = fixtures.frame(spark, rows).repartition(5)
+    got = mixing.mix(docs.select("doc_id", "text", "source"), levels=("source",), weights=({"src0": 3, "src1": 1},), seed=seed)
+    taken = {r.level_1: r.n for r in got.groupBy("level_1").agg(F.sum("n_taken").alias("n")).collect()}
+    tokens = {s: sum(len((t or "").split()) for _, t, _, x in rows if x == s) for s in ("src0", "src1")}
+    given = sum(tokens.values()) * mixing.PERCENT // 100
+    wide = {s: 2 * n for s, n in tokens.items()}
+    want = {"src0": min(wide["src0"], given * 3 // 4), "src1": given - given * 3 // 4 if wide["src1"] > given // 4 else wide["src1"]}
+    if wide["src0"] < given * 3 / 4:
+        want = {"src0": wide["src0"], "src1": min(wide["src1"], given - wide["src0"])}
+    assert abs(taken["src0"] - want["src0"]) <= 1 and abs(taken["src1"] - want["src1"]) <= 1
+    assert all(r.n_taken <= r.n_tokens for r in got.collect())
