@@ -273,3 +273,39 @@ def test_mixture_budget_holds_without_ids(spark, seed):
         want = {"src0": wide["src0"], "src1": min(wide["src1"], given - wide["src0"])}
     assert abs(taken["src0"] - want["src0"]) <= 1 and abs(taken["src1"] - want["src1"]) <= 1
     assert all(r.n_taken <= r.n_tokens for r in got.collect())
+
+
+@pytest.mark.parametrize("body, text", [
+    ("<h1>T x</h1><p>one two three four</p><p>five six</p>", "T x one two three four five six"),
+    ('<div class="post"><h1>Hello world title</h1><p>' + "w " * 40 + "</p><p>short end.</p></div>",
+     "Hello world title " + "w " * 40 + "short end."),
+    ("<div><p>" + "w " * 50 + "</p><h2>Next part</h2><p>" + "v " * 45 + "</p></div>", "w " * 50 + "Next part " + "v " * 45),
+    ("<div><a>Home</a></div><div>or</div><div><a>About us</a></div><div><p>" + "w " * 60 + "</p></div>", "w " * 60)])
+def test_html_short_blocks_by_their_neighbours(body, text):
+    assert html_extract.main_text(f"<html><body>{body}</body></html>", html_extract.train()) == text.strip()
+
+
+def test_the_tree_looks_at_neighbours():
+    def used(tree):
+        return set() if isinstance(tree, bool) else {html_extract.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+    assert {"words_before", "link_density_before", "link_density_after"} <= used(html_extract.train())
+
+
+@pytest.mark.parametrize("unit, last", [("<a ", ""), ("<a ", '"'), ("<a", ' "x>'), ('<a "', ">"), ("<button>", ""), ("<", ""),
+                                        ("<!-- ", ""), ("<a '\"", ">"), ("<div>", "</p>" * 200_000)])
+def test_html_of_any_markup_in_linear_time(unit, last):
+    import time
+    page = unit * (600_000 // len(unit)) + last
+    start = time.perf_counter()
+    html_extract.text_blocks(page)
+    assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><p title="a>b">one <b class=\'x>y\'>two</b></p></article>', "one two"),
+    ("<article>a < b <i>c</i> <3</article>", "a < b c <3"),
+    ("<article>x <b un'closed>y</article>", "x <b un'closed>y"),
+    ("<article>x<!-- <p> -->y<?php z ?>w</article>", "xyw"),
+    ("<article>t<script>if (a<b) {}</script>u<br/>v</article>", "tu v")])
+def test_html_tags(page, text):
+    assert html_extract.main_text(page, html_extract.train()) == text
