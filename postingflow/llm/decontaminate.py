@@ -4,8 +4,9 @@ Patterns are the ``size``-word windows of the benchmark items (an item of
 fewer words is one pattern).  Patterns of one length share a block shift
 table: the block is the last two words under the window; its shift says how
 far the window can move before any pattern could end there, so most positions
-are never looked at.  A block with shift 0 selects the patterns of its suffix
-bucket, and a direct comparison of the words' bytes confirms an occurrence.
+are never looked at.  A block with shift 0 selects its suffix bucket, the hash
+of the window the bucket's few patterns that can be it (many patterns may end
+alike), and a direct comparison of the words' bytes confirms an occurrence.
 All documents of a block move their windows in step, as array operations.
 
 The benchmark is read in shards whose bytes are summed first, so that what is
@@ -34,6 +35,7 @@ from . import textblocks as tb
 WINDOW = 10
 SHARD_BYTES = 8 << 20
 TABLE_BITS = 20
+_WHOLE = 0xC2B2AE35
 HITS = ("n_words long, spans array<struct<start:int,end:int>>, items array<string>")
 
 
@@ -64,9 +66,10 @@ class Patterns:
             shift = np.full(1 << TABLE_BITS, width, np.uint8 if width < 256 else np.int32)
             for k in range(width):  # later blocks give the smaller shift
                 shift[_slot(ends[:, k])] = width - 1 - k
-            buckets = defaultdict(list)
-            for key, words, ids in zip(ends[:, -1].tolist(), found, found.values()):
-                buckets[key].append((words, sorted(ids)))
+            whole = tb.rolling(hashes.reshape(-1), m, _WHOLE)[::m]
+            buckets = defaultdict(lambda: defaultdict(list))
+            for key, own, words, ids in zip(ends[:, -1].tolist(), whole.tolist(), found, found.values()):
+                buckets[key][own].append((words, sorted(ids)))
             self.groups.append((m, block, shift, dict(buckets), np.sort(np.unique(ends[:, -1]))))
 
 
@@ -98,6 +101,7 @@ def search(patterns: Patterns, raw: np.ndarray, starts: np.ndarray, ends: np.nda
         if len(words) < m:
             continue
         blocks = _block_hashes(words, block)
+        whole = tb.rolling(words, m, _WHOLE)
         slots = _slot(blocks)
         # Strips [position of the window's last block, last such position + 1).
         counts = np.maximum(0, np.diff(first) - m + 1)
@@ -114,7 +118,7 @@ def search(patterns: Patterns, raw: np.ndarray, starts: np.ndarray, ends: np.nda
                 sure = suffixes[np.minimum(near, len(suffixes) - 1)] == blocks[hit]
                 for p in hit[sure].tolist():
                     a = p - (m - block)
-                    for pattern, ids in buckets[int(blocks[p])]:
+                    for pattern, ids in buckets[int(blocks[p])].get(int(whole[a]), ()):
                         if all(raw[starts[a + k]:ends[a + k]].tobytes() == w
                                for k, w in enumerate(pattern)):
                             yield a, a + m, ids
@@ -156,7 +160,7 @@ def _scan(shard, carried: list[pa.Field]):
 def _shards(bench: DataFrame, item: str, text: str) -> list:
     """The benchmark as broadcast lists of (item id, text), each of bounded bytes."""
     spark = bench.sparkSession
-    rows = bench.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+    rows = bench.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // SHARD_BYTES))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))

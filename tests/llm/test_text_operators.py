@@ -269,3 +269,23 @@ def test_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
     assert queries.QUERIES[name](spark, folder).collect() == []
+
+
+def test_many_items_with_one_ending():
+    """A suffix bucket with thousands of patterns costs no more than one with few."""
+    import time
+
+    import numpy as np
+    rng = random.Random(1)
+    took = []
+    text = " ".join(" ".join(rng.choice(string.ascii_lowercase) * 3 for _ in range(8)) + " of the" for _ in range(3000)).encode()
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends, first = textblocks.word_spans(raw, np.array([0, len(raw)]), textblocks.LOWER_ALNUM)
+    words = textblocks.word_hashes(raw, starts, ends)
+    for n in (500, 4000):
+        items = [(str(k), " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(8)) + " of the") for k in range(n)]
+        patterns = decontaminate.Patterns(items)
+        start = time.perf_counter()
+        assert list(decontaminate.search(patterns, raw, starts, ends, first, words)) == []
+        took.append(time.perf_counter() - start)
+    assert took[1] < 3 * took[0] + 0.2
