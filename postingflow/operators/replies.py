@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import cut_lineage
 from ..functions.json_reply import append_note, classify_failure
 from ..functions.text import cut, letter_file_name, ts_lit
 
@@ -223,17 +224,22 @@ def tokens(text) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda x: F.length(x) >= 3))
 
 
+#: CV terms up to this number are sent to the postings.
+SENT_TERMS = 200_000
+
+
 def overlap_score(postings: DataFrame, cv_terms: DataFrame, text_col: str = "description",
-                  key: str = "id") -> DataFrame:
+                  key: str = "id", sent_terms: int = SENT_TERMS) -> DataFrame:
     """Share (0-100, floor) of a posting's distinct terms found in the CV.
 
-    Each text is tokenised once; its distinct terms are exploded and
-    left-joined with the CV term set (a join, not a broadcast of an
-    unbounded set; AQE broadcasts it when it is small), then counted per
-    posting in one aggregate.
+    Each text is tokenised once.  The CV's terms are counted first: a set of
+    checked size is broadcast, so a posting's terms are looked up where they
+    are and only its two counts are shuffled; a larger one is joined by term.
     """
     terms = postings.select(key, F.explode_outer(tokens(text_col)).alias("term"))
-    known = cv_terms.select("term").distinct().withColumn("_hit", F.lit(1))
+    known = cut_lineage(cv_terms.select("term").distinct()).withColumn("_hit", F.lit(1))
+    if known.limit(sent_terms + 1).count() <= sent_terms:
+        known = F.broadcast(known)
     per = (terms.join(known, "term", "left")
                 .groupBy(key).agg(F.count("term").alias("n_terms"), F.count("_hit").alias("n_hits")))
     return per.select(key, F.col("n_terms").cast("int").alias("n_terms"), F.col("n_hits").cast("long").alias("n_hits"),

@@ -48,30 +48,130 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
 
 # ------------------------------------------------------------------ R1
 
+LIVE_PAGE = "page long, file string, records string"
+
+
+def _feed_processor(first_page: int):
+    """The pages of one feed run in order; made here so that workers need no import."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Feed(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.place = handle.getValueState("place", "next long, end long")  # end: the empty page, -1 if none yet
+            self.held = handle.getMapState("held", "page long", "file string, records string")
+
+        def _release(self, at, end, over_gaps):
+            """Pages that can go out, and the place reached."""
+            out, pages = [], sorted(k[0] for k in self.held.keys())
+            for page in pages:
+                if end >= 0 and page > end:
+                    self.held.removeKey((page,))
+                    continue
+                if page > at and not over_gaps:
+                    break
+                file, records = self.held.getValue((page,))
+                self.held.removeKey((page,))
+                at = page + 1
+                if records is None:
+                    end = page
+                else:
+                    out.append((page, file, records))
+            return out, at, end
+
+        def _wait(self, now):
+            """One timer while pages are held: a page that has not come by then is lost."""
+            timers = list(self.handle.listTimers())
+            if self.held.exists() and not timers:
+                self.handle.registerTimer(now)
+            elif not self.held.exists():
+                for t in timers:
+                    self.handle.deleteTimer(t)
+
+        def handleInputRows(self, key, rows, timerValues):
+            at, end = self.place.get() if self.place.exists() else (first_page, -1)
+            out, now = [], 0
+            for pdf in rows:
+                now = int(pdf["landed"].iloc[0].timestamp() * 1000)
+                for page, file, records in pdf[["page", "file", "records"]].itertuples(index=False):
+                    page, records = int(page), None if pd.isna(records) else records
+                    if page < at or page < end:  # landed again, or before the first page
+                        if records is not None and (end < 0 or page < end):
+                            out.append((page, file, records))
+                    elif end < 0:
+                        self.held.updateValue((page,), (file, records))
+            more, at, end = self._release(at, end, False)
+            self.place.update((at, end))
+            self._wait(now)
+            yield pd.DataFrame(out + more, columns=["page", "file", "records"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            at, end = self.place.get()
+            out, at, end = self._release(at, end, True)
+            self.place.update((at, end))
+            yield pd.DataFrame(out, columns=["page", "file", "records"])
+
+        def close(self):
+            pass
+
+    return Feed()
+
+
+def pages_in_order(pages: DataFrame, first_page: int = 1, lost_after: int = 3600) -> DataFrame:
+    """S1's end-of-feed rule in a stream: of each run (folder) the pages up to its first
+    empty one, whatever the order in which they land.
+
+    A run's state is the next page's number and the pages that came before
+    their turn.  The time is that of the micro-batches: once one starts
+    ``lost_after`` seconds after a page was held back, what is missing before
+    it counts as lost, and the run goes on without it.  Pages without a
+    number go through as they come.
+    """
+    empty = F.coalesce(F.size("stellenangebote"), F.lit(-1)) <= 0
+    rows = pages.select(F.regexp_extract("_file", "^(.*)/[^/]*$", 1).alias("run"), F.coalesce("page", F.lit(0)).alias("page"), F.col("_file").alias("file"),
+                        F.when(~empty, F.to_json("stellenangebote")).alias("records"),
+                        F.current_timestamp().alias("landed")).withWatermark("landed", f"{lost_after} seconds")
+    live = rows.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=_feed_processor(first_page), outputStructType=LIVE_PAGE,
+        outputMode="Append", timeMode="EventTime")
+    kind = S.SEARCH_PAGE["stellenangebote"].dataType
+    return live.select("page", F.from_json("records", kind).alias("stellenangebote"), F.col("file").alias("_file"))
+
+
 def ingest_stream(spark: SparkSession, in_dir: str, table_path: str, now: str,
                   detail: DataFrame | None = None, checkpoint: str | None = None,
-                  trigger: str | None = "availableNow", max_files: int | None = None):
-    """Landed search pages -> explode -> ingest rules -> validate -> dedup
-    -> append; invalid postings go to ``<table>_quarantine`` with the reason.
+                  trigger: str | None = "availableNow", max_files: int | None = None,
+                  first_page: int = 1, lost_after: int = 3600):
+    """Landed search pages -> pages in order up to the end of their feed ->
+    explode -> ingest rules -> validate -> dedup -> append; invalid postings go
+    to ``<table>_quarantine`` with the reason.
 
     Every micro-batch appends only unseen reference keys (S4), so replays
     and overlapping feeds add nothing.  ``max_files`` bounds a micro-batch and
-    changes nothing in the result: a landed page is a page that the client
-    fetched, so the end-of-feed rule of S1 (which would depend on what came in
-    which batch) has no part here.
+    changes nothing in the result: which pages belong to a feed is decided by
+    keyed state (``pages_in_order``), not by what came in which batch.
     """
+    ship_package(spark)
     r = spark.readStream.schema(S.SEARCH_PAGE).option("multiLine", True)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     src = r.json(in_dir).select(FD.page_number(), "stellenangebote", F.col("_metadata.file_path").alias("_file"))
+    live = pages_in_order(src, first_page, lost_after)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        posts = N.normalize_ingest(FD.explode_records(df), detail, now)
+        # the state is run through once: the batch's pages are read back from their partition
+        pages_path = f"{table_path}_pages"
+        write_epoch(df, pages_path, epoch_id)
+        here = f"{pages_path}/epoch={epoch_id}"
+        if TB.try_read(spark, here) is None:
+            return
+        posts = N.normalize_ingest(FD.explode_records(spark.read.schema(df.schema).parquet(here)), detail, now)
         ok, bad = validate_postings(posts)
         write_epoch(bad, f"{table_path}_quarantine", epoch_id)
         TB.append_new(ok, table_path)
 
-    w = src.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, "ingest", checkpoint))
+    w = live.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", _ckpt(spark, "ingest", checkpoint))
     return _start(w, trigger)
 
 

@@ -136,21 +136,48 @@ def test_state_stream_does_not_depend_on_order_or_batches(spark, tmp):
 
 
 def test_ingest_stream_quarantine_and_any_batching(spark, tmp):
-    pages = [{"stellenangebote": [{"refnr": "a", "titel": "T", "arbeitgeber": "C"}]},
-             {"stellenangebote": []},
-             {"stellenangebote": [{"refnr": "b", "titel": "x" * 3000, "arbeitgeber": "C"}, {"refnr": "c", "titel": "T"}]}]
-    src = os.path.join(tmp, "pages")
-    os.makedirs(src)
-    for k, page in enumerate(pages):
-        json.dump(page, open(os.path.join(src, f"p{k}.json"), "w"))
+    """Any order of landing and any split into batches: the rows of a scan of the
+    landed run, up to its first empty page."""
+    from postingflow.operators import normalize as N
+    from postingflow.sources import feeds as FD
+    pages = [[{"refnr": "a", "titel": "T", "arbeitgeber": "C"}],
+             [{"refnr": "b", "titel": "x" * 3000, "arbeitgeber": "C"}, {"refnr": "c", "titel": "T"}],
+             [{"refnr": "d", "titel": "T"}], [], [{"refnr": "e", "titel": "late"}], None]
     tables = []
-    for name, files in (("all", None), ("one", 1)):
-        out = os.path.join(tmp, name)
-        run(ST.ingest_stream(spark, src, out, NOW, checkpoint=out + "-ck", max_files=files))
+    for name, files, order in (("all", None, range(6)), ("one", 1, range(6)), ("back", 1, (4, 5, 2, 3, 1, 0)), ("two", 2, (3, 0, 4, 1, 5, 2))):
+        src, out = os.path.join(tmp, name, "run"), os.path.join(tmp, name + "-t")
+        os.makedirs(src)
+        for when, k in enumerate(order):
+            path = os.path.join(src, f"p{k + 1}.json")
+            json.dump({"stellenangebote": pages[k]}, open(path, "w"))
+            os.utime(path, (1000 + when, 1000 + when))
+        run(ST.ingest_stream(spark, os.path.join(tmp, name) + "/*", out, NOW, checkpoint=out + "-ck", max_files=files))
         tables.append(table_rows(spark, out))
         bad = spark.read.parquet(out + "_quarantine").collect()
         assert [(r.reference_id, r.reason) for r in bad] == [("b", "title too long")]
-    assert tables[0] == tables[1] == [("a", "T"), ("c", "T")]
+    landed = N.normalize_ingest(FD.read_search_pages(spark, os.path.join(tmp, "all", "run")), None, NOW)
+    assert {r.reference_id for r in landed.collect()} == {"a", "b", "c", "d"}
+    assert tables == [[("a", "T"), ("c", "T"), ("d", "T")]] * 4
+
+
+def test_a_lost_page_holds_its_run_for_a_time(spark, tmp):
+    src, out = os.path.join(tmp, "in", "run"), os.path.join(tmp, "t")
+    os.makedirs(src)
+    def land(k, recs):
+        json.dump({"page": k, "stellenangebote": recs}, open(os.path.join(src, f"p{k}.json"), "w"))
+    def go():
+        run(ST.ingest_stream(spark, os.path.join(tmp, "in") + "/*", out, NOW, checkpoint=out + "-ck", lost_after=1))
+    land(1, [{"refnr": "a", "titel": "T"}])
+    land(3, [{"refnr": "c", "titel": "T"}])
+    go()
+    assert table_rows(spark, out) == [("a", "T")]   # page 2 may still come
+    import time
+    time.sleep(1.5)
+    land(4, [{"refnr": "d", "titel": "T"}])
+    go()
+    land(5, [])
+    go()
+    assert table_rows(spark, out) == [("a", "T"), ("c", "T"), ("d", "T")]
 
 
 def test_weekly_stream_matches_closed_windows(spark, tmp):
