@@ -16,17 +16,23 @@ def queue_candidates(postings: DataFrame) -> DataFrame:
                            & (F.col("processing_status") == "QUEUED"))
 
 
+#: Claimed ids that are broadcast.
+SENT_CLAIMS = 100_000
+
+
 def claim(postings: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
     """T1 + A7 pickup: the ``n`` oldest FETCHED+QUEUED postings become
     PROCESSING.  Returns (claimed rows, postings').
 
     orderBy+limit plans as TakeOrderedAndProject (per-partition top-n, then
-    a merge of n x partitions rows); the claimed keys are then applied with
-    a broadcast of at most ``n`` ids.
+    a merge of n x partitions rows); up to ``SENT_CLAIMS`` claimed keys
+    are then broadcast, more are joined as Spark decides.
     """
     claimed = (queue_candidates(postings).orderBy(*QUEUE_ORDER).limit(n)
                .withColumn("processing_status", F.lit("PROCESSING")))
-    ids = F.broadcast(claimed.select(F.col("id").alias("_cid"), F.lit(True).alias("_claimed")))
+    ids = claimed.select(F.col("id").alias("_cid"), F.lit(True).alias("_claimed"))
+    if n <= SENT_CLAIMS:
+        ids = F.broadcast(ids)
     updated = (postings.join(ids, F.col("id") == F.col("_cid"), "left")
                .withColumn("processing_status",
                            F.when(F.col("_claimed"), F.lit("PROCESSING")).otherwise(F.col("processing_status")))
