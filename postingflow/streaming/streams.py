@@ -27,6 +27,7 @@ from ..session import scratch_path, ship_package
 from ..sources import feeds as FD
 from ..sources import tables as TB
 from ..sources.schema_rules import validate_postings
+from . import runs as R
 
 
 def _ckpt(spark: SparkSession, name: str, given: str | None) -> str:
@@ -235,48 +236,90 @@ REPLY_FILES = T.StructType([T.StructField("id", T.StringType()), T.StructField("
                             T.StructField("error", T.StringType())])
 
 
-def _has_epoch(spark: SparkSession, path: str, epoch_id: int) -> bool:
-    """An epoch without rows writes no partition."""
-    table = TB.try_read(spark, path)
-    return table is not None and not table.filter(F.col("epoch") == int(epoch_id)).isEmpty()
+def open_queue(spark: SparkSession, out_path: str, epoch_id: int, schema: T.StructType) -> DataFrame:
+    """The queue entries of a ``queue_stream`` that are unclaimed after a batch."""
+    from ..operators import queueing as Q
+    ledger = R.read_ledger(spark, f"{out_path}/queue_ledger", epoch_id)
+    return R.open_rows(R.read_runs(spark, f"{out_path}/queued", [r["run"] for r in ledger], schema), ledger, Q.QUEUE_ORDER)
+
+
+def _claim_open(spark: SparkSession, arrived: DataFrame, out_path: str, epoch_id: int, n: int, max_runs: int) -> DataFrame:
+    """Take in a batch's queue entries, claim the ``n`` oldest open ones and note
+    the place reached in each run; returns the claimed rows, PROCESSING."""
+    from ..operators import queueing as Q
+    order, queued, ledger_path = Q.QUEUE_ORDER, f"{out_path}/queued", f"{out_path}/queue_ledger"
+    schema, own = arrived.schema, 2 * epoch_id
+    ledger = [r.asDict() for r in R.read_ledger(spark, ledger_path, epoch_id - 1)]
+    R.write_run(arrived, queued, own, order)
+    ledger += [{"run": own, "used": False, "at": None, "last": r["last"]}
+               for r in R.last_key(R.read_runs(spark, queued, [own], schema), order).collect()]
+    if len(ledger) > max_runs:
+        left = R.open_rows(R.read_runs(spark, queued, [r["run"] for r in ledger], schema), ledger, order).drop("run")
+        R.write_run(left, queued, own + 1, order)
+        ledger = [{"run": own + 1, "used": False, "at": None, "last": r["last"]}
+                  for r in R.last_key(R.read_runs(spark, queued, [own + 1], schema), order).collect()]
+    entries = R.open_rows(R.read_runs(spark, queued, [r["run"] for r in ledger], schema), ledger, order)
+    # The keys alone are ordered; the n claims then fetch their rows, one entry a posting.
+    R.write_run(entries.select("run", *order).orderBy(*order, "run").limit(n).withColumnRenamed("run", "of"), f"{out_path}/claims", own)
+    claims = spark.read.schema(T.StructType([schema[c] for c in order] + [T.StructField("of", T.LongType())])) \
+        .parquet(f"{out_path}/claims/run={own}").withColumnRenamed("of", "run")
+    reached = {r["run"]: r["last"] for r in R.last_key(claims, order).collect()}
+    after = [{**r, "used": True, "at": reached[r["run"]]} if r["run"] in reached else r for r in ledger]
+    R.write_ledger(spark, ledger_path, epoch_id, [(r["run"], r["used"], r["at"], r["last"]) for r in after
+                                                  if not r["used"] or r["at"] != r["last"]])
+    # Entries up to the place reached in each run are the claims: literal bounds again, before the join.
+    here = [r for r in after if r["run"] in reached]
+    beyond = F.lit(False)
+    for r in here:
+        beyond = beyond | R.after(r, entries, order)
+    rows = entries.filter(F.col("run").isin([r["run"] for r in here]) & ~F.coalesce(beyond, F.lit(False)))
+    return rows.drop("run").dropDuplicates(["id"]).withColumn("processing_status", F.lit("PROCESSING"))
 
 
 def queue_stream(spark: SparkSession, tick_dir: str, postings_path: str, out_path: str, scorer, now: str,
                  n: int = 1, checkpoint: str | None = None, trigger: str | None = "3 seconds",
                  max_files: int | None = 1, cv: DataFrame | None = None, fallback_cv: str = "",
-                 cv_path: str | None = None):
+                 cv_path: str | None = None, max_runs: int = R.MAX_RUNS):
     """R2: every trigger claim ``n`` postings, score, apply, release.
 
-    Driven by a stream of landed tick files (one micro-batch per trigger).
-    The posting state is the base table plus a change log: each batch
-    writes only the rows it changed to ``out_path/postings/epoch=<id>``, and
-    the next batch reads the base with the latest changes applied, so a
-    posting claimed once is not claimed again.  The claims are spread over the
-    cluster, each is scored once: the batch's raw replies are written to
-    ``out_path/replies`` first, and everything else is derived from that table.
+    Two streams meet: landed tick files (a tick is a line; a batch with a tick
+    claims) and the files of the posting table.  A posting that lands as
+    FETCHED and QUEUED is one entry of the queue; one that lands again is queued
+    again.  Postings without an id cannot be claimed.
+
+    The entries are kept as sorted runs (``runs``) with one place a run, since
+    claims leave a run from its oldest end: a batch reads the files that are
+    new, the keys of entries still open, and the ``n`` rows it claims,
+    whatever the number of past batches.  Changed rows go to
+    ``out_path/postings/epoch=<id>``.  The claims are spread over the cluster, each
+    is scored once: the batch's raw replies are written to ``out_path/replies``
+    first, and everything else is derived from that table.
     """
     from ..operators import queueing as Q
     from ..operators import replies as RP
+    ship_package(spark)
     r = spark.readStream.format("text")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    ticks = r.load(tick_dir)
-    changes_path = f"{out_path}/postings"
+    schema = TB.read_table(spark, postings_path).schema
+    landed = spark.readStream.schema(schema).parquet(postings_path).withColumn("_tick", F.lit(False))
+    both = landed.unionByName(r.load(tick_dir).select(F.lit(True).alias("_tick")), allowMissingColumns=True)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        cur = current_postings(spark, postings_path, changes_path, epoch_id)
-        claimed, working = Q.claim(cur, n)
+        claims = n if not df.filter("_tick").isEmpty() else 0
+        arrived = Q.queue_candidates(df.filter(~F.col("_tick") & F.col("id").isNotNull())).select(*schema.names).dropDuplicates(["id"])
+        claimed = _claim_open(spark, arrived, out_path, epoch_id, claims, max_runs)
         prompts = claimed_prompts(claimed, cv, fallback_cv).repartition(min(n, spark.sparkContext.defaultParallelism))
-        write_epoch(RP.score_with(prompts, scorer).withColumn("id", F.col("id").cast("string")), f"{out_path}/replies", epoch_id)
-        written = spark.read.schema(REPLY_FILES).parquet(f"{out_path}/replies/epoch={epoch_id}") \
-            if _has_epoch(spark, f"{out_path}/replies", epoch_id) else spark.createDataFrame([], REPLY_FILES)
-        replies = written.withColumn("id", F.col("id").cast(cur.schema["id"].dataType))
-        posts, apps, events = apply_claimed(working, claimed, replies, now, cv_path)
-        write_epoch(posts.join(claimed.select("id"), "id", "left_semi"), changes_path, epoch_id)
+        RP.score_with(prompts, scorer).withColumn("id", F.col("id").cast("string")) \
+            .write.mode("overwrite").parquet(f"{out_path}/replies/epoch={epoch_id}")
+        replies = spark.read.schema(REPLY_FILES).parquet(f"{out_path}/replies/epoch={epoch_id}") \
+            .withColumn("id", F.col("id").cast(schema["id"].dataType))
+        posts, apps, events = apply_claimed(claimed, claimed, replies, now, cv_path)
+        write_epoch(posts, f"{out_path}/postings", epoch_id)
         write_epoch(apps, f"{out_path}/applications", epoch_id)
         write_epoch(TB.progress_events(events, keep=("id",)), f"{out_path}/progress", epoch_id)
 
-    w = ticks.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, "queue", checkpoint))
+    w = both.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, "queue", checkpoint))
     return _start(w, trigger)
 
 
@@ -284,46 +327,61 @@ def queue_stream(spark: SparkSession, tick_dir: str, postings_path: str, out_pat
 
 def mail_stream(spark: SparkSession, in_dir: str, postings: DataFrame, out_path: str,
                 checkpoint: str | None = None, trigger: str | None = "availableNow",
-                max_files: int | None = None):
+                max_files: int | None = None, max_runs: int = R.MAX_RUNS):
     """New mail plus the mail still pending from earlier batches is
     matched against the postings (J5) and classified (G1).
 
-    All mail seen so far is kept in ``out_path/mail``, outcomes in
-    ``out_path/outcomes``; what is pending is the difference of the two, so
-    nothing resolved comes back and a replayed batch rewrites only its own
-    partition.  ``postings`` is read anew in every batch, with the outcomes of
-    earlier batches applied (A12).  The checkpoint replaces the SEEN flag.
+    A batch reads its own mail, the mail its predecessor left pending
+    (``out_path/pending``) and the ids of postings that mail has rejected
+    (``out_path/closed``: runs, merged to one row a posting), never the mail or
+    the outcomes of past batches.  Rejection is the only outcome that takes a
+    posting out of reach.  Outcomes go to ``out_path/outcomes/epoch=<id>``.
+    ``postings`` is read anew in every batch.  The checkpoint replaces the SEEN
+    flag; a replayed batch rewrites only its own folders.
     """
     r = spark.readStream.schema(S.MESSAGE)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     src = r.parquet(in_dir)
-    mail_path, outcomes_path = f"{out_path}/mail", f"{out_path}/outcomes"
+    closed_path, ledger_path = f"{out_path}/closed", f"{out_path}/closed_ledger"
+    closed_type = T.StructType([T.StructField("id", postings.schema["id"].dataType)])
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        write_epoch(df, mail_path, epoch_id)
-        seen = TB.try_read(spark, mail_path)
-        if seen is None:
-            return
-        seen = seen.filter(F.col("epoch") <= epoch_id).drop("epoch")
-        done = TB.try_read(spark, outcomes_path)
-        current = postings
-        if done is not None:
-            done = done.filter(F.col("epoch") < epoch_id)
-            seen = seen.join(done.select("message_id"), "message_id", "left_anti")
-            current = MB.apply_mail_outcomes(postings, done)
-        out = MB.classify_messages(seen, current)
-        write_epoch(out.filter(F.col("outcome") != "pending"), outcomes_path, epoch_id)
+        own = 2 * epoch_id
+        runs = [r["run"] for r in R.read_ledger(spark, ledger_path, epoch_id - 1)]
+        before = _pending(spark, out_path, epoch_id - 1)
+        df.select(*S.MESSAGE.names).write.mode("overwrite").parquet(f"{out_path}/mail/epoch={epoch_id}")
+        waiting = spark.read.schema(S.MESSAGE).parquet(f"{out_path}/mail/epoch={epoch_id}")
+        if before is not None:
+            waiting = before.unionByName(waiting.join(before.select("message_id"), "message_id", "left_anti"))
+        if len(runs) > max_runs:
+            R.write_run(R.read_runs(spark, closed_path, runs, closed_type).select("id").distinct(), closed_path, own + 1)
+            runs = [own + 1]
+        closed = R.read_runs(spark, closed_path, runs, closed_type).select("id").distinct()
+        out = MB.classify_messages(waiting, postings.join(closed, "id", "left_anti"))
+        # written whole before the parts are taken from it: the match runs once
+        out.write.mode("overwrite").parquet(f"{out_path}/matched/epoch={epoch_id}")
+        out = spark.read.schema(out.schema).parquet(f"{out_path}/matched/epoch={epoch_id}")
+        settled = out.filter(F.col("outcome") != "pending")
+        write_epoch(settled, f"{out_path}/outcomes", epoch_id)
+        R.write_run(settled.filter(F.col("outcome") == "rejected").select(F.col("posting_id").alias("id")).distinct(), closed_path, own)
+        MB.pending_mail(waiting, out).write.mode("overwrite").parquet(f"{out_path}/pending/epoch={epoch_id}")
+        R.write_ledger(spark, ledger_path, epoch_id, [(k, False, None, None) for k in [*runs, own]])
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", _ckpt(spark, "mail", checkpoint))
     return _start(w, trigger)
 
 
+def _pending(spark: SparkSession, out_path: str, epoch_id: int) -> DataFrame | None:
+    if epoch_id < 0:
+        return None
+    return spark.read.schema(S.MESSAGE).parquet(f"{out_path}/pending/epoch={epoch_id}")
+
+
 def pending_of(spark: SparkSession, out_path: str) -> DataFrame:
     """Mail of a ``mail_stream`` that no posting has matched yet."""
-    mail = spark.read.parquet(f"{out_path}/mail").drop("epoch")
-    done = TB.try_read(spark, f"{out_path}/outcomes")
-    return mail if done is None else mail.join(done.select("message_id"), "message_id", "left_anti")
+    found = _pending(spark, out_path, R.last_epoch(spark, f"{out_path}/closed_ledger"))
+    return spark.createDataFrame([], S.MESSAGE) if found is None else found
 
 
 # ------------------------------------------------------------------ R4 / R5

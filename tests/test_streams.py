@@ -279,6 +279,89 @@ def test_queue_stream_ticks(spark, tmp):
     assert "my cv" in open(os.path.join(calls, os.listdir(calls)[0])).read()
 
 
+def _queued(spark, rows):
+    import datetime as dt
+    from conftest import posting_rows
+    t0 = dt.datetime(2024, 1, 1)
+    return posting_rows(spark, [dict(id=i, status="FETCHED", processing_status="QUEUED", title=f"T{i}", company="c", description="d",
+                                     created_at=None if h is None else t0 + dt.timedelta(hours=h)) for i, h in rows])
+
+
+def test_queue_stream_takes_late_postings_in_order(spark, tmp):
+    import pandas as pd
+    ppath, ticks, out, ck = (os.path.join(tmp, d) for d in ("postings", "ticks", "out", "ck"))
+    os.makedirs(ticks)
+    scorer = lambda prompts: pd.Series(['{"score": 7}'] * len(prompts))
+
+    def go(first, count):
+        for t in range(first, first + count):
+            open(os.path.join(ticks, f"t{t:03d}.txt"), "w").write("tick\n")
+        run(ST.queue_stream(spark, ticks, ppath, out, scorer, NOW, n=1, checkpoint=ck, trigger="availableNow", fallback_cv="cv"))
+
+    _queued(spark, [(f"b{k}", 10 + k) for k in range(5)]).write.parquet(ppath)
+    go(0, 3)
+    # postings that land late, some of them older than what was claimed
+    _queued(spark, [("none", None), ("a0", 0), ("a1", 1), ("z", 99)]).write.mode("append").parquet(ppath)
+    go(3, 7)
+    got = [r.id for r in spark.read.parquet(out + "/postings").orderBy("epoch").collect()]
+    assert got == ["b0", "b1", "b2", "none", "a0", "a1", "b3", "b4", "z"]
+    # a batch starts from what is open: two runs in between, nothing in the end
+    assert ST.R.last_epoch(spark, out + "/queue_ledger") == 9
+    assert ST.R.read_ledger(spark, out + "/queue_ledger", 9) == []
+    middle = ST.open_queue(spark, out, 5, spark.read.parquet(ppath).schema)
+    assert {f.split("/run=")[1].split("/")[0] for f in middle.inputFiles()} == {"0", "6"}
+    assert sorted(r.id for r in middle.collect()) == ["b3", "b4", "z"]
+
+
+def test_queue_runs_merge_and_keep_the_order(spark, tmp):
+    import random
+    rng = random.Random(7)
+    waiting, want, got, number = [], [], [], 0
+    for epoch in range(50):
+        new = []
+        for _ in range(rng.choice([0, 1, 4])):
+            new.append((f"p{number:03d}", rng.choice([None, *range(12)])))
+            number += 1
+        waiting = sorted(waiting + new, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+        n = rng.choice([0, 1, 3])
+        want.append(sorted(i for i, _ in waiting[:n]))
+        waiting = waiting[n:]
+        rows = _queued(spark, new)
+        for _ in range(2 if epoch % 10 == 5 else 1):     # a batch that is run again claims the same
+            claimed = ST._claim_open(spark, rows, tmp, epoch, n, 3)
+            ids = sorted(r.id for r in claimed.collect())
+        got.append(ids)
+        assert len(ST.R.read_ledger(spark, tmp + "/queue_ledger", epoch)) <= 3
+        if epoch % 5 == 0:
+            assert sorted(r.id for r in ST.open_queue(spark, tmp, epoch, rows.schema).collect()) == sorted(i for i, _ in waiting)
+    assert got == want and sum(map(len, got)) > 10
+
+
+def test_mail_stream_reads_open_state_only(spark, tmp):
+    import datetime as dt
+    from conftest import posting_rows
+    t0 = dt.datetime(2024, 1, 1)
+    posts = posting_rows(spark, [dict(id=f"{c}{i}", company=c, status="APPLIED", created_at=t0 + dt.timedelta(days=i))
+                                 for c in ("acme", "acme berlin", "globex") for i in range(4)])
+    cols = "message_id long, mailbox string, from_addr string, subject string, body string, received_at timestamp_ntz"
+    who = ["acme", "globex", "acme berlin", "nobody", "globex"]
+    rows = [(k, "inbox", f"hr@{who[k % 5]}", "Status", "unfortunately" if k % 3 else "hello", t0 + dt.timedelta(minutes=k))
+            for k in range(20)]
+    src, out = os.path.join(tmp, "mail"), os.path.join(tmp, "out")
+    for k in range(0, 20, 2):
+        spark.createDataFrame(rows[k:k + 2], cols).coalesce(1).write.parquet(os.path.join(src, f"m{k:02d}"))
+        for f in os.listdir(os.path.join(src, f"m{k:02d}")):
+            os.utime(os.path.join(src, f"m{k:02d}", f), (1_700_000_000 + k, 1_700_000_000 + k))
+    run(ST.mail_stream(spark, src + "/*", posts, out, checkpoint=os.path.join(tmp, "ck"), max_files=1, max_runs=3))
+    got = sorted((r.message_id, r.posting_id, r.outcome) for r in spark.read.parquet(out + "/outcomes").collect())
+    want = MB.classify_messages(spark.createDataFrame(rows, cols), posts).filter(F.col("outcome") != "pending")
+    assert got == sorted((r.message_id, r.posting_id, r.outcome) for r in want.collect())
+    left = {r.message_id for r in ST.pending_of(spark, out).collect()}
+    assert left == {r[0] for r in rows} - {r[0] for r in got} and 3 in left
+    ledger = ST.R.read_ledger(spark, out + "/closed_ledger", 9)
+    assert len(ledger) <= 4 and min(r["run"] for r in ledger) > 0
+
+
 def test_progress_stream_json_lines(spark, tmp):
     rows = [("1", "start", "go", "2024-01-01 10:00:01"), ("2", "error", None, "2024-01-01 10:00:02")]
     src = os.path.join(tmp, "ev")
