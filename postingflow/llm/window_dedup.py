@@ -12,7 +12,12 @@ one join by document id brings the repeated hashes back to the texts.  The
 bucket is drawn from the smallest hash of the window's three-word runs, so
 that neighbouring windows mostly share a bucket and a copied passage comes back
 in a few rows; two different sequences are taken for one only if 64 bits and
-the bucket agree.
+the bucket agree.  A very common run of three words would draw the windows of a
+large share of all texts into one bucket: a pass before counts the windows of
+every bucket, and one with over ``HOT`` times the mean is split by the
+windows' own hashes into buckets of about the mean (equal windows stay
+together).  At most one bucket in ``HOT`` can be split; their numbers go through
+the driver.
 
 Edge cases: a null text has no words; a text of fewer than ``size`` words has
 no window and is kept whole; a null id counts as larger than every id; rows
@@ -39,6 +44,8 @@ BUCKET_BYTES = 8 << 20
 _BASE, _RUN_BASE = 0x9E3779B1, 0x85EBCA77
 #: Words of the runs that choose a window's bucket.
 RUN = 3
+#: A bucket with over so many times the mean number of windows is split.
+HOT = 4
 _LAST = np.iinfo(np.int64).max
 
 POSTINGS = "bucket long, final boolean, ids binary, counts binary, hashes binary"
@@ -76,7 +83,56 @@ def _packed(bucket: np.ndarray, ids: np.ndarray, h: np.ndarray, final: bool) ->
                np.diff(np.append(run, b - a)).astype(np.int32).tobytes(), h[a:b].tobytes())
 
 
-def _post(size: int, buckets: int):
+def _placed(raw: np.ndarray, off: np.ndarray, size: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """(hash, bucket, document) of every window of a block of texts."""
+    starts, ends, first = tb.word_spans(raw, off)
+    words = tb.word_hashes(raw, starts, ends)
+    h, at, doc = tb.windows(words, first, size, _BASE)
+    if len(h) == 0:
+        return h, h.astype(np.int64), doc
+    run = min(RUN, size)
+    least_run = tb.sliding_min(tb.rolling(words, run, _RUN_BASE), size - run + 1)
+    return h, (tb.mix64(least_run[at]) % np.uint64(buckets)).astype(np.int64), doc
+
+
+def _count(size: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, _, off, raw in tb.blocks(batch):
+                n += np.bincount(_placed(raw, off, size, buckets)[1], minlength=buckets)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], names=["bucket", "n"])
+    return run
+
+
+class Split:
+    """The buckets that are split: their numbers, parts, and the first number of their parts."""
+
+    def __init__(self, buckets: int, hot: np.ndarray, parts: np.ndarray):
+        order = np.argsort(hot)
+        self.hot, self.parts = hot[order], parts[order]
+        self.base = buckets + np.cumsum(self.parts) - self.parts
+
+    def place(self, bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if len(self.hot) == 0 or len(bucket) == 0:
+            return bucket
+        at = np.minimum(np.searchsorted(self.hot, bucket), len(self.hot) - 1)
+        part = (tb.mix64(h) % self.parts[at].astype(np.uint64)).astype(np.int64)
+        return np.where(self.hot[at] == bucket, self.base[at] + part, bucket)
+
+
+def split_buckets(texts: DataFrame, size: int, buckets: int) -> Split:
+    """Count the windows of every bucket and decide which are split into how many."""
+    counted = sizing.written(texts.select("text").mapInArrow(_count(size, buckets), "bucket long, n long")
+                             .groupBy("bucket").agg(F.sum("n").alias("n")), "window-buckets")
+    mean = max(1.0, (counted.agg(F.sum("n")).first()[0] or 0) / buckets)
+    hot = counted.where(F.col("n") > HOT * mean).toArrow()  # at most buckets / HOT rows
+    n = hot["n"].to_numpy()
+    return Split(buckets, hot["bucket"].to_numpy(), np.ceil(n / mean).astype(np.int64))
+
+
+def _post(size: int, buckets: int, split: Split):
     schema = pa.schema([("bucket", pa.int64()), ("final", pa.bool_()), ("ids", pa.binary()),
                         ("counts", pa.binary()), ("hashes", pa.binary())])
 
@@ -84,17 +140,13 @@ def _post(size: int, buckets: int):
         for batch in batches:
             ids = _ids(batch.column("id"))
             for a, b, off, raw in tb.blocks(batch):
-                starts, ends, first = tb.word_spans(raw, off)
-                words = tb.word_hashes(raw, starts, ends)
-                h, at, doc = tb.windows(words, first, size, _BASE)
+                h, bucket, doc = _placed(raw, off, size, buckets)
                 if len(h) == 0:
                     continue
-                run = min(RUN, size)
-                least_run = tb.sliding_min(tb.rolling(words, run, _RUN_BASE), size - run + 1)
-                place = tb.mix64(least_run[at]) % np.uint64(buckets)
+                place = split.place(bucket, h)
                 owner = ids[a:b][doc]
                 order, new, least, again = _smallest(h, owner)
-                rows = list(_packed(place[order][new].astype(np.int64), least, h[order][new], False))
+                rows = list(_packed(place[order][new], least, h[order][new], False))
                 if again.any():  # repeats inside the block are settled here
                     who, what = owner[order][again], h[order][again]
                     home = tb.mix64(who.astype(np.uint64)) % np.uint64(buckets)
@@ -206,7 +258,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, id: str = "doc_id",
     spark = docs.sparkSession
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     buckets = sizing.bucket_count(spark, sizing.text_bytes(texts), BUCKET_BYTES, per_partition=8)
-    posted = texts.mapInArrow(_post(size, buckets), POSTINGS)
+    posted = texts.mapInArrow(_post(size, buckets, split_buckets(texts, size, buckets)), POSTINGS)
     found = posted.groupBy("bucket").applyInArrow(_compare, REPEATED)
     return found.groupBy("id").agg(F.collect_list("hashes").alias("repeated"))
 

@@ -5,6 +5,7 @@ import string
 
 import brute
 import fixtures
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,43 @@ def test_window_dedup_returns_maximal_runs(spark):
     assert got[2].kept == "x y z q" and [tuple(s) for s in got[2].removed] == [(1, 4), (6, 10)]
 
 
+def test_window_dedup_splits_buckets_of_a_common_phrase(spark, monkeypatch):
+    rng = random.Random(3)
+
+    def text(common):
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range(60)]
+        at = rng.randrange(20, 40)
+        return " ".join(words[:at] + common + words[at:])
+
+    def run_hash(phrase):
+        raw = np.frombuffer(" ".join(phrase).encode(), np.uint8)
+        starts, ends, _ = textblocks.word_spans(raw, np.array([0, len(raw)]))
+        return textblocks.rolling(textblocks.word_hashes(raw, starts, ends), 3, window_dedup._RUN_BASE)[0]
+
+    # the common phrase is one that all windows around it choose
+    low = min(([f"a{k}", f"b{k}", f"c{k}"] for k in range(400)), key=run_hash)
+    docs = [(i, text(low)) for i in range(1500)]
+    docs += [(2000 + i, docs[i][1] if i % 2 else docs[i][1] + " more") for i in range(40)]
+    texts = fixtures.frame(spark, docs).selectExpr("doc_id id", "text").repartition(4)
+    buckets = 1000
+
+    def sizes(split):
+        posted = texts.mapInArrow(window_dedup._post(13, buckets, split), window_dedup.POSTINGS).where("not final")
+        return sorted(r.n for r in posted.groupBy("bucket").agg((F.sum(F.octet_length("hashes")) / 8).alias("n")).collect())
+
+    split = window_dedup.split_buckets(texts, 13, buckets)
+    whole = sizes(window_dedup.Split(buckets, split.hot[:0], split.parts[:0]))
+    parts = sizes(split)
+    assert sum(whole) == sum(parts)
+    assert whole[-1] > 100 * whole[len(whole) // 2] and parts[-1] < 20 * parts[len(parts) // 2]
+    monkeypatch.setattr(window_dedup.sizing, "bucket_count", lambda *a, **k: buckets)
+    got = {r.id: (r.n_words, r.n_removed, r.kept) for r in window_dedup.strip_repeats(fixtures.frame(spark, docs)).collect()}
+    for i, body in docs:
+        n = len(body.split())
+        gone = 63 if i >= 2000 else 0
+        assert got[i] == (n, gone, " ".join(body.split()[gone:]))
+
+
 def test_decontamination(spark, tmp_path, rows, sample):
     items = [(1, " ".join(fixtures.words(45, 1))), (2, "one two"), (3, None), (4, ""), (None, "one two"),
              (5, "one two"), (6, "one"), (10, "One-Two three FOUR five six seven eight nine ten eleven"), (10, "é"), (11, "!!")]
