@@ -80,6 +80,32 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert all(r.p == "x" for r in got)
 
 
+def test_toxicity_of_an_unknown_vocabulary(spark):
+    """Words that the code cannot know, in two kinds that do not occur together."""
+    rng = random.Random(11)
+    plain = [f"слово{k}" for k in range(300)]
+    bad = [[f"{a}{k}" for k in range(5)] for a in ("грубость", "насмешка")]
+    texts, labels = [], []
+    for k in range(600):
+        kind = k % 6
+        words = rng.choices(plain, k=30) + (rng.sample(bad[kind], 3) if kind < 2 else [])
+        texts.append((k, " ".join(rng.sample(words, len(words)))))
+        if k < 400:
+            labels.append((k, 1, int(kind < 2)))
+    docs = fixtures.frame(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.p for r in toxicity.score(docs, model).select("row.doc_id", "p").collect()}
+    held = range(400, 600)
+    assert all((got[k][-1] >= model.threshold) == (k % 6 < 2) for k in held)
+    sides = [{bool(got[k][0] > got[k][1]) for k in held if k % 6 == kind} for kind in (0, 1)]
+    assert sorted(sides, key=str) == [{False}, {True}]
+
+
+def test_toxic_kinds_of_rows_that_are_alike():
+    x = np.ones((4, 2))
+    assert not toxicity.kinds(x, np.array([True, True, False, False])).any()
+
+
 def test_toxicity_without_labels(spark):
     docs = fixtures.frame(spark, [(1, "a b c"), (2, None)])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
