@@ -2,8 +2,8 @@
 outcome and rejection memory (J5, W3, G1, A12, V4).
 
 A plain ``contains`` join condition plans as a BroadcastNestedLoopJoin
-(messages x companies).  Here one automaton over the distinct company names
-(``names``) walks every message once.
+(messages x companies).  Here every message is read once against a filter of
+the distinct company names, and what passes is joined with them (``names``).
 
 Mail is taken in order (received_at, message_id).  A message goes to the
 first posting, in (created_at, id) order, that is still active and whose

@@ -357,6 +357,31 @@ def test_embedder_and_queue_step(spark):
     assert {r.message for r in events.collect() if r.type == "success"} == {"✓ T0 @ c — 42% match", "✓ T1 @ c — 42% match"}
 
 
+def test_names_are_found_through_a_small_filter(spark, monkeypatch):
+    import random
+    from postingflow.operators import names as NM
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abé𝔘ß ") for _ in range(n))
+    names = sorted({word(rnd.randint(1, 9)) for _ in range(150)} | {"x" * 40})
+    texts = [(k, word(rnd.randint(0, 30)) if k % 9 else None) for k in range(200)] + [(500, "y" + "x" * 41), (500, "x" * 40)]
+    want = sorted((k, n) for k, t in texts for n in names if t and n in t)
+    read = spark.createDataFrame(texts, "k long, t string")
+    frame = spark.createDataFrame([(n,) for n in names + names[:9] + ["", None]], "name string")
+    assert sorted(map(tuple, NM.names_in(read, frame, "k", "t", "name").collect())) == want
+    # a full filter sends more runs to the join, the pairs stay; so do they in small blocks
+    monkeypatch.setattr(NM, "TEXT_BYTES", 64)
+    monkeypatch.setattr(NM, "MOST_BITS", 64)
+    monkeypatch.setattr(NM, "LEAST_BITS", 64)
+    assert sorted(map(tuple, NM.names_in(read, frame, "k", "t", "name").collect())) == want
+
+
+def test_what_is_sent_of_many_names_is_small(spark):
+    from postingflow.operators import names as NM
+    many = spark.range(200_000).select(F.format_string("customer#%09d", "id").alias("name"))
+    words, lengths = NM.name_filter(many)
+    assert words.nbytes <= 1 << 20 and lengths == [18]
+
+
 def test_competing_messages_in_order(spark):
     # two rejections from "acme berlin" in one batch: the first takes posting
     # #1 out, so the second goes to the next active posting it names
