@@ -43,12 +43,22 @@ SAMPLE, LIST_ROWS, ROUNDS = 16_384, 48, 12
 MOST_LISTS = 1_024
 #: Dimensions of one code byte, and its values.
 PART, VALUES = 2, 256
+#: Rows whose distances to all centroids or code values are held at a time.
+STEP = 1_024
 #: Standard deviations of the coding error that a candidate is allowed.
 Z = 4.0
 #: Share of the lists that give the floor.
 NEAR = 0.3
 
 
+def _closest(means: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The number of the mean next to each row."""
+    size, out = (means ** 2).sum(1), np.empty(len(x), np.int64)
+    for at in range(0, len(x), STEP):
+        out[at:at + STEP] = np.argmin(size - 2 * x[at:at + STEP] @ means.T, axis=1)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Centroids (lists x dim) and codebooks (parts x values x PART)."""
@@ -60,13 +70,13 @@ class Model:
         return np.pad(x, ((0, 0), (0, -x.shape[1] % PART))).reshape(len(x), -1, PART)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin((self.lists ** 2).sum(1) - 2 * x @ self.lists.T, axis=1)
+        return _closest(self.lists, x)
 
     def codes(self, residuals: np.ndarray) -> np.ndarray:
         parts = self.padded(residuals)
         out = np.empty(parts.shape[:2], np.uint8)
         for j, book in enumerate(self.books):
-            out[:, j] = np.argmin((book ** 2).sum(1) - 2 * parts[:, j] @ book.T, axis=1)
+            out[:, j] = _closest(book, parts[:, j])
         return out
 
     def decoded(self, codes: np.ndarray) -> np.ndarray:

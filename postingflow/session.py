@@ -98,6 +98,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of one Arrow batch: rows that hold whole texts or packed blocks reach them
+#: long before the limit of rows, and a Python worker holds two batches at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about ``BATCH_BYTES`` in this session (a smaller setting stays)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
+    except Exception:  # noqa: BLE001 - a Spark without this setting: batches are bounded by rows only
+        return
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -109,7 +125,9 @@ def ship_package(spark: SparkSession) -> None:
     ``postingflow``.  The package is zipped once per application and handed
     to ``SparkContext.addPyFile``, which serves it to every executor (the
     same as ``spark-submit --py-files``); the zip is only a staging file.
+    Python functions that need the package also get Arrow batches of bounded bytes.
     """
+    bound_batches(spark)
     try:
         sc = spark.sparkContext
         app = sc.applicationId

@@ -256,6 +256,30 @@ def test_clustered_memory_is_probed_in_part(spark):
     assert max(r.share_probed for r in found.collect()) < 0.5
 
 
+def test_batches_and_coding_are_bounded_in_bytes(spark):
+    import tracemalloc
+    import numpy as np
+    from postingflow.session import ship_package
+    ship_package(spark)
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+    wide = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    assert max(r.n for r in wide.mapInArrow(sizes, "n long").collect()) < 12 << 20
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((10_000, 32))
+    model = VI.Model(rng.standard_normal((341, 32)), rng.standard_normal((16, 256, 2)))
+    tracemalloc.start()
+    own, codes = model.nearest(x), model.codes(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert (own[-300:] == np.argmin(((x[-300:, None, :] - model.lists[None]) ** 2).sum(2), axis=1)).all()
+    assert codes.shape == (10_000, 16)
+
+
 def test_index_of_an_empty_memory(spark):
     q = spark.createDataFrame([("a", [1.0, 0.0])], "query_id string, vec array<double>")
     assert VI.top_k_approx(q, vector_rows(spark, []), 3).collect() == []
