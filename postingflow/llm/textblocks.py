@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+#: A block's arrays of words and hashes take about fifty times these bytes.
+BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)

@@ -335,3 +335,24 @@ def test_html_of_any_markup_in_linear_time(unit, last):
     ("<article>t<script>if (a<b) {}</script>u<br/>v</article>", "tu v")])
 def test_html_tags(page, text):
     assert html_extract.main_text(page, html_extract.train()) == text
+
+
+def test_scoring_takes_little_memory():
+    import tracemalloc
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    words = np.array(["wort%d" % k for k in range(3000)])
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(2500)]
+    features = np.unique(rng.integers(0, 1 << 62, 64).astype(np.uint64))
+    n = len(features)
+
+    class Sent:
+        value = toxicity.Chain(features, [np.ones(n + 1), np.ones(n + 2), np.ones(n + 3)])
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["row", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in toxicity._score(Sent, pa.int64(), toxicity.CATEGORIES)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and sum(map(len, texts)) > 6 << 20
+    assert peak < 100 << 20
